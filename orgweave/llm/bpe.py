@@ -19,11 +19,11 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import map_texts
 
 #: Python's str.split also cuts at these, which the tokenizer doesn't take for white space.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -179,40 +179,37 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     """
     path = path or default_vocabulary()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         enc = encoder(path)
         decimal = enc.decimal.__getitem__
-        for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            for a, b in blocks([len(t) for t in texts], 4_000_000):
-                rows = []
-                for raw in enc.encode(texts[a:b], mean_chunk):
-                    ids = np.frombuffer(raw, dtype="<u4").tolist()
-                    decoded = enc.decode(ids)
-                    if output == "digest":
-                        rows.append((len(ids), hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest(),
-                                     hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()))
-                    else:
-                        rows.append((len(ids), ids, decoded))
-                names = ["n_tokens", "ids_sha256", "decoded_sha256"] if output == "digest" else ["n_tokens", "ids", "decoded"]
-                out = pd.DataFrame(rows, columns=names)
-                out.insert(0, "doc_id", batch["doc_id"].iloc[a:b].to_numpy())
-                yield out
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if output == "digest" else "ids array<int>, decoded string")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+
+        def work(texts: list[str]) -> list:
+            rows = []
+            for raw in enc.encode([t or "" for t in texts], mean_chunk):
+                ids = np.frombuffer(raw, dtype="<u4").tolist()
+                decoded = enc.decode(ids)
+                if output == "digest":
+                    rows.append((len(ids), hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest(),
+                                 hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()))
+                else:
+                    rows.append((len(ids), np.array(ids, dtype=np.int32), decoded))
+            return [list(column) for column in zip(*rows)]
+
+        return work
+
+    fields = "n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if output == "digest" else "ids array<int>, decoded string")
+    return map_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"], start, fields)
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Decode an array of ids for each row: (doc_id, decoded). Null arrays and null ids within count as no ids."""
     path = path or default_vocabulary()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            texts = [enc.decode([int(i) for i in ids if i == i and i is not None] if ids is not None else []) for ids in batch["ids"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "decoded": texts})
+            texts = [enc.decode([i for i in ids or () if i is not None]) for ids in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInPandas(run, f"doc_id {kind}, decoded string")
+    return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"doc_id {kind}, decoded string")

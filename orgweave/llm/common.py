@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,3 +80,39 @@ def blocks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         total += size
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def map_texts(rows: DataFrame, keep: list[str], start: Callable[[], Callable[[list[str]], list]], fields: str,
+              text_col: str = "text", block_chars: int = 4_000_000) -> DataFrame:
+    """Columns ``keep`` of ``rows`` as they are, beside what a function makes of the texts, where the rows stand.
+
+    ``start()`` runs once in a task and gives the function; that takes a block of texts (null as None) and returns one list of values
+    for each of ``fields`` (a schema string), or, where it repeats rows, a dict of
+    ``take`` (row numbers) and ``columns``.
+    """
+    names = [f.strip().rpartition(" ")[0] for f in fields.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            texts = batch.column(text_col).to_pylist()
+            for a, b in blocks([len(t) if t else 0 for t in texts], block_chars):
+                made = work(texts[a:b])
+                kept = batch.select(keep).slice(a, b - a)
+                if isinstance(made, dict):
+                    kept, made = kept.take(pa.array(made["take"], pa.int64())), made["columns"]
+                yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(v) for v in made)], names=[*keep, *names])
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, f"{kinds}, {fields}")
+
+
+def filter_texts(rows: DataFrame, start: Callable[[], Callable[[list[str]], list[bool]]], text_col: str = "text") -> DataFrame:
+    """The rows, all their columns, for whose text the function says true; as ``map_texts`` otherwise."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            yield batch.filter(pa.array(work(batch.column(text_col).to_pylist()), pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)

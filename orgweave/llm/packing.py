@@ -15,12 +15,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import default_vocabulary, encoder
-from .common import blocks, materialize
+from .common import map_texts, materialize
 
 #: The salted groups of a length; numbering a length that holds every row still spreads over as many tasks.
 SALTS = 1024
@@ -31,25 +31,25 @@ def cut_pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path: str
     """(doc_id, piece, start, length, ids_crc32, salt) for every piece of every whole text; null texts count as empty."""
     path = path or default_vocabulary()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         enc = encoder(path)
         end, step = int(end_id).to_bytes(4, "little"), 4 * capacity
-        for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            for a, b in blocks([len(t) for t in texts], 4_000_000):
-                rows = []
-                for i, raw in zip(range(a, b), enc.encode_words(texts[a:b])):
-                    raw += end
-                    for at in range(0, len(raw), step):
-                        part = raw[at:at + step]
-                        rows.append((i, at // step, at // 4, len(part) // 4, zlib.crc32(part)))
-                out = pd.DataFrame(rows, columns=["i", "piece", "start", "length", "ids_crc32"])
-                out.insert(0, "doc_id", batch["doc_id"].to_numpy()[out.pop("i").to_numpy()])
-                yield out
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    pieces = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
-        run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+
+        def work(texts: list[str]) -> dict:
+            take, rows = [], []
+            for i, raw in enumerate(enc.encode_words([t or "" for t in texts])):
+                raw += end
+                for at in range(0, len(raw), step):
+                    part = raw[at:at + step]
+                    take.append(i)
+                    rows.append((at // step, at // 4, len(part) // 4, zlib.crc32(part)))
+            columns = np.array(rows, dtype=np.int64).T
+            return {"take": take, "columns": [columns[0].astype(np.int32), *columns[1:]]}
+
+        return work
+
+    pieces = map_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"], start,
+                       "piece int, start long, length long, ids_crc32 long")
     return pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
 
 
@@ -119,21 +119,19 @@ def place_pieces(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
               .withColumn("rank", F.col("base") + F.row_number().over(within) - 1))
     shared = spark.sparkContext.broadcast(plan)  # bounded by the capacity, see above
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length, first, copies, bin0, offset = shared.value.T
         span = 1 << 44
         keys = length * span + first
         for batch in batches:
-            n, rank = batch["length"].to_numpy(np.int64), batch["rank"].to_numpy(np.int64)
+            n, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             k = np.searchsorted(keys, n * span + rank, side="right") - 1
             r = rank - first[k]
-            out = batch[["doc_id", "piece", "start", "length", "ids_crc32"]].copy()
-            out["sequence_id"] = bin0[k] + r // copies[k]
-            out["offset"] = offset[k] + (r % copies[k]) * n
-            yield out
+            placed = [bin0[k] + r // copies[k], offset[k] + (r % copies[k]) * n]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, placed)], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
         run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
