@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, packing, quality, toxicity
+from . import bpe, langid, licenses, packing, pii, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +20,18 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), output="digest")
 
 
+def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_replaced")
+
+
 def op9_subword_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
@@ -35,6 +43,7 @@ def op10_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_byte_cnn_quality, op3_best_fit_packing, op5_bpe_chunk_reuse, op9_subword_language_id, op10_noisy_channel_toxicity)}
+    op1_byte_cnn_quality, op3_best_fit_packing, op4_license_rules, op5_bpe_chunk_reuse, op8_feistel_pseudonyms,
+    op9_subword_language_id, op10_noisy_channel_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
