@@ -67,7 +67,7 @@ class ChunkEncoder:
     Words and chunks are kept up to a number of entries each, then the cache starts anew, so memory is bounded.
     """
 
-    def __init__(self, path: str, words: int = 400_000, chunks: int = 60_000) -> None:
+    def __init__(self, path: str, words: int = 800_000, chunks: int = 60_000) -> None:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -79,20 +79,58 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.word_ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.chunk_parts: dict[str, tuple] = {}
         self.most_words, self.most_chunks = words, chunks
+        suffix = spec["model"].get("end_of_word_suffix") or "</w>"
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
+        self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.decimal = [str(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
 
     def learn(self, words: set[str]) -> None:
-        """Encode the words that aren't kept yet, in one call to the library."""
-        new = list(words.difference(self.word_ids))
+        """Have the ids of all ``words`` at hand. Those unknown are encoded in one call to the library.
+
+        Of a word of letters and a closing mark the two parts are encoded apart, as the pre-tokenizer does, so the letters' ids
+        are reused. When the newer half of the cache is full it becomes the older half; what is used again moves back.
+        """
+        new = words.difference(self.word_ids)
+        if len(self.word_ids) + len(new) > self.most_words // 2 and self.word_ids:
+            self.older, self.word_ids, new = self.word_ids, {}, words
+        back = new & self.older.keys()
+        self.word_ids.update((w, self.older[w]) for w in back)
+        new -= back
         if not new:
             return
-        if len(self.word_ids) + len(new) > self.most_words:
-            self.word_ids = {}
-            new = list(words)
-        for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.word_ids[word] = array("I", e.ids).tobytes()
+        known, parted, ask = self.word_ids, [], set()
+        for w in new:
+            if w[-1] in ".,|" and w[:-1].isalpha():
+                parted.append(w)
+                core = w[:-1]
+                if core in known:
+                    continue
+                if core in self.older:
+                    known[core] = self.older[core]
+                    continue
+                w = core
+            ask.add(w)
+        ask.update(".,|" if parted else ())
+        letters = list(filter(str.isalpha, ask))
+        if letters and not self._together(letters):
+            letters = []
+        asked = list(ask.difference(letters))
+        for word, e in zip(asked, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)):
+            known[word] = array("I", e.ids).tobytes()
+        known.update((w, known[w[:-1]] + known[w[-1]]) for w in parted)
+
+    def _together(self, words: list[str]) -> bool:
+        """Encode words of letters as one text, and part its ids where a word ends. False if the ends don't match the words."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
+        if len(ends) != len(words) or ends[-1] != 4 * len(ids):
+            return False
+        raw = ids.tobytes()
+        self.word_ids.update((w, raw[a:b]) for w, a, b in zip(words, [0, *ends], ends))
+        return True
 
     @staticmethod
     def words_of(text: str, odd: bool) -> list[str]:
