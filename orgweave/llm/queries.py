@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, licenses, packing, pii, quality, toxicity
+from . import bpe, langid, licenses, neardup, packing, pii, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op5_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), output="digest")
 
 
+def op6_dart_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_replaced")
 
@@ -43,7 +47,7 @@ def op10_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_byte_cnn_quality, op3_best_fit_packing, op4_license_rules, op5_bpe_chunk_reuse, op8_feistel_pseudonyms,
+    op1_byte_cnn_quality, op3_best_fit_packing, op4_license_rules, op5_bpe_chunk_reuse, op6_dart_minhash_near_dedup, op8_feistel_pseudonyms,
     op9_subword_language_id, op10_noisy_channel_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
