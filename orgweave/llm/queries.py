@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, licenses, neardup, packing, pii, quality, toxicity
+from . import ann, bpe, langid, licenses, neardup, packing, pii, quality, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op6_dart_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_replaced")
 
@@ -47,7 +55,7 @@ def op10_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_byte_cnn_quality, op3_best_fit_packing, op4_license_rules, op5_bpe_chunk_reuse, op6_dart_minhash_near_dedup, op8_feistel_pseudonyms,
+    op1_byte_cnn_quality, op2_ball_tree_top_k, op3_best_fit_packing, op4_license_rules, op5_bpe_chunk_reuse, op6_dart_minhash_near_dedup, op7_anisotropic_ann, op8_feistel_pseudonyms,
     op9_subword_language_id, op10_noisy_channel_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
