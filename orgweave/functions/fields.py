@@ -129,10 +129,11 @@ def headcount(raw: Column) -> Column:
         plus = F.regexp_extract(s, r"([\d,]+)\+", 1)
         open_ended = F.when(more != "", _number(more) + 1).when(plus != "", _number(plus))
         span = r"(\d{1,3}(?:,\d{3})*|\d{1,9})\s*[–-]\s*(\d{1,3}(?:,\d{3})*|\d{1,9})"
-        middle = half_up((_number(first(s, span, 1)) + _number(first(s, span, 2))) / 2)
+        alone = "^" + span + r"\+?$"
+        middles = [half_up((_number(first(s, p, 1)) + _number(first(s, p, 2))) / 2) for p in (alone, span)]
         whole = _number(first(s, r"^(\d{1,3}(?:,\d{3})+|\d{1,9})\+?$"))
-        found = headcount_bucket(F.coalesce(open_ended, F.when(has(s, "^" + span + r"\+?$"), middle), whole, middle))
-        return F.when(is_blank(s), UNKNOWN).otherwise(F.coalesce(found, cut(s, 40)))
+        found = headcount_bucket(F.coalesce(open_ended, middles[0], whole, middles[1]))
+        return F.when(is_blank(raw), UNKNOWN).otherwise(F.coalesce(found, cut(s, 40)))
 
     return let(sub(F.regexp_replace(squeeze(text(raw)), "-", "–"), r"\bto\b", "–"), body)
 
