@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import held, map_texts
 
 #: Python's str.split also cuts at these, which the tokenizer doesn't take for white space.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -67,7 +67,7 @@ class ChunkEncoder:
     Words and chunks are kept up to a number of entries each, then the cache starts anew, so memory is bounded.
     """
 
-    def __init__(self, path: str, words: int = 800_000, chunks: int = 60_000) -> None:
+    def __init__(self, path: str, words: int = 600_000, chunks: int = 30_000) -> None:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -196,14 +196,9 @@ class ChunkEncoder:
         return self.tokenizer.decode(ids, skip_special_tokens=False)
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
     """One encoder for each vocabulary in a Python worker, so its caches outlive a task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    return held(f"encoder {path}", lambda: ChunkEncoder(path))
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text",

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +79,22 @@ def labelled_texts(docs: DataFrame, chosen: DataFrame, max_chars: int,
     return list(first.values())
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """What an operator keeps in its Python worker from task to task. A worker serves many operators, so only the last one's is kept."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def let_go() -> None:
+    """Drop what other operators' tasks have left in this worker."""
+    _HELD.clear()
+
+
 def blocks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Consecutive (start, end) whose sizes sum to ``most`` at most; a larger single item stands alone."""
     start = total = 0
@@ -103,9 +120,9 @@ def map_texts(rows: DataFrame, keep: list[str], start: Callable[[], Callable[[li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            for a, b in blocks([len(t) if t else 0 for t in texts], block_chars):
-                made = work(texts[a:b])
+            column = batch.column(text_col)
+            for a, b in blocks(pc.fill_null(pc.utf8_length(column), 0).to_pylist(), block_chars):
+                made = work(column.slice(a, b - a).to_pylist())
                 kept = batch.select(keep).slice(a, b - a)
                 if isinstance(made, dict):
                     kept, made = kept.take(pa.array(made["take"], pa.int64())), made["columns"]
@@ -115,12 +132,14 @@ def map_texts(rows: DataFrame, keep: list[str], start: Callable[[], Callable[[li
     return rows.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, f"{kinds}, {fields}")
 
 
-def filter_texts(rows: DataFrame, start: Callable[[], Callable[[list[str]], list[bool]]], text_col: str = "text") -> DataFrame:
+def filter_texts(rows: DataFrame, start: Callable[[], Callable[[list[str]], list[bool]]], text_col: str = "text", block_chars: int = 4_000_000) -> DataFrame:
     """The rows, all their columns, for whose text the function says true; as ``map_texts`` otherwise."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:
-            yield batch.filter(pa.array(work(batch.column(text_col).to_pylist()), pa.bool_()))
+            column = batch.column(text_col)
+            for a, b in blocks(pc.fill_null(pc.utf8_length(column), 0).to_pylist(), block_chars):
+                yield batch.slice(a, b - a).filter(pa.array(work(column.slice(a, b - a).to_pylist()), pa.bool_()))
 
     return rows.mapInArrow(run, rows.schema)

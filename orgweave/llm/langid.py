@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, labelled_texts, map_texts, sample_ids
+from .common import crc_mod, labelled_texts, let_go, map_texts, sample_ids
 
 BUCKETS, GRAMS = 1 << 15, (2, 3, 4)
 #: Bounds of the fit: rows of each language, characters of a row.
@@ -142,6 +142,7 @@ def identify(docs: DataFrame, model: SubwordSoftmax) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size for each language
 
     def start():
+        let_go()
         model = shared.value
 
         def work(texts: list[str]) -> list:

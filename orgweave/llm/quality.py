@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_mod, filter_texts, labelled_texts, map_texts, sample_ids
+from .common import blocks, crc_mod, filter_texts, labelled_texts, let_go, map_texts, sample_ids
 
 CHUNK, OVERLAP, GROUP, PAD = 512, 64, 4, 256
 STEP = CHUNK - OVERLAP
@@ -136,6 +136,7 @@ def _scorer(docs: DataFrame, model: ByteConvolution):
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
     def start():
+        let_go()
         return lambda texts: [1 / (1 + np.exp(-np.clip(shared.value.logits([t or "" for t in texts]), -500, 500)))]
 
     return start
