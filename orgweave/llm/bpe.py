@@ -15,11 +15,13 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +63,19 @@ def cut_points(text: str, mean: int = 256, longest: int = 4096) -> list[int]:
     return out
 
 
+#: The alphabet in which byte-level merges spell bytes: printable ones are themselves, the others follow from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)).difference(_SHOWN)))}
+
+#: Marks that end a word and can't be part of a special token or a contraction.
+_MARKS = ".,!?;:*#%&$)"
+
+
+def _stays_letters(word: str) -> bool:
+    """Whether all of a word are letters, also after the normalizer; a few letters become a letter and a mark."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 class ChunkEncoder:
     """Encodes texts as the tokenizers library does, without special tokens, truncation or padding.
 
@@ -78,8 +93,11 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # the same merges without normalizer, mark splitting and byte mapping, for words that are given as those would leave them
+        self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
         self.word_ids: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         self.chunk_parts: dict[str, tuple] = {}
         self.most_words, self.most_chunks = words, chunks
         suffix = spec["model"].get("end_of_word_suffix") or "</w>"
@@ -90,46 +108,67 @@ class ChunkEncoder:
     def learn(self, words: set[str]) -> None:
         """Have the ids of all ``words`` at hand. Those unknown are encoded in one call to the library.
 
-        Of a word of letters and a closing mark the two parts are encoded apart, as the pre-tokenizer does, so the letters' ids
-        are reused. When the newer half of the cache is full it becomes the older half; what is used again moves back.
+        The tokenizer lower-cases and parts letters from marks itself, so an ASCII word has the ids of its lower case, and one of letters and
+        closing marks those of its two parts. When the newer half of the cache is full it becomes the older half; what is used again moves back.
         """
         new = words.difference(self.word_ids)
         if len(self.word_ids) + len(new) > self.most_words // 2 and self.word_ids:
             self.older, self.word_ids, new = self.word_ids, {}, words
-        back = new & self.older.keys()
-        self.word_ids.update((w, self.older[w]) for w in back)
-        new -= back
-        if not new:
-            return
-        known, parted, ask = self.word_ids, [], set()
-        for w in new:
-            if w[-1] in ".,|" and w[:-1].isalpha():
-                parted.append(w)
-                core = w[:-1]
-                if core in known:
-                    continue
-                if core in self.older:
-                    known[core] = self.older[core]
-                    continue
-                w = core
-            ask.add(w)
-        ask.update(".,|" if parted else ())
-        letters = list(filter(str.isalpha, ask))
-        if letters and not self._together(letters):
-            letters = []
-        asked = list(ask.difference(letters))
-        for word, e in zip(asked, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)):
+            if len(self.marks) > 10_000:
+                self.marks = {}
+        known, kept = self.word_ids, self.older.get
+        made: list[tuple[str, str, str]] = []
+        ask: set[str] = set()
+        plain: set[str] = set()  # of them, letters that the normalizer leaves as they are
+        for word in new:
+            ids = kept(word)
+            if ids is not None:
+                known[word] = ids
+                continue
+            core, mark = word, ""
+            if word[-1] in _MARKS:
+                head = word.rstrip(_MARKS)
+                if _stays_letters(head):
+                    core, mark = head, word[len(head):]
+                    if mark not in self.marks:
+                        self.marks[mark] = array("I", self.tokenizer.encode(mark, add_special_tokens=False).ids).tobytes()
+            if core.isascii():
+                core = core.lower()
+            elif core.isalpha() and "Σ" not in core:
+                lower = unicodedata.normalize("NFC", core).lower()
+                if lower.isalpha() and unicodedata.is_normalized("NFC", lower):
+                    core = lower
+                    plain.add(core)
+            if core != word:
+                made.append((word, core, mark))
+            if core not in known:
+                ids = kept(core)
+                if ids is None:
+                    ask.add(core)
+                else:
+                    known[core] = ids
+        plain &= ask
+        plain.update(w for w in ask if w.isascii() and w.isalpha())
+        others = list(ask.difference(plain) if self._together(list(plain)) else ask)
+        for word, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
             known[word] = array("I", e.ids).tobytes()
-        known.update((w, known[w[:-1]] + known[w[-1]]) for w in parted)
+        for word, core, mark in made:
+            known[word] = known[core] + self.marks[mark] if mark else known[core]
 
     def _together(self, words: list[str]) -> bool:
-        """Encode words of letters as one text, and part its ids where a word ends. False if the ends don't match the words."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        """Encode lower-case words of letters as one text, and part its ids where a word ends. False if the ends don't match the words.
+
+        Such a word is one piece for the merges, spelled in the byte alphabet; so the merges alone are enough.
+        """
+        if not words:
+            return True
+        spelled = [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES) for w in words]
+        ids = np.array(self.bare.encode_batch_fast([" ".join(spelled)], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
         if len(ends) != len(words) or ends[-1] != 4 * len(ids):
             return False
         raw = ids.tobytes()
-        self.word_ids.update((w, raw[a:b]) for w, a, b in zip(words, [0, *ends], ends))
+        self.word_ids.update(zip(words, map(raw.__getitem__, map(slice, [0, *ends], ends))))
         return True
 
     @staticmethod
@@ -137,11 +176,23 @@ class ChunkEncoder:
         return [w for w in _ASCII_SPACE.split(text) if w] if odd else text.split()
 
     def encode_words(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, by reuse of words only."""
-        split = [self.words_of(t, bool(_ODD.search(t))) for t in texts]
-        self.learn(set().union(*split) if split else set())
-        get = self.word_ids.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        """Little-endian 32-bit ids of each text, by reuse of words only.
+
+        Arrow splits the texts and numbers their distinct words, so that only those are looked up; numpy lays out the ids.
+        """
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        numbered = split.flatten().dictionary_encode()
+        words = numbered.dictionary.to_pylist()
+        self.learn(set(words) - {""})
+        ids = [self.word_ids[w] if w else b"" for w in words]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        pool, first = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(size) - size
+        at = numbered.indices.to_numpy()
+        sizes = size[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        flat = pool[np.repeat(first[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        cuts = ends[split.offsets.to_numpy()]
+        return [flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
     def _parts(self, chunk: str, odd: bool) -> tuple[str, list[str] | None, str]:
         """(word running in from the left, whole words, word running on to the right); whole words None: no space."""
