@@ -77,7 +77,8 @@ def lookup(key: Column, table: dict[str, str]) -> Column:
 def title_words(c: Column) -> Column:
     """The first letter of every ASCII word in upper case; the rest stays."""
     parts = F.regexp_extract_all(c, F.lit("[A-Za-z0-9_]+|[^A-Za-z0-9_]+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), "")
+    raised = lambda w: F.when(w.rlike("^[a-z]"), F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))).otherwise(w)
+    return F.array_join(F.transform(parts, raised), "")
 
 
 def industry(raw: Column) -> Column:
