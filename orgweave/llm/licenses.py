@@ -123,6 +123,8 @@ def rules() -> list[tuple[int, str, str, str, float]]:
     out = [(0, label, keyword, f" (?:{sentence})(?= )", strength) for label, keyword, strength, sentence in SENTENCES]
     for priority, strength, before, after in FORMS:
         out += [(priority, label, keyword, f" {before}(?:{names}){after}(?= )", strength) for label, keyword, names in LICENSES]
+    # names that mean a license wherever they stand need no words around them
+    out += [(4, label, keyword, f" (?:{names})(?= )", 0.6) for label, keyword, names in LICENSES if label.startswith("cc")]
     return out
 
 
