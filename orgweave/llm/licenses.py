@@ -113,8 +113,10 @@ SENTENCES = (
     ("proprietary", "unauthorized", 0.8, r"unauthorized (?:copying|use|reproduction|distribution) of this (?:file|material|document|work)"),
     ("copyright", "copyright", 0.5, r"copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)\d\d)*"),
 )
+#: Labels, or beginnings of them, whose names mean the license without words around them.
+ALONE = ("cc", "gpl-", "lgpl", "agpl", "gfdl", "mpl-", "epl-", "cddl", "eupl", "ofl", "odbl")
 #: A text without any of these holds no license; each rule's matches and each base phrase hold one.
-STEMS = ("licen", "cc by", "creative commons", "rights reserved", "public", "permission", "redistribution", "copyright", "spdx", "proprietary",
+STEMS = ("licen", "cc by", "gpl", "cc0", "mpl ", "epl ", "cddl", "creative commons", "rights reserved", "public", "permission", "redistribution", "copyright", "spdx", "proprietary",
          "unauthorized", "endorse", "warranties", "altered source", "redistribute", "free software", "under the", "subject to", "governed by", "in accordance", "pursuant")
 
 
@@ -124,7 +126,7 @@ def rules() -> list[tuple[int, str, str, str, float]]:
     for priority, strength, before, after in FORMS:
         out += [(priority, label, keyword, f" {before}(?:{names}){after}(?= )", strength) for label, keyword, names in LICENSES]
     # names that mean a license wherever they stand need no words around them
-    out += [(4, label, keyword, f" (?:{names})(?= )", 0.6) for label, keyword, names in LICENSES if label.startswith("cc")]
+    out += [(4, label, keyword, f" (?:{names})(?= )", 0.6) for label, keyword, names in LICENSES if label.startswith(ALONE)]
     return out
 
 
