@@ -269,13 +269,3 @@ def name_domain_similarity(company: Column, domain: Column, name: Column) -> Col
         return let(F.struct(acronym.alias("a"), content.alias("content")), scored)
 
     return let(packed, of)
-
-
-def wiki_title_score(title: Column, company: Column) -> Column:
-    """How well an encyclopedia's title fits a company: -100 for media and disambiguation pages, else up to 50 and more."""
-    t, name = F.lower(trim(text(title))), T.name_core(company)
-    core = T.name_core(title)
-    bad = has(t, r"\((film|album|song|novel|book|magazine|newspaper|tv series|video game|band|disambiguation)\)|\bdisambiguation\b")
-    points = (F.when(core == name, 50).when(core.startswith(name) | name.startswith(core), 25).otherwise(0)
-              + F.when(has(t, r"\((company|firm|business|bank|organization|organisation|corporation)\)"), 20).otherwise(0))
-    return F.when(bad, -100).otherwise(points)

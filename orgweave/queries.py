@@ -9,6 +9,7 @@ from .functions import domains as D
 from .functions import extract as X
 from .functions import fields as L
 from .functions import html as H
+from .functions import matching as N
 from .functions import text as T
 from .operators import candidates as C
 from .operators import consensus as S
@@ -315,6 +316,31 @@ def pasted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.pasted_names(spark.createDataFrame([(0, _PASTE)], "paste_id int, text string")).select("seq", "name")
 
 
+_WIKI = (("Acme (company)", "Acme Inc"), ("Acme", "Acme, Inc."), ("Acme (film)", "Acme"), ("Acme Steel", "Acme"), ("Other", "Acme"))
+
+
+@query(_golden([(0, "exact", 130.0, True), (1, "exact", 110.0, True), (2, "none", -100.0, False), (3, "near-exact", 60.0, True), (4, "none", 0.0, False)], "id, kind, score, ok"))
+def wiki_page_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate(_WIKI)], "id int, t string, n string")
+    none = F.lit(None).cast("string")
+    j = N.judge_wiki_page(F.col("t"), F.col("n"), F.lit(None).cast("array<string>"), none, none, none, none, F.lit(None).cast("int"), F.lit(None).cast("int"))
+    return rows.select("id", j.alias("j")).select("id", "j.kind", "j.score", "j.ok")
+
+
+@query(_golden([(0, 145, "acme", True, 80), (1, 90, "acme", True, 80), (2, 0, "plum alley", False, 0), (3, 0, "", True, 0), (4, 145, "nova", True, 180)], "id, score, plain, ambiguous, simple"))
+def first_generation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(0, "Acme, Inc.", "www.acme.com", "Acme"), (1, "The Acme Co", "acme.zz", "Acme Ltd"), (2, "Plum Alley", "zzz.com", None), (3, "", "a.com", ""), (4, "Nova", "nova.io", "Nova")]
+    df = spark.createDataFrame(rows, "id int, n string, d string, s string")
+    n, d = F.col("n"), F.col("d")
+    return df.select("id", N.domain_score(d, n, F.col("s")).alias("score"), N.plain_name(n).alias("plain"), N.is_ambiguous_name(n).alias("ambiguous"), N.domain_for_name(n, d).alias("simple"))
+
+
+@query(_golden([(0, "Austin, TX", "51–200", "Jane Doe", "Venture Capital"), (1, "Unknown", "Unknown", "Unknown", "Unknown")], "id, location, headcount, founders, industry"))
+def search_corpus_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(0, "Acme is a venture capital firm based in Austin, TX and has 51-200 employees. It was founded by Jane Doe in 1999."), (1, "short")], "id int, t string")
+    return rows.select("id", N.corpus_fields(F.col("t")).alias("f"), N.infer_industry(F.col("t")).alias("industry")).select("id", "f.location", "f.headcount", "f.founders", "industry")
+
+
 # decisions -----------------------------------------------------------------------------------------------------------
 @query(_golden([(0, "accept", "p31_organization", "exact", None), (1, "reject", "p31_media", "exact", None), (2, "accept", "p31_media_with_context", "exact", None), (3, "reject", "p31_non_organization", "exact", None),
                 (4, "allow_unknown", "no_p31", "empty_p31", None), (5, "accept", "p31_org_subclass", "subclass", 2), (6, "allow_unknown", "p31_unlisted", "subclass", None), (7, "retry_needed", "transient", None, None),
