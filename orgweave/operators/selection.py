@@ -51,7 +51,8 @@ def select_identity(scored: DataFrame, resolve_min: int = RESOLVE_MIN, margin: i
     """(company_id, company, status, domain, confidence, score, reason, resolve_min, risk, candidates) of the candidates of ``score_identity``.
 
     Starting from the best score, six rules may pick another candidate; then thresholds, the margin to the next one and six grounds for
-    abstention decide. ``candidates`` are the best six hosts and scores.
+    abstention decide. ``candidates`` are the best six hosts and scores. Write the result before filtering on a decision: the
+    optimizer would push the filter down into the expressions that make it.
     """
     c = F.col
     sized = scored.withColumn("n", F.count("*").over(Window.partitionBy("company_id")))

@@ -3,17 +3,19 @@ optimizer sees it whole."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import domains as D
 from ..functions import extract as X
+from ..functions import matching as N
 from ..functions import text as T
 from ..functions.regex import has, text
 from ..operators import candidates as C
 from ..operators import consensus as S
 from ..operators import guard, industry, provider, scoring, selection
 from ..sources.readers import page_evidence, usable_titles
+from ..sources.shared import materialize
 
 
 def encyclopedia_candidates(titles: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
@@ -58,28 +60,59 @@ def resolve_identity(companies: DataFrame, pool: DataFrame, pages: DataFrame) ->
     return selection.select_identity(scored.withColumn("score", c("score") + adjust), 72)
 
 
+def stage_two_signals(rows: DataFrame) -> DataFrame:
+    """Add ``more``: what a deeper look adds or takes. The full name in the site's words, its description and its about page, structured data,
+    the kind of entity, the given industry, and independent sources."""
+    c = F.col
+    join = lambda sep, *names: F.concat_ws(sep, *[F.nullif(text(n), F.lit("")) for n in names])
+    df = rows.withColumns({"everything": join(" \n ", "deep_title", "deep_description", "deep_text", "about_text", "deep_json_ld", "search_snippets", "snippet", "page_text"),
+                           "told": join(" ", "deep_description", "search_snippets", "snippet"), "wants": has(text("company"), r"\b(capital|ventures?|partners|equity|private equity|venture)\b"),
+                           "kind": scoring.entity_type(F.lower(join(" ", "deep_title", "deep_description", "search_snippets", "deep_text"))),
+                           "sources": F.array_compact(F.concat(F.array("source"), F.coalesce("supporting_sources", F.array().cast("array<string>"))))})
+    family = lambda x: F.when(x.rlike("wikidata"), "wikidata").when(x.rlike("search|instant_answer|infobox"), "search").when(x.rlike("brand_guess"), "guess").when(x.rlike("page|about|deep"), "homepage").otherwise(x)
+    df = df.withColumns({"full": N.full_name_present(c("company"), c("everything")), "in_told": N.full_name_present(c("company"), c("told")), "in_about": N.full_name_present(c("company"), c("about_text")),
+                         "same_ld": (text("deep_json_ld") != "") & (T.identity_key(c("deep_json_ld")) == T.identity_key(c("company"))), "aligned": N.context_aligns(c("context"), c("everything"), c("kind")),
+                         "independent": F.size(F.array_remove(F.array_distinct(F.transform("sources", family)), "guess"))})
+    pairs = [scoring.pair("fullNameConfirmed", 40, c("full")),
+             scoring.pair("descriptionFullName", 28, c("in_told") & has(c("told"), "is an?|private equity|venture capital|company that|headquartered")), scoring.pair("deepAboutConfirm", 22, c("in_about")),
+             scoring.pair("stage2JsonLdExact", 20, c("same_ld")), scoring.pair("stage2EntityTypeMatch", 30, c("wants") & (c("kind") == "investment_firm")),
+             scoring.pair("stage2EntityTypeMismatch", -40, c("wants") & c("kind").isin("print_services", "store", "product")), scoring.pair("contextIndustryAlign", 35, c("aligned")),
+             scoring.pair("stage2Consensus", 30, c("independent") >= 3), scoring.pair("stage2DualSourceFullName", 18, (c("independent") == 2) & c("full"))]
+    return df.withColumn("more", F.array_compact(F.array(*pairs)))
+
+
+#: Signals of the second stage that count as new evidence.
+MEANINGFUL = ("fullNameConfirmed", "deepAboutConfirm", "descriptionFullName", "stage2Consensus", "stage2DualSourceFullName", "stage2EntityTypeMatch", "contextIndustryAlign", "stage2JsonLdExact")
+
+
 def second_stage(decided: DataFrame, scored: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Ambiguous companies again, with what a deeper look has found (company_id, domain, title_text, page_text, sources, context): boosts per candidate, the same
-    thresholds, and no decision without new evidence. All other rows stay as they are."""
+    """Ambiguous companies once more, with what a deeper look has found; all other rows stay as they are.
+
+    ``scored`` are the candidates of ``score_identity``; ``evidence`` has (company_id, host, deep_title, deep_description, deep_text, about_text, deep_json_ld,
+    search_snippets, supporting_sources, context). Thresholds are the first stage's. A short common name without context needs its full name and a consensus,
+    and no company is resolved without new evidence.
+    """
     c = F.col
+    # a filter on a decision would otherwise be pushed down into the expressions that make it, each time as a whole
+    decided = materialize(decided, "decided")
     again = decided.where("status = 'ambiguous'").select("company_id")
-    df = scored.join(again, "company_id", "left_semi").join(evidence.withColumnRenamed("domain", "host"), ["company_id", "host"], "left")
-    full = F.regexp_like(F.lower(text("page_text_2")), F.concat(F.lit(r"(?<![a-z0-9])"), F.regexp_replace(T.identity_name(c("company")), r"[^a-z0-9]+", "[^a-z0-9]*"), F.lit(r"(?![a-z0-9])")))
-    independent = F.size(F.array_distinct(F.coalesce(c("sources"), F.array().cast("array<string>"))))
-    aligned = (text("context") != "") & F.exists(F.filter(F.split(F.lower(text("context")), "[^a-z0-9]+"), lambda w: F.length(w) > 3), lambda w: F.contains(F.lower(text("page_text_2")), w))
-    pairs = F.array_compact(F.array(scoring.pair("stage2FullName", 40, full), scoring.pair("stage2Title", 28, F.contains(F.lower(text("title_text")), T.identity_name(c("company")))),
-                                    scoring.pair("stage2Context", 22, aligned), scoring.pair("stage2ContextConflict", -40, (text("context") != "") & (text("page_text_2") != "") & ~aligned),
-                                    scoring.pair("stage2TwoSources", 20, independent >= 2), scoring.pair("stage2ThreeSources", 30, independent >= 3)))
-    df = df.withColumn("more", pairs)
-    df = df.withColumns({"score": c("score") + scoring.total(c("more")), "signals": F.map_concat("signals", scoring.as_map(c("more"))), "fresh": F.size("more") > 0})
-    redone = selection.select_identity(df.drop("title_text", "page_text_2", "sources", "context", "more"), 72)
-    any_ = df.groupBy("company_id").agg(F.bool_or("fresh").alias("fresh"))
-    redone = redone.join(any_, "company_id")
-    short = (F.size(T.identity_tokens(c("company"))) == 1) & (F.length(T.identity_key(c("company"))) <= 4) & (c("confidence") != "high")
-    blocked = F.when(~c("fresh"), "stage2_no_new_evidence").when(short & (c("status") == "resolved"), "stage2_short_name_still_ambiguous")
-    redone = redone.withColumns({"reason": F.coalesce(blocked, c("reason")), "status": F.when(blocked.isNotNull(), "ambiguous").otherwise(c("status"))})
-    redone = redone.withColumn("domain", F.when(c("status") == "resolved", c("domain"))).drop("fresh")
-    return decided.where("status <> 'ambiguous'").unionByName(redone)
+    # few companies get here; their candidates are written once, as they are read three times
+    open_ = materialize(scored.join(again, "company_id", "left_semi").join(evidence, ["company_id", "host"], "left"), "ambiguous")
+    df = materialize(stage_two_signals(open_), "second-look")
+    held = lambda *names: F.exists("more", lambda s: s["signal"].isin(*names))
+    df = df.withColumns({"score": c("score") + scoring.total(c("more")), "signals": F.map_concat("signals", scoring.as_map(c("more"))), "entity_type": c("kind"),
+                         "authoritative": c("authoritative") + held("stage2Consensus").cast("int") + (held("fullNameConfirmed") & held("deepAboutConfirm")).cast("int"),
+                         "fresh": held(*MEANINGFUL), "sure": held("fullNameConfirmed") & (held("stage2Consensus") | F.map_contains_key("signals", F.lit("strongConsensus")) | F.map_contains_key("signals", F.lit("wikidataOfficial")))})
+    redone = materialize(selection.select_identity(df.select(*scored.columns), 72), "redone")
+    best = df.select("company_id", c("host").alias("domain"), "fresh", "sure", (text("context") == "").alias("bare"))
+    redone = redone.join(best, ["company_id", "domain"], "left")
+    redone = redone.withColumn("tokens", T.identity_tokens(c("company")))
+    short = (c("risk") >= 50) & (F.size("tokens") <= 2) & F.forall("tokens", lambda w: w.isin(*T.COMMON_BRANDS) | (F.length(w) <= 5)) & c("bare")
+    blocked = F.when(c("status") != "resolved", None).when(short & ~c("sure"), "stage2_short_name_still_ambiguous").when(~c("fresh"), "stage2_no_new_evidence")
+    redone = redone.withColumn("blocked", blocked)
+    redone = redone.withColumns({"reason": F.coalesce("blocked", "reason"), "status": F.when(c("blocked").isNotNull(), "ambiguous").otherwise(c("status")),
+                                 "confidence": F.when(c("blocked").isNotNull(), "low").otherwise(c("confidence")), "domain": F.when(c("blocked").isNull(), c("domain"))})
+    return decided.where("status <> 'ambiguous'").unionByName(redone.select(*decided.columns))
 
 
 def enrich_fields(companies: DataFrame, texts: DataFrame) -> DataFrame:

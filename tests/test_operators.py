@@ -16,6 +16,7 @@ from orgweave.operators import corrections as K
 from orgweave.operators import guard as G
 from orgweave.operators import scoring as R
 from orgweave.operators import selection as W
+from orgweave.plans import resolve
 from orgweave.sources import readers, writers
 from orgweave.streaming.corrections import stream_corrections
 
@@ -147,3 +148,41 @@ def test_readers(spark, tmp_path):
     assert [(r["name"], r["context"]) for r in rows] == [("Acme", "Robots"), ("Solo", None)]
     pages = spark.createDataFrame([(1, "https://a.com/", "<p>home</p>"), (2, "https://a.com/about/", "<p>about us</p>"), (3, "https://a.com/blog", "x")], "page_id int, url string, html string")
     assert [(r["host"], r["text"], r["paths"]) for r in readers.deep_site_evidence(pages).collect()] == [("a.com", "home about us", 2)]
+
+
+SCORED = "company_id int, company string, seq int, domain string, name string, source string, agreement int, title string, description string, snippet string, page_text string, json_ld_name string, wikidata_official boolean"
+
+
+def test_second_stage_needs_new_evidence(spark):
+    rows = [(1, "Orbit Nine", 0, "orbitnine.com", "Orbit Nine", "autocomplete", 1, None, None, None, None, None, None), (1, "Orbit Nine", 1, "orbitnine.io", "Orbit Nine", "autocomplete", 1, None, None, None, None, None, None),
+            (2, "Sole Star", 0, "solestar.com", "Sole Star", "autocomplete", 1, None, None, None, None, None, None), (2, "Sole Star", 1, "solestar.io", "Sole Star", "autocomplete", 1, None, None, None, None, None, None),
+            (3, "Acme Robotics", 0, "acmerobotics.com", "Acme Robotics", "autocomplete", 3, "Acme Robotics", None, None, None, None, None)]
+    scored = R.score_identity(spark.createDataFrame(rows, SCORED))
+    decided = W.select_identity(scored, 72)
+    assert {r["company_id"]: r["status"] for r in decided.collect()} == {1: "ambiguous", 2: "ambiguous", 3: "resolved"}
+    evidence = spark.createDataFrame([(1, "orbitnine.com", "Orbit Nine", "Orbit Nine is a company that orbits", "Welcome to Orbit Nine", "About Orbit Nine", "Orbit Nine", None, ["homepage", "wikidata"], None)],
+                                     "company_id int, host string, deep_title string, deep_description string, deep_text string, about_text string, deep_json_ld string, search_snippets string, supporting_sources array<string>, context string")
+    got = {r["company_id"]: (r["status"], r["domain"]) for r in resolve.second_stage(decided, scored, evidence).collect()}
+    assert got == {1: ("resolved", "orbitnine.com"), 2: ("ambiguous", None), 3: ("resolved", "acmerobotics.com")}
+
+
+def test_known_names_answer_in_order(spark):
+    companies = spark.createDataFrame([(1, "Foo Inc"), (2, "Bar"), (3, "Bazaar Widgets"), (4, "Zip")], "company_id int, company string")
+    table = lambda *rows: spark.createDataFrame(list(rows), "key string, domain string, entry_seq int")
+    out = resolve.resolve_known(companies, table(("fooinc", "learned.com", 0)), table(("fooinc", "major.com", 0), ("bar", "bar.com", 1)), table(("bazaar", "bazaar.com", 0)), 5)
+    assert {r["company_id"]: (r["domain"], r["source"]) for r in out.collect()} == {1: ("learned.com", "learned"), 2: ("bar.com", "major_firm"), 3: ("bazaar.com", "dictionary"), 4: (None, None)}
+
+
+def test_encyclopedia_candidates(spark):
+    titles = spark.createDataFrame([(1, 0, "Acme (disambiguation)", "Q1"), (1, 1, "Acme", "Q2"), (1, 2, "Acme Village", "Q3")], readers.SCHEMAS["titles"])
+    entities = spark.createDataFrame([("Q1", ["Q4830453"], "a.com", "A", None), ("Q2", ["Q4830453"], "acme.com", "Acme", "company"), ("Q3", ["Q532"], "village.org", "V", None)], readers.SCHEMAS["entities"])
+    edges = spark.createDataFrame([], readers.SCHEMAS["class_edges"])
+    assert [(r["company_id"], r["domain"], r["name"]) for r in resolve.encyclopedia_candidates(titles, entities, edges).collect()] == [(1, "acme.com", "Acme")]
+
+
+def test_provider_enrichment_fills_only_open_fields(spark):
+    fields = spark.createDataFrame([(1, "Unknown", "Paris", "Unknown", "Unknown"), (2, "Fintech", "Rome", "11–50", "Ann Lee")], "company_id int, industry string, location string, headcount string, founders string")
+    responses = spark.createDataFrame([(i, "acme.com", "Acme", True, 200, None, 9, "acme.com", "Acme", None, None, "Banking", "Lyon", "51–200", None) for i in (1, 2)],
+                                      "company_id int, requested_domain string, requested_name string, enabled boolean, http_status int, error string, likelihood int, website string, provider_name string, alternative_names array<string>, alternative_domains array<string>, industry string, location string, headcount string, founders string")
+    got = {r["company_id"]: (r["industry"], r["location"], r["headcount"], r["founders"], r["conflicts"]) for r in resolve.enrich_with_provider(fields, responses).collect()}
+    assert got[1] == ("Banking", "Paris", "51–200", "Unknown", ["location"]) and got[2][:4] == ("Fintech", "Rome", "11–50", "Ann Lee")
