@@ -82,7 +82,7 @@ class ChunkEncoder:
     Words and chunks are kept up to a number of entries each, then the cache starts anew, so memory is bounded.
     """
 
-    def __init__(self, path: str, words: int = 600_000, chunks: int = 30_000) -> None:
+    def __init__(self, path: str, words: int = 450_000, chunks: int = 30_000) -> None:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:

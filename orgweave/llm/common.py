@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -60,7 +61,7 @@ _HELD: dict[str, object] = {}
 def held(name: str, make: Callable[[], object]) -> object:
     """What an operator keeps in its Python worker from task to task. A worker serves many operators, so only the last one's is kept."""
     if name not in _HELD:
-        _HELD.clear()
+        let_go()
         _HELD[name] = make()
     return _HELD[name]
 
@@ -68,6 +69,14 @@ def held(name: str, make: Callable[[], object]) -> object:
 def let_go() -> None:
     """Drop what other operators' tasks have left in this worker."""
     _HELD.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker stays alive between tasks, beside an executor with a bound for both."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def blocks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
@@ -83,11 +92,11 @@ def blocks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
 
 
 def map_texts(rows: DataFrame, keep: list[str], start: Callable[[], Callable[[list[str]], list]], fields: str,
-              text_col: str = "text", block_chars: int = 4_000_000) -> DataFrame:
+              text_col: str = "text", block_chars: int = 4_000_000, least_chars: int = 0) -> DataFrame:
     """Columns ``keep`` of ``rows`` as they are, beside what a function makes of the texts, where the rows stand.
 
     ``start()`` runs once in a task and gives the function; that takes a block of texts (null as None) and returns one list of values
-    for each of ``fields`` (a schema string), or, where it repeats rows, a dict of
+    for each of ``fields`` (a schema string); a text counts as ``least_chars`` at least, which bounds a block's number of texts, or, where it repeats rows, a dict of
     ``take`` (row numbers) and ``columns``.
     """
     names = [f.strip().rpartition(" ")[0] for f in fields.split(",")]
@@ -96,12 +105,14 @@ def map_texts(rows: DataFrame, keep: list[str], start: Callable[[], Callable[[li
         work = start()
         for batch in batches:
             column = batch.column(text_col)
-            for a, b in blocks(pc.fill_null(pc.utf8_length(column), 0).to_pylist(), block_chars):
+            sizes = pc.max_element_wise(pc.fill_null(pc.utf8_length(column), 0), least_chars).to_pylist()
+            for a, b in blocks(sizes, block_chars):
                 made = work(column.slice(a, b - a).to_pylist())
                 kept = batch.select(keep).slice(a, b - a)
                 if isinstance(made, dict):
                     kept, made = kept.take(pa.array(made["take"], pa.int64())), made["columns"]
                 yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(v) for v in made)], names=[*keep, *names])
+        give_back()
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     return rows.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, f"{kinds}, {fields}")
@@ -116,5 +127,6 @@ def filter_texts(rows: DataFrame, start: Callable[[], Callable[[list[str]], list
             column = batch.column(text_col)
             for a, b in blocks(pc.fill_null(pc.utf8_length(column), 0).to_pylist(), block_chars):
                 yield batch.slice(a, b - a).filter(pa.array(work(column.slice(a, b - a).to_pylist()), pa.bool_()))
+        give_back()
 
     return rows.mapInArrow(run, rows.schema)

@@ -62,7 +62,7 @@ class ByteConvolution:
 
     fitting = False
 
-    def logits(self, texts: list[str], block: int = 1024) -> np.ndarray:
+    def logits(self, texts: list[str], block: int = 512) -> np.ndarray:
         out = np.empty(len(texts))
         for a, b in blocks([len(t) for t in texts], block * STEP):
             chunks, counts = chunk_rows(texts[a:b])
