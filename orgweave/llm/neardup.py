@@ -9,7 +9,9 @@
 3. Texts that agree in all rows of a band share a bucket. In each bucket every text is paired with one hub, never with all
    others, and pairs are checked exactly on the shingles. Further rounds pair the texts of a bucket whose components still differ,
    with hubs drawn anew in each bucket, until a round links nothing.
-4. Components of the links, by label propagation with pointer jumping, are the classes.
+4. Buckets that then still hold several components are finished by an exact prefix filter over their texts: with the rarest shingles
+   first, two texts of enough similarity share one early enough in both, so all pairs that can be near are joined by it and checked.
+5. Components of the links, by label propagation with pointer jumping, are the classes.
 
 With 24 bands of 5 rows a pair of similarity 0.8 shares no bucket with probability 7e-5. Hashes and links stay in Spark: hubs and
 labels are map-side-combined minima, and joins on a hot bucket or text are joins that adaptive execution splits.
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, held, map_texts, materialize
+from .common import blocks, free_name, held, map_texts, materialize
 
 BANDS, ROWS, WORDS, SIMILARITY = 24, 5, 5, 0.8
 #: Up to so many ids, those whose texts are checked are broadcast (16 bytes each); beyond, the texts are shuffled to them.
@@ -203,11 +205,12 @@ def jaccard(a: bytes, b: bytes, weighted: bool = False) -> float:
     return float(np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum())
 
 
-def check_pairs(docs: DataFrame, pairs: DataFrame, similarity: float, weighted: bool) -> DataFrame:
-    """The pairs (a, b) whose texts' similarity is at least ``similarity``."""
+def check_pairs(docs: DataFrame, pairs: DataFrame, similarity: float, weighted: bool, sh: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) whose texts' similarity is at least ``similarity``; ``sh`` are the shingles of their texts, if known."""
     pairs = materialize(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sh = materialize(_shingled(docs, ids, ids.count() <= BROADCAST_IDS, weighted), "shingles")
+    if sh is None:
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        sh = materialize(_shingled(docs, ids, ids.count() <= BROADCAST_IDS, weighted), "shingles")
     both = (pairs.join(sh.select(F.col("id").alias("b"), F.col("sh").alias("sh_b")), "b")
             .join(sh.select(F.col("id").alias("a"), F.col("sh").alias("sh_a")), "a"))
 
@@ -220,6 +223,54 @@ def check_pairs(docs: DataFrame, pairs: DataFrame, similarity: float, weighted:
     return both.select("a", "b", "sh_a", "sh_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _elements(sh: DataFrame, weighted: bool) -> DataFrame:
+    """(id, size, element): the shingles one by one; each occurrence is an element of its own, if weighted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("sh").to_pylist()
+            for a, b in blocks([len(x) for x in column], 4_000_000):
+                sets = []
+                for x in column[a:b]:
+                    h = np.frombuffer(x[:len(x) // 2] if weighted else x, np.uint64)
+                    if weighted:
+                        counts = np.frombuffer(x[len(x) // 2:]).astype(np.int64)
+                        nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                        h = mix(np.repeat(h, counts) ^ nth.astype(np.uint64) * _P)
+                    sets.append(h)
+                sizes = np.array([len(h) for h in sets])
+                at = pa.array(np.repeat(np.arange(a, b), sizes))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(at), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64))],
+                                                 names=["id", "size", "element"])
+
+    return sh.mapInArrow(run, f"id {sh.schema['id'].dataType.simpleString()}, size int, element long")
+
+
+def rest_pairs(sh: DataFrame, labels: DataFrame, similarity: float, weighted: bool) -> DataFrame:
+    """(a, b): every pair of texts of different labels (v, label) whose similarity may be ``similarity``, by an exact prefix filter.
+
+    Elements are ordered by the number of texts that hold them. If the first element that two texts share stands at places p and q, from 0,
+    they share at most min(|a| - p, |b| - q), and s (|a| + |b|) / (1 + s) are needed, which bounds the places and so the elements
+    to join on. Of each element's texts those of its most frequent label are not joined with each other, so that at most twice the
+    pairs of different labels are met.
+    """
+    elements = _elements(sh, weighted)
+    shared = elements.groupBy("element").agg(F.count("*").alias("n")).where("n > 1")
+    ordered = (elements.join(shared, "element").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "element"))).alias("all")))
+    # elements of one text alone come first and join nothing
+    need = F.ceil(F.col("size") * F.lit(similarity) - F.lit(1e-6)).cast("int")
+    early = ordered.select("id", "size", (F.col("size") - F.size("all")).alias("alone"), F.slice("all", F.lit(1), F.greatest(F.size("all") - need + 1, F.lit(0))).alias("all"))
+    placed = early.select("id", "size", "alone", F.posexplode("all").alias("at", "e")).select("id", "size", (F.col("alone") + F.col("at")).alias("at"), "e.element")
+    placed = materialize(placed.join(labels.withColumnRenamed("v", "id"), "id"), "prefixes")
+    counts = placed.groupBy("element", "label").agg(F.count("*").alias("n"))
+    most = counts.groupBy("element").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1").select("element", F.col("most.label").alias("most"))
+    live = placed.join(most, "element")
+    x, y = live.where("label <> most").alias("x"), live.alias("y")
+    fits = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) * F.lit(1 + similarity) >= (F.col("x.size") + F.col("y.size")) * F.lit(similarity) - F.lit(1e-6)
+    met = x.join(y, (F.col("x.element") == F.col("y.element")) & (F.col("x.label") != F.col("y.label")) & fits)
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(v, label): of each vertex of the links (a, b) the smallest vertex that it is connected with.
 
@@ -254,10 +305,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     links = materialize(check_pairs(docs, pairs, similarity, weighted), "links")
     labels = components(links)
     turn = 0
+    live = buckets.join(shared.select("bucket"), "bucket")
     while True:
         turn += 1
         # texts of a bucket that are not yet connected, against a hub drawn for this bucket and round
-        live = buckets.join(shared.select("bucket"), "bucket")
         named = live.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
         drawn = F.struct(F.xxhash64("rep", "bucket", F.lit(turn)).alias("order"), F.col("rep").alias("a"), F.col("label").alias("of"))
         hubs = named.groupBy("bucket").agg(F.min(drawn).alias("hub"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket", "hub.a", "hub.of")
@@ -267,6 +318,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
             break
         links = links.unionByName(new)
         labels = components(links)
+    # buckets whose texts are still of several components: every pair that can be near
+    rest = materialize(named.join(hubs.select("bucket"), "bucket").where("rep is not null").select(F.col("rep").alias("v"), "label").distinct(), "rest")
+    many = rest.count()
+    if many:
+        sh = materialize(_shingled(docs, rest.select(F.col("v").alias("id")), many <= BROADCAST_IDS, weighted), "shingles")
+        links = links.unionByName(check_pairs(docs, rest_pairs(sh, rest, similarity, weighted), similarity, weighted, sh))
+        labels = components(materialize(links, "links"))
     classes = texts.join(labels, F.col("rep") == F.col("v"), "left").select("key1", "key2", F.coalesce("label", "rep").alias("class_id"))
     return sig.select("doc_id", "key1", "key2").join(classes, ["key1", "key2"]).select("doc_id", "class_id")
 

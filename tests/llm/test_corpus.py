@@ -181,6 +181,33 @@ def test_near_duplicates_as_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_near_pairs_in_a_family_of_less_similar_texts(spark, weighted):
+    fresh = iter(range(10**6))
+    core, texts = [f"c{i}" for i in range(190)], []
+    for i in range(500):
+        tail = [f"u{next(fresh)}" for _ in range(26)]
+        texts.append(" ".join(core + tail))  # any two at 0.78
+        if i % 25 == 5:
+            texts.append(" ".join(core + tail[:4] + [f"u{next(fresh)}" for _ in range(22)]))  # with the one before at 0.81
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(map(tuple, neardup.near_duplicates(df, weighted=weighted).collect()))
+    want = brute_classes(texts)
+    assert len(set(want)) == 500 and [got[i] for i in range(len(texts))] == want
+
+
+def test_rest_pairs_hold_every_near_pair(spark):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.choice(60, rng.integers(20, 50))) for _ in range(150)]
+    sets += [np.unique(np.append(rng.permutation(x)[2:], 60 + i)) for i, x in enumerate(sets[:50])]
+    hashed = [np.sort(neardup.mix(x.astype(np.uint64) + np.uint64(1))).tobytes() for x in sets]
+    sh = spark.createDataFrame(list(enumerate(map(bytearray, hashed))), "id long, sh binary")
+    labels = spark.createDataFrame([(i, i % 7) for i in range(len(sets))], "v long, label long")
+    near = {(i, j) for j in range(len(sets)) for i in range(j) if i % 7 != j % 7 and neardup.jaccard(hashed[i], hashed[j]) >= 0.8}
+    got = {tuple(r) for r in neardup.rest_pairs(sh, labels, 0.8, False).collect()}
+    assert near and near <= got and all(a % 7 != b % 7 for a, b in got)
+
+
 def test_near_duplicates_awkward(awkward):
     got = defaultdict(set)
     for r in neardup.near_duplicates(awkward).collect():
