@@ -19,10 +19,12 @@ NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: phrase: label
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: (label, keyword, names as a regular expression over single-spaced words). Keywords are plain parts that any of the names holds.
+#: (label, keyword, names as a regular expression over single-spaced words). Keywords are plain parts that each of the names holds.
 LICENSES = (
     ("apache-1.1", "apache", r"apache (?:software )?license(?: version)? 1 1|apache 1 1"),
-    ("apache-2.0", "apache", r"apache (?:software )?license(?: version)? 2(?: 0)?|apache 2(?: 0)?|asl 2 0|al2 0"),
+    ("apache-2.0", "apache", r"apache (?:software )?license(?: version)? 2(?: 0)?|apache 2(?: 0)?"),
+    ("apache-2.0", "asl 2 0", r"asl 2 0"),
+    ("apache-2.0", "al2 0", r"al2 0"),
     ("apache", "apache", r"apache (?:software )?license|apache"),
     ("mit", "mit", r"mit license|mit licence|mit x11 license|mit"),
     ("mit-0", "mit", r"mit no attribution(?: license)?|mit 0"),
@@ -30,7 +32,8 @@ LICENSES = (
     ("bsd-3-clause", "bsd", r"(?:new |modified |revised |3 clause |three clause )bsd(?: license)?|bsd 3 clause(?: license)?"),
     ("bsd-4-clause", "bsd", r"(?:original |old |4 clause )bsd(?: license)?|bsd 4 clause(?: license)?"),
     ("bsd-0", "bsd", r"(?:zero clause |0 clause )bsd(?: license)?|0bsd"),
-    ("bsd", "bsd", r"bsd license|bsd style license|berkeley software distribution license"),
+    ("bsd", "bsd", r"bsd license|bsd style license"),
+    ("bsd", "berkeley software", r"berkeley software distribution license"),
     ("isc", "isc", r"isc license|isc licence"),
     ("gpl-1.0", "1", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?1(?: 0)?(?: or later| only)?|gplv1"),
     ("gpl-2.0", "2", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?2(?: 0)?(?: or later| only)?|gplv2"),
@@ -48,29 +51,35 @@ LICENSES = (
     ("epl-1.0", "1", r"eclipse public license(?: version| v)? 1(?: 0)?|epl 1 0"),
     ("epl-2.0", "2", r"eclipse public license(?: version| v)? 2(?: 0)?|epl 2 0"),
     ("epl", "eclipse", r"eclipse public license"),
-    ("cddl", "cddl", r"common development and distribution license(?: cddl)?(?: version 1 [01])?|cddl(?: 1 [01])?"),
+    ("cddl", "common development", r"common development and distribution license(?: cddl)?(?: version 1 [01])?"),
+    ("cddl", "cddl", r"cddl(?: 1 [01])?"),
     ("cpl", "common public", r"common public license(?: version 1 0)?"),
     ("eupl", "european union", r"european union public licen[cs]e(?: version| v)?(?: 1 [012])?"),
     ("artistic", "artistic", r"(?:perl )?artistic license(?: version)?(?: [12] 0)?"),
     ("zlib", "zlib", r"zlib(?: libpng)? license"),
-    ("boost", "boost", r"boost software license(?: version)?(?: 1 0)?|bsl 1 0"),
+    ("boost", "boost", r"boost software license(?: version)?(?: 1 0)?"),
+    ("boost", "bsl 1 0", r"bsl 1 0"),
     ("unlicense", "unlicense", r"(?:the )?unlicense"),
     ("wtfpl", "wtfpl", r"wtfpl(?: version 2)?"),
     ("postgresql", "postgresql", r"postgresql license"),
-    ("python", "python", r"python software foundation license(?: version 2)?|psf license"),
+    ("python", "python", r"python software foundation license(?: version 2)?"),
+    ("python", "psf", r"psf license"),
     ("openssl", "openssl", r"openssl license"),
     ("ofl", "open font", r"sil open font license(?: version 1 1)?|open font license"),
     ("odbl", "open database", r"open (?:data commons )?open database license|open database license(?: 1 0)?"),
     ("ms-pl", "microsoft", r"microsoft (?:public|reciprocal) license"),
     ("sspl", "server side", r"server side public license(?: version 1)?"),
     ("busl", "business source", r"business source license(?: 1 1)?"),
-    ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?|creative commons zero"),
-    ("cc-by-nc-nd", "nd", r"cc by nc nd(?: [1234] [05])?|creative commons attribution non ?commercial no ?deriv(?:ative)?s"),
+    ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
+    ("cc0", "creative commons zero", r"creative commons zero"),
+    ("cc-by-nc-nd", "nd", r"cc by nc nd(?: [1234] [05])?"),
+    ("cc-by-nc-nd", "deriv", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s"),
     ("cc-by-nc-sa", "sa", r"cc by nc sa(?: [1234] [05])?"),
     ("cc-by-nc-sa", "share", r"creative commons attribution non ?commercial share ?alike"),
     ("cc-by-nc", "nc", r"cc by nc(?: [1234] [05])?"),
     ("cc-by-nc", "commercial", r"creative commons attribution non ?commercial"),
-    ("cc-by-nd", "nd", r"cc by nd(?: [1234] [05])?|creative commons attribution no ?deriv(?:ative)?s"),
+    ("cc-by-nd", "nd", r"cc by nd(?: [1234] [05])?"),
+    ("cc-by-nd", "deriv", r"creative commons attribution no ?deriv(?:ative)?s"),
     ("cc-by-sa", "sa", r"cc by sa(?: [1234] [05])?"),
     ("cc-by-sa", "share", r"creative commons attribution share ?alike"),
     ("cc-by", "cc by", r"cc by(?: [1234] [05])?"),
@@ -117,7 +126,7 @@ SENTENCES = (
 ALONE = ("cc", "gpl-", "lgpl", "agpl", "gfdl", "mpl-", "epl-", "cddl", "eupl", "ofl", "odbl")
 #: A text without any of these holds no license; each rule's matches and each base phrase hold one.
 STEMS = ("licen", "cc by", "gpl", "cc0", "mpl ", "epl ", "cddl", "creative commons", "rights reserved", "public", "permission", "redistribution", "copyright", "spdx", "proprietary",
-         "unauthorized", "endorse", "warranties", "altered source", "redistribute", "free software", "under the", "subject to", "governed by", "in accordance", "pursuant")
+         "unauthorized", "endorse", "warranties", "altered source", "redistribute", "free software", " under ", "subject to", "governed by", "in accordance", "pursuant")
 
 
 def rules() -> list[tuple[int, str, str, str, float]]:

@@ -327,6 +327,44 @@ def test_license_base_and_method(spark):
     assert len(licenses.rules()) > 200
 
 
+def expanded(parsed):
+    """Texts that a rule matches, one for each alternative and character of a class; what may be left out is left out."""
+    out = [""]
+    for op, x in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(x)]
+        elif name == "BRANCH":
+            more = [t for branch in x[1] for t in expanded(branch)]
+        elif name == "SUBPATTERN":
+            more = expanded(x[3])
+        elif name == "MAX_REPEAT":
+            more = [t * x[0] for t in expanded(x[2])] if x[0] else [""]
+        elif name == "IN":
+            more = [chr(v) if str(o) == "LITERAL" else "7" if "DIGIT" in str(v) else "w" if "WORD" in str(v) else chr(v[0]) for o, v in x]
+        elif name == "ASSERT":
+            more = expanded(x[1])
+        else:
+            raise AssertionError(name)
+        out = [a + b for a in out for b in more]
+    return set(out)
+
+
+def test_license_gates_let_every_alternative_through(spark):
+    texts = set()
+    for _, label, keyword, pattern, _ in licenses.rules():
+        for text in expanded(re._parser.parse(pattern)):
+            assert re.search(pattern, text), (pattern, text)
+            assert keyword in text and any(stem in text for stem in licenses.STEMS), (label, keyword, text)
+            texts.add(text)
+    assert len(texts) > 1000
+    said = {"The code is released under MIT.": "mit", "available under Apache 2.0": "apache-2.0", "distributed under BSD 3-Clause": "bsd-3-clause", "licensed under ASL 2.0": "apache-2.0",
+            "licensed under the PSF license": "python", "licensed under BSL 1.0": "boost", "Creative Commons Zero": "cc0", "Creative Commons Attribution NonCommercial NoDerivs": "cc-by-nc-nd",
+            "the Common Development and Distribution License": "cddl", "Berkeley Software Distribution License, licensed": "bsd"}
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")).collect()
+    assert all(want in rows[i]["labels"].split(",") for i, want in enumerate(said.values())), [r["labels"] for r in rows]
+
+
 @needs_tables
 def test_license_base_on_documents(tables):
     docs = {r["doc_id"]: r["text"] for r in tables("documents").collect()}
