@@ -10,16 +10,22 @@ The codebook is fitted on the driver over a bounded sample of the vectors; every
 
 from __future__ import annotations
 
-from functools import partial
+import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shards import search, usable
+from .common import materialize
+from .shards import Best, all_groups, few_copies, first_k, groups_of, matrix, meet, merge, nothing, packed, part, queries_of, usable
 
-#: Vectors in the fit's sample, components of a subspace, codewords, the cosine from which scores matter, candidates reranked in a shard.
-SAMPLE, WIDTH, WORDS, THRESHOLD, RERANK = 16_384, 2, 16, 0.2, 256
+#: Components of a subspace, codewords, the cosine from which scores matter, candidates of a query that are reranked.
+WIDTH, WORDS, THRESHOLD, RERANK = 2, 16, 0.2, 400
+#: The fit's sample of a dimension: vectors, and bytes.
+SAMPLE, SAMPLE_BYTES = 16_384, 32 << 20
 
 
 class Quantizer:
@@ -95,54 +101,121 @@ class Quantizer:
         return (one[:, 0::2, :, None] + one[:, 1::2, None, :]).reshape(len(q), self.spaces // 2, -1)
 
 
-def build(quantizers: dict[int, Quantizer], keep: int, ids: np.ndarray, x: np.ndarray) -> tuple:
-    """A shard: its distinct vectors, their packed codes, and of each the smallest ids (as many as a result can hold)."""
-    distinct, inverse = np.unique(x, axis=0, return_inverse=True)
-    order = np.argsort(inverse.reshape(-1), kind="stable")  # ids ascend within a vector
-    first = np.searchsorted(inverse.reshape(-1)[order], np.arange(len(distinct) + 1))
-    nth = np.arange(len(order)) - first[inverse.reshape(-1)[order]]
-    kept = order[nth < keep]
-    starts = np.searchsorted(inverse.reshape(-1)[kept], np.arange(len(distinct) + 1))
-    codes = quantizers[x.shape[1]].encode(distinct)
-    return distinct, codes[:, 0::2] * WORDS + codes[:, 1::2], ids[kept], starts
+def build(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """A shard: the names of its vectors and their packed codes."""
+    names, codes = table.column("name").to_numpy(), table.column("code").combine_chunks()
+    return names, np.frombuffer(b"".join(codes.to_pylist()), dtype=np.uint8).reshape(len(names), -1)
 
 
-def find(quantizers: dict[int, Quantizer], rerank: int, index: tuple, ids: np.ndarray, x: np.ndarray, k: int, bound: np.ndarray, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    distinct, packed, names, starts = index
-    best, who = np.full((len(x), k), -np.inf), np.full((len(x), k), np.iinfo(np.int64).max)
-    columns = [packed[:, j].astype(np.intp) for j in range(packed.shape[1])]
-    some = min(rerank, len(distinct))
+def scan(quantizer: Quantizer, shard: tuple, x: np.ndarray, keep: int, block: int = 64) -> Best:
+    """The ``keep`` vectors of a shard with the largest sums of table entries for each query."""
+    names, packed_codes = shard
+    some = min(keep, len(names))
+    has, score, who = nothing(len(x), keep, np.float64)
+    columns = [packed_codes[:, j].astype(np.intp) for j in range(packed_codes.shape[1])]
     for a in range(0, len(x), block):
-        q = x[a:a + block]
-        tables = quantizers[x.shape[1]].tables(q)
-        near = np.zeros((len(q), len(distinct)), dtype=np.float32)
+        tables = quantizer.tables(x[a:a + block])
+        near = np.zeros((len(tables), len(names)), dtype=np.float32)
         for j, column in enumerate(columns):
             near += tables[:, j].take(column, axis=1)
         chosen = np.argpartition(-near, some - 1, axis=1)[:, :some]
-        score = np.einsum("qd,qrd->qr", q, distinct[chosen])
-        top = np.argsort(-score, axis=1, kind="stable")[:, :k + 1]
-        for i in range(len(q)):
-            rows = chosen[i][top[i]]
-            n = starts[rows + 1] - starts[rows]
-            found = np.concatenate([names[starts[r]:starts[r + 1]] for r in rows])
-            scores = np.repeat(score[i][top[i]], n)
-            scores, found = scores[found != ids[a + i]], found[found != ids[a + i]]
-            order = np.lexsort((found, -scores))[:k]
-            best[a + i, :len(order)], who[a + i, :len(order)] = scores[order], found[order]
-    return best, who
-
-
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, rerank: int = RERANK, sample: int = SAMPLE, shard_rows: int = 8192, block_rows: int = 512) -> DataFrame:
+        score[a:a + block, :some] = np.take_along_axis(near, chosen, 1)
+        who[a:a + block, :some], has[a:a + block, :some] = names[chosen], True
+    return has, score, who
+
+
+def coded(members: DataFrame, quantizers: dict[int, Quantizer]) -> DataFrame:
+    """(dim, name, code) of members (dim, name, embedding, ids): two four-bit words in a byte. Rows are coded where they stand."""
+    shared = members.sparkSession.sparkContext.broadcast(quantizers)  # 16 words for each pair of components
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                rows = batch.filter(pa.array(dims == dim))
+                codes = shared.value[int(dim)].encode(matrix(pa.chunked_array([rows.column("embedding")])).astype(np.float64))
+                both = codes[:, 0::2] * WORDS + codes[:, 1::2]
+                yield pa.RecordBatch.from_arrays([rows.column("dim"), rows.column("name"), pa.array([r.tobytes() for r in both], pa.binary())], names=["dim", "name", "code"])
+
+    return members.select("dim", "name", "embedding").mapInArrow(run, "dim int, name long, code binary")
+
+
+def rerank(pairs: DataFrame, queries: DataFrame, members: DataFrame, n_blocks: int, n_parts: int) -> DataFrame:
+    """(query_id, vec_id, score): exact inner products of the pairs (query_id, name), for each of a vector's ids but the query's own.
+
+    A vector is sent once to each block of queries that has it as a candidate, and a block's candidates are dealt into ``n_parts``.
+    """
+    held = pairs.select(part(n_blocks, "query_id").alias("block"), part(n_parts, "name").alias("grp"), "query_id", "name")
+    wanted = held.select("block", "grp", "name").distinct().join(members, "name").select(F.col("block").alias("of_block"), F.col("grp").alias("of_grp"), "dim", F.col("name").alias("of"), "embedding", "ids")
+    asked = queries.select(part(n_blocks, "vec_id").alias("of_block"), F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("of_grp"), "dim", F.col("vec_id").alias("of"), "embedding",
+                           F.lit(None).cast("array<long>").alias("ids"))
+
+    def run(key: tuple, some: pa.Table, vectors: pa.Table) -> pa.Table:
+        out = []
+        for dim in pc.unique(vectors.column("dim")).to_pylist():
+            of_dim = vectors.filter(pc.equal(vectors.column("dim"), dim))
+            is_query = pc.is_null(of_dim.column("ids"))
+            ask, have = of_dim.filter(is_query).sort_by("of"), of_dim.filter(pc.invert(is_query)).sort_by("of")
+            if not ask.num_rows or not have.num_rows:
+                continue
+            q_names, x_names = ask.column("of").to_numpy(), have.column("of").to_numpy()
+            q, x, ids = matrix(ask.column("embedding")), matrix(have.column("embedding")), have.column("ids").combine_chunks()
+            query, name = some.column("query_id").to_numpy(), some.column("name").to_numpy()
+            i, j = (np.minimum(np.searchsorted(names, want), len(names) - 1) for names, want in ((q_names, query), (x_names, name)))
+            ok = (q_names[i] == query) & (x_names[j] == name)
+            i, j = i[ok], j[ok]
+            score = np.concatenate([np.empty(0), *(np.einsum("nd,nd->n", q[i[a:a + 8192]].astype(np.float64), x[j[a:a + 8192]].astype(np.float64)) for a in range(0, len(i), 8192))])
+            out.append(pa.table({"query_id": q_names[i], "ids": ids.take(pa.array(j)), "score": score}))
+        return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "score": pa.array([], pa.float64())})
+
+    scored = held.groupBy("block", "grp").cogroup(wanted.unionByName(asked).groupBy("of_block", "of_grp")).applyInArrow(run, "query_id long, ids array<long>, score double")
+    return scored.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
+
+
+def fit(rows: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> dict[int, Quantizer]:
+    """A quantizer for each dimension, fitted on at most ``sample_bytes`` of its vectors, one dimension after the other."""
+    out = {}
+    for dim in sorted(r["dim"] for r in rows.select("dim").distinct().collect()):
+        slot = F.pmod(F.xxhash64("embedding"), F.lit(max(WORDS, min(SAMPLE, sample_bytes // (8 * dim)))))
+        chosen = rows.where(F.col("dim") == dim).groupBy(slot.alias("slot")).agg(F.min("embedding").alias("embedding")).select("embedding").toArrow()
+        x = matrix(chosen.column("embedding")).astype(np.float64) if chosen.num_rows else np.empty((0, dim))
+        out[dim] = Quantizer(dim).fit(x[np.lexsort(x.T[::-1])])
+    return out
+
+
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, keep: int = RERANK, shard_bytes: int = 1 << 20, block_bytes: int = 4 << 20,
+            rerank_bytes: int = 16 << 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products found for each query, exact scores, ties to the smaller id.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor rows without an id; vectors of different dimension are
-    not compared. Rows that share an id count once. Equal vectors are coded once and share their place. Other columns are ignored.
+    not compared. Repeated rows count once; rows that share an id with different vectors are candidates each, and for an id that is divisible by
+    ``every`` the vector that sorts first asks. Equal vectors are coded once and share their place. Other columns are ignored. An empty table
+    gives no rows. Blocks meet codes alone; the vectors of the ``keep`` best of a query's scan are sent to its block and reranked.
     """
+    spark = vectors.sparkSession
     rows = usable(vectors, True)
-    slot = F.pmod(F.xxhash64("vec_id"), F.lit(sample))
-    fit = rows.groupBy("dim", slot.alias("slot")).agg(F.min(F.struct("vec_id", "embedding")).alias("one")).select("dim", "one.embedding").collect()
-    by_dim: dict[int, list] = {}
-    for r in fit:
-        by_dim.setdefault(r["dim"], []).append(r["embedding"])
-    quantizers = {dim: Quantizer(dim).fit(np.array(sorted(x))) for dim, x in by_dim.items()}
-    return search(vectors, k, every, partial(build, quantizers, k + 1), partial(find, quantizers, rerank), True, "double", shard_rows, block_rows)
+    quantizers = fit(rows)
+    members = few_copies(rows, k).groupBy("dim", "embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # k + 1 ids at most
+    members = materialize(members.withColumn("name", F.xxhash64("embedding")), "members")
+    queries = queries_of(rows, every)
+    n, total = members.agg(F.sum(8 + F.col("dim") / 4), F.sum("dim")).first()
+    n_queries = queries.agg(F.sum(8 * F.col("dim"))).first()[0]
+    n_shards, n_blocks = max(1, math.ceil((n or 0) / shard_bytes)), max(1, math.ceil((n_queries or 0) / block_bytes))
+    n_groups = groups_of(spark, n_shards, n_blocks)
+    index = packed(coded(members, quantizers), n_shards, build, "index", "name")
+    blocks = packed(queries, n_blocks, lambda t: (t.column("vec_id").to_numpy(), matrix(t.column("embedding")).astype(np.float64)), "blocks", "vec_id")
+    shared = spark.sparkContext.broadcast(quantizers)
+
+    def candidates(key: tuple, block: tuple, shards: Iterator[tuple]) -> pa.Table:
+        ids, x = block
+        best = nothing(len(ids), keep, np.float64)
+        for shard in shards:
+            best = merge(best, scan(shared.value[key[0].as_py()], shard, x, keep), keep)
+        has, score, who = best
+        return pa.table({"query_id": np.repeat(ids, has.sum(1)), "vec_id": who[has], "score": score[has]})
+
+    found = meet(index, blocks, n_groups, all_groups(n_groups), candidates, "query_id long, vec_id long, score double")
+    pairs = materialize(first_k(found, keep).select("query_id", F.col("vec_id").alias("name")), "pairs")
+    # what a block's candidates may weigh: all vectors, or as many as its queries can name
+    most = min(8 * (total or 0), keep * block_bytes)
+    return first_k(rerank(pairs, queries, members, n_blocks, max(1, math.ceil(most / rerank_bytes))), k)

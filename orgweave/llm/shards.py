@@ -1,9 +1,9 @@
 """Vectors in shards, queries in blocks: the frame of both searches.
 
-Vectors are dealt by the hash of their id into shards of about ``shard_rows``, queries into blocks of about ``block_rows``. Each shard is indexed by one
-task and each block is packed into one row. Every block meets every group of a few shards in a task of its own, so neither side is ever whole
-in one place; that is a stated query set against all rows, in blocks. What a block has found in one group of shards (the kth score of each query) is
-the bound with which it starts in all others, and the shards of a group share it as it rises.
+Of equal vectors only as many rows as a result can hold stay candidates, those of the smallest ids, so a vector that is everywhere is no heavy
+shard. Candidates are dealt by hash into shards and queries into blocks, both bounded in bytes; each is packed into one row by one task. Every block
+meets every group of a few shards in a task of its own, so neither side is ever whole in one place; that is a stated query set against all rows, in
+blocks. What is shuffled is the index once for each block and the queries once for each group, so larger blocks mean less of it.
 """
 
 from __future__ import annotations
@@ -13,100 +13,97 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: Shards that a block meets in one task, unless there are fewer tasks than cores.
 GROUP = 4
+#: Best scores of each query so far: (whether there is one, score, name), each an array of queries by k.
+Best = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def usable(vectors: DataFrame, nonzero: bool) -> DataFrame:
-    """(vec_id, embedding as doubles, dim) of rows with an id and finite components, with ``nonzero`` at least one of them not zero."""
+    """(vec_id, embedding, dim) of rows with an id and finite components, with ``nonzero`` at least one of them not zero."""
     v = F.col("embedding")
     ok = v.isNotNull() & F.col("vec_id").isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     if nonzero:
         ok = ok & F.exists(v, lambda x: x != 0)
-    return vectors.where(F.coalesce(ok, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("embedding"), F.size(v).alias("dim"))
+    return vectors.where(F.coalesce(ok, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("embedding"), F.size(v).alias("dim"))
 
 
-def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(ids ascending, vectors) of a group. Of rows with the same id the vector that sorts first is taken."""
-    ids = table.column("vec_id").to_numpy()
-    flat = table.column("embedding").combine_chunks()
-    x = np.asarray(flat.values if isinstance(flat, pa.ListArray) else pa.concat_arrays(flat.chunks).values).reshape(len(ids), -1)
-    order = np.lexsort((*x.T[::-1], ids))
-    ids, x = ids[order], x[order]
-    first = np.ones(len(ids), dtype=bool)
-    first[1:] = ids[1:] != ids[:-1]
-    return ids[first], x[first]
+def few_copies(rows: DataFrame, k: int) -> DataFrame:
+    """``rows`` without repeats, and of equal vectors those of the k + 1 smallest ids: a query's own row and k others are all that it can need.
 
+    Both steps reduce before they shuffle, so neither a repeated row nor a vector that many ids share makes a heavy task.
+    """
+    nth = F.row_number().over(Window.partitionBy("dim", "embedding").orderBy("vec_id"))
+    return rows.dropDuplicates(["vec_id", "dim", "embedding"]).withColumn("_nth", nth).where(F.col("_nth") <= k + 1).drop("_nth")
+
+
+def queries_of(rows: DataFrame, every: int) -> DataFrame:
+    """(vec_id, embedding, dim): one vector for each id divisible by ``every``; of several the one that sorts first."""
+    return rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
+
+
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A list column, all of one length, as rows."""
+    flat = column.combine_chunks()
+    flat = flat if isinstance(flat, pa.Array) else pa.concat_arrays(flat.chunks)
+    return np.asarray(flat.flatten()).reshape(len(flat), -1)
+
+
+def nothing(n: int, k: int, kind: type) -> Best:
+    return np.zeros((n, k), dtype=bool), np.zeros((n, k), dtype=kind), np.zeros((n, k), dtype=np.int64)
+
+
+def merge(a: Best, b: Best, k: int) -> Best:
+    """The k best of both by score, ties to the smaller name. Integer scores are compared as integers."""
+    has, score, who = (np.concatenate([x, y], axis=1) for x, y in zip(a, b))
+    falling = ~score if score.dtype.kind == "i" else -score
+    order = np.lexsort((who, falling, ~has), axis=-1)[:, :k]
+    return tuple(np.take_along_axis(x, order, 1) for x in (has, score, who))
+
+
+def part(count: int, *names: str) -> Column:
+    return F.pmod(F.xxhash64(*names), F.lit(count)).cast("int")
+
+
+def packed(rows: DataFrame, count: int, make: Callable, name: str, *by: str) -> DataFrame:
+    """(dim, part, data): the rows of each dimension dealt into ``count`` parts by a hash; ``make(table)`` is pickled."""
 
-def search(vectors: DataFrame, k: int, every: int, build: Callable, find: Callable, nonzero: bool, score_type: str,
-           shard_rows: int = 8192, block_rows: int = 512) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each id divisible by ``every`` its ``k`` best among all other vectors of its dimension.
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "data": pa.array([pickle.dumps(make(table))], pa.binary())})
 
-    ``build(ids, x)`` makes a shard's index, ``find(index, ids, x, k, bound)`` gives (scores, ids), each queries by k, padded with -inf,
-    for queries x with known lower bounds of their kth scores. Fewer candidates than k give fewer rows; an empty table none.
+    return materialize(rows.select("*", part(count, *by).alias("part")).groupBy("dim", "part").applyInArrow(run, "dim int, part int, data binary"), name)
+
+
+def groups_of(spark, n_shards: int, n_blocks: int) -> int:
+    return min(n_shards, max(-(-n_shards // GROUP), -(-spark.sparkContext.defaultParallelism // n_blocks)))
+
+
+def meet(index: DataFrame, blocks: DataFrame, n_groups: int, groups: Callable[[Column], Column], work: Callable, out: str) -> DataFrame:
+    """Each block with each of ``groups`` (of its number) of shards: ``work(key, block, shards)`` gives a table of schema ``out``.
+
+    ``shards`` is an iterator in the shards' order.
     """
-    spark = vectors.sparkSession
-    rows = usable(vectors, nonzero)
-    is_query = F.col("vec_id") % every == 0
-    n, n_queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
-    n_shards, n_blocks = max(1, -(-n // shard_rows)), max(1, -(-n_queries // block_rows))
-    n_groups = -(-n_shards // GROUP)
-
-    def pack(make: Callable) -> Callable:
-        def run(key: tuple, table: pa.Table) -> pa.Table:
-            return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "data": pa.array([pickle.dumps(make(*matrix(table)))], pa.binary())})
-
-        return run
-
-    def part(count: int, seed: int):
-        return F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(count)).cast("int").alias("part")
-
-    schema = "dim int, part int, data binary"
-    index = materialize(rows.select("*", part(n_shards, 1)).groupBy("dim", "part").applyInArrow(pack(build), schema), "index")
-    blocks = materialize(rows.where(is_query).select("*", part(n_blocks, 2)).groupBy("dim", "part").applyInArrow(pack(lambda ids, x: (ids, x, None)), schema), "blocks")
-
-    def meet(some: DataFrame, groups, result: Callable, out: str) -> DataFrame:
-        """Each block with each of ``groups`` (a column of numbers of groups)."""
-        left = some.select("dim", F.col("part").alias("block"), "data", F.explode(groups(F.col("part"))).alias("grp"))
-        wanted = some.select(F.col("dim").alias("of_dim"), F.col("part").alias("of_block"), F.explode(groups(F.col("part"))).alias("of_grp"))
-        right = index.join(wanted, (F.col("dim") == F.col("of_dim")) & (F.col("part") % n_groups == F.col("of_grp"))).select("of_dim", "of_block", "of_grp", "part", "data")
-
-        def run(key: tuple, queries: pa.Table, shards: pa.Table) -> pa.Table:
-            if not queries.num_rows:
-                return result(key, np.empty(0, np.int64), np.empty((0, 0)), np.empty((0, k)), np.empty((0, k), np.int64))
-            ids, x, bound = pickle.loads(queries.column("data")[0].as_py())
-            best = np.full((len(ids), k), -np.inf)
-            names = np.full((len(ids), k), np.iinfo(np.int64).max)
-            bound = np.full(len(ids), -np.inf) if bound is None else bound
-            for _, i in sorted((p, i) for i, p in enumerate(shards.column("part").to_pylist())):
-                score, who = find(pickle.loads(shards.column("data")[i].as_py()), ids, x, k, bound)
-                best, names = merge(best, names, score, who, k)
-                bound = np.maximum(bound, best[:, -1])
-            return result(key, ids, x, best, names)
-
-        return left.groupBy("dim", "block", "grp").cogroup(right.groupBy("of_dim", "of_block", "of_grp")).applyInArrow(run, out)
-
-    def bounds(key: tuple, ids: np.ndarray, x: np.ndarray, best: np.ndarray, names: np.ndarray) -> pa.Table:
-        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "data": pa.array([pickle.dumps((ids, x, best[:, -1] if len(ids) else None))], pa.binary())})
-
-    def hits(key: tuple, ids: np.ndarray, x: np.ndarray, best: np.ndarray, names: np.ndarray) -> pa.Table:
-        some = best > -np.inf
-        score = best[some].astype(np.int64 if score_type == "long" else np.float64)
-        return pa.table({"query_id": np.repeat(ids, some.sum(1)) if len(ids) else np.empty(0, np.int64), "vec_id": names[some], "score": score})
-
-    if n_groups > 1:
-        blocks = materialize(meet(blocks, lambda b: F.array(b % n_groups), bounds, schema), "blocks")
-    found = meet(blocks, lambda b: F.sequence(F.lit(0), F.lit(n_groups - 1)), hits, f"query_id long, vec_id long, score {score_type}")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    left = blocks.select("dim", F.col("part").alias("block"), "data", F.explode(groups(F.col("part"))).alias("grp"))
+    wanted = blocks.select(F.col("dim").alias("of_dim"), F.col("part").alias("of_block"), F.explode(groups(F.col("part"))).alias("of_grp"))
+    right = index.join(wanted, (F.col("dim") == F.col("of_dim")) & (F.col("part") % n_groups == F.col("of_grp"))).select("of_dim", "of_block", "of_grp", "part", "data")
 
+    def run(key: tuple, queries: pa.Table, shards: pa.Table) -> pa.Table:
+        data, order = shards.column("data"), np.argsort(shards.column("part").to_numpy())
+        return work(key, pickle.loads(queries.column("data")[0].as_py()), (pickle.loads(data[int(i)].as_py()) for i in order))
 
-def merge(best: np.ndarray, names: np.ndarray, score: np.ndarray, who: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of both by score, ties to the smaller id."""
-    score, who = np.concatenate([best, score], axis=1), np.concatenate([names, who], axis=1)
-    order = np.lexsort((who, -score), axis=-1)[:, :k]
-    return np.take_along_axis(score, order, 1), np.take_along_axis(who, order, 1)
+    return left.groupBy("dim", "block", "grp").cogroup(right.groupBy("of_dim", "of_block", "of_grp")).applyInArrow(run, out)
+
+
+def all_groups(n_groups: int) -> Callable[[Column], Column]:
+    return lambda _: F.sequence(F.lit(0), F.lit(n_groups - 1))
+
+
+def first_k(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k best of each query; the limit is applied before the shuffle as well."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

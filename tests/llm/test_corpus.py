@@ -259,23 +259,55 @@ def brute_top(x, ids, k, every):
     return out
 
 
-@pytest.mark.parametrize("shard_rows,block_rows", [(32, 8), (10_000, 512)])
-def test_exact_top_k(spark, shard_rows, block_rows):
-    x, df = vectors(spark)
+def ranked(rows):
     got = defaultdict(list)
-    for r in topk.exact_top_k(df, 20, 20, shard_rows, block_rows).orderBy("query_id", "rank").collect():
+    for r in rows.orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
+    return dict(got)
+
+
+@pytest.mark.parametrize("shard_bytes,block_bytes", [(4096, 1024), (4 << 20, 4 << 20)])
+def test_exact_top_k(spark, shard_bytes, block_bytes):
+    x, df = vectors(spark)
     q = np.floor(64 * np.vstack([x, np.zeros(16)]))
-    assert dict(got) == brute_top(q, [*range(400), 1040], 20, 20)
+    assert ranked(topk.exact_top_k(df, 20, 20, shard_bytes, block_bytes)) == brute_top(q, [*range(400), 1040], 20, 20)
     assert topk.exact_top_k(df.where("false")).count() == 0
     assert topk.exact_top_k(df.where("vec_id IN (0, 1)")).count() == 1
 
 
+@pytest.mark.parametrize("size", [1e5, 3e6, 4e7, 1e16])
+def test_exact_top_k_of_large_integers(spark, size):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.uniform(-1, 1, size=(60, 8)) * size)
+    whole = [[int(v) * 64 for v in row] for row in x]
+    hold = lambda n: max(-2**63, min(2**63 - 1, n))
+    expected = {}
+    for i in range(0, 60, 20):
+        scores = [(hold(sum(a * b for a, b in zip(whole[i], row))), j) for j, row in enumerate(whole) if j != i]
+        expected[i] = [(j, s) for s, j in sorted(scores, key=lambda t: (-t[0], t[1]))[:20]]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert ranked(topk.exact_top_k(df, 20, 20, 512)) == expected
+
+
+def test_rows_that_share_an_id_stay_candidates(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [3.0, 0.0]), (1, [3.0, 0.0]), (20, [1.0, 1.0]), (20, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    got = ranked(topk.exact_top_k(df))
+    assert got[0] == [(1, 192 * 64), (1, 128 * 64), (20, 64 * 64), (20, 0)]
+    assert [i for i, _ in got[20]] == [0, 1, 1]  # [0, 1] sorts first and asks
+    near = ranked(ann.nearest(df))
+    assert near[0] == [(1, 3.0), (1, 2.0), (20, 1.0), (20, 0.0)] and near[20] == [(0, 0.0), (1, 0.0), (1, 0.0)]
+
+
+def test_a_vector_that_many_ids_share(spark):
+    rows = spark.range(3000).select(F.col("id").alias("vec_id"), F.when(F.col("id") % 3 == 0, F.array(F.lit(1.0), F.lit(1.0))).otherwise(F.array(F.col("id") / 6000, F.lit(0.5))).alias("embedding"))
+    same = [i for i in range(0, 3000, 3)]
+    for got in (ranked(topk.exact_top_k(rows)), ranked(ann.nearest(rows))):
+        assert len(got) == 150 and all([i for i, _ in got[q]] == [i for i in same if i != q][:20] for q in got)
+
+
 def test_nearest(spark):
     x, df = vectors(spark)
-    got = defaultdict(list)
-    for r in ann.nearest(df, 20, 20, rerank=64, shard_rows=150, block_rows=8).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    got = ranked(ann.nearest(df, 20, 20, keep=120, shard_bytes=2048, block_bytes=1024, rerank_bytes=8192))
     expected = brute_top(x, list(range(400)), 20, 20)
     assert set(got) == set(expected) and 1040 not in got
     recall = np.mean([len({i for i, _ in got[q]} & {i for i, _ in expected[q]}) / 20 for q in expected])
@@ -285,6 +317,17 @@ def test_nearest(spark):
     assert ann.nearest(df.where("false")).count() == 0
 
 
+@needs_tables
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.1"])
+def test_recall_on_embeddings(spark, sf):
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
+    good = [(i, v) for i, v in rows if v is not None and None not in v and all(map(math.isfinite, v)) and any(v)]
+    got, expected = ranked(ann.nearest(table)), brute_top(np.array([v for _, v in good], dtype=float), [i for i, _ in good], 20, 20)
+    assert set(got) == set(expected)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in expected[q]}) / len(expected[q]) for q in expected]) >= 0.9
+
+
 def test_anisotropic_loss_favours_parallel_residuals():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(3000, 16))
