@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import materialize, shared_dir
+from ..sources.shared import discard, materialize, shared_dir
 
-__all__ = ["blocks", "crc_mod", "filter_texts", "free_name", "held", "labelled_texts", "let_go", "map_texts", "materialize", "sample_ids", "shared_dir"]
+__all__ = ["blocks", "crc_mod", "discard", "filter_texts", "free_name", "held", "labelled_texts", "let_go", "map_texts", "materialize", "sample_ids", "shared_dir"]
 
 
 def free_name(df: DataFrame, base: str) -> str:

@@ -1,7 +1,8 @@
 """Near-duplicate documents by DartMinHash signatures, banding, exact checks and connected components.
 
-1. Words are the lower-cased runs of ASCII letters, digits and non-ASCII characters; a document's elements are its distinct hashed
-   five-word shingles (one shingle of all words, if fewer). Documents of equal word sequences are one text, represented by the smallest id.
+1. Words are the lower-cased runs of ASCII letters, digits and non-ASCII characters; a document's elements are its hashed
+   five-word shingles (one shingle of all words, if fewer), weighted by their occurrences. Documents of equal word sequences are one text,
+   known by the digest of its words, and get a number of their own.
 2. DartMinHash: each element's region, weight by rank, is cut into cells of area one; hashes throw a Poisson(1) number of darts
    into each, with a place, a rank and one of k coordinates. About k ln k + 2k darts of lowest rank are enough that each
    coordinate holds one; its earliest dart is the coordinate's value. Two signatures agree in a coordinate with the probability of
@@ -28,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, free_name, held, map_texts, materialize
+from .common import blocks, discard, free_name, held, map_texts, materialize
 
 BANDS, ROWS, WORDS, SIMILARITY = 24, 5, 5, 0.8
-#: Up to so many ids, those whose texts are checked are broadcast (16 bytes each); beyond, the texts are shuffled to them.
-BROADCAST_IDS = 1_000_000
+#: The keys of the texts that are checked are broadcast up to so many bytes; beyond, the texts are shuffled to them.
+BROADCAST_BYTES = 16 << 20
 _P, _Q = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
 _WORD_BYTE = np.zeros(256, dtype=bool)
 _WORD_BYTE[[*b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", *range(128, 256)]] = True
@@ -153,7 +154,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
-    """(doc_id, key1, key2, bands): the words' digest, and the buckets (empty for a text without words)."""
+    """(doc_id, mark, key1, key2, bands): a hash of the text as it is, the words' digest, and the buckets (empty for a text without words)."""
 
     def start():
         def work(texts: list[str]) -> list:
@@ -166,23 +167,28 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted:
 
         return work
 
-    return map_texts(docs.select("doc_id", "text"), ["doc_id"], start, "key1 long, key2 long, bands array<long>", block_chars=1_000_000, least_chars=4_000)
+    return map_texts(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")), ["doc_id", "mark"], start, "key1 long, key2 long, bands array<long>", block_chars=1_000_000, least_chars=4_000)
 
 
-def _shingled(docs: DataFrame, ids: DataFrame, few: bool, weighted: bool) -> DataFrame:
-    """(id, sh): the shingles of the texts with the given ids, as sorted 64-bit hashes (with weights after them, if weighted)."""
-    chosen = F.broadcast(ids) if few else ids
-    texts = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("id"), "left_semi")
+def _shingled(docs: DataFrame, wanted: DataFrame, few: bool, weighted: bool) -> DataFrame:
+    """(id, sh): the shingles of the wanted texts (v, key1, key2, rep), as sorted 64-bit hashes (with weights after them, if weighted).
+
+    Rows are chosen by the id that stands for a text and then by the words' digest, so an id that several texts share gives each its own.
+    """
+    wanted = F.broadcast(wanted) if few else wanted
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
 
     def start():
         def work(texts: list[str]) -> list:
-            h, owner, weight, _ = shingles([t or "" for t in texts], weighted=weighted)
+            h, owner, weight, digests = shingles([t or "" for t in texts], weighted=weighted)
             cut = np.searchsorted(owner, np.arange(len(texts) + 1))
-            return [[h[a:b].tobytes() + (weight[a:b].tobytes() if weighted else b"") for a, b in zip(cut, cut[1:])]]
+            whole = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+            return [whole[:, 0].copy(), whole[:, 1].copy(), [h[a:b].tobytes() + (weight[a:b].tobytes() if weighted else b"") for a, b in zip(cut, cut[1:])]]
 
         return work
 
-    kept = map_texts(texts, ["doc_id"], start, "sh binary", block_chars=1_000_000).withColumnRenamed("doc_id", "id")
+    made = map_texts(texts, ["doc_id"], start, "of1 long, of2 long, sh binary", block_chars=1_000_000)
+    kept = made.join(wanted, (F.col("of1") == F.col("key1")) & (F.col("of2") == F.col("key2"))).select(F.col("v").alias("id"), "sh")
     return kept.groupBy("id").agg(F.min("sh").alias("sh"))
 
 
@@ -205,12 +211,13 @@ def jaccard(a: bytes, b: bytes, weighted: bool = False) -> float:
     return float(np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum())
 
 
-def check_pairs(docs: DataFrame, pairs: DataFrame, similarity: float, weighted: bool, sh: DataFrame | None = None) -> DataFrame:
-    """The pairs (a, b) whose texts' similarity is at least ``similarity``; ``sh`` are the shingles of their texts, if known."""
+def check_pairs(docs: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: float, weighted: bool, sh: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) of ``texts`` (v, key1, key2, rep) whose similarity is at least ``similarity``; ``sh`` are their shingles, if known."""
     pairs = materialize(pairs, "pairs")
     if sh is None:
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        sh = materialize(_shingled(docs, ids, ids.count() <= BROADCAST_IDS, weighted), "shingles")
+        ids = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
+        wanted = materialize(texts.join(ids, "v", "left_semi"), "wanted")
+        sh = materialize(_shingled(docs, wanted, is_small(wanted), weighted), "shingles")
     both = (pairs.join(sh.select(F.col("id").alias("b"), F.col("sh").alias("sh_b")), "b")
             .join(sh.select(F.col("id").alias("a"), F.col("sh").alias("sh_a")), "a"))
 
@@ -284,53 +291,79 @@ def components(links: DataFrame) -> DataFrame:
         near = labels.join(heard, F.col("v") == F.col("u")).select("v", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
         roots = labels.select(F.col("v").alias("label"), F.col("label").alias("root"))
         after = materialize(near.join(roots, "label").select("v", "old", F.least("label", "root").alias("label")), "labels")
-        labels = after.select("v", "label")
+        discard(labels)
         if after.where("old <> label").isEmpty():
-            return labels
+            discard(edges)
+            return materialize(after.select("v", "label"), "labels")
+        labels = after
+
 
+def is_small(wanted: DataFrame) -> bool:
+    """Whether texts' keys may be broadcast: a bound on their bytes, with ids of any type."""
+    size = F.lit(48) + F.coalesce(F.length(F.col("rep").cast("string")), F.lit(0))
+    return (wanted.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
-    """(doc_id, class_id) for every row of ``docs``: the smallest id of the class of near duplicates.
 
-    Null texts count as empty, and texts without words are one text. Repeated rows give equal rows; a row with a null id has the class of
-    its exact copies, or null if they all lack an id. Other columns are not carried; an empty table gives no rows.
+def classified(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = True) -> DataFrame:
+    """(doc_id, mark, v, class_id) for every row of ``docs``: a hash of its text, its class's number, and the smallest id of the class.
+
+    An element's region is as wide as the number of its occurrences, or 1 with ``weighted=False``; the similarity is the Jaccard similarity of
+    the weighted sets. Null texts count as empty, and texts without words are one text. Repeated rows give equal rows. Texts, not ids, are
+    linked: different texts with one id are each linked with their own copies. A row with a null id has the class of its copies, or null if
+    none of them has an id. Other columns are not carried; an empty table gives no rows.
     """
     sig = materialize(signatures(docs, bands, rows, weighted), "signatures")
-    texts = materialize(sig.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep")), "texts")
-    # one row of a text is enough to find its buckets, and it is the one with the smallest id
-    heads = sig.join(texts, ["key1", "key2"]).where(F.col("doc_id") == F.col("rep")).select("rep", "bands")
-    buckets = materialize(heads.select("rep", F.explode("bands").alias("bucket")), "buckets")
-    shared = buckets.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("bucket", "a")
-    pairs = buckets.join(shared, "bucket").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    links = materialize(check_pairs(docs, pairs, similarity, weighted), "links")
+    one = sig.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"))
+    # a text's number: it is written once, so it is the same for all who read it
+    numbered = materialize(one.withColumn("v", F.monotonically_increasing_id()), "texts")
+    texts = numbered.select("v", "key1", "key2", "rep")
+    buckets = materialize(numbered.select("v", F.explode("bands").alias("bucket")), "buckets")
+    shared = buckets.groupBy("bucket").agg(F.min("v").alias("a"), F.max("v").alias("last")).where("a < last").select("bucket", "a")
+    pairs = buckets.join(shared, "bucket").where("v <> a").select("a", F.col("v").alias("b")).distinct()
+    links = materialize(check_pairs(docs, texts, pairs, similarity, weighted), "links")
     labels = components(links)
     turn = 0
     live = buckets.join(shared.select("bucket"), "bucket")
     while True:
         turn += 1
         # texts of a bucket that are not yet connected, against a hub drawn for this bucket and round
-        named = live.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
-        drawn = F.struct(F.xxhash64("rep", "bucket", F.lit(turn)).alias("order"), F.col("rep").alias("a"), F.col("label").alias("of"))
+        named = live.join(labels, "v", "left").select("bucket", "v", F.coalesce("label", "v").alias("label"))
+        drawn = F.struct(F.xxhash64("v", "bucket", F.lit(turn)).alias("order"), F.col("v").alias("a"), F.col("label").alias("of"))
         hubs = named.groupBy("bucket").agg(F.min(drawn).alias("hub"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket", "hub.a", "hub.of")
-        more = (named.join(hubs, "bucket").where("label <> of").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
-        new = materialize(check_pairs(docs, more, similarity, weighted), "links")
+        more = (named.join(hubs, "bucket").where("label <> of").select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct())
+        new = materialize(check_pairs(docs, texts, more, similarity, weighted), "links")
         if new.isEmpty():
             break
-        links = links.unionByName(new)
+        links, before = links.unionByName(new), labels
         labels = components(links)
+        discard(before)
     # buckets whose texts are still of several components: every pair that can be near
-    rest = materialize(named.join(hubs.select("bucket"), "bucket").where("rep is not null").select(F.col("rep").alias("v"), "label").distinct(), "rest")
-    many = rest.count()
-    if many:
-        sh = materialize(_shingled(docs, rest.select(F.col("v").alias("id")), many <= BROADCAST_IDS, weighted), "shingles")
-        links = links.unionByName(check_pairs(docs, rest_pairs(sh, rest, similarity, weighted), similarity, weighted, sh))
+    rest = materialize(named.join(hubs.select("bucket"), "bucket").select("v", "label").distinct(), "rest")
+    if not rest.isEmpty():
+        wanted = materialize(texts.join(rest, "v", "left_semi"), "wanted")
+        sh = materialize(_shingled(docs, wanted, is_small(wanted), weighted), "shingles")
+        links = links.unionByName(check_pairs(docs, texts, rest_pairs(sh, rest, similarity, weighted), similarity, weighted, sh))
         labels = components(materialize(links, "links"))
-    classes = texts.join(labels, F.col("rep") == F.col("v"), "left").select("key1", "key2", F.coalesce("label", "rep").alias("class_id"))
-    return sig.select("doc_id", "key1", "key2").join(classes, ["key1", "key2"]).select("doc_id", "class_id")
+    smallest = labels.join(texts.select("v", "rep"), "v").groupBy("label").agg(F.min("rep").alias("class_id"))
+    linked = labels.join(smallest, "label").select("v", "label", "class_id")
+    classes = texts.join(linked, "v", "left").select("key1", "key2", F.coalesce("label", "v").alias("v"), F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"))
+    return sig.select("doc_id", "mark", "key1", "key2").join(classes, ["key1", "key2"]).select("doc_id", "mark", "v", "class_id")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = True) -> DataFrame:
+    """(doc_id, class_id) for every row of ``docs``: the smallest id of its class of near duplicates, as ``classified`` tells."""
+    return classified(docs, similarity, bands, rows, weighted).select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of each class the row with the smallest id, all columns; of rows with that same id one. Rows without an id stay."""
-    kept = free_name(docs, "kept")
-    ids = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("class_id").alias(kept)).distinct()
-    return docs.where(F.col("doc_id").isNotNull()).join(ids, F.col("doc_id") == F.col(kept), "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    """Of each class of ``classified`` one row, all columns: the one with the smallest id (without an id only where the class has none).
+
+    Rows of one id and one text are equal here; any of them stays. Only where there are several are texts shuffled to find that one.
+    """
+    doc, mark, n = (free_name(docs, x) for x in ("doc", "mark", "n"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    counted = classes.groupBy("v", "doc_id", "mark").agg(F.count("*").alias("n"))
+    chosen = counted.groupBy("v").agg(F.min_by(F.struct("doc_id", "mark", "n"), place).alias("c")).select(F.col("c.doc_id").alias(doc), F.col("c.mark").alias(mark), F.col("c.n").alias(n))
+    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(mark)))
+    several = kept.where(F.col(n) > 1).dropDuplicates([doc, mark])
+    return kept.where(F.col(n) == 1).unionByName(several).select(*docs.columns)

@@ -28,7 +28,10 @@ SALTS = 1024
 
 def cut_pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path: str | None = None,
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, salt) for every piece of every whole text; null texts count as empty."""
+    """(doc_id, piece, start, length, ids_crc32, salt) for every piece of every whole text; null texts count as empty.
+
+    Write it before it is used: the salt follows from a row's place.
+    """
     path = path or default_vocabulary()
 
     def start():
@@ -50,7 +53,8 @@ def cut_pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path: str
 
     pieces = map_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"], start,
                        "piece int, start long, length long, ids_crc32 long")
-    return pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
+    # by the row's number, so that equal rows are dealt out too; the pieces are written before the salt is used
+    return pieces.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
 
 
 def fullest(counts: dict[int, int], lengths: list[int], room: int) -> dict[int, int]:
@@ -107,7 +111,7 @@ def plan_bins(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, int
 
 
 def place_pieces(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
-    """Give each piece of ``cut_pieces`` its ``sequence_id`` and ``offset``."""
+    """Give each piece of ``cut_pieces``, as written, its ``sequence_id`` and ``offset``."""
     spark = pieces.sparkSession
     counted = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
     totals = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``capacity`` rows

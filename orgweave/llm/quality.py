@@ -2,7 +2,7 @@
 
 A document's UTF-8 bytes are laid out in overlapping chunks that cover all of it. Learned filters, eight bytes wide at every
 fourth byte, run over each chunk's byte embeddings; each filter is max-pooled within the chunk. Over the chunks their
-maximum and mean are combined linearly into one probability. Memory depends on a block of chunks, not on a text's length.
+maximum and mean are combined linearly into one probability. Beside a text's bytes, memory depends on a block of chunks, not on its length.
 
 The fit runs on the driver over a bounded, class-balanced sample of labelled rows; the odds are then corrected to the
 labels' true frequencies. The model has a few thousand numbers and is broadcast.
@@ -65,13 +65,29 @@ class ByteConvolution:
     def logits(self, texts: list[str], block: int = 512) -> np.ndarray:
         out = np.empty(len(texts))
         for a, b in blocks([len(t) for t in texts], block * STEP):
-            chunks, counts = chunk_rows(texts[a:b])
-            top = np.concatenate([self.pooled(chunks[i:i + block])[0] for i in range(0, len(chunks), block)])
-            starts = np.concatenate([[0], counts.cumsum()[:-1]])
-            most, mean = np.maximum.reduceat(top, starts), np.add.reduceat(top, starts) / counts[:, None]
+            if b == a + 1:
+                most, mean = self.long_text(texts[a], block)
+            else:
+                chunks, counts = chunk_rows(texts[a:b])
+                top = np.concatenate([self.pooled(chunks[i:i + block])[0] for i in range(0, len(chunks), block)])
+                starts = np.concatenate([[0], counts.cumsum()[:-1]])
+                most, mean = np.maximum.reduceat(top, starts), np.add.reduceat(top, starts, dtype=np.float64) / counts[:, None]
             out[a:b] = np.concatenate([most, mean], axis=1).astype(np.float64) @ self.v + self.c[0] + self.shift
         return out
 
+    def long_text(self, text: str, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """(maximum, mean) over a text's chunks, a block of chunks at a time: beside the text's bytes only a block is held."""
+        raw, n = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8), self.w.shape[1]
+        most, total, count = np.zeros((1, n)), np.zeros((1, n)), max(1, -(-(len(raw) - OVERLAP) // STEP))
+        for at in range(0, count, block):
+            some = min(block, count - at)
+            line = np.full(STEP * some + OVERLAP, PAD, dtype=np.int16)
+            part = raw[at * STEP:at * STEP + len(line)]
+            line[:len(part)] = part
+            top = self.pooled(np.lib.stride_tricks.sliding_window_view(line, CHUNK)[::STEP])[0]
+            most, total = np.maximum(most, top.max(0)), total + top.sum(0, dtype=np.float64)
+        return most, total / count
+
     def fit(self, texts: list[str], labels: np.ndarray, steps: int = 320, batch: int = 48, rate: float = 0.01, seed: int = 11) -> None:
         """Adam on the log loss; gradients flow through the pooled positions only."""
         if not texts:

@@ -145,7 +145,7 @@ def test_packing_rows(awkward, library):
 def brute_classes(texts, similarity=0.8):
     def sh(t):
         words = re.findall(r"[0-9a-zA-Z\x80-\U0010FFFF]+", (t or "").lower())
-        return frozenset([tuple(words[i:i + 5]) for i in range(len(words) - 4)] or ([tuple(words)] if words else [])), tuple(words)
+        return Counter([tuple(words[i:i + 5]) for i in range(len(words) - 4)] or ([tuple(words)] if words else [])), tuple(words)
 
     sets, up = [sh(t) for t in texts], list(range(len(texts)))
 
@@ -157,7 +157,7 @@ def brute_classes(texts, similarity=0.8):
     for i in range(len(texts)):
         for j in range(i):
             (a, wa), (b, wb) = sets[i], sets[j]
-            if wa == wb or (a and b and len(a & b) / len(a | b) >= similarity):
+            if wa == wb or (a and b and (a & b).total() / (a | b).total() >= similarity):
                 x, y = root(i), root(j)
                 up[max(x, y)] = min(x, y)
     return [root(i) for i in range(len(texts))]
@@ -181,6 +181,18 @@ def test_near_duplicates_as_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def test_texts_are_linked_not_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a + " more"), (None, a), (None, "c " + b), (None, "x " * 40), (None, "x " * 41), (7, "y " * 40 + a), (8, "y " * 60 + a), (9, "y y y y y " + a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["class_id"]) for r in neardup.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (None, 1), (None, 1), (None, None), (None, None), (7, 7), (8, 7), (9, 1)], key=str)
+    kept = neardup.keep_one(df, neardup.classified(df)).collect()
+    assert sorted(((r["doc_id"], r["text"][:3]) for r in kept), key=str) == sorted([(1, "a0 "), (1, "b0 "), (7, "y y"), (None, "x x")], key=str)
+    plain = dict(map(tuple, neardup.near_duplicates(df.where("doc_id > 1"), weighted=False).collect()))
+    assert plain[8] == plain[7] == plain[3]  # without weights a repeated shingle counts once
+
+
 @pytest.mark.parametrize("weighted", [False, True])
 def test_near_pairs_in_a_family_of_less_similar_texts(spark, weighted):
     fresh = iter(range(10**6))
@@ -213,7 +225,7 @@ def test_near_duplicates_awkward(awkward):
     for r in neardup.near_duplicates(awkward).collect():
         got[r["doc_id"]].add(r["class_id"])
     assert got[5] == {1} and got[1] == {1} and got[2] == got[3] == got[4] == got[9] == {2} and got[None] == {None} and got[2**62] == {2**62}
-    kept = neardup.keep_one(awkward, neardup.near_duplicates(awkward))
+    kept = neardup.keep_one(awkward, neardup.classified(awkward))
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 1, 2, 6, 7, 8, 2**62] and kept.columns == awkward.columns
     assert neardup.near_duplicates(awkward.where("false")).count() == 0
 
@@ -504,6 +516,122 @@ def test_deobfuscation(disguised, plain):
 
 
 @needs_tables
+def every_path(word):
+    """All originals of a word with their channel costs, by exhaustive enumeration of the lattice."""
+    T, out, i = toxicity, [(0.0, "")], 0
+    while i < len(word):
+        c, j = word[i], i + 1
+        while j < len(word) and word[j] == c:
+            j += 1
+        run = j - i
+        ways = [(T.SPACED if c == " " else T.KEPT, c * run)]
+        for x in T.LOOKALIKES.get(c, ""):
+            ways += [(T.LOOKS + (T.REPEATED if n != run else 0), x * n) for n in sorted({1, min(run, 2)})]
+        if c in T.APART:
+            ways.append((T.KEPT if c == " " else T.SPLIT, ""))
+        if c.isalpha() and run > 1:
+            ways += [(T.REPEATED, c * n) for n in (1, 2) if n < run]
+        out = [(cost + more, path + text) for cost, path in out for more, text in ways]
+        i = j
+    return out
+
+
+def test_restore_is_the_best_path_of_the_lattice():
+    model = toxicity.CharacterModel(Counter({"idiot": 50, "stupid": 40, "moron": 30, "hello": 60, "the": 90, "see": 20}))
+
+    def total(cost, path):
+        a = b = 0
+        for ch in path:
+            code = toxicity._code(ch)
+            cost += model.logp[a][b][code]
+            a, b = (0, 0) if code == 0 else (b, code)
+        return cost + model.logp[a][b][0]
+
+    for word in ("1d10t", "m0r0n", "s-t-u-p-1-d", "heee11o", "iidd1oot", "t h 3", "s.e.e", "x9$", "stuuupid", "m*r*n", "i d i o t"):
+        best = max(total(cost, path) for cost, path in every_path(word))
+        assert abs(total(*next((c, p) for c, p in sorted(every_path(word), reverse=True) if p == model.restore(word))) - best) < 1e-9, word
+
+
+def test_disguises_of_any_length_and_spacing():
+    rng = np.random.default_rng(2)
+    plain = ["the", "river", "stone", "garden", "window", "letter", "summer", "bottle", "school", "good"]
+    text = lambda extra=(): " ".join([*rng.choice(plain, 30), *extra])
+    rows = [(text(["idiot"]), 1) for _ in range(40)] + [(text(["stupid"]), 1) for _ in range(40)] + [(text(), 0) for _ in range(200)]
+    model = toxicity.learn(rows, {1: 80, 0: 200})
+    scorer = toxicity.Scorer(model)
+    for word in ("idiot", "1d10t", "i-d-i-o-t", "id" + "i" * 90 + "ot", "-".join("stupid") + "-" * 300, "stuupid", "i  d  i  o  t", "i\nd\ni\no\nt", "you/stupid", "s.t.u.p.1.d", "st" + "u" * 5000 + "pid", "idioot", "_".join("i" * 40 + "diot")):
+        assert scorer.score(text([word])) >= 0.5, word
+    for word in ("bottle", "good", "a b c d", "- - - - -", "summer/school", "x" * 70_000, "1-2-3-4-5", "a1b2c3" * 2000):
+        assert scorer.score(text([word])) < 0.5, word
+    assert not any(len(w) > toxicity.CACHED for w in scorer.seen | scorer.hits.keys())
+
+
+def test_convolution_as_scalars():
+    model, text = quality.ByteConvolution(filters=3, width=2, seed=1), "Ünïcode bytes, over and over. " * 45
+    model.b[:], model.v[:], model.c[:], model.shift = 0.1, np.arange(6) - 2.0, 0.3, 0.2
+    raw, G = text.encode(), quality.GROUP
+    tops = []
+    for at in range(0, max(1, len(raw) - quality.OVERLAP), quality.STEP):
+        chunk = list(raw[at:at + quality.CHUNK]) + [quality.PAD] * (quality.CHUNK - len(raw[at:at + quality.CHUNK]))
+        tops.append([max(max(sum(float(model.emb[chunk[g * G + i], k]) * float(model.w[i * 2 + k, f]) for i in range(2 * G) for k in range(2)) for g in range(quality.CHUNK // G - 1)) + 0.1, 0.0) for f in range(3)])
+    tops = np.array(tops)
+    want = np.concatenate([tops.max(0), tops.mean(0)]) @ (np.arange(6) - 2.0) + 0.5
+    for block in (1, 2, 512):
+        assert abs(model.logits([text], block)[0] - want) < 1e-3 and abs(model.logits([text, "", text], block)[2] - want) < 1e-3
+
+
+def test_subword_average_as_scalars():
+    model = langid.SubwordSoftmax(["a", "b", "c"], seed=2)
+    rng = np.random.default_rng(1)
+    model.bias[:] = [0.1, -0.2, 0.3]
+    model.temperature, model.reject_below = 0.7, 0.4
+    text, grams = "Zwölf Boxkämpfer jagen", []
+    raw = text.lower().encode()
+    for n in langid.GRAMS:
+        for i in range(len(raw) - n + 1):
+            h = raw[i]
+            for b in raw[i + 1:i + n]:
+                h = (h * 0x01000193 ^ b) & 0xFFFFFFFF
+            grams.append(((h + n) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - langid.BUCKETS.bit_length() + 1))
+    z = (np.mean([model.emb[g].astype(float) for g in grams], axis=0) @ model.out + model.bias) / 0.7
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    lang, score = model.finish().predict(text)
+    assert lang == "abc"[int(p.argmax())] and abs(score - p.max()) < 1e-5
+    assert model.predict(text, block=7) == pytest.approx((lang, score)) or model.predict(text, block=7)[0] == lang
+    assert rng is not None and model.predict("1234 ?") == ("und", 0.0)
+
+
+def test_calibration_and_rejection():
+    rng = np.random.default_rng(4)
+    words = {"x": ["alpha", "beta", "gamma"], "y": ["uno", "dos", "tres"]}
+    texts, labels = [], []
+    for _ in range(200):
+        lang = "xy"[rng.integers(2)]
+        texts.append(" ".join(rng.choice(words[lang], 20)))
+        labels.append(lang)
+    noise = [" ".join(rng.choice(words["x"] + words["y"], 20)) for _ in range(100)]  # no text to be sure of
+    model = langid.SubwordSoftmax(["x", "y"])
+    model.fit(texts + noise, labels + ["xy"[rng.integers(2)] for _ in noise])
+    model.finish()
+    sure, unsure = [model.predict(t)[1] for t in texts], [model.predict(t)[1] for t in noise]
+    assert np.mean(sure) > 0.95 and 0 < model.reject_below <= 1 and np.mean(np.array(sure) >= model.reject_below) > 0.9
+    assert np.mean(np.array(unsure) < model.reject_below) > 0.5
+    tie = langid.SubwordSoftmax(["p", "q"])
+    tie.emb[:], tie.bias[:] = 0, 0
+    assert tie.finish().predict("any words") == ("p", 0.5)
+
+
+@needs_tables
+def test_fitted_models_on_awkward_rows(awkward, tables):
+    docs, labels = tables("documents"), tables("labels")
+    for rows in (quality.score_quality(awkward, quality.train(docs, labels)), toxicity.score_toxicity(awkward, toxicity.train(docs, labels))):
+        got = rows.collect()
+        assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in AWKWARD) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
+        assert len({r["score"] for r in got if r["doc_id"] in (2, 3)}) == 1 and len({r["score"] for r in got if r["doc_id"] in (1, 5)}) == 1
+    got = langid.identify(awkward, langid.train(docs)).collect()
+    assert {r["lang_pred"] for r in got if r["doc_id"] in (2, 3, 4, 9)} == {"und"} and all(r["lang_pred"] != "und" for r in got if r["doc_id"] in (1, 5, 6, 7, 8, None))
+
+
 def test_held_out_languages(tables):
     docs = tables("documents")
     got = langid.identify(docs, langid.train(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
