@@ -2,12 +2,12 @@
 
 A rolling hash over the characters cuts each text into chunks whose places depend on nearby content alone, so a
 passage that occurs in many documents gives the same chunks in all of them. A task encodes each distinct chunk once and
-keeps it in a bounded cache, which its Python worker carries over to later tasks. Encoding a chunk by itself is
-wrong only where a word runs over its edge. Such joins are repaired: the window re-encoded grows outward from
-the join, over further chunks if need be, until both its ends stand at white space. There the re-encoded ids and
-the chunks' own agree, because the tokenizer drops white space, and neither its normalizer nor its merges look across it.
+keeps it in a bounded cache, which its Python worker carries over to later tasks. A chunk by itself is wrong only near its edges,
+where a word may run over them. So every join of two chunks is repaired: the words around it are encoded anew by the library, as one window,
+and what the window says of the words that lie whole within a chunk must be what the chunk says of them, on both sides. Where it is not, the window is widened,
+and in the end it is the whole text. Windows repeat as chunks do and are kept as well.
 
-Inside a chunk, words are the smaller unit of reuse. The vocabulary file is given by path and read by each worker.
+Decoding puts the texts of the same pieces together. The vocabulary file is given by path and read by each worker.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ from .common import held, map_texts
 #: Python's str.split also cuts at these, which the tokenizer doesn't take for white space.
 _ODD = re.compile("[\x1c-\x1f]")
 _ASCII_SPACE = re.compile("[ \t\n\r\f\v]+")
+_WORD = re.compile("[^ \t\n\r\f\v]+")
 _BASE = 0x9E3779B1
 
 
@@ -76,13 +78,35 @@ def _stays_letters(word: str) -> bool:
     return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
 
 
+#: Words of a chunk that a window takes in first, and words that a chunk has at least where it is joined.
+WINDOW, LEAST_WORDS = 2, 12
+
+
+class Recent:
+    """The entries used last, at most ``most``: when the newer half is full it becomes the older half, and what is used again moves back."""
+
+    def __init__(self, most: int) -> None:
+        self.half, self.new, self.old = max(1, most // 2), {}, {}
+
+    def get(self, key):
+        value = self.new.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.half:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class ChunkEncoder:
     """Encodes texts as the tokenizers library does, without special tokens, truncation or padding.
 
-    Words and chunks are kept up to a number of entries each, then the cache starts anew, so memory is bounded.
+    Words, chunks, windows and pieces' texts are kept up to a number of entries each, so memory is bounded.
     """
 
-    def __init__(self, path: str, words: int = 450_000, chunks: int = 30_000) -> None:
+    def __init__(self, path: str, words: int = 450_000, chunks: int = 30_000, windows: int = 60_000) -> None:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -98,12 +122,16 @@ class ChunkEncoder:
         self.word_ids: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
-        self.chunk_parts: dict[str, tuple] = {}
-        self.most_words, self.most_chunks = words, chunks
+        self.chunks, self.windows, self.texts = Recent(chunks), Recent(windows), Recent(chunks + windows)
+        self.most_words = words
+        #: Joins repaired, those whose window had to be widened, and texts that had to be encoded whole.
+        self.joins = self.widened = self.whole = 0
         suffix = spec["model"].get("end_of_word_suffix") or "</w>"
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
         self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
-        self.decimal = [str(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        #: Of each id its decimal text and its token, as decoding shows it; an id without a token is left out there.
+        self.decimal = [str(i) for i in range(len(self.ends_word))]
+        self.token = [self.tokenizer.id_to_token(i) for i in range(len(self.ends_word))]
 
     def learn(self, words: set[str]) -> None:
         """Have the ids of all ``words`` at hand. Those unknown are encoded in one call to the library.
@@ -194,57 +222,109 @@ class ChunkEncoder:
         cuts = ends[split.offsets.to_numpy()]
         return [flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
-    def _parts(self, chunk: str, odd: bool) -> tuple[str, list[str] | None, str]:
-        """(word running in from the left, whole words, word running on to the right); whole words None: no space."""
-        words = self.words_of(chunk, odd)
-        space = (lambda c: c in " \t\n\r\f\v") if odd else str.isspace
-        first, last = space(chunk[0]), space(chunk[-1])
-        if len(words) == 1 and not first and not last:
-            return chunk, None, ""
-        head = "" if first or not words else words.pop(0)
-        tail = "" if last or not words else words.pop()
-        return head, words, tail
+    def _cut(self, text: str, odd: bool, mean: int) -> list[str]:
+        """A text's chunks; those with too few words for a join on either side go with the next one."""
+        out, held, n, start = [], [], 0, 0
+        for end in cut_points(text, mean):
+            part = text[start:end]
+            start = end
+            n += len(self.words_of(part, odd)) - bool(held)
+            held.append(part)
+            if n >= LEAST_WORDS:
+                out.append("".join(held))
+                held, n = [], 0
+        if held:
+            rest = "".join(held)
+            out[-1:] = [out[-1] + rest] if out else [rest]
+        return out
+
+    def _around(self, left: str, right: str, m: int, odd: bool) -> str:
+        """The text from before the last ``m`` words of one chunk to behind the first ``m`` of the next."""
+        if odd:
+            a, b = ([x.span() for x in _WORD.finditer(c)] for c in (left, right))
+            return left[a[-m - 1][1]:] + right[:b[m][0]]
+        return left[len(left.rsplit(None, m)[0]):] + right[:len(right) - len(right.split(None, m)[m])]
+
+    def _library(self, texts: set[str]) -> dict[str, bytes]:
+        asked = list(texts)
+        return {t: array("I", e.ids).tobytes() for t, e in zip(asked, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False))}
+
+    def _chunk_ids(self, chunks: dict[str, bool]) -> dict[str, tuple[bytes, array]]:
+        """(ids, where each word's ids end) of chunks (chunk: odd); those not kept are encoded."""
+        out = {c: self.chunks.get((odd, c)) for c, odd in chunks.items()}
+        words = {c: self.words_of(c, odd) for c, odd in chunks.items() if out[c] is None}
+        self.learn({w for some in words.values() for w in some})
+        for c, some in words.items():
+            ids = [self.word_ids[w] for w in some]
+            out[c] = b"".join(ids), array("I", accumulate(map(len, ids)))
+            self.chunks.put((chunks[c], c), out[c])
+        return out
+
+    def encode_pieces(self, texts: list[str], mean: int = 256) -> list[list[bytes]]:
+        """Of each text the ids, little-endian 32-bit, as pieces to be put together: parts of chunks, and windows between them."""
+        odds = [bool(_ODD.search(t)) for t in texts]
+        cuts = [self._cut(t, odd, mean) for t, odd in zip(texts, odds)]
+        known = {odd: self._chunk_ids({c: odd for cut, o in zip(cuts, odds) if o == odd for c in cut}) for odd in set(odds)}
+        widths = [[WINDOW] * (len(cut) - 1) for cut in cuts]
+        failed: set[int] = set()
+        open_ = {(i, j) for i, cut in enumerate(cuts) for j in range(len(cut) - 1)}
+        self.joins += len(open_)
+        windows: dict[tuple[int, int], bytes] = {}
+        while open_:
+            asked = {(i, j): self._around(cuts[i][j], cuts[i][j + 1], widths[i][j], odds[i]) for i, j in open_}
+            found = {t: self.windows.get(t) for t in set(asked.values())}
+            new = self._library({t for t, ids in found.items() if ids is None})
+            for t, ids in new.items():
+                self.windows.put(t, ids)
+            found.update(new)
+            again = set()
+            for (i, j), t in asked.items():
+                (left, a), (right, b), m, ids = known[odds[i]][cuts[i][j]], known[odds[i]][cuts[i][j + 1]], widths[i][j], found[t]
+                # the words but the one at the edge, as each chunk has them
+                before, after = left[a[-m - 1]:a[-2]], right[b[0]:b[m - 1]]
+                if len(ids) >= len(before) + len(after) and ids.startswith(before) and ids.endswith(after):
+                    windows[i, j] = ids
+                elif 4 * m < LEAST_WORDS:
+                    widths[i][j] = 2 * m
+                    again.add((i, j))
+                else:
+                    failed.add(i)
+            self.widened += len(again)
+            open_ = again
+        self.whole += len(failed)
+        whole = self._library({texts[i] for i in failed})
+        return [[whole[texts[i]]] if i in failed else self._assemble(cut, known[odds[i]], widths[i], [windows[i, j] for j in range(len(cut) - 1)]) for i, cut in enumerate(cuts)]
+
+    @staticmethod
+    def _assemble(cut: list[str], known: dict, widths: list[int], windows: list[bytes]) -> list[bytes]:
+        out, lo = [], 0
+        for j, window in enumerate(windows):
+            ids, ends = known[cut[j]]
+            out += [ids[lo:ends[-widths[j] - 1]], window]
+            lo = known[cut[j + 1]][1][widths[j] - 1]
+        if cut:
+            out.append(known[cut[-1]][0][lo:])
+        return out
 
     def encode(self, texts: list[str], mean: int = 256) -> list[bytes]:
         """Little-endian 32-bit ids of each text, by reuse of chunks with repaired joins."""
-        plans, unknown, words = [], {}, set()
-        for text in texts:
-            odd = bool(_ODD.search(text))
-            start, plan, running = 0, [], ""
-            for end in cut_points(text, mean):
-                chunk = text[start:end]
-                start = end
-                key = (odd, chunk)
-                known = self.chunk_parts.get(key) or unknown.get(key)
-                if known is None:
-                    known = unknown[key] = self._parts(chunk, odd)
-                    words.update(known[1] or ())
-                head, core, tail = known
-                running += head
-                if core is None:  # the join's window goes on into the next chunk
-                    continue
-                if running:
-                    words.add(running)
-                    plan.append((running, None))
-                plan.append((None, key))
-                running = tail
-            if running:
-                words.add(running)
-                plan.append((running, None))
-            plans.append(plan)
-        whole = {key: self.chunk_parts[key][1] for plan in plans for _, key in plan if key is not None and key in self.chunk_parts}
-        self.learn(words)
-        get = self.word_ids.__getitem__
-        fresh = {key: (h, None if core is None else b"".join(map(get, core)), t) for key, (h, core, t) in unknown.items()}
-        whole.update((key, part[1]) for key, part in fresh.items())
-        if len(self.chunk_parts) + len(fresh) > self.most_chunks:
-            self.chunk_parts = {}
-        if len(fresh) <= self.most_chunks:
-            self.chunk_parts.update(fresh)
-        return [b"".join(get(word) if key is None else whole[key] for word, key in plan) for plan in plans]
+        return [b"".join(pieces) for pieces in self.encode_pieces(texts, mean)]
+
+    def shown(self, pieces: list[bytes]) -> tuple[str, str]:
+        """(decimal ids, decoded text) of the ids in pieces, each joined by single spaces; a piece's texts are made once."""
+        parts = []
+        for piece in pieces:
+            if piece:
+                both = self.texts.get(piece)
+                if both is None:
+                    ids = array("I", piece)
+                    both = " ".join([self.decimal[i] for i in ids]), " ".join([t for i in ids if (t := self.token[i]) is not None])
+                    self.texts.put(piece, both)
+                parts.append(both)
+        return " ".join([d for d, _ in parts]), " ".join([t for _, t in parts if t])
 
     def decode(self, ids: list[int]) -> str:
-        return self.tokenizer.decode(ids, skip_special_tokens=False)
+        return " ".join([t for i in ids if 0 <= i < len(self.token) and (t := self.token[i]) is not None])
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -265,18 +345,16 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
 
     def start():
         enc = encoder(path)
-        decimal = enc.decimal.__getitem__
 
         def work(texts: list[str]) -> list:
             rows = []
-            for raw in enc.encode([t or "" for t in texts], mean_chunk):
-                ids = np.frombuffer(raw, dtype="<u4").tolist()
-                decoded = enc.decode(ids)
+            for pieces in enc.encode_pieces([t or "" for t in texts], mean_chunk):
+                decimal, decoded = enc.shown(pieces)
+                n = sum(map(len, pieces)) // 4
                 if output == "digest":
-                    rows.append((len(ids), hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest(),
-                                 hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()))
+                    rows.append((n, hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()))
                 else:
-                    rows.append((len(ids), np.array(ids, dtype=np.int32), decoded))
+                    rows.append((n, np.frombuffer(b"".join(pieces), dtype="<u4").astype(np.int32), decoded))
             return [list(column) for column in zip(*rows)]
 
         return work

@@ -9,7 +9,7 @@
    their weighted Jaccard similarity. Where a coordinate stays empty, more darts are thrown.
 3. Texts that agree in all rows of a band share a bucket. In each bucket every text is paired with one hub, never with all
    others, and pairs are checked exactly on the shingles. Further rounds pair the texts of a bucket whose components still differ,
-   with hubs drawn anew in each bucket, until a round links nothing.
+   with hubs drawn anew in each bucket, while a round links a hundredth of its pairs or more.
 4. Buckets that then still hold several components are finished by an exact prefix filter over their texts: with the rarest shingles
    first, two texts of enough similarity share one early enough in both, so all pairs that can be near are joined by it and checked.
 5. Components of the links, by label propagation with pointer jumping, are the classes.
@@ -34,6 +34,8 @@ from .common import blocks, discard, free_name, held, map_texts, materialize
 BANDS, ROWS, WORDS, SIMILARITY = 24, 5, 5, 0.8
 #: The keys of the texts that are checked are broadcast up to so many bytes; beyond, the texts are shuffled to them.
 BROADCAST_BYTES = 16 << 20
+#: Rounds of hubs go on while more than one in so many pairs is near; what they leave is found exactly all the same.
+YIELD = 100
 _P, _Q = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
 _WORD_BYTE = np.zeros(256, dtype=bool)
 _WORD_BYTE[[*b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", *range(128, 256)]] = True
@@ -201,19 +203,17 @@ def jaccard(a: bytes, b: bytes, weighted: bool = False) -> float:
         at = np.searchsorted(x, y)
         both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
         return both / (len(x) + len(y) - both)
-    half, other = len(a) // 16, len(b) // 16
-    h = np.concatenate([np.frombuffer(a[:8 * half], np.uint64), np.frombuffer(b[:8 * other], np.uint64)])
+    half, other = len(a) // 2, len(b) // 2
     if not half or not other:
         return 0.0
-    u, inverse = np.unique(h, return_inverse=True)
-    wa = np.bincount(inverse[:half], np.frombuffer(a[8 * half:]), len(u))
-    wb = np.bincount(inverse[half:], np.frombuffer(b[8 * other:]), len(u))
-    return float(np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum())
+    x, y, wx, wy = np.frombuffer(a[:half], np.uint64), np.frombuffer(b[:other], np.uint64), np.frombuffer(a[half:]), np.frombuffer(b[other:])
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    both = float(np.minimum(wx[at], wy)[x[at] == y].sum())
+    return both / (wx.sum() + wy.sum() - both)
 
 
 def check_pairs(docs: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: float, weighted: bool, sh: DataFrame | None = None) -> DataFrame:
-    """The pairs (a, b) of ``texts`` (v, key1, key2, rep) whose similarity is at least ``similarity``; ``sh`` are their shingles, if known."""
-    pairs = materialize(pairs, "pairs")
+    """Those of the written pairs (a, b) of ``texts`` (v, key1, key2, rep) whose similarity is at least ``similarity``; ``sh`` are their shingles, if known."""
     if sh is None:
         ids = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
         wanted = materialize(texts.join(ids, "v", "left_semi"), "wanted")
@@ -319,7 +319,7 @@ def classified(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
     texts = numbered.select("v", "key1", "key2", "rep")
     buckets = materialize(numbered.select("v", F.explode("bands").alias("bucket")), "buckets")
     shared = buckets.groupBy("bucket").agg(F.min("v").alias("a"), F.max("v").alias("last")).where("a < last").select("bucket", "a")
-    pairs = buckets.join(shared, "bucket").where("v <> a").select("a", F.col("v").alias("b")).distinct()
+    pairs = materialize(buckets.join(shared, "bucket").where("v <> a").select("a", F.col("v").alias("b")).distinct(), "pairs")
     links = materialize(check_pairs(docs, texts, pairs, similarity, weighted), "links")
     labels = components(links)
     turn = 0
@@ -330,19 +330,23 @@ def classified(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
         named = live.join(labels, "v", "left").select("bucket", "v", F.coalesce("label", "v").alias("label"))
         drawn = F.struct(F.xxhash64("v", "bucket", F.lit(turn)).alias("order"), F.col("v").alias("a"), F.col("label").alias("of"))
         hubs = named.groupBy("bucket").agg(F.min(drawn).alias("hub"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket", "hub.a", "hub.of")
-        more = (named.join(hubs, "bucket").where("label <> of").select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct())
-        new = materialize(check_pairs(docs, texts, more, similarity, weighted), "links")
-        if new.isEmpty():
+        pairs = materialize(named.join(hubs, "bucket").where("label <> of").select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct(), "pairs")
+        new = materialize(check_pairs(docs, texts, pairs, similarity, weighted), "links")
+        met, found = pairs.count(), new.count()
+        if found:
+            links, before = links.unionByName(new), labels
+            labels = components(links)
+            discard(before)
+        if found * YIELD <= met:
             break
-        links, before = links.unionByName(new), labels
-        labels = components(links)
-        discard(before)
     # buckets whose texts are still of several components: every pair that can be near
-    rest = materialize(named.join(hubs.select("bucket"), "bucket").select("v", "label").distinct(), "rest")
+    named = live.join(labels, "v", "left").select("bucket", "v", F.coalesce("label", "v").alias("label"))
+    apart = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
+    rest = materialize(named.join(apart, "bucket").select("v", "label").distinct(), "rest")
     if not rest.isEmpty():
         wanted = materialize(texts.join(rest, "v", "left_semi"), "wanted")
         sh = materialize(_shingled(docs, wanted, is_small(wanted), weighted), "shingles")
-        links = links.unionByName(check_pairs(docs, texts, rest_pairs(sh, rest, similarity, weighted), similarity, weighted, sh))
+        links = links.unionByName(check_pairs(docs, texts, materialize(rest_pairs(sh, rest, similarity, weighted), "pairs"), similarity, weighted, sh))
         labels = components(materialize(links, "links"))
     smallest = labels.join(texts.select("v", "rep"), "v").groupBy("label").agg(F.min("rep").alias("class_id"))
     linked = labels.join(smallest, "label").select("v", "label", "class_id")

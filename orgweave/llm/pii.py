@@ -2,43 +2,59 @@
 
 One regular expression finds candidates in the whole text: e-mail addresses, IBANs, dates, social security numbers, telephone
 numbers, IPv4 addresses, card and account numbers, and hexadecimal secrets. Those that are valid (a real date, octets up to 255,
-the mod-97 check) are replaced by a keyed permutation within their format: the characters are symbols of small radices, and an unbalanced
+the check digits of cards and IBANs, the numbering plan of telephones) are replaced by a keyed permutation within their format: the characters are symbols of small radices, and an unbalanced
 Feistel network adds, position by position and modulo its radix, what SHA-256 makes of the key and the other half. So a pseudonym has the length,
 the marks and the kind of characters of its value, different values have different pseudonyms, and equal values stay linked across documents.
-Dates are numbered by day and stay valid dates; card numbers keep whether their check digit is right; IBANs get the right check digits.
+Dates are numbered by day and stay valid dates, cards and IBANs get the right check digits, and one value has one pseudonym however it is spaced or spelled.
 
 The text is cut at the matches, the matches are mapped with higher-order functions, and the pieces are joined again: no shuffle, no Python.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.regex import let
 from .common import free_name
 
 ROUNDS = 8
 _EDGE, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]*\.)+[A-Za-z]{2,24}" + _END
-IBAN = _EDGE + r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}" + _END
-DATE = _EDGE + r"(?:(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|[0-3][0-9][./][0-3][0-9][./](?:19|20)[0-9]{2})" + _END
+IBAN = _EDGE + r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)" + _END
+DATE = (r"(?<![0-9A-Za-z./])(?:(?:19|20)[0-9]{2}([/\-])[01]?[0-9]\1[0-3]?[0-9]|[0-3]?[0-9]([./])[0-3]?[0-9]\2(?:19|20)[0-9]{2}|[0-3][0-9]/[0-3][0-9]/[0-9]{2})"
+        r"(?=T[0-9]{2}:|(?![./]?[0-9A-Za-z]))")
 SSN = _EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END
 PHONE = (r"(?:(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|(?<![0-9A-Za-z+])\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-][0-9]{4}"
-         r"|(?<![0-9A-Za-z+])[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})" + _END)
+         r"|(?<![0-9A-Za-z+])[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4})" + _END)
 IPV4 = r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9A-Za-z])"
 CARD = _EDGE + r"[0-9](?:[ \-]?[0-9]){12,18}" + _END
-SECRET = _EDGE + r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})" + _END
+SECRET = _EDGE + r"(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)" + _END
 #: In the order in which they are tried at a place.
 KINDS = (("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("date", DATE), ("ssn", SSN), ("phone", PHONE), ("card", CARD), ("ipv4", IPV4))
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
-#: 1900-01-01 to 2099-12-31 are 73049 days, which is 17 times 4297.
-FIRST_DAY, DAY_RADICES = "1900-01-01", (17, 4297)
+#: 1900-01-01 to 2099-12-31 are 73049 days, which is 17 times 4297; years of two digits are of 2000 to 2099, 36525 days, 25 times 1461.
+FIRST_DAY, DAY_RADICES, FIRST_SHORT, SHORT_RADICES = "1900-01-01", (17, 4297), "2000-01-01", (25, 1461)
+#: How dates are written; of two that a text fits the first is taken.
+DATE_FORMS = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy-M-d", "yyyy/M/d", "dd.MM.yyyy", "d.M.yyyy", "MM/dd/yyyy", "dd/MM/yyyy", "M/d/yyyy", "d/M/yyyy", "MM/dd/yy", "dd/MM/yy")
+#: A longer text is permuted in blocks of half as many characters, so that the work grows with its length.
+LONGEST = 128
+#: The session's setting with the secret of the permutation.
+KEY_CONF = "spark.orgweave.pii.key"
 
 
-def feistel(values: Column, radices: Column, tag: Column, key: str) -> Column:
-    """A keyed bijection of vectors ``values`` (array<int>) with 0 <= values[i] < radices[i].
+def session_key(spark: SparkSession) -> str:
+    """The session's secret; where none is set, one is drawn and set, so values are linked within the session alone."""
+    if spark.conf.get(KEY_CONF, None) is None:
+        spark.conf.set(KEY_CONF, secrets.token_hex(16))
+    return spark.conf.get(KEY_CONF)
+
+
+def feistel(values: Column, radices: Column, tag: Column, key: str, inverse: bool = False) -> Column:
+    """A keyed bijection of vectors ``values`` (array<int>) with 0 <= values[i] < radices[i], or its inverse.
 
     In odd rounds the first half is shifted by hashes of the second, in even rounds the other way round.
     """
@@ -49,19 +65,27 @@ def feistel(values: Column, radices: Column, tag: Column, key: str) -> Column:
         other = F.when(odd, F.slice(vector, half + 1, F.size(vector) - half)).otherwise(F.slice(vector, F.lit(1), half))
         seed = F.concat_ws("|", F.lit(key), tag, r.cast("string"), F.array_join(F.transform(other, lambda v: v.cast("string")), ","))
 
-        def step(v: Column, i: Column) -> Column:
+        def step(v: Column, i: Column, seed: Column) -> Column:
             moves = F.when(odd, i < half).otherwise(i >= half)
             drawn = F.conv(F.substring(F.sha2(F.concat_ws("|", seed, i.cast("string")), 256), 1, 12), 16, 10).cast("long")
             radix = F.get(radices, i)
-            return F.when(moves & (radix > 1), F.pmod(v.cast("long") + drawn, radix.cast("long")).cast("int")).otherwise(v)
+            return F.when(moves & (radix > 1), F.pmod(v.cast("long") - drawn if inverse else v.cast("long") + drawn, radix.cast("long")).cast("int")).otherwise(v)
 
-        return F.transform(vector, step)
+        return let(seed, lambda once: F.transform(vector, lambda v, i: step(v, i, once)))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), values, shifted)
+    rounds = (F.lit(ROUNDS), F.lit(1), F.lit(-1)) if inverse else (F.lit(1), F.lit(ROUNDS))
+    return F.aggregate(F.sequence(*rounds), values, shifted)
 
 
 def permute_text(text: Column, tag: str, key: str, hexadecimal: bool = False) -> Column:
-    """Letters go to letters of their case, digits to digits (hexadecimal: digits of its case); everything else stays."""
+    """Letters go to letters of their case, digits to digits (hexadecimal: digits of its case); everything else stays. A long text goes by blocks."""
+    half = LONGEST // 2
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / half)), lambda i: F.substr(text, (i * half + 1).cast("int"), F.lit(half)))
+    pieces = F.when(F.length(text) > LONGEST, cut).otherwise(F.array(text))
+    return F.array_join(F.transform(pieces, lambda p, i: _permute(p, F.concat_ws("|", F.lit(tag), i.cast("string")), key, hexadecimal)), "")
+
+
+def _permute(text: Column, tag: Column, key: str, hexadecimal: bool) -> Column:
     chars = F.filter(F.split(text, ""), lambda c: c != "")
     lower = "0123456789abcdef" if hexadecimal else "abcdefghijklmnopqrstuvwxyz"
     upper = "0123456789ABCDEF" if hexadecimal else lower.upper()
@@ -76,7 +100,7 @@ def permute_text(text: Column, tag: str, key: str, hexadecimal: bool = False) ->
     values = F.transform(chars, lambda c: F.position(c, alphabet(c)) - 1)
     radices = F.transform(chars, lambda c: F.length(alphabet(c)))
     form = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[0-9]", "9"), "[a-z]", "a"), "[A-Z]", "A") if not hexadecimal else F.length(text).cast("string")
-    moved = feistel(values, radices, F.concat_ws("|", F.lit(tag), form), key)
+    moved = feistel(values, radices, F.concat_ws("|", tag, form), key)
     return F.array_join(F.zip_with(chars, moved, lambda c, v: F.substr(alphabet(c), v + 1, F.lit(1))), "")
 
 
@@ -89,13 +113,24 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.lit(10) - total % 10, F.lit(10))
 
 
+def _overlay(m: Column, digits: Column) -> Column:
+    """``m`` with its digits replaced by ``digits``, one after the other."""
+    chars = F.filter(F.split(m, ""), lambda c: c != "")
+    start = F.struct(F.lit(0).alias("n"), F.lit("").alias("out"))
+
+    def step(a: Column, c: Column) -> Column:
+        is_digit = c.between("0", "9")
+        return F.struct((a["n"] + is_digit.cast("int")).alias("n"), F.concat(a["out"], F.when(is_digit, F.substr(digits, a["n"] + 1, F.lit(1))).otherwise(c)).alias("out"))
+
+    return F.aggregate(chars, start, step, lambda a: a["out"])
+
+
 def _card(m: Column, key: str) -> Column:
-    """The digits before the last are permuted; the last keeps its distance from the right check digit."""
-    digits, cut = F.regexp_replace(m, "[ \\-]", ""), F.length(m) - 1
-    body = F.substr(m, F.lit(1), cut)
-    off = F.pmod(F.substring(digits, -1, 1).cast("int") - _luhn(F.substr(digits, F.lit(1), F.length(digits) - 1)), F.lit(10))
-    moved = permute_text(body, "card", key)
-    return F.concat(moved, F.pmod(_luhn(F.regexp_replace(moved, "[ \\-]", "")) + off, F.lit(10)).cast("string"))
+    """The digits before the last are permuted, as many as there are, however they are spaced; a wrong check digit means that it is no card number."""
+    digits = F.regexp_replace(m, "[ \\-]", "")
+    body = F.substr(digits, F.lit(1), F.length(digits) - 1)
+    valid = F.substring(digits, -1, 1).cast("int") == _luhn(body)
+    return F.when(valid, let(permute_text(body, "card", key), lambda moved: _overlay(m, F.concat(moved, _luhn(moved).cast("string"))))).otherwise(m)
 
 
 def _mod97(text: Column) -> Column:
@@ -105,27 +140,36 @@ def _mod97(text: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    country, bban = F.substring(m, 1, 2), F.substr(m, F.lit(5), F.length(m))
-    valid = _mod97(F.concat(bban, F.substring(m, 1, 4))) == 1
-    moved = permute_text(bban, "iban", key)
-    check = F.lit(98) - _mod97(F.concat(moved, country, F.lit("00")))
-    return F.when(valid, F.concat(country, F.lpad(check.cast("string"), 2, "0"), moved)).otherwise(m)
+    """The longest run of whole groups whose check digits are right; what follows it stays."""
+    groups = F.split(m, " ")
+    squeezed = lambda n: F.array_join(F.slice(groups, F.lit(1), n), "")
+    right = lambda s: F.length(s).between(15, 34) & (_mod97(F.concat(F.substr(s, F.lit(5), F.length(s)), F.substring(s, 1, 4))) == 1)
+    n = F.get(F.filter(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: right(squeezed(n))), F.lit(0))
+
+    def numbered(s: Column) -> Column:
+        country = F.substring(s, 1, 2)
+        checked = lambda moved: F.concat(country, F.lpad((F.lit(98) - _mod97(F.concat(moved, country, F.lit("00")))).cast("string"), 2, "0"), moved)
+        return let(permute_text(F.substr(s, F.lit(5), F.length(s)), "iban", key), checked)
+
+    def made(n: Column) -> Column:
+        new = let(squeezed(n), numbered)
+        spaced = F.when(n > 1, F.regexp_replace(new, "(.{4})(?=.)", "$1 ")).otherwise(new)
+        return F.array_join(F.concat(F.array(spaced), F.slice(groups, n + 1, F.size(groups) - n)), " ")
+
+    return let(n, lambda n: F.when(n.isNotNull(), made(n)).otherwise(m))
 
 
 def _date(m: Column, key: str) -> Column:
-    def moved(form: str) -> Column:
-        day = F.try_to_timestamp(m, F.lit(form)).cast("date")
-        n = F.date_diff(day, F.lit(FIRST_DAY).cast("date"))
-        a, b = DAY_RADICES
-        got = feistel(F.array(F.floor(n / b).cast("int"), (n % b).cast("int")), F.array(F.lit(a), F.lit(b)), F.lit("date"), key)
-        out = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), F.get(got, F.lit(0)) * b + F.get(got, F.lit(1))), form)
-        # a text that the parser reads in another way than it is written is no date of this form
-        return F.when(F.date_format(day, form) == m, out)
+    """The day moves; a text that no form writes in this very way is no date."""
+    day = lambda form: F.try_to_timestamp(m, form).cast("date")
+    form = F.get(F.filter(F.array(*map(F.lit, DATE_FORMS)), lambda f: F.coalesce(F.call_function("date_format", day(f), f) == m, F.lit(False))), F.lit(0))
+
+    def moved(form: Column, first: str, radices: tuple[int, int], tag: str) -> Column:
+        since, (a, b) = F.lit(first).cast("date"), radices
+        got = let(F.date_diff(day(form), since), lambda n: feistel(F.array(F.floor(n / b).cast("int"), (n % b).cast("int")), F.array(F.lit(a), F.lit(b)), F.lit(tag), key))
+        return let(got, lambda g: F.call_function("date_format", F.date_add(since, F.get(g, F.lit(0)) * b + F.get(g, F.lit(1))), form))
 
-    return F.coalesce(
-        F.when(m.rlike("^[0-9]{4}-"), moved("yyyy-MM-dd")),
-        F.when(m.rlike("^[0-9]{2}[.][0-9]{2}[.]"), moved("dd.MM.yyyy")),
-        F.when(m.rlike("^[0-9]{2}/[0-9]{2}/"), F.coalesce(moved("MM/dd/yyyy"), moved("dd/MM/yyyy"))), m)
+    return let(form, lambda f: F.when(f.isNull(), m).when(f.endswith("/yy"), moved(f, FIRST_SHORT, SHORT_RADICES, "short date")).otherwise(moved(f, FIRST_DAY, DAY_RADICES, "date")))
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -141,9 +185,15 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The country code stays."""
+    """With ``+`` and a country code, which stays, seven to fifteen digits; else an area code and an exchange that begin with 2 to 9, as do the pseudonym's."""
     code = F.regexp_extract(m, r"^(\+[0-9]{1,3}(?=[ .\-(]))?", 0)
-    return F.concat(code, permute_text(F.substr(m, F.length(code) + 1, F.length(m)), "phone", key))
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    abroad = F.when(F.length(digits).between(7, 15), F.concat(code, permute_text(F.substr(m, F.length(code) + 1, F.length(m)), "phone", key))).otherwise(m)
+    least = lambda i: F.when(i.isin(0, 3), 2).otherwise(0)
+    values = F.transform(F.filter(F.split(digits, ""), lambda c: c != ""), lambda c, i: c.cast("int") - least(i))
+    got = feistel(values, F.transform(values, lambda v, i: F.lit(10) - least(i)), F.lit("national phone"), key)
+    home = _overlay(m, F.array_join(F.transform(got, lambda v, i: (v + least(i)).cast("string")), ""))
+    return F.when(m.startswith("+"), abroad).when(digits.rlike("^[2-9][0-9]{2}[2-9]"), home).otherwise(m)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -172,12 +222,12 @@ def pseudonym(value: Column, key: str) -> Column:
     return out
 
 
-def pseudonymize(docs: DataFrame, key: str = "change-me", text_col: str = "text", count_col: str | None = None) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with the personal data of every whole text replaced; all other columns stay.
 
     A null text stays null; an empty text and one without personal data stay as they are; repeated rows give equal rows; an empty table
     gives no rows. ``count_col`` names a further column (replacing one of that name): the number of values replaced.
-    ``key`` is the secret of the permutation: set your own.
+    ``key`` is the secret of the permutation.
     """
     _found, _pseudonyms, _text = (free_name(docs, n) for n in ("found", "pseudonyms", "replaced"))
     text = F.col(f"`{text_col}`")

@@ -41,7 +41,7 @@ def op7_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_replaced")
+    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark), count_col="n_replaced")
 
 
 def op9_subword_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
