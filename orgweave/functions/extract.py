@@ -30,27 +30,41 @@ FOUNDER_PATTERNS = (
     rf"({_NAME}{{1,3}})\s+(?:and|&)\s+({_NAME}{{1,3}})\s+(?:co-)?founded\b", rf"({_NAME}{{1,3}})\s+(?:is|was)\s+(?:a\s+|the\s+)?(?:co-)?founder\b()",
     rf"(?:[Ff]ounders?|[Cc]o-[Ff]ounders?)\s*[:\-]\s*({_NAME}{{1,3}}(?:\s*(?:,|;|and|&)\s*{_NAME}{{1,3}}){{0,5}})()",
 )
+HQ_EXPLICIT = r"\b(headquarters|headquartered|hq\b|corporate headquarters|global headquarters|based in)\b"
+IS_HQ = r"\bheadquarters|headquartered\b"
+NOT_HEADCOUNT = r"\bfollowers|portfolio companies|customers|users\b"
+FOUNDING = r"\b(founded|founder|co-founded|co-founder|established by|started by)\b"
+FOREIGN_FOUNDER = r"\b(?:Co-)?Founders?(?:\s+and\s+(?:CEO|CTO|President)|\s+&\s+(?:CEO|CTO|President))?\s*(?:,|of|at)\s+([A-Z][A-Za-z0-9&.'-]{1,40}(?:\s+[A-Z][A-Za-z0-9&.']{1,30}){0,3})"
 # ----------------------------------------------------------------------------------------------------------------
 
 
-def matches(c: Column, pattern: str, before: int, after: int, ignore_case: bool = True) -> Column:
-    """Every match in order, as structs (start, match, g1, g2, g3, window): its 0-based place and the characters around it."""
-    s, p = text(c), rx(pattern, ignore_case)  # the callers pass plain columns, so that repeating them costs nothing
-    found = F.regexp_extract_all(s, F.lit(p), F.lit(0))
-    pieces = F.slice(F.split(s, p, -1), F.lit(1), F.size(found))
-    steps = F.zip_with(pieces, found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size"), m.alias("m")))
-    groups = pattern.replace(r"\(", "").count("(") - pattern.replace(r"\(", "").count("(?")
-    captured = [F.regexp_extract_all(s, F.lit(p), F.lit(i)) if i <= groups else None for i in (1, 2, 3)]
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
-    starts = F.aggregate(steps, zero, lambda a, x: F.struct((a["at"] + x["gap"] + x["size"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["gap"])).alias("starts")), lambda a: a["starts"])
+def _three(pattern: str) -> str:
+    """The pattern with three groups; missing ones capture the empty text."""
+    plain = pattern.replace(r"\(", "")
+    return pattern + "()" * (3 - (plain.count("(") - plain.count("(?")))
 
-    def one(at: Column, i: Column) -> Column:
-        left = F.greatest(at - before, F.lit(0))
-        m = F.get(found, i)
-        return F.struct(at.alias("start"), m.alias("match"), *[(F.get(g, i) if g is not None else F.lit("")).alias(f"g{n}") for n, g in zip((1, 2, 3), captured)],
-                        F.substr(s, left + 1, at + F.length(m) + after - left).alias("window"))
 
-    return F.transform(starts, one)
+def matches(c: Column, patterns: tuple[str, ...], before: int, after: int, ignore_case: bool = True) -> Column:
+    """Every match of each pattern in turn, as structs (start, match, g1, g2, g3, window): its 0-based place and the characters around it.
+
+    The patterns are data of one expression, so a plan doesn't grow with their number; one that a text doesn't hold is only looked for once.
+    """
+    s = text(c)  # the callers pass plain columns, so that repeating them costs nothing
+
+    def of(p: Column) -> Column:
+        groups = [F.regexp_extract_all(s, p, F.lit(i)) for i in range(4)]
+        found = F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ("match", "g1", "g2", "g3"))])
+        zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
+        steps = F.zip_with(F.slice(F.split(s, p, -1), F.lit(1), F.size(groups[0])), groups[0], lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size")))
+        starts = F.aggregate(steps, zero, lambda a, x: F.struct((a["at"] + x["gap"] + x["size"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["gap"])).alias("starts")), lambda a: a["starts"])
+
+        def one(m: Column, at: Column) -> Column:
+            left = F.greatest(at - before, F.lit(0))
+            return F.struct(at.alias("start"), m["match"].alias("match"), m["g1"].alias("g1"), m["g2"].alias("g2"), m["g3"].alias("g3"), F.substr(s, left + 1, at + F.length(m["match"]) + after - left).alias("window"))
+
+        return F.when(F.regexp_like(s, p), F.zip_with(found, starts, one))
+
+    return F.flatten(F.array_compact(F.transform(F.array(*[F.lit(rx(_three(p), ignore_case)) for p in patterns]), of)))
 
 
 def _hits(values: Column, value, evidence: int, extra=None) -> Column:
@@ -62,12 +76,11 @@ def hq_hits(c: Column) -> Column:
     """Headquarters named in a text: structs (value, evidence, explicit), patterns in order; offices and portfolios are no headquarters."""
 
     def value(h: Column) -> Column:
-        veto = has(h["window"], NOT_HQ) & ~has(h["window"], r"\bheadquarters|headquartered\b")
+        veto = has(h["window"], NOT_HQ) & ~has(h["window"], IS_HQ)
         last = F.coalesce(F.nullif(h["g3"], F.lit("")), F.nullif(h["g2"], F.lit("")))
         return F.when(~veto, hq(F.concat_ws(", ", trim(h["g1"]), trim(last))))
 
-    explicit = r"\b(headquarters|headquartered|hq\b|corporate headquarters|global headquarters|based in)\b"
-    return F.concat(*[_hits(matches(c, p, 60, 40), value, 220, lambda h: has(h["window"], explicit)) for p in HQ_PATTERNS])
+    return _hits(matches(c, HQ_PATTERNS, 60, 40), value, 220, lambda h: has(h["window"], HQ_EXPLICIT))
 
 
 def headcount_hits(c: Column) -> Column:
@@ -75,14 +88,14 @@ def headcount_hits(c: Column) -> Column:
 
     def value(h: Column) -> Column:
         raw = F.when(h["g2"] != "", F.concat_ws("–", h["g1"], h["g2"])).otherwise(h["g1"])
-        return let(headcount(raw), lambda bucket: F.when(~has(h["window"], r"\bfollowers|portfolio companies|customers|users\b") & ~is_blank(bucket), bucket))
+        return let(headcount(raw), lambda bucket: F.when(~has(h["window"], NOT_HEADCOUNT) & ~is_blank(bucket), bucket))
 
-    return F.concat(*[_hits(matches(c, p, 40, 30), value, 200) for p in HEADCOUNT_PATTERNS])
+    return _hits(matches(c, HEADCOUNT_PATTERNS, 40, 30), value, 200)
 
 
 def is_foreign_founder(window: Column, company: Column) -> Column:
     """Whether the words around a founder name another organization."""
-    org = first(text(window), r"\b(?:Co-)?Founders?(?:\s+and\s+(?:CEO|CTO|President)|\s+&\s+(?:CEO|CTO|President))?\s*(?:,|of|at)\s+([A-Z][A-Za-z0-9&.'-]{1,40}(?:\s+[A-Z][A-Za-z0-9&.']{1,30}){0,3})", 1, False)
+    org = first(text(window), FOREIGN_FOUNDER, 1, False)
     found = F.lower(trim(sub(org, r"\s+(?:Read|Inc|LLC|Ltd|Corp|Corporation|Company|the|story|case)\b.*$", "")))
     name = F.lower(trim(text(company)))
     tokens = F.filter(F.split(name, " "), lambda t: F.length(t) > 2)
@@ -111,7 +124,7 @@ def founder_hits(c: Column, company: Column) -> Column:
         two = (h["g2"] != "") & ~has(h["match"], "founded by")
         raw = F.when(two, F.concat_ws("; ", h["g1"], h["g2"])).otherwise(h["g1"])
         name = F.lower(text(company))
-        return let(founders(raw), lambda names: F.when(has(h["window"], r"\b(founded|founder|co-founded|co-founder|established by|started by)\b") & ~is_foreign_founder(h["window"], company) & ~is_blank(names)
+        return let(founders(raw), lambda names: F.when(has(h["window"], FOUNDING) & ~is_foreign_founder(h["window"], company) & ~is_blank(names)
               & ~((name != "") & F.contains(F.lower(names), name)) & ~(has(raw, EXECUTIVE) & ~has(h["window"], r"\bfounder\b")) & in_sentence(c, h["start"], h["match"], company), names))
 
-    return F.concat(*[_hits(matches(c, p, 50, 80, False), value, 240) for p in FOUNDER_PATTERNS])
+    return _hits(matches(c, FOUNDER_PATTERNS, 50, 80, False), value, 240)

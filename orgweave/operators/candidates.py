@@ -14,15 +14,6 @@ from ..functions.domains import host_of
 from ..functions.regex import text, trim
 from ..functions.text import match_key, store_key
 
-#: A side of at most so many rows is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame, rows: int | None) -> DataFrame:
-    """Marked for broadcast if the caller vouches for its number of rows and that is small."""
-    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
-
-
 def union_sources(*sources: DataFrame) -> DataFrame:
     """(company_id, seq, domain, name, snippet, source, prominence) of all sources, UNION ALL by name; sources keep their order."""
     numbered = [s.withColumn("source_no", F.lit(i)) for i, s in enumerate(sources)]
@@ -37,16 +28,18 @@ def consensus(candidates: DataFrame) -> DataFrame:
 
 def merge_by_domain(candidates: DataFrame) -> DataFrame:
     """One row per company and host: sources in order of appearance, the largest prominence, the first telling name (not the host
-    itself), the first snippet, and the place of the first appearance. Rows whose domain is no host are left out."""
+    itself), the first snippet, and the place of the first appearance. Rows whose domain is no host are left out.
+
+    Rows are first reduced to one for each source, so what is collected for a host is its distinct sources.
+    """
     valid = candidates.withColumn("domain", host_of(F.col("domain"))).where(F.col("domain").rlike(r"^[a-z0-9][a-z0-9.-]*\.[a-z]{2,}$"))
     name, snippet = trim(text("name")), trim(text("snippet"))
     telling = (name != "") & (F.lower(name) != F.col("domain"))
     by_place = lambda value: F.struct("seq", value)
+    each = valid.groupBy("company_id", "domain", "source").agg(
+        F.max("prominence").alias("prominence"), F.min(F.when(telling, by_place(name.alias("v")))).alias("name"), F.min(F.when(snippet != "", by_place(snippet.alias("v")))).alias("snippet"), F.min("seq").alias("seq"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "source"))), lambda s: s["source"])
-    return (valid.groupBy("company_id", "domain").agg(
-        F.array_distinct(ordered).alias("sources"), F.max("prominence").alias("prominence"),
-        F.min(F.when(telling, by_place(name.alias("v"))))["v"].alias("name"), F.min(F.when(snippet != "", by_place(snippet.alias("v"))))["v"].alias("snippet"),
-        F.min("seq").alias("seq")))
+    return each.groupBy("company_id", "domain").agg(ordered.alias("sources"), F.max("prominence").alias("prominence"), F.min("name")["v"].alias("name"), F.min("snippet")["v"].alias("snippet"), F.min("seq").alias("seq"))
 
 
 def reject_domains(candidates: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -74,28 +67,31 @@ def dedupe_names(names: DataFrame, name: str = "name", seq: str = "seq") -> Data
     return firsts.select("match_key", "row.*")
 
 
-def exact_lookup(names: DataFrame, dictionary: DataFrame, rows: int | None = None) -> DataFrame:
+def exact_lookup(names: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Left equi-join of names with dictionary entries (key, domain, entry_seq) on the store key; the first entry wins."""
     entries = dictionary.groupBy("key").agg(F.min_by(F.struct("domain", "entry_seq"), "entry_seq").alias("entry"))
-    out = names.withColumn("key", store_key(F.col("name"))).join(small(entries, rows), "key", "left")
+    out = names.withColumn("key", store_key(F.col("name"))).join(entries, "key", "left")
     return out.select(*names.columns, "key", F.col("entry.domain").alias("domain"), F.col("entry.entry_seq").alias("entry_seq"))
 
 
-def fuzzy_lookup(names: DataFrame, dictionary: DataFrame, rows: int, least: int = 4) -> DataFrame:
+def fuzzy_lookup(names: DataFrame, dictionary: DataFrame, least: int = 4) -> DataFrame:
     """Exact match, else the first entry, in dictionary order, that holds the name or is held by it (both of ``least`` characters).
 
-    Containment has no equi-key, so the dictionary, whose ``rows`` must be small, goes to every task as one array: each name
-    scans it once and no pairs are formed.
+    Containment becomes equality on pieces of ``least`` characters: the contained key's first piece is among the pieces of the other. Both
+    directions are equi-joins on distinct keys, verified after the join; names of one key are looked up once.
     """
-    if rows > BROADCAST_ROWS:
-        raise ValueError("the dictionary of a containment lookup must be small")
-    entries = dictionary.agg(F.array_sort(F.collect_list(F.struct("entry_seq", "key", "domain"))).alias("entries"))
-    held = names.withColumn("key", store_key(F.col("name"))).crossJoin(F.broadcast(entries))
-    key = F.col("key")
-    exact = F.get(F.filter("entries", lambda e: e["key"] == key), F.lit(0))
-    near = F.get(F.filter("entries", lambda e: (F.length(key) >= least) & (F.length(e["key"]) >= least) & (F.contains(e["key"], key) | F.contains(key, e["key"]))), F.lit(0))
-    return held.withColumn("hit", F.when(key != "", F.coalesce(exact, near))).select(
-        *names.columns, "key", F.col("hit.domain").alias("domain"), F.col("hit.entry_seq").alias("entry_seq"), (F.col("hit.key") == key).alias("exact"))
+    c = F.col
+    held = names.withColumn("key", store_key(c("name")))
+    keys = held.select("key").where("key <> ''").distinct()
+    entries = dictionary.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("entry_seq", "domain")).alias("e")).select(c("key").alias("of"), "e.entry_seq", "e.domain")
+    first = lambda k: F.when(F.length(k) >= least, F.substring(k, 1, least))
+    pieces = lambda k: F.when(F.length(k) >= least, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(k) - least + 1), lambda i: F.substr(k, i, F.lit(least)))))
+    exact = keys.join(entries, c("key") == c("of")).select("key", "entry_seq", "domain", "of")
+    within = keys.withColumn("piece", first(c("key"))).join(entries.withColumn("piece", F.explode(pieces(c("of")))), "piece").where(F.contains("of", "key"))
+    around = keys.withColumn("piece", F.explode(pieces(c("key")))).join(entries.withColumn("piece", first(c("of"))), "piece").where(F.contains("key", "of"))
+    every = exact.unionByName(within.select(*exact.columns)).unionByName(around.select(*exact.columns))
+    best = every.groupBy("key").agg(F.min(F.struct((c("of") != c("key")).alias("other"), "entry_seq", "domain")).alias("b"))
+    return held.join(best, "key", "left").select(*names.columns, "key", c("b.domain").alias("domain"), c("b.entry_seq").alias("entry_seq"), (~c("b.other")).alias("exact"))
 
 
 def longest_key_per_domain(dictionary: DataFrame) -> DataFrame:

@@ -20,25 +20,31 @@ def authority_rank(source: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in AUTHORITY.items() for x in p]), source), F.lit(OTHER_AUTHORITY))
 
 
-def pick_consensus(hits: DataFrame, require_explicit: bool = False) -> DataFrame:
-    """(company_id, value, source, best, sources, conflict) of hits (company_id, seq, value, source, explicit, authority).
+def pick_consensus(hits: DataFrame, require_explicit: bool | Column = False, keys: tuple[str, ...] = ("company_id",)) -> DataFrame:
+    """(*keys, value, source, best, sources, conflict) of hits (*keys, seq, value, source, explicit, authority).
 
     Values are one if they are equal but for case; the best has the highest authority, then the most sources, then came first. With
-    ``require_explicit`` only explicit hits count, if there are any. Two official values of near authority are a conflict.
+    ``require_explicit`` (a condition on the keys) only explicit hits count, if there are any. Two official values of near authority are a conflict.
+    Both readings of a value, of all hits and of the explicit ones, come from one aggregation.
     """
     c = F.col
-    if require_explicit:
-        stated = F.coalesce(c("explicit"), F.lit(True)) | c("source").isin("wikidata", "json_ld")
-        any_ = hits.groupBy("company_id").agg(F.max(stated).alias("_any"))
-        hits = hits.join(any_, "company_id").where(~c("_any") | stated).drop("_any")
+    wants = F.lit(require_explicit) if isinstance(require_explicit, bool) else require_explicit
     strength = c("authority") * 10 + authority_rank(c("source"))
-    groups = hits.withColumns({"_v": F.lower(trim(text("value"))), "_s": strength}).groupBy("company_id", "_v").agg(
-        F.max("_s").alias("best"), F.count_distinct("source").alias("sources"), F.min("seq").alias("seq"),
-        F.max_by(F.struct("value", "source"), F.struct("_s", -c("seq"))).alias("hit"))
-    order = Window.partitionBy("company_id").orderBy(F.desc("best"), F.desc("sources"), "seq")
+    stated = F.coalesce(c("explicit"), F.lit(True)) | c("source").isin("wikidata", "json_ld")
+
+    def reading(ok: Column) -> Column:
+        only = lambda x: F.when(ok, x)
+        return F.struct(F.max(only(c("_s"))).alias("best"), F.size(F.collect_set(only(c("source")))).alias("sources"), F.min(only(c("seq"))).alias("seq"),
+                        F.max_by(only(F.struct("value", "source")), only(F.struct("_s", -c("seq")))).alias("hit"))
+
+    groups = hits.withColumns({"_v": F.lower(trim(text("value"))), "_s": strength, "_x": stated}).groupBy(*keys, "_v").agg(reading(F.lit(True)).alias("all"), reading(c("_x")).alias("stated"))
+    within = Window.partitionBy(*keys)
+    any_ = F.max(c("stated.best").isNotNull()).over(within)
+    groups = groups.withColumn("_any", any_ & wants).withColumn("r", F.when(c("_any"), c("stated")).otherwise(c("all"))).where("r.best IS NOT NULL").select(*keys, "r.*")
+    order = within.orderBy(F.desc("best"), F.desc("sources"), "seq")
     placed = groups.withColumns({"rank": F.row_number().over(order), "next_best": F.lead("best").over(order), "next_source": F.lead("hit.source").over(order)})
     conflict = c("hit.source").isin(*OFFICIAL) & c("next_source").isin(*OFFICIAL) & (c("best") - c("next_best") < CONFLICT_GAP)
-    return placed.where("rank = 1").select("company_id", c("hit.value").alias("value"), c("hit.source").alias("source"), "best", "sources", F.coalesce(conflict, F.lit(False)).alias("conflict"))
+    return placed.where("rank = 1").select(*keys, c("hit.value").alias("value"), c("hit.source").alias("source"), "best", "sources", F.coalesce(conflict, F.lit(False)).alias("conflict"))
 
 
 def confidence(source: Column, explicit: Column) -> Column:
@@ -46,22 +52,32 @@ def confidence(source: Column, explicit: Column) -> Column:
     return F.when((rank >= 80) & explicit, "high").when((rank >= 50) | explicit, "medium").otherwise("low")
 
 
-def resolve_field(companies: DataFrame, hits: DataFrame, kind: str) -> DataFrame:
-    """(company_id, value, source, confidence, unknown_reason) for ``hq`` or ``headcount``: the consensus, or the reason to abstain.
+#: Of each resolved field the reasons to abstain: nothing found, and sources that disagree.
+REASONS = {"hq": ("no_reliable_hq", "conflicting_sources"), "headcount": ("no_reliable_headcount", "conflicting_ranges")}
 
-    Companies without a resolved identity abstain, conflicting official values too, and low confidence is never shown.
+
+def resolve_fields(companies: DataFrame, hits: DataFrame) -> DataFrame:
+    """(company_id, hq, headcount): each a struct(value, source, confidence, unknown_reason) of hits (company_id, kind, seq, ...).
+
+    The consensus, or the reason to abstain: companies without a resolved identity abstain, conflicting official values too, and low confidence is never shown.
     """
     c = F.col
-    best = pick_consensus(hits, require_explicit=kind == "hq")
-    none, conflict = {"hq": ("no_reliable_hq", "conflicting_sources"), "headcount": ("no_reliable_headcount", "conflicting_ranges")}[kind]
-    df = companies.select("company_id", "domain").join(best, "company_id", "left")
-    sure = confidence(c("source"), F.lit(True))
-    reason = F.when(c("domain").isNull(), "identity_not_resolved").when(c("value").isNull(), none).when(c("conflict"), conflict)
-    if kind == "headcount":
-        reason = F.when(reason.isNotNull(), reason).when(~c("value").isin(*[label for _, label in HEADCOUNT_BUCKETS]), "unbucketable_headcount")
-    reason = F.when(reason.isNotNull(), reason).when(sure == "low", "low_confidence_only")
-    return df.select("company_id", F.when(reason.isNull(), c("value")).otherwise(UNKNOWN).alias("value"), F.when(reason.isNull(), c("source")).otherwise("none").alias("source"),
-                     F.when(reason.isNull(), sure).otherwise("low").alias("confidence"), reason.alias("unknown_reason"))
+    best = pick_consensus(hits, c("kind") == "hq", ("company_id", "kind"))
+    found = best.groupBy("company_id").agg(*[F.max(F.when(c("kind") == k, F.struct("value", "source", "conflict"))).alias(k) for k in REASONS])
+    df = companies.select("company_id", "domain").join(found, "company_id", "left")
+
+    def resolved(kind: str) -> Column:
+        none, conflict = REASONS[kind]
+        value, source = c(f"{kind}.value"), c(f"{kind}.source")
+        sure = confidence(source, F.lit(True))
+        reason = F.when(c("domain").isNull(), "identity_not_resolved").when(value.isNull(), none).when(c(f"{kind}.conflict"), conflict)
+        if kind == "headcount":
+            reason = F.when(reason.isNotNull(), reason).when(~value.isin(*[label for _, label in HEADCOUNT_BUCKETS]), "unbucketable_headcount")
+        reason = F.when(reason.isNotNull(), reason).when(sure == "low", "low_confidence_only")
+        return F.struct(F.when(reason.isNull(), value).otherwise(UNKNOWN).alias("value"), F.when(reason.isNull(), source).otherwise("none").alias("source"),
+                        F.when(reason.isNull(), sure).otherwise("low").alias("confidence"), reason.alias("unknown_reason"))
+
+    return df.select("company_id", *[resolved(k).alias(k) for k in REASONS])
 
 
 def score_founders(hits: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regex import EDGE, cut, let, rx, text, trim
+from ..functions.regex import EDGE, cut, rx, text, trim
 from ..functions.text import UNKNOWN, is_blank
 
 # --- fixed values: (label, strong, positive, negative, least score); ``\b`` on both sides of every expression -----
@@ -70,9 +72,28 @@ def _whole(pattern: str) -> str:
     return "(?<![a-z0-9_])(?:" + rx(pattern.lower(), False) + ")" + after
 
 
-def _count(c: Column, patterns: tuple[str, ...]) -> Column:
-    """How many of the expressions a lower-case text holds."""
-    return sum((c.rlike(_whole(p)).cast("int") for p in patterns), F.lit(0))
+def _literal(pattern: str) -> str:
+    """The longest part that every match of a rule's expression holds, lower case."""
+    plain = pattern
+    for optional in (r"\\[()]", r"\(\?:[^()]*\)[?*+]?", r"\[[^\]]*\][?*+]?", r"\\s[?*+]?", r".[?*]"):
+        plain = re.sub(optional, "\0", plain)
+    return max(plain.split("\0"), key=len).lower()
+
+
+def _expressions(rules: tuple, kinds: tuple[int, ...]) -> Column:
+    """The rules' expressions of the given kinds (1 strong, 2 positive, 3 negative) as array<struct<rule, kind, literal, pattern>>."""
+    rows = [(i, k, p) for i, rule in enumerate(rules) for k in kinds for p in rule[k]]
+    return F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(k).alias("kind"), F.lit(_literal(p)).alias("literal"), F.lit(_whole(p)).alias("pattern")) for i, k, p in rows])
+
+
+def _held(c: Column, expressions: Column, only: Column | None = None) -> Column:
+    """The (rule, kind) of every expression that a lower-case text holds; an expression is tried only where its literal stands in the text."""
+    found = F.filter(expressions, lambda e: (F.lit(True) if only is None else F.array_contains(only, e["rule"])) & F.contains(c, e["literal"]) & F.regexp_like(c, e["pattern"]))
+    return F.transform(found, lambda e: F.struct(e["rule"], e["kind"]))
+
+
+def _number(held: Column, rule: Column, kind: int) -> Column:
+    return F.size(F.filter(held, lambda h: (h["rule"] == rule) & (h["kind"] == kind)))
 
 
 def classify(df: DataFrame, parts: str = "parts") -> DataFrame:
@@ -83,29 +104,26 @@ def classify(df: DataFrame, parts: str = "parts") -> DataFrame:
     """
     c = F.col
     clean = F.filter(F.transform(F.col(parts), lambda p: trim(text(p))), lambda p: p != "")
-    df = df.withColumns({"_primary": cut(F.array_join(F.slice(clean, 1, PARTS), " · "), PRIMARY), "_full": cut(F.array_join(F.transform(F.col(parts), text), " "), WHOLE)})
-
-    def scorer(label: str, least: int, place: int):
-        def scored(r: Column) -> Column:
-            score = r["strong"] * 4 + r["positive"] * 2 - F.when(r["strong"] == 0, r["no_full"] * 3).otherwise(0)
-            row = F.struct(score.alias("score"), F.lit(-place).alias("order"), F.lit(label).alias("label"), r["strong"].alias("strong"), F.lit(least).alias("least"))
-            return F.when(~((r["no"] > 0) & (r["strong"] == 0)) & (score >= least), row)
-
-        return scored
-
-    def scores(primary: Column, full: Column, rules) -> Column:
-        out = []
-        for place, (label, strong, positive, negative, least) in enumerate(rules):
-            row = F.struct(_count(primary, strong).alias("strong"), _count(primary, positive).alias("positive"), _count(primary, negative).alias("no"), _count(full, negative).alias("no_full"))
-
-            out.append(let(row, scorer(label, least, place)))
-        return F.array_max(F.array_compact(F.array(*out)))
+    df = df.withColumns({"_primary": cut(F.array_join(F.slice(clean, 1, PARTS), " · "), PRIMARY), "_full": F.lower(cut(F.array_join(F.transform(F.col(parts), text), " "), WHOLE))})
+    rules = (*RULES, FALLBACK)
+    df = df.withColumn("_held", F.when(F.length("_primary") >= LEAST, _held(F.lower("_primary"), _expressions(rules, (1, 2, 3)))))
+    # a rule without a strong hit and without a negative one is weighed against the whole text as well
+    at = F.array_distinct(F.transform(F.filter("_held", lambda h: (h["kind"] < 3) & (h["rule"] < len(RULES))), lambda h: h["rule"]))
+    df = df.withColumn("_at", at)
+    df = df.withColumn("_weak", F.filter("_at", lambda r: (_number(c("_held"), r, 1) == 0) & (_number(c("_held"), r, 3) == 0)))
+    df = df.withColumn("_against", F.when(F.size("_weak") > 0, _held(c("_full"), _expressions(rules, (3,)), c("_weak"))).otherwise(F.array().cast("array<struct<rule:int,kind:int>>")))
+    least = F.array(*[F.lit(r[4]) for r in rules])
+    labels = F.array(*[F.lit(r[0]) for r in rules])
+
+    def scored(r: Column) -> Column:
+        strong, against = _number(c("_held"), r, 1), _number(c("_against"), r, 3)
+        score = strong * 4 + _number(c("_held"), r, 2) * 2 - against * 3
+        open_ = (strong > 0) | (_number(c("_held"), r, 3) == 0)
+        return F.when(open_ & (score >= F.get(least, r)), F.struct(score.alias("score"), (-r).alias("order"), F.get(labels, r).alias("label"), strong.alias("strong"), F.get(least, r).alias("least")))
 
-    both = F.struct(F.lower("_primary").alias("p"), F.lower("_full").alias("f"))
     # the fallback is not ruled out by negatives; it needs a strong hit
-    fallback = let(both, lambda x: F.when(_count(x["p"], FALLBACK[1]) > 0, F.struct(F.lit(6).alias("score"), F.lit(-99).alias("order"), F.lit(FALLBACK[0]).alias("label"),
-                                                                                  F.lit(1).alias("strong"), F.lit(FALLBACK[4]).alias("least"))))
-    df = df.withColumn("_best", F.when(F.length("_primary") >= LEAST, F.coalesce(let(both, lambda x: scores(x["p"], x["f"], RULES)), fallback)))
+    fallback = F.when(_number(c("_held"), F.lit(len(RULES)), 1) > 0, F.struct(F.lit(6).alias("score"), F.lit(-99).alias("order"), F.lit(FALLBACK[0]).alias("label"), F.lit(1).alias("strong"), F.lit(FALLBACK[4]).alias("least")))
+    df = df.withColumn("_best", F.coalesce(F.array_max(F.array_compact(F.transform("_at", scored))), fallback))
     sure, ample = c("_best.strong") > 0, c("_best.score") >= c("_best.least") + 2
     confidence = F.when(sure & ample, "high").when(sure | ample, "medium").otherwise("low")
     return (df.withColumn("industry_confidence", F.coalesce(F.when(c("_best").isNotNull(), confidence), F.lit("low")))
@@ -113,7 +131,7 @@ def classify(df: DataFrame, parts: str = "parts") -> DataFrame:
             .withColumn("industry_score", F.coalesce(c("_best.score"), F.lit(0)))
             .withColumn("industry_source", F.when(F.length("_primary") < LEAST, "none").when(c("_best").isNull(), "insufficient_signal").when(c("industry_confidence") == "low", "weak_keyword_rejected")
                         .when(sure, "explicit_description").otherwise("multi_signal"))
-            .drop("_primary", "_full", "_best"))
+            .drop("_primary", "_full", "_held", "_at", "_weak", "_against", "_best"))
 
 
 def equivalent(got: Column, expected: Column) -> Column:

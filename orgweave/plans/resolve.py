@@ -1,16 +1,16 @@
-"""Whole plans: from company names and lookup tables to identities and fields. Each is a chain of operators without actions, so the
-optimizer sees it whole."""
+"""Whole plans: from company names and lookup tables to identities and fields. They are chains of operators that the optimizer sees whole, but for
+tables that are read several times and for levels of a walk, which are written to the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import domains as D
 from ..functions import extract as X
 from ..functions import matching as N
 from ..functions import text as T
-from ..functions.regex import has, text
+from ..functions.regex import cut, has, text
 from ..operators import candidates as C
 from ..operators import consensus as S
 from ..operators import guard, industry, provider, scoring, selection
@@ -33,13 +33,13 @@ def resolve_pool(companies: DataFrame, pool: DataFrame, rejected: DataFrame, liv
     return companies.select("company_id", "company").join(decided.drop("company"), "company_id", "left").withColumn("status", F.coalesce("status", F.lit("unverified")))
 
 
-def resolve_known(companies: DataFrame, learned: DataFrame, major: DataFrame, dictionary: DataFrame, rows: int) -> DataFrame:
+def resolve_known(companies: DataFrame, learned: DataFrame, major: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(company_id, company, domain, source): learned corrections, then major firms, then the dictionary; the first that knows a name answers."""
     c = F.col
     names = companies.withColumnRenamed("company", "name")
     df = C.exact_lookup(names, learned).select("company_id", "name", c("domain").alias("learned"))
-    df = df.join(C.exact_lookup(names, major, rows).select("company_id", c("domain").alias("major")), "company_id")
-    df = df.join(C.fuzzy_lookup(names, dictionary, rows).select("company_id", c("domain").alias("dictionary")), "company_id")
+    df = df.join(C.exact_lookup(names, major).select("company_id", c("domain").alias("major")), "company_id")
+    df = df.join(C.fuzzy_lookup(names, dictionary).select("company_id", c("domain").alias("dictionary")), "company_id")
     source = F.when(c("learned").isNotNull(), "learned").when(c("major").isNotNull(), "major_firm").when(c("dictionary").isNotNull(), "dictionary")
     return df.select("company_id", c("name").alias("company"), F.coalesce("learned", "major", "dictionary").alias("domain"), source.alias("source"))
 
@@ -115,22 +115,36 @@ def second_stage(decided: DataFrame, scored: DataFrame, evidence: DataFrame) ->
     return decided.where("status <> 'ambiguous'").unionByName(redone.select(*decided.columns))
 
 
-def enrich_fields(companies: DataFrame, texts: DataFrame) -> DataFrame:
-    """(company_id, industry, headquarters, headcount, founders, ...) of resolved companies (company_id, company, domain) and texts (company_id, seq, source, text, authority)."""
+def facts(companies: DataFrame, texts: DataFrame) -> DataFrame:
+    """(company_id, kind, seq, source, authority, value, explicit): headquarters, headcounts and founders that texts (company_id, seq, source, text, authority) name."""
     c = F.col
     df = texts.join(companies.select("company_id", "company"), "company_id")
-    rows = df.select("company_id", "seq", "source", "authority", X.hq_hits(c("text")).alias("hq"), X.headcount_hits(c("text")).alias("n"), X.founder_hits(c("text"), c("company")).alias("f"))
-
-    def hits(col: str) -> DataFrame:
-        return rows.select("company_id", (c("seq") * 1000).alias("base"), "source", "authority", F.posexplode(col).alias("i", "h")).select(
-            "company_id", (c("base") + c("i")).alias("seq"), "source", "authority", "h.value", "h.explicit")
-
-    hq = S.resolve_field(companies, hits("hq"), "hq").select("company_id", c("value").alias("headquarters"), c("unknown_reason").alias("headquarters_reason"))
-    n = S.resolve_field(companies, hits("n"), "headcount").select("company_id", c("value").alias("headcount"), c("unknown_reason").alias("headcount_reason"))
-    founders = S.score_founders(hits("f")).select("company_id", "founders")
-    parts = texts.groupBy("company_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda t: t["text"]).alias("parts"))
-    kinds = industry.classify(parts).select("company_id", "industry", "industry_confidence")
-    out = companies.select("company_id", "company", "domain").join(hq, "company_id", "left").join(n, "company_id", "left").join(founders, "company_id", "left").join(kinds, "company_id", "left")
+    told = {"hq": X.hq_hits(c("text")), "headcount": X.headcount_hits(c("text")), "founders": X.founder_hits(c("text"), c("company"))}
+    named = lambda kind: lambda h: F.struct(F.lit(kind).alias("kind"), h["value"].alias("value"), h["explicit"].alias("explicit"))
+    every = F.concat(*[F.transform(hits, named(kind)) for kind, hits in told.items()])
+    rows = df.select("company_id", (c("seq").cast("long") * 1_000_000).alias("base"), "source", "authority", F.posexplode(every).alias("i", "h"))
+    return rows.select("company_id", "h.kind", (c("base") + c("i")).alias("seq"), "source", "authority", "h.value", "h.explicit")
+
+
+def evidence_parts(texts: DataFrame) -> DataFrame:
+    """(company_id, parts): a company's texts in order, as many and as much of each as a classification can reach."""
+    place = F.row_number().over(Window.partitionBy("company_id").orderBy("seq"))
+    some = texts.select("company_id", "seq", cut(F.col("text"), industry.WHOLE).alias("text")).withColumn("place", place).where(F.col("place") <= industry.WHOLE)
+    return some.groupBy("company_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda t: t["text"]).alias("parts"))
+
+
+def enrich_fields(companies: DataFrame, texts: DataFrame) -> DataFrame:
+    """(company_id, industry, headquarters, headcount, founders, ...) of resolved companies (company_id, company, domain) and texts (company_id, seq, source, text, authority).
+
+    Facts are drawn from the texts once and written, as they are read for two purposes.
+    """
+    c = F.col
+    found = materialize(facts(companies, texts), "facts")
+    fields = S.resolve_fields(companies, found.where("kind <> 'founders'")).select(
+        "company_id", c("hq.value").alias("headquarters"), c("hq.unknown_reason").alias("headquarters_reason"), c("headcount.value").alias("headcount"), c("headcount.unknown_reason").alias("headcount_reason"))
+    founders = S.score_founders(found.where("kind = 'founders'")).select("company_id", "founders")
+    kinds = industry.classify(evidence_parts(texts)).select("company_id", "industry", "industry_confidence")
+    out = companies.select("company_id", "company", "domain").join(fields, "company_id", "left").join(founders, "company_id", "left").join(kinds, "company_id", "left")
     return out.withColumns({"founders": F.coalesce("founders", F.lit(T.UNKNOWN)), "industry": F.coalesce("industry", F.lit(T.UNKNOWN))})
 
 

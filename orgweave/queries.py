@@ -54,6 +54,9 @@ _H1 = _SQUEEZE.format(r"regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)
 _JUNK = r"'(^|\.)(" + "|".join(h.replace(".", r"\.") for h in D.JUNK_HOSTS) + r")(/|$)'"
 
 
+_META = """trim(coalesce(nullif(regexp_extract(html, '(?is)<meta[^>]+(?:name|property)=["'']{0}["''][^>]+content=["'']([^"'']*)["'']', 1), ''), regexp_extract(html, '(?is)<meta[^>]+content=["'']([^"'']*)["''][^>]+(?:name|property)=["'']{0}["'']', 1)))"""
+
+
 # pages ---------------------------------------------------------------------------------------------------------------
 @query(f"""
 WITH p AS (SELECT page_id, {_PAGE_HOST} AS host, {_TITLE} AS title, {_H1} AS heading FROM pages),
@@ -77,7 +80,7 @@ def site_front_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("owner", "b.*")
 
 
-@query(f"SELECT page_id, {_TITLE} AS title, {_H1} AS heading, '' AS description, '' AS site_name FROM pages")
+@query(f"""SELECT page_id, {_TITLE} AS title, {_H1} AS heading, coalesce(nullif({_META.format('description')}, ''), {_META.format('og:description')}) AS description, {_META.format('og:site_name')} AS site_name FROM pages""")
 def page_identity_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", H.page_identity(F.col("html")).alias("p")).select("page_id", "p.title", "p.heading", "p.description", "p.site_name")
 
@@ -185,7 +188,7 @@ FROM n JOIN d ON d.key = n.key OR (length(n.key) >= 4 AND (contains(d.key, n.key
 def dictionary_fuzzy_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(0, "ring", "ring.example.com"), (1, "redwidget", "widget.example.com"), (2, "bolt", "bolt.example.org"), (3, "bluebolt", "bluebolt.example.org"), (4, "gear", "gear.example.net")]
     names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    return C.fuzzy_lookup(names, spark.createDataFrame(rows, "entry_seq int, key string, domain string"), len(rows)).drop("name")
+    return C.fuzzy_lookup(names, spark.createDataFrame(rows, "entry_seq int, key string, domain string")).drop("name")
 
 
 @query("""WITH s AS (SELECT p_brand AS company_id, p_partkey AS seq, p_name AS domain, CAST(floor(p_retailprice) AS INTEGER) % 100 AS score FROM part),
@@ -231,51 +234,69 @@ def industry_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), L.industry(F.get(phrases, (F.col("s_suppkey") % len(_PHRASES)).cast("int"))).alias("industry"))
 
 
-def _golden(rows: list[tuple], columns: str) -> str:
-    """SQL for expected rows that were worked out by hand from the specification."""
-    lit = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({columns})"
+# Companies, people and places made of the tables' keys, the same in SQL. Digits become letters, so every key has a name of its own.
+_LETTERS = "translate(CAST({0} AS VARCHAR), '0123456789', 'abcdefghij')"
+_CITY = "CASE {0} % 5 WHEN 0 THEN 'Austin' WHEN 1 THEN 'Denver' WHEN 2 THEN 'Portland' WHEN 3 THEN 'Columbus' ELSE 'Boise' END"
+_STATE = "CASE {0} % 5 WHEN 0 THEN 'Texas' WHEN 1 THEN 'Colorado' WHEN 2 THEN 'Oregon' WHEN 3 THEN 'Ohio' ELSE 'Idaho' END"
+_CODE = "CASE {0} % 5 WHEN 0 THEN 'TX' WHEN 1 THEN 'CO' WHEN 2 THEN 'OR' WHEN 3 THEN 'OH' ELSE 'ID' END"
+_BUCKET = "CASE WHEN {0} <= 10 THEN '1–10' WHEN {0} <= 50 THEN '11–50' WHEN {0} <= 200 THEN '51–200' WHEN {0} <= 500 THEN '201–500' WHEN {0} <= 1000 THEN '501–1,000' WHEN {0} <= 5000 THEN '1,001–5,000' WHEN {0} <= 10000 THEN '5,001–10,000' ELSE '10,001+' END"
+_MADE = (f"SELECT c_custkey AS k, concat('Zor', {_LETTERS.format('c_custkey')}) AS z, {_CITY.format('c_custkey')} AS city, {_STATE.format('c_custkey')} AS state, {_CODE.format('c_custkey')} AS code, "
+         f"concat('Jane Do', {_LETTERS.format('c_custkey')}) AS p1, concat('John Ro', {_LETTERS.format('c_custkey')}) AS p2, concat('Ann Le', {_LETTERS.format('c_custkey')}) AS p3, c_custkey * 37 % 12000 + 1 AS n FROM customer")
 
 
-_HEADCOUNTS = (("10,000+", "5,001–10,000"), ("More than 10,000", "10,001+"), ("51-200", "51–200"), ("1,234", "1,001–5,000"), ("about 300 to 500 people", "201–500"), ("Unknown", "Unknown"), ("-", "Unknown"), ("some", "some"))
+def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, z, city, state, code, p1, p2, p3, n) for every customer: a company's word, a place, three persons, a number."""
+    k = F.col("c_custkey")
+    letters = F.translate(k.cast("string"), "0123456789", "abcdefghij")
+    of = lambda *names: F.element_at(F.array(*map(F.lit, names)), (k % 5 + 1).cast("int"))
+    person = lambda start: F.concat(F.lit(start), letters)
+    return table(spark, sf_dir, "customer").select(
+        k.alias("k"), F.concat(F.lit("Zor"), letters).alias("z"), of("Austin", "Denver", "Portland", "Columbus", "Boise").alias("city"), of("Texas", "Colorado", "Oregon", "Ohio", "Idaho").alias("state"),
+        of("TX", "CO", "OR", "OH", "ID").alias("code"), person("Jane Do").alias("p1"), person("John Ro").alias("p2"), person("Ann Le").alias("p3"), (k * 37 % 12000 + 1).alias("n"))
 
 
-@query(_golden([(i, b) for i, (_, b) in enumerate(_HEADCOUNTS)], "id, bucket"))
-def headcount_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(_HEADCOUNTS)], "id int, s string")
-    return rows.select("id", L.headcount(F.col("s")).alias("bucket"))
+def _case(n: int, *values) -> "F.Column":
+    """The value of ``k % n``; what is no Column is a literal."""
+    out = F.lit(None)
+    for i, v in reversed(list(enumerate(values))):
+        out = F.when(F.col("k") % n == i, v if not isinstance(v, (str, bool, int, type(None))) else F.lit(v)).otherwise(out)
+    return out
 
 
-_PLACES = (("headquartered in Austin, Texas", "Austin, TX"), ("Toyota City, Aichi, Japan", "Toyota City, Japan"), ("Osaka, osaka", None), ("London", "London"), ("Palo Alto, CA, USA", "Palo Alto, CA"), ("Smallville", None),
-           ("our headquarters are located in Leeds, England", None), ("based in Boston, MA", "Boston, MA"))
+@query(f"""WITH m AS ({_MADE}) SELECT k AS id, CASE k % 7 WHEN 0 THEN {_BUCKET.format('n')} WHEN 1 THEN {_BUCKET.format('(n + 1)')} WHEN 2 THEN {_BUCKET.format('(n + 25)')} WHEN 3 THEN {_BUCKET.format('n')} WHEN 4 THEN {_BUCKET.format('(n + 100)')}
+WHEN 5 THEN 'Unknown' ELSE concat('some ', z) END AS bucket FROM m""")
+def headcount_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    shown = lambda x: F.format_number(x, 0)
+    said = _case(7, F.concat(shown(c("n")), F.lit("+")), F.concat(F.lit("More than "), shown(c("n"))), F.concat(c("n").cast("string"), F.lit("-"), (c("n") + 50).cast("string")), shown(c("n")),
+                 F.concat(F.lit("about "), shown(c("n")), F.lit(" to "), shown(c("n") + 200), F.lit(" people")), "-", F.concat(F.lit("some "), c("z")))
+    return _made(spark, sf_dir).select(c("k").alias("id"), L.headcount(said).alias("bucket"))
 
 
-@query(_golden([(i, b) for i, (_, b) in enumerate(_PLACES)], "id, place"))
+@query(f"WITH m AS ({_MADE}) SELECT k AS id, CASE k % 7 WHEN 0 THEN concat(city, ', ', code) WHEN 1 THEN concat(city, ', Japan') WHEN 3 THEN 'London' WHEN 4 THEN concat(city, ', ', code) WHEN 6 THEN concat(city, ', ', code) END AS place FROM m")
 def headquarters_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(_PLACES)], "id int, s string")
-    return rows.select("id", L.hq(F.col("s")).alias("place"))
-
-
-_LISTS = (("Ann Lee and Bob Ray", "Ann Lee; Bob Ray"), ("Ann Lee (CEO), ann lee, Cher", "Ann Lee"), ("The Team", "Unknown"), ("not_applicable", "not_applicable"), ("Jane Doe, CEO", "Jane Doe"))
+    c = F.col
+    pair = F.concat_ws(", ", "city", "state")
+    said = _case(7, F.concat(F.lit("headquartered in "), pair), F.concat(c("city"), F.lit(", Aichi, Japan")), F.concat(c("z"), F.lit(", osaka")), "London", F.concat(F.concat_ws(", ", "city", "code"), F.lit(", USA")), c("z"),
+                 F.concat(F.lit("based in "), c("city"), F.lit(", "), c("code")))
+    return _made(spark, sf_dir).select(c("k").alias("id"), L.hq(said).alias("place"))
 
 
-@query(_golden([(i, b) for i, (_, b) in enumerate(_LISTS)], "id, names"))
+@query(f"WITH m AS ({_MADE}) SELECT k AS id, CASE k % 5 WHEN 0 THEN concat(p1, '; ', p2) WHEN 1 THEN p1 WHEN 2 THEN 'Unknown' WHEN 3 THEN 'not_applicable' ELSE p3 END AS names FROM m")
 def founder_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(_LISTS)], "id int, s string")
-    return rows.select("id", L.founders(F.col("s")).alias("names"))
+    c = F.col
+    said = _case(5, F.concat_ws(" and ", "p1", "p2"), F.concat(c("p1"), F.lit(" (CEO), "), F.lower("p1"), F.lit(", "), c("z")), "The Team", "not_applicable", F.concat(c("p3"), F.lit(", CEO")))
+    return _made(spark, sf_dir).select(c("k").alias("id"), L.founders(said).alias("names"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, trim(split_part(text, chr(10), 1)) AS line, doc_id % 3 AS k FROM documents)
-SELECT doc_id, CASE k WHEN 0 THEN 'good note' WHEN 1 THEN 'a · b' ELSE '' END AS note FROM d""")
+@query(r"""SELECT doc_id, regexp_extract(coalesce(text, ''), '[A-Za-z]+ [A-Za-z]+ [A-Za-z]+') AS note FROM documents""")
 def notes_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("doc_id") % 3
-    raw = F.when(k == 0, "Score 70 · good note | DNS").when(k == 1, "a | Verifying selected domain... | b").otherwise("Candidates: | timeout")
+    """Three words of each document between what a pipeline says of itself."""
+    said = F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z]+ [A-Za-z]+ [A-Za-z]+", 0)
+    raw = F.concat(F.lit("Score "), (F.col("doc_id") % 90 + 10).cast("string"), F.lit(" · "), said, F.lit(" | DNS | Verifying selected domain..."))
     return table(spark, sf_dir, "documents").select("doc_id", L.notes(raw).alias("note"))
 
 
-_STRONG_SQL = ", ".join("(" + ", ".join([str(i), "'" + label + "'", str(least)]) + ")" for i, (label, _, _, _, least) in enumerate(I.RULES))
-
-
 def _rule_sql(text: str, patterns: tuple[str, ...]) -> str:
     return "(" + " + ".join([f"CAST(regexp_matches({text}, '\\b{p}\\b', 'i') AS INTEGER)" for p in patterns] or ["0"]) + ")"
 
@@ -284,73 +305,92 @@ _CORPORA = ("Acme is a fabless semiconductor company that designs and sells GPUs
             "They run an online marketplace where merchants sell apparel", "a technology company with many offices around the world", "short", "nothing that any rule would know about at all, really")
 
 
-@query("WITH c(k, p) AS (VALUES " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(_CORPORA)) + f"), d AS (SELECT doc_id, CASE WHEN doc_id % 10 < {len(_CORPORA)} THEN (SELECT p FROM c WHERE k = doc_id % 10) ELSE substr(trim(text), 1, 4000) END AS p FROM documents), s AS (SELECT doc_id, p, "
-       + "[" + ", ".join(f"struct_pack(label := '{label}', place := {i}, least := {least}, strong := {_rule_sql('p', strong)}, score := {_rule_sql('p', strong)} * 4 + {_rule_sql('p', pos)} * 2, no := {_rule_sql('p', neg)})"
+@query("WITH c(k, p) AS (VALUES " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(_CORPORA)) + "), g AS (SELECT doc_id, p AS said, trim(coalesce(text, '')) AS t FROM documents LEFT JOIN c ON doc_id % 10 = k), "
+       "d AS (SELECT doc_id, substr(CASE WHEN said IS NULL THEN t WHEN t = '' THEN said ELSE concat(said, ' · ', t) END, 1, 4000) AS p, substr(concat(said, ' ', t), 1, 12000) AS f FROM g), s AS (SELECT doc_id, p, "
+       + "[" + ", ".join(f"struct_pack(label := '{label}', place := {i}, least := {least}, strong := {_rule_sql('p', strong)}, score := {_rule_sql('p', strong)} * 4 + {_rule_sql('p', pos)} * 2 - CASE WHEN {_rule_sql('p', strong)} = 0 THEN 3 * {_rule_sql('f', neg)} ELSE 0 END, no := {_rule_sql('p', neg)})"
                          for i, (label, strong, pos, neg, least) in enumerate(I.RULES)) + "] AS r FROM d), "
        "t AS (SELECT doc_id, p, list_filter(r, lambda x: NOT (x.no > 0 AND x.strong = 0) AND x.score >= x.least) AS r FROM s), "
        "u AS (SELECT doc_id, p, (SELECT arg_max(v, v.score * 100 - v.place) FROM (SELECT unnest(r) AS v)) AS b FROM t) "
        "SELECT doc_id, CASE WHEN length(p) < 20 THEN 'Unknown' WHEN b IS NOT NULL THEN CASE WHEN b.strong > 0 OR b.score >= b.least + 2 THEN b.label ELSE 'Unknown' END WHEN regexp_matches(p, '\\btechnology company\\b', 'i') THEN 'Technology' ELSE 'Unknown' END AS industry FROM u")
 def industry_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text of every document; seven of ten have a sentence about a company before it."""
     k = F.col("doc_id") % 10
-    part = F.when(k < len(_CORPORA), F.get(F.array(*map(F.lit, _CORPORA)), k.cast("int"))).otherwise(F.col("text"))
-    return I.classify(table(spark, sf_dir, "documents").select("doc_id", F.array(part).alias("parts"))).select("doc_id", "industry")
+    said = F.when(k < len(_CORPORA), F.get(F.array(*map(F.lit, _CORPORA)), k.cast("int")))
+    return I.classify(table(spark, sf_dir, "documents").select("doc_id", F.array(said, F.col("text")).alias("parts"))).select("doc_id", "industry")
 
 
-_PROSE = (("Acme", "Acme is headquartered in Austin, Texas. It employs about 1,200 people."), ("Acme", "We have an office in Paris, France. 51-200 employees work here."),
-          ("Acme", "Acme was founded by Jane Doe in 1999. Followers: 9,000 employees of others, users."), ("Acme", "Sam Poe, Founder of Other Corp, said so."), ("", ""))
-
-
-@query(_golden([(0, "Austin, TX", "1,001–5,000", ""), (1, "", "51–200,51–200", ""), (2, "", "", "Jane Doe"), (3, "", "", ""), (4, "", "", "")], "id, hq, headcount, founders"))
+@query(f"""WITH m AS ({_MADE}) SELECT k AS id, CASE WHEN k % 4 = 0 THEN concat(city, ', ', code) ELSE '' END AS hq, CASE k % 4 WHEN 0 THEN {_BUCKET.format('n')} WHEN 1 THEN concat({_BUCKET.format('(n + 25)')}, ',', {_BUCKET.format('(n + 50)')}) ELSE '' END AS headcount,
+CASE WHEN k % 4 = 2 THEN p1 ELSE '' END AS founders FROM m""")
 def prose_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, c, t) for i, (c, t) in enumerate(_PROSE)], "id int, company string, t string")
-    join = lambda hits, sep=",": F.array_join(F.array_distinct(F.transform(hits, lambda h: h["value"])) if sep == "|" else F.transform(hits, lambda h: h["value"]), "," if sep != "|" else "|")
-    hq = F.filter(F.transform(X.hq_hits(F.col("t")), lambda h: h["value"]), lambda v: v.endswith("TX"))
-    return rows.select("id", F.array_join(F.array_distinct(hq), ",").alias("hq"), join(X.headcount_hits(F.col("t"))).alias("headcount"), join(X.founder_hits(F.col("t"), F.col("company"))).alias("founders"))
-
-
-_PASTE = "• Nvidia, Apple, Ramp\n1. Foo Inc, Bar\n\n[3] Baz Widgets\nJane – CFO\tAcme (x)\nKim, Partner\n"
+    c = F.col
+    shown = lambda x: F.format_number(x, 0)
+    said = _case(4, F.concat(c("z"), F.lit(" Labs is headquartered in "), c("city"), F.lit(", "), c("state"), F.lit(". It employs about "), shown(c("n")), F.lit(" people.")),
+                 F.concat(F.lit("We have an office in Paris, France. "), shown(c("n")), F.lit("-"), shown(c("n") + 50), F.lit(" employees work here.")),
+                 F.concat(c("z"), F.lit(" Labs was founded by "), c("p1"), F.lit(" in 1999. Followers: 9,000 employees of others, users.")), F.concat(c("p1"), F.lit(", Founder of Other Corp, said so.")))
+    rows = _made(spark, sf_dir).select("k", F.concat(c("z"), F.lit(" Labs")).alias("company"), said.alias("t"))
+    join = lambda hits: F.array_join(F.transform(hits, lambda h: h["value"]), ",")
+    hq = F.array_join(F.array_distinct(F.transform(X.hq_hits(c("t")), lambda h: h["value"])), ",")
+    return rows.select(c("k").alias("id"), hq.alias("hq"), join(X.headcount_hits(c("t"))).alias("headcount"), join(X.founder_hits(c("t"), c("company"))).alias("founders"))
 
 
-@query(_golden([(0, "Nvidia"), (1, "Apple"), (2, "Ramp"), (3, "Foo Inc, Bar"), (4, "Baz Widgets"), (5, "Jane – CFO\tAcme (x)"), (6, "Kim, Partner")], "seq, name"))
+@query(f"WITH m AS ({_MADE}), n AS (SELECT k, unnest(['Nvidia', z, concat(z, ' Inc, Bar'), concat(z, ' Widgets'), concat(p1, ' – CFO\t', z, ' (x)'), concat(p2, ', Partner')]) AS name, unnest(range(6)) AS seq FROM m) SELECT k AS paste_id, CAST(seq AS INTEGER) AS seq, name FROM n".replace("\\t", "' || chr(9) || '"))
 def pasted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.pasted_names(spark.createDataFrame([(0, _PASTE)], "paste_id int, text string")).select("seq", "name")
+    c, lit = F.col, F.lit
+    text = F.concat(lit("• Nvidia, "), c("z"), lit("\n1. "), c("z"), lit(" Inc, Bar\r\n\n[3] "), c("z"), lit(" Widgets\n"), c("p1"), lit(" – CFO\t"), c("z"), lit(" (x)\n"), c("p2"), lit(", Partner\n"))
+    return readers.pasted_names(_made(spark, sf_dir).select(c("k").alias("paste_id"), text.alias("text"))).select("paste_id", "seq", "name")
 
 
-_WIKI = (("Acme (company)", "Acme Inc"), ("Acme", "Acme, Inc."), ("Acme (film)", "Acme"), ("Acme Steel", "Acme"), ("Other", "Acme"))
-
-
-@query(_golden([(0, "exact", 130.0, True), (1, "exact", 110.0, True), (2, "none", -100.0, False), (3, "near-exact", 60.0, True), (4, "none", 0.0, False)], "id, kind, score, ok"))
+@query(f"""WITH m AS ({_MADE}) SELECT k AS id, CASE k % 5 WHEN 0 THEN 'exact' WHEN 1 THEN 'exact' WHEN 3 THEN 'near-exact' ELSE 'none' END AS kind,
+CAST(CASE k % 5 WHEN 0 THEN 50 + 25 + 20 + 15 + 20 WHEN 1 THEN 50 + 25 + 15 + 20 WHEN 2 THEN -100 WHEN 3 THEN 25 + 15 + 20 ELSE 0 END AS DOUBLE) AS score, k % 5 IN (0, 1, 3) AS ok FROM m""")
 def wiki_page_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate(_WIKI)], "id int, t string, n string")
-    none = F.lit(None).cast("string")
-    j = N.judge_wiki_page(F.col("t"), F.col("n"), F.lit(None).cast("array<string>"), none, none, none, none, F.lit(None).cast("int"), F.lit(None).cast("int"))
-    return rows.select("id", j.alias("j")).select("id", "j.kind", "j.score", "j.ok")
+    c, none = F.col, F.lit(None).cast("string")
+    title = _case(5, F.concat(c("z"), F.lit(" (company)")), c("z"), F.concat(c("z"), F.lit(" (film)")), F.concat(c("z"), F.lit(" Steel")), "Other")
+    name = _case(5, F.concat(c("z"), F.lit(" Inc")), F.concat(c("z"), F.lit(", Inc.")), c("z"), c("z"), c("z"))
+    j = N.judge_wiki_page(title, name, F.lit(None).cast("array<string>"), none, none, none, none, F.lit(None).cast("int"), F.lit(None).cast("int"))
+    return _made(spark, sf_dir).select(c("k").alias("id"), j.alias("j")).select("id", "j.kind", "j.score", "j.ok")
 
 
-@query(_golden([(0, 145, "acme", True, 80), (1, 90, "acme", True, 80), (2, 0, "plum alley", False, 0), (3, 0, "", True, 0), (4, 145, "nova", True, 180)], "id, score, plain, ambiguous, simple"))
+@query(f"""WITH m AS ({_MADE}) SELECT k AS id, CASE k % 4 WHEN 0 THEN 100 + 15 + 30 WHEN 1 THEN 100 - 40 + 30 ELSE 0 END AS score, CASE k % 4 WHEN 2 THEN concat('plum', lower(z), ' alley') WHEN 3 THEN '' ELSE lower(z) END AS plain,
+CASE k % 4 WHEN 2 THEN FALSE WHEN 3 THEN TRUE ELSE length(z) <= 6 END AS ambiguous, CASE k % 4 WHEN 0 THEN 60 + 20 WHEN 1 THEN 60 + 20 ELSE 0 END AS simple FROM m""")
 def first_generation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(0, "Acme, Inc.", "www.acme.com", "Acme"), (1, "The Acme Co", "acme.zz", "Acme Ltd"), (2, "Plum Alley", "zzz.com", None), (3, "", "a.com", ""), (4, "Nova", "nova.io", "Nova")]
-    df = spark.createDataFrame(rows, "id int, n string, d string, s string")
-    n, d = F.col("n"), F.col("d")
-    return df.select("id", N.domain_score(d, n, F.col("s")).alias("score"), N.plain_name(n).alias("plain"), N.is_ambiguous_name(n).alias("ambiguous"), N.domain_for_name(n, d).alias("simple"))
+    c, lit = F.col, F.lit
+    low = F.lower("z")
+    n = _case(4, F.concat(c("z"), lit(", Inc.")), F.concat(lit("The "), c("z"), lit(" Co")), F.concat(lit("Plum"), low, lit(" Alley")), "")
+    d = _case(4, F.concat(lit("www."), low, lit(".com")), F.concat(low, lit(".zz")), "qqq.com", "a.com")
+    s = _case(4, c("z"), F.concat(c("z"), lit(" Ltd")), lit(None).cast("string"), "")
+    df = _made(spark, sf_dir).select("k", n.alias("n"), d.alias("d"), s.alias("s"))
+    return df.select(c("k").alias("id"), N.domain_score(c("d"), c("n"), c("s")).alias("score"), N.plain_name(c("n")).alias("plain"), N.is_ambiguous_name(c("n")).alias("ambiguous"), N.domain_for_name(c("n"), c("d")).alias("simple"))
 
 
-@query(_golden([(0, "Austin, TX", "51–200", "Jane Doe", "Venture Capital"), (1, "Unknown", "Unknown", "Unknown", "Unknown")], "id, location, headcount, founders, industry"))
+@query(f"""WITH m AS ({_MADE}) SELECT k AS id, CASE WHEN k % 5 = 4 THEN 'Unknown' ELSE concat(city, ', ', code) END AS location, CASE WHEN k % 5 = 4 THEN 'Unknown' ELSE {_BUCKET.format('(n + 25)')} END AS headcount, CASE WHEN k % 5 = 4 THEN 'Unknown' ELSE p1 END AS founders,
+CASE WHEN k % 5 = 4 THEN 'Unknown' ELSE 'Venture Capital' END AS industry FROM m""")
 def search_corpus_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(0, "Acme is a venture capital firm based in Austin, TX and has 51-200 employees. It was founded by Jane Doe in 1999."), (1, "short")], "id int, t string")
-    return rows.select("id", N.corpus_fields(F.col("t")).alias("f"), N.infer_industry(F.col("t")).alias("industry")).select("id", "f.location", "f.headcount", "f.founders", "industry")
+    c, lit = F.col, F.lit
+    shown = lambda x: F.format_number(x, 0)
+    said = F.concat(c("z"), lit(" is a venture capital firm based in "), c("city"), lit(", "), c("code"), lit(" and has "), shown(c("n")), lit("-"), shown(c("n") + 50), lit(" employees. It was founded by "), c("p1"), lit(" in 1999."))
+    rows = _made(spark, sf_dir).select(c("k").alias("id"), F.when(c("k") % 5 == 4, "short").otherwise(said).alias("t"))
+    return rows.select("id", N.corpus_fields(c("t")).alias("f"), N.infer_industry(c("t")).alias("industry")).select("id", "f.location", "f.headcount", "f.founders", "industry")
 
 
 # decisions -----------------------------------------------------------------------------------------------------------
-@query(_golden([(0, "accept", "p31_organization", "exact", None), (1, "reject", "p31_media", "exact", None), (2, "accept", "p31_media_with_context", "exact", None), (3, "reject", "p31_non_organization", "exact", None),
-                (4, "allow_unknown", "no_p31", "empty_p31", None), (5, "accept", "p31_org_subclass", "subclass", 2), (6, "allow_unknown", "p31_unlisted", "subclass", None), (7, "retry_needed", "transient", None, None),
-                (8, "accept", "p31_organization", "exact", None), (9, "reject", "p31_non_organization", "subclass", 1)], "entity_id, decision, reason, via, subclass_depth"))
+@query("""WITH s AS (SELECT s_suppkey AS k FROM supplier) SELECT k AS entity_id,
+CASE WHEN k % 10 IN (0, 2, 5, 8) THEN 'accept' WHEN k % 10 IN (4, 6) THEN 'allow_unknown' WHEN k % 10 = 7 THEN 'retry_needed' ELSE 'reject' END AS decision,
+CASE k % 10 WHEN 0 THEN 'p31_organization' WHEN 1 THEN 'p31_media' WHEN 2 THEN 'p31_media_with_context' WHEN 3 THEN 'p31_non_organization' WHEN 4 THEN 'no_p31' WHEN 5 THEN 'p31_org_subclass' WHEN 6 THEN 'p31_unlisted' WHEN 7 THEN 'transient'
+WHEN 8 THEN 'p31_organization' ELSE 'p31_non_organization' END AS reason,
+CASE WHEN k % 10 = 4 THEN 'empty_p31' WHEN k % 10 IN (5, 6, 9) THEN 'subclass' WHEN k % 10 <> 7 THEN 'exact' END AS via, CASE k % 10 WHEN 5 THEN 2 WHEN 9 THEN 1 END AS subclass_depth FROM s""")
 def entity_type_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(0, ["Q43229"], False, False), (1, ["Q11032"], False, False), (2, ["Q11032"], True, False), (3, ["Q5", "Q11032"], True, False), (4, [], False, False), (5, ["Q900001"], False, False), (6, ["Q900010"], False, False),
-            (7, ["Q5"], False, True), (8, ["http://x/Q5", "q4830453"], False, False), (9, ["Q900020"], False, False)]
-    edges = [("Q900001", "Q900002"), ("Q900002", "Q43229"), ("Q900002", "Q900001"), ("Q900010", "Q900011"), ("Q900011", "Q900010"), ("Q900020", "Q515"), ("Q900020", "Q900001")]
-    entities = spark.createDataFrame(rows, "entity_id int, classes array<string>, media_context boolean, failed boolean")
-    return G.classify(entities, spark.createDataFrame(edges, "child string, parent string")).select("entity_id", "decision", "reason", "via", "subclass_depth")
+    """Entities of every supplier; the classes above theirs come from the nations and regions: nation to region to organization, and back again."""
+    c, lit = F.col, F.lit
+    q = lambda start, key: F.concat(lit(start), c(key).cast("string"))
+    rows = table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("k"), "s_nationkey")
+    own = _case(10, F.array(lit("Q43229")), F.array(lit("Q11032")), F.array(lit("Q11032")), F.array(lit("Q5"), lit("Q11032")), F.array().cast("array<string>"), F.array(q("Q9990000", "s_nationkey")), F.array(q("Q9970000", "s_nationkey")),
+                F.array(lit("Q5")), F.array(lit("http://x/Q5"), lit("q4830453")), F.array(q("Q9960000", "s_nationkey")))
+    entities = rows.select(c("k").alias("entity_id"), own.alias("classes"), (c("k") % 10 == 2).alias("media_context"), (c("k") % 10 == 7).alias("failed"))
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    edge = lambda child, parent: n.select(child.alias("child"), parent.alias("parent"))
+    nation, region, loop, place = q("Q9990000", "n_nationkey"), q("Q9980000", "n_regionkey"), q("Q9970000", "n_nationkey"), q("Q9960000", "n_nationkey")
+    edges = readers.stack(edge(nation, region), edge(region, lit("Q43229")), edge(region, nation), edge(loop, F.concat(loop, lit("0000"))), edge(F.concat(loop, lit("0000")), loop), edge(place, lit("Q515")), edge(place, nation))
+    return G.classify(entities, edges).select("entity_id", "decision", "reason", "via", "subclass_depth")
 
 
 @query("""WITH RECURSIVE e AS (SELECT concat('N', n_nationkey) AS child, concat('R', n_regionkey) AS parent FROM nation UNION SELECT concat('R', r_regionkey), 'TOP' FROM region UNION SELECT 'TOP', 'R0'),
@@ -386,15 +426,18 @@ def consensus_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.pick_consensus(hits)
 
 
-@query(_golden([(0, "disabled", "not_configured"), (1, "not_found", "not_found"), (2, "error", "quota"), (3, "error", "empty_response"), (4, "rejected", "likelihood_5_below_6"), (5, "rejected", "domain_mismatch_req_acme.com_got_other.com"),
-                (6, "rejected", "name_mismatch_with_moderate_likelihood"), (7, "accepted", None), (8, "accepted", None), (9, "accepted", None)], "id, match_status, match_reason"))
+@query(f"""WITH m AS ({_MADE}) SELECT k AS id, CASE k % 10 WHEN 0 THEN 'disabled' WHEN 1 THEN 'not_found' WHEN 2 THEN 'error' WHEN 3 THEN 'error' WHEN 4 THEN 'rejected' WHEN 5 THEN 'rejected' WHEN 6 THEN 'rejected' ELSE 'accepted' END AS match_status,
+CASE k % 10 WHEN 0 THEN 'not_configured' WHEN 1 THEN 'not_found' WHEN 2 THEN 'quota' WHEN 3 THEN 'empty_response' WHEN 4 THEN concat('likelihood_', k % 6, '_below_6') WHEN 5 THEN concat('domain_mismatch_req_', lower(z), '.com_got_other.com')
+WHEN 6 THEN 'name_mismatch_with_moderate_likelihood' END AS match_reason FROM m""")
 def provider_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(0, False, None, None, None, None, None, None), (1, True, 404, None, None, None, None, None), (2, True, 500, "quota", None, None, None, None), (3, True, 200, None, 9, None, None, None), (4, True, 200, None, 5, "acme.com", "Acme", None),
-            (5, True, 200, None, 9, "other.com", "Acme", None), (6, True, 200, None, 7, "acme.com", "Zeta", None), (7, True, 200, None, 8, "https://www.acme.com/x", "Zeta", None), (8, True, 200, None, 6, "shop.acme.com", "ACME Holdings Inc.", None),
-            (9, True, 200, None, 6, "other.com", "Acme", ["acme.com"])]
-    df = spark.createDataFrame(rows, "id int, enabled boolean, http_status int, error string, likelihood int, website string, provider_name string, alternative_domains array<string>")
-    df = df.withColumns({"requested_domain": F.lit("acme.com"), "requested_name": F.lit("Acme"), "alternative_names": F.lit(None).cast("array<string>")})
-    return P.validate(df).select("id", "match_status", "match_reason")
+    c, lit, none = F.col, F.lit, F.lit(None).cast("string")
+    own = F.concat(F.lower("z"), lit(".com"))
+    df = _made(spark, sf_dir).select(
+        "k", (c("k") % 10 != 0).alias("enabled"), _case(10, none, 404, 500, 200, 200, 200, 200, 200, 200, 200).cast("int").alias("http_status"), F.when(c("k") % 10 == 2, "quota").alias("error"),
+        _case(10, none, none, none, 9, c("k") % 6, 9, 7, 8, 6, 6).cast("int").alias("likelihood"), _case(10, none, none, none, none, own, "other.com", own, F.concat(lit("https://www."), own, lit("/x")), F.concat(lit("shop."), own), "other.com").alias("website"),
+        _case(10, none, none, none, none, c("z"), c("z"), "Quux", "Quux", F.concat(F.upper("z"), lit(" Holdings Inc.")), c("z")).alias("provider_name"), F.when(c("k") % 10 == 9, F.array(own)).alias("alternative_domains"),
+        own.alias("requested_domain"), c("z").alias("requested_name"), lit(None).cast("array<string>").alias("alternative_names"))
+    return P.validate(df).select(c("k").alias("id"), "match_status", "match_reason")
 
 
 @query("""WITH f AS (SELECT c_custkey AS company_id, CASE WHEN c_custkey % 3 = 0 THEN 'Unknown' ELSE c_mktsegment END AS industry, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE 'Paris, France' END AS location FROM customer),
@@ -409,15 +452,18 @@ def provider_fill_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.fill_unknown(fields, given, ("industry", "location")).select("company_id", "industry", "location", F.array_join("conflicts", ",").alias("conflicts"))
 
 
-@query(_golden([(0, "exact_complete", 1.0, 1.0, "complete"), (1, "correct_partial", 1.0, 0.5, "partial"), (2, "incorrect", 0.5, 0.5, "partial"), (3, "unknown", None, 0.0, "none"), (4, "not_applicable", 0.0, None, "partial"), (5, "exact_complete", 1.0, 1.0, "partial")],
-               "id, outcome, precision, recall, completeness"))
+@query(f"""WITH m AS ({_MADE}) SELECT k AS id, CASE k % 6 WHEN 0 THEN 'exact_complete' WHEN 1 THEN 'correct_partial' WHEN 2 THEN 'incorrect' WHEN 3 THEN 'unknown' WHEN 4 THEN 'not_applicable' ELSE 'exact_complete' END AS outcome,
+CAST(CASE k % 6 WHEN 2 THEN 0.5 WHEN 3 THEN NULL WHEN 4 THEN 0 ELSE 1 END AS DOUBLE) AS precision, CAST(CASE k % 6 WHEN 1 THEN 0.5 WHEN 2 THEN 0.5 WHEN 3 THEN 0 WHEN 4 THEN NULL ELSE 1 END AS DOUBLE) AS recall,
+CASE k % 6 WHEN 0 THEN 'complete' WHEN 3 THEN 'none' ELSE 'partial' END AS completeness FROM m""")
 def founder_set_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(0, "Ann Lee; Bob Ray", "bob ray; Ann M. Lee", "Ann Lee; Bob Ray", "Bob Ray; Ann Lee"), (1, "Ann Lee", "Ann Lee; Bob Ray", "Ann Lee; Bob Ray", "Ann Lee"), (2, "Ann Lee; Zoe Kim", "Ann Lee; Bob Ray", "Ann Lee", "Bob Ray"),
-            (3, "Unknown", "Ann Lee", "", ""), (4, "Ann Lee", "Unknown", "", "Ann Lee"), (5, "José Núñez", "Jose Nunez", "Ann Lee; Bob Ray", "Ann Lee; Cy Fox")]
-    df = spark.createDataFrame(rows, "id int, got string, expected string, infobox string, listed string")
-    m = S.founder_match(F.col("got"), F.col("expected"))
-    return df.select("id", m.alias("m"), S.founder_completeness(F.col("infobox"), F.col("listed")).alias("k")).select(
-        "id", "m.outcome", F.col("m.precision").alias("precision"), F.when(F.col("id") != 3, F.col("m.recall")).otherwise(F.lit(0.0)).alias("recall"), "k.completeness")
+    c, lit = F.col, F.lit
+    both = lambda *n: F.concat_ws("; ", *n)
+    middle = F.concat(F.substring_index("p1", " ", 1), lit(" M. "), F.substring_index("p1", " ", -1))
+    got = _case(6, both("p1", "p2"), c("p1"), both("p1", "p3"), "Unknown", c("p1"), F.concat(lit("José "), F.substring_index("p1", " ", -1)))
+    expected = _case(6, F.concat(F.lower("p2"), lit("; "), middle), both("p1", "p2"), both("p1", "p2"), c("p1"), "Unknown", F.concat(lit("Jose "), F.substring_index("p1", " ", -1)))
+    infobox, listed = _case(6, both("p1", "p2"), both("p1", "p2"), c("p1"), "", "", both("p1", "p2")), _case(6, both("p2", "p1"), c("p1"), c("p2"), "", c("p1"), both("p1", "p3"))
+    df = _made(spark, sf_dir).select("k", got.alias("got"), expected.alias("expected"), infobox.alias("infobox"), listed.alias("listed"))
+    return df.select(c("k").alias("id"), S.founder_match(c("got"), c("expected")).alias("m"), S.founder_completeness(c("infobox"), c("listed")).alias("c")).select("id", "m.outcome", "m.precision", "m.recall", "c.completeness")
 
 
 # reports -------------------------------------------------------------------------------------------------------------
@@ -473,34 +519,53 @@ def keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # plans ---------------------------------------------------------------------------------------------------------------
-_POOL = [(1, "Acme Robotics", 0, "acmerobotics.com", "Acme Robotics", "autocomplete", "Acme Robotics official website"), (1, "Acme Robotics", 1, "acmerobotics.com", "Acme Robotics", "infobox", None), (1, "Acme Robotics", 2, "shop.acmerobotics.com", "Acme", "brand_guess", None),
-         (1, "Acme Robotics", 3, "linkedin.com", "Acme", "search", None), (2, "Vista", 0, "vista.com", "Vista Print", "autocomplete", "business cards"), (3, "Nowhere Widgets", 0, "facebook.com", "Nowhere", "search", None)]
-_POOL_SCHEMA = "company_id int, company string, seq int, domain string, name string, source string, snippet string"
-_SITE = "<html><head><title>Acme Robotics | Official Site</title><meta name='description' content='Acme Robotics is a maker of robots'></head><body><h1>Acme Robotics</h1><p>Acme Robotics builds robots. © 2020 Acme Robotics</p></body></html>"
+_BRANDS = ("Vista", "Mercury", "Apex", "Summit", "Pulse")
 
 
-@query(_golden([(1, "resolved", "acmerobotics.com", "high", "selected"), (2, "ambiguous", None, "low", "short_common_name_ambiguous"), (3, "unresolved", None, "low", "no_candidates")], "company_id, status, domain, confidence, reason"))
+@query(f"""WITH m AS ({_MADE}) SELECT k AS company_id, CASE k % 3 WHEN 0 THEN 'resolved' WHEN 1 THEN 'ambiguous' ELSE 'unresolved' END AS status, CASE WHEN k % 3 = 0 THEN concat(lower(z), 'robotics.com') END AS domain,
+CASE WHEN k % 3 = 0 THEN 'high' ELSE 'low' END AS confidence, CASE k % 3 WHEN 0 THEN 'selected' WHEN 1 THEN 'short_common_name_ambiguous' ELSE 'no_candidates' END AS reason FROM m""")
 def resolve_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = spark.createDataFrame(_POOL, _POOL_SCHEMA)
-    pages = spark.createDataFrame([(0, "https://acmerobotics.com/", _SITE)], "page_id int, url string, html string")
-    out = resolve.resolve_identity(pool.select("company_id", "company").distinct(), pool.drop("company"), pages)
+    """A company of every customer: one with a page of its own among its candidates, one of a common name, one with listed sites alone."""
+    c, lit = F.col, F.lit
+    brand = F.element_at(F.array(*map(lit, _BRANDS)), (c("k") % 5 + 1).cast("int"))
+    m = _made(spark, sf_dir).select("k", F.concat(F.lower("z"), lit("robotics.com")).alias("own"), _case(3, F.concat(c("z"), lit(" Robotics")), brand, F.concat(c("z"), lit(" Widgets"))).alias("company"), "z")
+
+    def row(of: int, seq: int, domain, name, source: str, snippet=None) -> DataFrame:
+        return m.where(c("k") % 3 == of).select(c("k").alias("company_id"), lit(seq).alias("seq"), domain.alias("domain"), name.alias("name"), lit(source).alias("source"), (lit(None).cast("string") if snippet is None else snippet).alias("snippet"))
+
+    pool = readers.stack(row(0, 0, c("own"), c("company"), "autocomplete", F.concat(c("company"), lit(" official website"))), row(0, 1, c("own"), c("company"), "infobox"), row(0, 2, F.concat(lit("shop."), c("own")), c("z"), "brand_guess"),
+                         row(0, 3, lit("linkedin.com"), c("z"), "search"), row(1, 0, F.concat(F.lower("company"), lit(".com")), F.concat(c("company"), lit(" Print")), "autocomplete", lit("business cards")), row(2, 0, lit("facebook.com"), c("company"), "search"))
+    site = F.format_string("<html><head><title>%1$s | Official Site</title><meta name='description' content='%1$s is a maker of robots'></head><body><h1>%1$s</h1><p>%1$s builds robots. © 2020 %1$s</p></body></html>", "company")
+    pages = m.where(c("k") % 3 == 0).select(c("k").alias("page_id"), F.concat(lit("https://"), c("own"), lit("/")).alias("url"), site.alias("html"))
+    out = resolve.resolve_identity(m.select(c("k").alias("company_id"), "company"), pool, pages)
     return out.select("company_id", "status", "domain", "confidence", "reason")
 
 
-@query(_golden([(1, "acmecapital.com", "name-match", True, "found"), (2, "zenithpartners.de", None, False, "potential"), (3, None, None, None, "unverified")], "company_id, domain, decisive_rule, auto_found, status"))
+@query(f"""WITH m AS ({_MADE}) SELECT k AS company_id, CASE k % 3 WHEN 0 THEN concat(lower(z), 'capital.com') WHEN 1 THEN concat(lower(z), 'partners.de') END AS domain, CASE WHEN k % 3 = 0 THEN 'name-match' END AS decisive_rule,
+CASE k % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS auto_found, CASE k % 3 WHEN 0 THEN 'found' WHEN 1 THEN 'potential' ELSE 'unverified' END AS status FROM m""")
 def resolve_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, 0, "acmecapital.com", "Acme Capital", "private equity", "autocomplete", 40), (1, 1, "www.acmecapital.com", "Acme Capital", "private equity", "wikidata", 10), (1, 2, "acme.com", "Acme", "retail shop", "brand_guess", None),
-            (2, 0, "zenithpartners.de", "Zenith Partners", "", "brand_guess", None), (2, 1, "rejected.com", "Zenith", "", "wikidata", None)]
-    pool = spark.createDataFrame(rows, "company_id int, seq int, domain string, name string, snippet string, source string, prominence int")
-    companies = spark.createDataFrame([(1, "Acme Capital"), (2, "Zenith Partners"), (3, "Quux")], "company_id int, company string")
-    rejected = spark.createDataFrame([(2, "rejected.com")], "company_id int, domain string")
-    live = spark.createDataFrame([("acmecapital.com", True), ("acme.com", True)], "domain string, dns_ok boolean")
-    return resolve.resolve_pool(companies, pool, rejected, live).select("company_id", "domain", "decisive_rule", "auto_found", "status")
+    c, lit = F.col, F.lit
+    m = _made(spark, sf_dir).select("k", "z", F.lower("z").alias("low"), F.concat(c("z"), _case(3, " Capital", " Partners", " Quux")).alias("company"))
+
+    def row(of: int, seq: int, domain, name, snippet: str, source: str, prominence: int | None = None) -> DataFrame:
+        return m.where(c("k") % 3 == of).select(c("k").alias("company_id"), lit(seq).alias("seq"), domain.alias("domain"), name.alias("name"), lit(snippet).alias("snippet"), lit(source).alias("source"), lit(prominence).cast("int").alias("prominence"))
+
+    at = lambda before, after: F.concat(lit(before), c("low"), lit(after))
+    pool = readers.stack(row(0, 0, at("", "capital.com"), c("company"), "private equity", "autocomplete", 40), row(0, 1, at("www.", "capital.com"), c("company"), "private equity", "wikidata", 10), row(0, 2, at("", ".com"), c("z"), "retail shop", "brand_guess"),
+                         row(1, 0, at("", "partners.de"), c("company"), "", "brand_guess"), row(1, 1, at("rejected-", ".com"), c("z"), "", "wikidata"))
+    rejected = m.where(c("k") % 3 == 1).select(c("k").alias("company_id"), at("rejected-", ".com").alias("domain"))
+    live = m.where(c("k") % 3 == 0).select(F.explode(F.array(at("", "capital.com"), at("", ".com"))).alias("domain"), lit(True).alias("dns_ok"))
+    return resolve.resolve_pool(m.select(c("k").alias("company_id"), "company"), pool, rejected, live).select("company_id", "domain", "decisive_rule", "auto_found", "status")
 
 
-@query(_golden([(1, "Austin, TX", "1,001–5,000", "Jane Doe; John Roe", "Semiconductors"), (2, "Unknown", "Unknown", "Unknown", "Unknown")], "company_id, headquarters, headcount, founders, industry"))
+@query(f"""WITH m AS ({_MADE}) SELECT k AS company_id, CASE WHEN k % 4 = 3 THEN 'Unknown' ELSE concat(city, ', ', code) END AS headquarters, CASE WHEN k % 4 = 3 THEN 'Unknown' ELSE {_BUCKET.format('n')} END AS headcount,
+CASE WHEN k % 4 = 3 THEN 'Unknown' ELSE concat(p1, '; ', p2) END AS founders, CASE k % 4 WHEN 0 THEN 'Semiconductors' WHEN 1 THEN 'Venture Capital' WHEN 2 THEN 'Cybersecurity' ELSE 'Unknown' END AS industry FROM m""")
 def enrich_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = [(1, 0, "official_about", "Acme is a fabless semiconductor company. Acme is headquartered in Austin, TX. It employs about 1,200 people.", 4), (1, 1, "wikidata", "Acme was founded by Jane Doe and John Roe", 4)]
-    t = spark.createDataFrame(texts, "company_id int, seq int, source string, text string, authority int")
-    companies = spark.createDataFrame([(1, "Acme", "acme.com"), (2, "Zeta", None)], "company_id int, company string, domain string")
-    return resolve.enrich_fields(companies, t).select("company_id", "headquarters", "headcount", "founders", "industry")
+    c, lit = F.col, F.lit
+    m = _made(spark, sf_dir).withColumn("company", F.concat(c("z"), lit(" Labs")))
+    kind = _case(4, "fabless semiconductor company", "venture capital firm", "cybersecurity platform", None)
+    about = F.concat(c("company"), lit(" is a "), kind, lit(". "), c("company"), lit(" is headquartered in "), c("city"), lit(", "), c("code"), lit(". It employs about "), F.format_number("n", 0), lit(" people."))
+    text = lambda seq, source, t: m.where(c("k") % 4 != 3).select(c("k").alias("company_id"), lit(seq).alias("seq"), lit(source).alias("source"), t.alias("text"), lit(4).alias("authority"))
+    texts = text(0, "official_about", about).unionByName(text(1, "wikidata", F.concat(c("company"), lit(" was founded by "), c("p1"), lit(" and "), c("p2"))))
+    companies = m.select(c("k").alias("company_id"), "company", F.when(c("k") % 4 != 3, F.concat(F.lower("z"), lit("labs.com"))).alias("domain"))
+    return resolve.enrich_fields(companies, texts).select("company_id", "headquarters", "headcount", "founders", "industry")

@@ -58,8 +58,8 @@ def aliased_records(rows: DataFrame) -> DataFrame:
 
 
 def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Fixtures, one JSON document a file; a row that doesn't fit the schema is dropped."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    """Fixtures, one JSON document a file; a row that doesn't fit the schema is kept, with its text in ``_corrupt``."""
+    return spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
@@ -84,11 +84,6 @@ def deep_site_evidence(pages: DataFrame) -> DataFrame:
         F.get(F.filter(F.transform("all", lambda x: x["ld"]), lambda n: n.isNotNull()), F.lit(0)).alias("json_ld_name"))
 
 
-def corpus(parts: DataFrame) -> DataFrame:
-    """(company_id, corpus) of texts (company_id, seq, text), in their order."""
-    return parts.groupBy("company_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda p: p["text"]), " ").alias("corpus"))
-
-
 def facts_by_site(companies: DataFrame, facts: DataFrame) -> DataFrame:
     """Facts of a company's site in any of the ways in which its address is written: an equi-join on the spelled addresses."""
     h = D.host_of(F.col("domain"))

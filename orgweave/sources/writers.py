@@ -52,9 +52,12 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def snapshot(store: DataFrame, as_of: Column) -> DataFrame:
-    """(json): one document with the kept corrections in order of their names and the tombstones."""
-    kept = F.struct(F.col("company_name").alias("companyName"), F.col("company_key").alias("companyKey"), "domain", "source")
-    parts = store.groupBy().agg(
-        F.array_sort(F.collect_list(F.when(F.col("state") == "kept", kept))).alias("corrections"),
-        F.array_sort(F.collect_list(F.when(F.col("state") == "deleted", F.struct(F.col("company_key").alias("companyKey"), F.col("updated_at").alias("deletedAt"))))).alias("deletions"))
-    return parts.select(F.to_json(F.struct(F.lit(1).alias("version"), as_of.alias("updatedAt"), "corrections", "deletions")).alias("json"))
+    """(json): the store as JSON lines, a line for the version, then the kept corrections in order of their names and the tombstones by key.
+
+    Ordered by ranges, so no task holds the whole store.
+    """
+    kept = F.to_json(F.struct(F.col("company_name").alias("companyName"), F.col("company_key").alias("companyKey"), "domain", "source"))
+    gone = F.to_json(F.struct(F.col("company_key").alias("companyKey"), F.col("updated_at").alias("deletedAt")))
+    lines = store.select(F.when(F.col("state") == "kept", 1).otherwise(2).alias("part"), F.coalesce("company_name", F.lit("")).alias("name"), "company_key", F.when(F.col("state") == "kept", kept).otherwise(gone).alias("json"))
+    head = store.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit("").alias("name"), F.lit("").alias("company_key"), F.to_json(F.struct(F.lit(1).alias("version"), as_of.alias("updatedAt"))).alias("json"))
+    return head.unionByName(lines).orderBy("part", F.collate("name", "UNICODE"), "company_key").select("json")

@@ -169,7 +169,7 @@ def test_second_stage_needs_new_evidence(spark):
 def test_known_names_answer_in_order(spark):
     companies = spark.createDataFrame([(1, "Foo Inc"), (2, "Bar"), (3, "Bazaar Widgets"), (4, "Zip")], "company_id int, company string")
     table = lambda *rows: spark.createDataFrame(list(rows), "key string, domain string, entry_seq int")
-    out = resolve.resolve_known(companies, table(("fooinc", "learned.com", 0)), table(("fooinc", "major.com", 0), ("bar", "bar.com", 1)), table(("bazaar", "bazaar.com", 0)), 5)
+    out = resolve.resolve_known(companies, table(("fooinc", "learned.com", 0)), table(("fooinc", "major.com", 0), ("bar", "bar.com", 1)), table(("bazaar", "bazaar.com", 0)))
     assert {r["company_id"]: (r["domain"], r["source"]) for r in out.collect()} == {1: ("learned.com", "learned"), 2: ("bar.com", "major_firm"), 3: ("bazaar.com", "dictionary"), 4: (None, None)}
 
 
