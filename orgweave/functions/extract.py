@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .fields import EXECUTIVE, founders, headcount, hq
-from .regex import cut, first, has, let, rx, sub, text, trim
-from .text import is_blank
+from .regex import cut, first, has, let, rx, squeeze, sub, text, trim, words
+from .text import UNKNOWN, is_blank
 
 # --- fixed values -----------------------------------------------------------------------------------------------
 _CITY, _REGION, _END = r"([A-Z][a-zA-Z '-]{1,40}?)", r"([A-Z][a-zA-Z'-]{1,24})", r"([A-Z]{2}(?![a-zA-Z])|[A-Z][a-zA-Z'-]{2,24})"
@@ -30,6 +30,14 @@ FOUNDER_PATTERNS = (
     rf"({_NAME}{{1,3}})\s+(?:and|&)\s+({_NAME}{{1,3}})\s+(?:co-)?founded\b", rf"({_NAME}{{1,3}})\s+(?:is|was)\s+(?:a\s+|the\s+)?(?:co-)?founder\b()",
     rf"(?:[Ff]ounders?|[Cc]o-[Ff]ounders?)\s*[:\-]\s*({_NAME}{{1,3}}(?:\s*(?:,|;|and|&)\s*{_NAME}{{1,3}}){{0,5}})()",
 )
+FOUNDER_LINE = (r"(?:^|[\n.]\s*)([A-Z][a-z]+(?:\s+[A-Z][a-z'-]+){1,3})\s*[,;:\x{2013}\x{2014}\-]\s*((?:Co-)?Founder)\b",)
+NOT_A_NAME = r"^(Our|The|Meet|Team|About|Leadership)\b"
+TEAM_PAGE, COUNTED_STAFF = r"\b(our team|meet the team|leadership team)\b", r"\b\d{2,}\s*employees\b"
+#: Where a page's first person of a founder's kind stands, and what is no person's name.
+PERSON_PATTERNS = (r"(?:[Ff]ounded by|[Cc]o-founded by|[Ff]ounder[:\s]+|[Cc]o-[Ff]ounder[:\s]+)([A-Z][a-z]+(?:\s+[A-Z][a-z.'-]+){1,3})",
+                   r"([A-Z][a-z]+(?:\s+[A-Z][a-z.'-]+){1,3})\s*,?\s*(?:Founder|Co-Founder|CEO|Chief Executive Officer|Managing Partner|Managing Director)\b")
+NO_PERSON, TITLE_IN_NAME = r"^(The|Our|This|With|And|Or|For|From|About|Meet|Team|Company|Board)\b|^(and|or)\b", r"\b(?:CEO|CTO|CFO|Founder)\b"
+FOUNDER_WORDS = (r"\b(founded by|co-founded by|founder|co-founder|ceo)\b",)
 HQ_EXPLICIT = r"\b(headquarters|headquartered|hq\b|corporate headquarters|global headquarters|based in)\b"
 IS_HQ = r"\bheadquarters|headquartered\b"
 NOT_HEADCOUNT = r"\bfollowers|portfolio companies|customers|users\b"
@@ -83,14 +91,18 @@ def hq_hits(c: Column) -> Column:
     return _hits(matches(c, HQ_PATTERNS, 60, 40), value, 220, lambda h: has(h["window"], HQ_EXPLICIT))
 
 
-def headcount_hits(c: Column) -> Column:
-    """Numbers of employees in a text, as buckets; followers, customers and portfolios are none."""
+def headcount_hits(c: Column, team: Column | None = None) -> Column:
+    """Numbers of employees in a text, as buckets; followers, customers and portfolios are none.
+
+    Where ``team`` holds, a page that presents its team without a number of employees says nothing of all of them.
+    """
 
     def value(h: Column) -> Column:
         raw = F.when(h["g2"] != "", F.concat_ws("–", h["g1"], h["g2"])).otherwise(h["g1"])
         return let(headcount(raw), lambda bucket: F.when(~has(h["window"], NOT_HEADCOUNT) & ~is_blank(bucket), bucket))
 
-    return _hits(matches(c, HEADCOUNT_PATTERNS, 40, 30), value, 200)
+    hits = _hits(matches(c, HEADCOUNT_PATTERNS, 40, 30), value, 200)
+    return hits if team is None else F.filter(hits, lambda _: ~(team & has(text(c), TEAM_PAGE) & ~has(text(c), COUNTED_STAFF)))
 
 
 def is_foreign_founder(window: Column, company: Column) -> Column:
@@ -117,8 +129,46 @@ def in_sentence(c: Column, start: Column, match: Column, company: Column) -> Col
     return (name == "") | F.contains(sentence, name) | ((F.size(tokens) > 0) & F.forall(tokens, lambda t: F.contains(sentence, t)))
 
 
-def founder_hits(c: Column, company: Column) -> Column:
-    """Founders that a text names for a company: those of other organizations, executives without founding, and the company's own name are left out."""
+def founder_line_hits(c: Column, company: Column, team: Column) -> Column:
+    """Founders in lines such as ``Name, Co-Founder``: the company stands nearby, which ``team`` pages of its own may leave out."""
+    name = F.lower(text(company))
+    tokens = F.filter(words(name), lambda t: F.length(t) > 2)
+
+    def value(h: Column) -> Column:
+        from_ = F.greatest(h["start"] - 160, F.lit(0))
+        near = F.lower(F.substr(text(c), from_ + 1, h["start"] + F.length(h["match"]) + 40 - from_))
+        close = lambda n: (name == "") | F.contains(n, name) | ((F.size(tokens) > 0) & F.forall(tokens, lambda t: F.contains(n, t)))
+        ok = ~has(h["g1"], NOT_A_NAME) & ~is_foreign_founder(h["window"], company) & (team | let(near, close))
+        return let(founders(h["g1"]), lambda names: F.when(ok & ~is_blank(names), names))
+
+    return _hits(matches(c, FOUNDER_LINE, 20, 60), value, 200)
+
+
+def first_person(c: Column, company: Column) -> Column:
+    """The first founder or head that a page names, Unknown without one; the company's own name is none."""
+    name = F.lower(text(company))
+
+    def person(h: Column) -> Column:
+        n = trim(h["g1"])
+        low = F.lower(n)
+        return (F.size(words(n)) >= 2) & (F.length(n) < 60) & ~has(n, NO_PERSON) & ~has(n, TITLE_IN_NAME) & ~F.contains(name, low) & ~((name != "") & F.contains(low, name))
+
+    hits = F.filter(matches(c, PERSON_PATTERNS, 0, 0, False), person)
+    return F.coalesce(trim(F.get(hits, F.lit(0))["g1"]), F.lit(UNKNOWN))
+
+
+def founder_evidence(c: Column) -> Column:
+    """struct(hits, windows): the first twelve raw hits and the first eight windows around a founder's words, for an audit."""
+    hits = F.transform(F.slice(matches(c, PERSON_PATTERNS, 0, 0, False), 1, 12), lambda h: F.struct(cut(h["match"], 120).alias("match"), trim(h["g1"]).alias("captured")))
+    around = F.transform(F.slice(matches(c, FOUNDER_WORDS, 40, 80), 1, 8), lambda h: squeeze(F.substr(h["window"], F.lit(1), F.least(h["start"], F.lit(40)) + 80)))
+    return F.struct(hits.alias("hits"), around.alias("windows"))
+
+
+def founder_hits(c: Column, company: Column, team: Column | None = None) -> Column:
+    """Founders that a text names for a company: those of other organizations, executives without founding, and the company's own name are left out.
+
+    Behind those of its sentences come those of its lines.
+    """
 
     def value(h: Column) -> Column:
         two = (h["g2"] != "") & ~has(h["match"], "founded by")
@@ -127,4 +177,4 @@ def founder_hits(c: Column, company: Column) -> Column:
         return let(founders(raw), lambda names: F.when(has(h["window"], FOUNDING) & ~is_foreign_founder(h["window"], company) & ~is_blank(names)
               & ~((name != "") & F.contains(F.lower(names), name)) & ~(has(raw, EXECUTIVE) & ~has(h["window"], r"\bfounder\b")) & in_sentence(c, h["start"], h["match"], company), names))
 
-    return _hits(matches(c, FOUNDER_PATTERNS, 50, 80, False), value, 240)
+    return F.concat(_hits(matches(c, FOUNDER_PATTERNS, 50, 80, False), value, 240), founder_line_hits(c, company, F.lit(False) if team is None else team))

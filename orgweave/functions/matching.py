@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import extract as X
 from . import fields as L
+from . import html as H
 from .domains import host_of
-from .regex import distinct_nocase, every, first, has, let, rx, squeeze, sub, text, trim, words
+from .regex import cut, distinct_nocase, every, first, has, let, rx, squeeze, sub, text, trim, words
 from .text import UNKNOWN, is_blank, name_core, store_key
 
 # --- fixed values -----------------------------------------------------------------------------------------------
@@ -27,6 +29,14 @@ INFERRED = (("venture capital|growth equity|seed fund|early-stage", "Venture Cap
             ("artificial intelligence|machine learning|language model", "Artificial Intelligence"), ("higher education|university|ivy league", "Higher Education"), ("e-?commerce|online retail", "E-Commerce / Retail"),
             ("saas|software|productivity|workspace", "Software / SaaS"), ("healthcare|biotech|therapeutics|clinical", "Healthcare / Biotech"), ("legal services|law firm|attorneys?", "Legal Services"),
             ("marketing agency|creative studio|brand campaigns", "Marketing & Creative"))
+PAGE_INDUSTRIES = (("venture capital|growth equity|private equity|seed (?:and|&) early-stage", "Venture Capital"), ("fund administration|fund administrator", "Fund Administration"),
+                   ("outsourced chief investment|OCIO", "OCIO / Investment Management"), ("asset management|investment management|investment firm", "Investment Management"),
+                   ("fintech|payments? infrastructure|financial technology", "Financial Technology"), ("artificial intelligence|machine learning|language model", "Artificial Intelligence"),
+                   ("higher education|research university|ivy league", "Higher Education"), (r"software as a service|\bSaaS\b|productivity software", "Software / SaaS"), ("e-?commerce|online retail", "E-Commerce / Retail"),
+                   ("healthcare|biotech|therapeutics|clinical", "Healthcare / Biotech"), ("legal services|law firm", "Legal Services"))
+PAGE_PLACE = r"\b(?:based in|headquartered in|headquarters(?:\s+in)?|located in)\s+([A-Z][a-zA-Z .'-]+(?:,\s*[A-Z]{2})?)"
+PAGE_PAIR = r"\b([A-Z][a-zA-Z]+(?:\s[A-Z][a-zA-Z]+)?),\s*([A-Z]{2})\b(?:\s+\d{5})?"
+PAGE_STAFF = r"\b(\d{1,3}(?:,\d{3})*\+?\s*[-\x{2013}to]+\s*\d{1,3}(?:,\d{3})*\+?|\d{1,3}(?:,\d{3})*\+)\s*(?:employees|people|team members|professionals)\b"
 CONTEXTS = ((r"private equity|\bpe\b|buyout", "investment_firm|private_equity"), (r"venture capital|\bvc\b|seed fund", "investment_firm|venture"), ("fintech|payments|neobank", "company|fintech"),
             ("software|saas|enterprise", "company"), ("biotech|biotechnology|pharma", "company"), ("consumer|retail|apparel", "company|store|retail"))
 # ----------------------------------------------------------------------------------------------------------------
@@ -253,3 +263,30 @@ def corpus_fields(c: Column) -> Column:
                    L.founders(by).alias("founders"), shown.alias("notes"))
     none = F.struct(F.lit(UNKNOWN).alias("location"), F.lit(UNKNOWN).alias("headcount"), F.lit(UNKNOWN).alias("founders"), F.lit("").alias("notes"))
     return F.when(F.length(s) < 20, none).otherwise(out)
+
+
+def page_fields(html: Column, company: Column) -> Column:
+    """struct(industry, headcount, location, founders, notes, source) of a whole page: title, description, site name, the about part, the footer and the body, in
+    this order; a page without any of the company's longer words says nothing."""
+    s, none = text(html), F.lit(UNKNOWN)
+    description = F.coalesce(F.nullif(H.meta(html, "description"), F.lit("")), H.meta(html, "og:description"))
+    about = cut(H.html_text(F.regexp_extract(s, r"""(?is)id=["']about["'].{0,6000}|class=["'][^"']*about[^"']*["'].{0,6000}""", 0)), 2000)
+    footer = cut(H.html_text(F.regexp_extract(s, r"(?is)<footer.{0,8000}</footer>", 0)), 1500)
+    made = F.struct(F.concat_ws(". ", H.title(html), description, H.meta(html, "og:site_name"), about, footer, cut(H.html_text(html), 8000)).alias("corpus"), description.alias("description"), about.alias("about"))
+
+    def body(x: Column) -> Column:
+        corpus = x["corpus"]
+        near = trim(first(corpus, PAGE_PLACE, 1, False))
+        pair = F.concat_ws(", ", first(corpus, PAGE_PAIR, 1, False), first(corpus, PAGE_PAIR, 2, False))
+        place = F.when(F.length(near) > 3, near).when(F.length(pair) > 3, pair).otherwise(none)
+        staff = squeeze(first(corpus, PAGE_STAFF))
+        notes = F.when((F.length(x["description"]) > 20) & (F.length(x["description"]) < 280), x["description"]).when(F.length(x["about"]) > 40, trim(cut(x["about"], 180))).otherwise(none)
+        tokens = F.filter(words(F.lower(text(company))), lambda t: F.length(t) > 2)
+        low = F.lower(corpus)
+        said = (F.size(tokens) == 0) | F.exists(tokens, lambda t: F.contains(low, F.regexp_replace(t, "[^a-z0-9]", "")))
+        shown = F.struct(_first_label(corpus, PAGE_INDUSTRIES).alias("industry"), F.when(staff != "", staff).otherwise(none).alias("headcount"), place.alias("location"), X.first_person(corpus, company).alias("founders"),
+                         notes.alias("notes"), F.lit("scrape").alias("source"))
+        silent = lambda source: F.struct(*[none.alias(n) for n in ("industry", "headcount", "location", "founders", "notes")], F.lit(source).alias("source"))
+        return F.when(s == "", silent("none")).when(said, shown).otherwise(silent("scrape-unconfirmed"))
+
+    return let(made, body)

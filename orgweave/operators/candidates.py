@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.domains import host_of
+from ..functions.fields import industry
 from ..functions.regex import text, trim
-from ..functions.text import match_key, store_key
+from ..functions.text import UNKNOWN, is_blank, match_key, store_key
 
 def union_sources(*sources: DataFrame) -> DataFrame:
     """(company_id, seq, domain, name, snippet, source, prominence) of all sources, UNION ALL by name; sources keep their order."""
@@ -109,3 +110,10 @@ def uniqueness_guard(rows: DataFrame, value: str, owner: str = "domain", seq: st
     firsts = held.where("_norm IS NOT NULL").groupBy("_norm").agg(F.min_by(owner, seq).alias("_first"))
     out = held.join(firsts, "_norm", "left")
     return out.withColumn(value, F.when(F.col("_first").isNull() | (F.col("_first") == F.col(owner)), F.col(value))).drop("_norm", "_first")
+
+
+def once_per_owner(rows: DataFrame, seq: str = "seq") -> DataFrame:
+    """What a batch gave before values could repeat: an industry, in canonical form, stays with the first domain that has it and is Unknown for all others."""
+    shown = rows.withColumn("industry", industry(F.col("industry")))
+    known = shown.withColumn("industry", F.when(~is_blank(F.col("industry")), F.col("industry")))
+    return uniqueness_guard(known, "industry", "domain", seq, least=1).withColumn("industry", F.coalesce("industry", F.lit(UNKNOWN)))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fields import HEADCOUNT_BUCKETS
-from ..functions.regex import distinct_nocase, text, trim
+from ..functions.fields import HEADCOUNT_BUCKETS, headcount, location
+from ..functions.regex import distinct_nocase, let, text, trim
 from ..functions.text import UNKNOWN, founder_keys, is_blank, person_key
 from .provider import AUTHORITY
 
@@ -120,6 +120,36 @@ def founder_match(got: Column, expected: Column) -> Column:
     return F.struct(outcome.alias("outcome"), F.when(~is_blank(got), precision).alias("precision"), F.when(~is_blank(expected), recall).alias("recall"))
 
 
+def _targets(expected: Column, alternatives: Column | None) -> Column:
+    some = F.array(expected) if alternatives is None else F.concat(F.array(expected), F.coalesce(alternatives, F.array().cast("array<string>")))
+    return F.filter(some, lambda t: text(t) != "")
+
+
+def location_equivalent(got: Column, expected: Column, alternatives: Column | None = None) -> Column:
+    """Equal in canonical form, case aside, or one within the other; a blank place is equivalent to nothing."""
+    places = F.transform(_targets(expected, alternatives), lambda t: F.lower(location(t)))
+    return ~is_blank(got) & let(F.lower(location(got)), lambda g: F.exists(places, lambda t: F.contains(g, t) | F.contains(t, g)))
+
+
+def headcount_equivalent(got: Column, expected: Column, alternatives: Column | None = None) -> Column:
+    """The same bucket; a blank number is equivalent to nothing."""
+    return ~is_blank(got) & F.array_contains(F.transform(_targets(expected, alternatives), headcount), headcount(got))
+
+
+def founders_equivalent(got: Column, expected: Column) -> Column:
+    return founder_match(got, expected)["outcome"] == "exact_complete"
+
+
+def founders_accurate(got: Column, expected: Column) -> Column:
+    """Whether every person named is right, though some may lack."""
+    return founder_match(got, expected)["outcome"].isin("exact_complete", "correct_partial")
+
+
+def founder_overlap(a: Column, b: Column) -> Column:
+    """The persons of both lists, by their keys, sorted: an intersection."""
+    return F.array_sort(F.array_intersect(founder_keys(a), founder_keys(b)))
+
+
 def team_gender(genders: Column, completeness: Column) -> Column:
     """A founding team's composition from supplied genders: an incomplete team of men alone is unknown."""
     any_f, any_m = F.exists(genders, lambda g: g == "female"), F.exists(genders, lambda g: g == "male")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -82,8 +83,8 @@ def _literal(pattern: str) -> str:
 
 def _expressions(rules: tuple, kinds: tuple[int, ...]) -> Column:
     """The rules' expressions of the given kinds (1 strong, 2 positive, 3 negative) as array<struct<rule, kind, literal, pattern>>."""
-    rows = [(i, k, p) for i, rule in enumerate(rules) for k in kinds for p in rule[k]]
-    return F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(k).alias("kind"), F.lit(_literal(p)).alias("literal"), F.lit(_whole(p)).alias("pattern")) for i, k, p in rows])
+    rows = [{"rule": i, "kind": k, "literal": _literal(p), "pattern": _whole(p)} for i, rule in enumerate(rules) for k in kinds for p in rule[k]]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<rule:int,kind:int,literal:string,pattern:string>>")  # one literal; the optimizer parses it once
 
 
 def _held(c: Column, expressions: Column, only: Column | None = None) -> Column:

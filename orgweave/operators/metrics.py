@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.regex import percent
@@ -51,3 +51,21 @@ def incremental_gain(before: DataFrame, after: DataFrame, key: str = "company_id
     broken = F.count_if((F.col("a") == "incorrect") & (F.col("b") == "unknown"))
     out = both.agg(F.count("*").alias("total"), gained.alias("gained"), lost.alias("lost"), broken.alias("new_errors"))
     return out.withColumn("recommendation", F.when((F.col("lost") > 0) | (F.col("new_errors") > F.col("gained")), "do_not_adopt").when(F.col("gained") == 0, "no_gain").otherwise("adopt"))
+
+
+def summarize_run(rows: DataFrame, fields: tuple[str, ...] = ("industry", "headcount", "location", "founders")) -> DataFrame:
+    """One row on a run's rows (correct, *fields, high, medium, low, elapsed_ms, timeouts): accuracy, coverage of each field among correct rows, the share of
+    unknown fields, the mix of confidences, the mean time and the timeouts."""
+    c = F.col
+    n, right = F.count("*"), F.count_if(c("correct"))
+    blank = {f: F.count_if(is_blank(c(f))) for f in fields}
+    sure = {k: F.coalesce(F.sum(k), F.lit(0)) for k in ("high", "medium", "low")}
+    return rows.agg(n.alias("companies"), right.alias("correct"), percent(right, n).alias("accuracy_pct"), *[percent(F.count_if(c("correct") & ~is_blank(c(f))), right).alias(f"{f}_coverage_pct") for f in fields],
+                    *[b.alias(f"{f}_unknown") for f, b in blank.items()], percent(sum(blank.values(), F.lit(0)), n * len(fields)).alias("unknown_pct"),
+                    *[percent(v, sum(sure.values(), F.lit(0))).alias(f"{k}_pct") for k, v in sure.items()], F.floor(F.avg("elapsed_ms") + 0.5).alias("mean_ms"), F.coalesce(F.sum("timeouts"), F.lit(0)).alias("timeouts"))
+
+
+def best_first(candidates: DataFrame) -> DataFrame:
+    """Add ``place`` within a company: by score, of equal scores those of high confidence first, then in order of appearance."""
+    w = Window.partitionBy("company_id").orderBy(F.desc("score"), F.desc(F.col("confidence") == "high"), "seq")
+    return candidates.withColumn("place", F.row_number().over(w))

@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.domains import registrable
-from ..functions.fields import lookup
-from ..functions.regex import has, let, squeeze, text, words
+from ..functions.fields import location, lookup, title_words
+from ..functions.regex import has, let, squeeze, text, trim, words
 from ..functions.text import is_blank, match_key
 
 # --- fixed values -----------------------------------------------------------------------------------------------
 LEAST_LIKELIHOOD, SURE_LIKELIHOOD, CACHE_DAYS, CHUNK, BULK = 6, 8, 30, 50, 100
 SIZES = {"1-10": "1–10", "11-50": "11–50", "51-200": "51–200", "201-500": "201–500", "501-1000": "501–1,000", "1001-5000": "1,001–5,000", "5001-10000": "5,001–10,000", "10001+": "10,001+"}
 AUTHORITY = {"official_about": 100, "official_contact": 95, "json_ld": 90, "wikidata": 85, "official_page": 80, "structured_profile": 70, "search_snippet": 50, "press": 40, "text": 30}
+#: The states that a provider's places are shortened to.
+STATES = {"california": "CA", "new york": "NY", "texas": "TX", "washington": "WA", "massachusetts": "MA", "illinois": "IL", "florida": "FL", "colorado": "CO", "georgia": "GA", "oregon": "OR", "virginia": "VA",
+          "pennsylvania": "PA", "new jersey": "NJ", "arizona": "AZ", "michigan": "MI", "north carolina": "NC"}
 # ----------------------------------------------------------------------------------------------------------------
 
 
@@ -61,6 +64,41 @@ def headcount(size: Column, count: Column) -> Column:
     return F.coalesce(lookup(F.lower(text(size)), SIZES), headcount_bucket(F.when(count > 0, count)))
 
 
+def place(raw: Column) -> Column:
+    """A provider's place as ``City, ST`` or ``City, Country``; null without a usable one."""
+
+    def body(p: Column) -> Column:
+        region, last = F.get(p, F.lit(1)), F.element_at(p, -1)
+        two = F.when(region.rlike("^[A-Za-z]{2}$"), F.concat_ws(", ", F.get(p, F.lit(0)), F.upper(region))).otherwise(location(F.concat_ws(", ", F.get(p, F.lit(0)), F.when(F.size(p) >= 3, last).otherwise(region))))
+        many = F.coalesce(F.concat(F.get(p, F.lit(0)), F.lit(", "), lookup(F.lower(region), STATES)), two)
+        return F.when(F.size(p) >= 2, many).otherwise(let(location(F.get(p, F.lit(0))), lambda n: F.when(~is_blank(n), n)))
+
+    shown = title_words(squeeze(text(raw)))
+    return let(F.filter(F.transform(F.split(shown, ","), trim), lambda x: x != ""), lambda p: F.when(F.size(p) > 0, body(p)))
+
+
+def headquarters(locality: Column, region: Column, country: Column, name: Column) -> Column:
+    """struct(value, raw, evidence) of a provider's location: its locality with the region or else the country, else the first two parts of its name."""
+    some = lambda c: F.nullif(text(c), F.lit(""))
+    parts = F.filter(F.transform(F.split(text(name), ","), trim), lambda p: p != "")
+    raw = F.coalesce(F.concat(some(locality), F.lit(", "), F.coalesce(some(region), some(country))), F.when(F.size(parts) >= 2, F.concat_ws(", ", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))))
+    return let(F.struct(place(raw).alias("value"), raw.alias("raw")), lambda x: F.when(
+        x["value"].isNotNull() & ~is_blank(x["value"]), F.struct(x["value"].alias("value"), x["raw"].alias("raw"), F.concat(F.lit("Provider location: "), F.coalesce(some(name), x["raw"])).alias("evidence"))))
+
+
+def counts(validated: DataFrame, filled: DataFrame | None = None) -> DataFrame:
+    """One row of counters of ``validate``'s rows (with ``from_cache``, if they have it), and of ``fill_unknown``'s rows, if given."""
+    status = lambda s: F.count_if(F.col("match_status") == s)
+    cached = F.coalesce(F.col("from_cache"), F.lit(False)) if "from_cache" in validated.columns else F.lit(False)
+    asked = F.col("match_status") != "disabled"
+    out = validated.agg(F.count_if(asked & ~cached).alias("requests"), F.count_if(asked & cached).alias("cache_hits"), status("accepted").alias("matches"), status("rejected").alias("rejected"),
+                        status("not_found").alias("not_found"), status("error").alias("errors"))
+    if filled is None:
+        return out
+    gains = filled.agg(F.coalesce(F.sum(F.size("filled")), F.lit(0)).alias("filled"), F.coalesce(F.sum(F.size("conflicts")), F.lit(0)).alias("conflicts"))
+    return out.withColumn("_one", F.lit(1)).join(gains.withColumn("_one", F.lit(1)), "_one").drop("_one")  # one row each
+
+
 def fill_unknown(fields: DataFrame, provider: DataFrame, names: tuple[str, ...] = ("industry", "location", "headcount", "founders")) -> DataFrame:
     """Fields of accepted companies, with unknown ones taken from the provider; where both know and differ, ours stays and ``conflicts`` names the field.
 

@@ -55,11 +55,10 @@ def select_identity(scored: DataFrame, resolve_min: int = RESOLVE_MIN, margin: i
     optimizer would push the filter down into the expressions that make it.
     """
     c = F.col
-    sized = scored.withColumn("n", F.count("*").over(Window.partitionBy("company_id")))
-    pool = ranked(sized.where(~D.is_junk_host(c("host")) & (c("host") != "")), k=POOL)
+    pool = ranked(scored.where(~D.is_junk_host(c("host")) & (c("host") != "")), k=POOL)
     packed = F.struct("rank", "host", "score", "host_core", "token_coverage", "authoritative", "entity_type", "signals")
-    df = pool.groupBy("company_id").agg(F.first("company").alias("company"), F.max("n").alias("n"), _by_rank(packed).alias("r"))
-    everyone = sized.groupBy("company_id").agg(F.first("company").alias("company"), F.max("n").alias("n"))
+    df = pool.groupBy("company_id").agg(_by_rank(packed).alias("r"))
+    everyone = scored.groupBy("company_id").agg(F.min("company").alias("company"), F.count("*").alias("n"))
     df = everyone.join(df.select("company_id", "r"), "company_id", "left")
     df = df.withColumns({"key": T.identity_key(c("company")), "tokens": T.identity_tokens(c("company")), "risk": T.ambiguity_risk(c("company"), c("n"))})
     df = df.withColumns({"least": F.lit(resolve_min) + half_up(c("risk") / 5).cast("int"), "pick": F.get("r", F.lit(0))})

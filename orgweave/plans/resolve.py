@@ -119,7 +119,8 @@ def facts(companies: DataFrame, texts: DataFrame) -> DataFrame:
     """(company_id, kind, seq, source, authority, value, explicit): headquarters, headcounts and founders that texts (company_id, seq, source, text, authority) name."""
     c = F.col
     df = texts.join(companies.select("company_id", "company"), "company_id")
-    told = {"hq": X.hq_hits(c("text")), "headcount": X.headcount_hits(c("text")), "founders": X.founder_hits(c("text"), c("company"))}
+    team = F.contains(F.lower(text("source")), F.lit("team"))
+    told = {"hq": X.hq_hits(c("text")), "headcount": X.headcount_hits(c("text"), team), "founders": X.founder_hits(c("text"), c("company"), team)}
     named = lambda kind: lambda h: F.struct(F.lit(kind).alias("kind"), h["value"].alias("value"), h["explicit"].alias("explicit"))
     every = F.concat(*[F.transform(hits, named(kind)) for kind, hits in told.items()])
     rows = df.select("company_id", (c("seq").cast("long") * 1_000_000).alias("base"), "source", "authority", F.posexplode(every).alias("i", "h"))

@@ -372,6 +372,198 @@ def search_corpus_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", N.corpus_fields(c("t")).alias("f"), N.infer_industry(c("t")).alias("industry")).select("id", "f.location", "f.headcount", "f.founders", "industry")
 
 
+# names, hosts, fields and pages made of the tables' keys -----------------------------------------------------------------
+@query(f"""WITH m AS ({_MADE}) SELECT k AS id, concat(z, '|', z, ' Robotics') AS variants, lower(z) || ' robotics' AS plain, CASE WHEN k % 2 = 0 THEN 'Unknown' ELSE z END AS chosen, concat(z, ' & <b> "', p1, '"') AS decoded,
+concat(upper(left(z, 1)), substr(z, 2), CASE WHEN k % 2 = 0 THEN ' LLC' ELSE ' Labs' END) AS pretty, k % 2 = 0 AS is_person, lower(z) AS picked, concat(lower(z), 'robotics') AS key, lower(z) || 'robotics' AS core_key, concat('z', 'r') AS acronym, concat(lower(z), ',robotics') AS tokens FROM m""")
+def name_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, lit = F.col, F.lit
+    full = F.concat(c("z"), lit(" Robotics ("), c("z"), lit(")"))
+    df = _made(spark, sf_dir).withColumns({"full": full, "plain": F.concat(lit("  "), c("z"), lit(" \u00a0 Robotics "))})
+    forms = T.decisive_forms(c("full"))
+    return df.select(c("k").alias("id"), F.array_join(T.name_variants(c("full")), "|").alias("variants"), T.normalized(c("plain")).alias("plain"), T.prefer(_case(2, "-", c("z")), _case(2, "unknown", "x")).alias("chosen"),
+                     T.decode_entities(F.concat(c("z"), lit("&nbsp;&amp;&nbsp;&lt;b&gt; &quot;"), c("p1"), lit("&quot;"))).alias("decoded"), N.pretty_key(F.concat(c("z"), _case(2, " llc", " labs"))).alias("pretty"),
+                     N.is_non_entity(F.concat(c("p1"), _case(2, " (Moderator)", " (Speaker)"))).alias("is_person"), N.picker_query(F.concat(lit("The "), c("z"), lit(" Holdings, Inc"))).alias("picked"), forms["key"].alias("key"),
+                     forms["core_key"].alias("core_key"), forms["acronym"].alias("acronym"), F.array_join(T.distinctive_tokens(F.concat(c("z"), lit(" Robotics Vista The"))), ",").alias("tokens"))
+
+
+@query(f"""WITH m AS ({_MADE}), p AS (SELECT *, lower(z) AS l FROM m) SELECT k AS id, CASE WHEN k % 2 = 0 THEN concat('shop.', l, '.com') END AS host, concat('shop.', l, '.com,', l, '.com,', l, 'robotics.com,', l, '.robotics') AS guesses,
+k % 3 <> 2 AS matches, k % 2 = 0 AS sibling, k % 2 = 0 AS same FROM p""")
+def host_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, lit = F.col, F.lit
+    low = F.lower("z")
+    df = _made(spark, sf_dir)
+    return df.select(c("k").alias("id"), D.text_host(_case(2, F.concat(lit("see [https://shop."), low, lit(".com/x] now")), "no address")).alias("host"),
+                     F.array_join(D.official_guesses(F.concat(lit("https://shop."), low, lit(".com/")), F.concat(c("z"), lit(" Robotics"))), ",").alias("guesses"),
+                     D.matches_expected(F.concat(lit("www."), low, lit(".com")), F.concat(_case(3, "", "ir.", "my"), low, lit(".com")), F.array(lit(""))).alias("matches"),
+                     D.is_regional_sibling(F.concat(low, _case(2, ".de", ".org")), F.concat(low, lit(".com"))).alias("sibling"), D.same_site(F.concat(lit("a."), low, lit(".com")), F.concat(low, _case(2, ".com", ".net"))).alias("same"))
+
+
+@query(f"""WITH m AS ({_MADE}) SELECT k AS id, 'Venture Capital' AS industry, concat(city, ', ', code) AS location, {_BUCKET.format('n')} AS headcount, p1 AS founders, concat('Note on ', z) AS notes, CASE k % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' END AS gender,
+k % 2 = 0 AS executive, CASE WHEN k % 2 = 0 THEN 'Unknown' ELSE z END AS value, CASE WHEN k % 2 = 0 THEN 'no_reliable_source_found' END AS unknown_reason, CASE k % 4 WHEN 0 THEN 'Nonprofit / Foundation' WHEN 1 THEN 'Education' WHEN 2 THEN 'Government' END AS kind,
+CASE k % 4 WHEN 0 THEN 'Nonprofit / Foundation' WHEN 1 THEN 'Education' WHEN 2 THEN 'Government' ELSE 'Software' END AS guess, CASE WHEN k % 2 = 0 THEN concat(city, ', ', code) ELSE 'Unknown' END AS inferred, 1900 + k % 100 AS year, concat(p1, '; ', p2) AS explicit, p3 AS bios,
+CASE k % 3 WHEN 0 THEN 'unknown_pipeline_error' WHEN 1 THEN 'unknown_no_data' END AS founders_unknown FROM m""")
+def field_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, lit = F.col, F.lit
+    none = lit(None).cast("string")
+    place = F.concat_ws(", ", "city", "code")
+    record = L.field_record(_case(2, "-", c("z")), lit("json_ld"), lit("high"), lit("2024-01-01").cast("timestamp"))
+    name, domain = F.concat(c("z"), _case(4, " Foundation", " College", "", "")), F.concat(F.lower("z"), _case(4, ".org", ".com", ".gov", ".com"))
+    return _made(spark, sf_dir).select(
+        c("k").alias("id"), *L.finalize(lit("vc"), F.concat(place, lit(", USA")), F.format_number("n", 0), F.concat(c("p1"), lit(" (Founder)")), F.concat(lit("Note on "), c("z"), lit(" | DNS"))),
+        L.gender(_case(3, "http://x/Q6581097", "", ""), _case(3, none, "Woman", "other")).alias("gender"), L.is_executive_only(_case(2, "CEO", "Co-Founder and CEO")).alias("executive"), record["value"].alias("value"), record["unknown_reason"].alias("unknown_reason"),
+        L.entity_industry(name, domain).alias("kind"), N.guess_industry(name, domain, lit("a platform")).alias("guess"), N.infer_location(_case(2, F.concat(lit("offices at "), place), "nowhere")).alias("inferred"),
+        H.year(F.concat(lit("since "), (c("k") % 100 + 1900).cast("string"), lit(" or so"))).cast("long").alias("year"), N.explicit_founders(F.concat(lit("It was founded by "), c("p1"), lit(" in 1999. "), c("p2"), lit(" is a co-founder."))).alias("explicit"),
+        N.founder_bios(F.concat(c("p3"), lit(" - founding partner\n"), c("p1"), lit(" - CEO"))).alias("bios"),
+        N.founders_unknown_status(_case(3, "", "-", c("p1")), F.when(c("k") % 3 == 0, F.array(lit("timeout")))).alias("founders_unknown"))
+
+
+@query(f"""WITH m AS ({_MADE}) SELECT k AS id, 'Robots' AS industry, 1999 AS founded_year, concat(city, ', ', state) AS hq, concat(z, ' Works') AS former, CASE WHEN k % 2 = 0 THEN concat(p1, '; ', p2) ELSE concat(p1, '; ', p3) END AS founders, concat('https://', lower(z), '.com/') AS canonical,
+concat('© 2020 ', z, ' Labs') AS line, k % 2 = 0 AS confirmed, k % 2 = 0 AS full_name FROM m""")
+def page_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, lit = F.col, F.lit
+    wiki = F.concat(lit("{{Infobox company\n| industry = [[Robot|Robots]]\n| founded = {{start date|1999}} in 1999<br/>\n| headquarters = [["), c("city"), lit("]], "), c("state"), lit("\n| former_name = "), c("z"), lit(" Works\n| founders = "),
+                    _case(2, F.concat(lit("[["), c("p1"), lit("]], [["), c("p2"), lit(" (engineer)|J]]")), F.concat(c("p1"), lit(" and "), c("p3"))), lit("\n}}\n"))
+    page = F.concat(lit("<link rel='canonical' href='https://"), F.lower("z"), lit(".com/'>"))
+    told = F.concat(_case(2, F.concat(c("z"), lit(" Labs")), "Other firm"), lit(" builds robots. "))
+    box = H.infobox(wiki)
+    name = F.concat(c("z"), lit(" Labs"))
+    return _made(spark, sf_dir).select(c("k").alias("id"), box["industry"].alias("industry"), box["founded_year"].alias("founded_year"), box["hq"].alias("hq"), box["former_names"].alias("former"), F.array_join(H.infobox_founders(wiki), "; ").alias("founders"),
+                                       H.canonical(page).alias("canonical"), H.copyright_line(F.concat(lit("x © 2020 "), name, lit(". y"))).alias("line"), H.confirms_company(name, told).alias("confirmed"), N.full_name_present(name, told).alias("full_name"))
+
+
+@query(f"""WITH m AS ({_MADE}) SELECT k AS id, CASE WHEN k % 3 = 2 THEN 'Unknown' ELSE 'Venture Capital' END AS industry, CASE WHEN k % 3 = 2 THEN 'Unknown' ELSE concat(city, ', ', code) END AS location, CASE WHEN k % 3 = 2 THEN 'Unknown' ELSE concat(format('{{:,}}', n), ' - ', format('{{:,}}', n + 50)) END AS headcount,
+CASE WHEN k % 3 = 2 THEN 'Unknown' ELSE p1 END AS founders, CASE WHEN k % 3 = 2 THEN 'Unknown' ELSE concat(z, ' is a growth equity firm of note') END AS notes, CASE k % 3 WHEN 2 THEN 'scrape-unconfirmed' ELSE 'scrape' END AS source FROM m""")
+def page_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, lit = F.col, F.lit
+    shown = lambda x: F.format_number(x, 0)
+    html = F.concat(lit("<html><head><title>Home</title><meta name='description' content='"), c("z"), lit(" is a growth equity firm of note'></head><body><div id='about'>We are based in "), c("city"), lit(", "), c("code"), lit(". Founder: "), c("p1"),
+                    lit(" and friends.</div><p>"), shown(c("n")), lit(" - "), shown(c("n") + 50), lit(" employees</p><footer>© 2020</footer></body></html>"))
+    company = _case(3, c("z"), F.concat(c("z"), lit(" Labs")), "Quux Widgets")
+    return _made(spark, sf_dir).select(c("k").alias("id"), N.page_fields(html, company).alias("f")).select("id", "f.*")
+
+
+@query(f"""WITH m AS ({_MADE}) SELECT k AS id, CASE k % 4 WHEN 0 THEN p1 WHEN 1 THEN p1 ELSE '' END AS founders, CASE WHEN k % 2 = 0 THEN '' ELSE {_BUCKET.format('(n + 10)')} END AS headcount, CASE WHEN k % 4 = 3 THEN 'Unknown' ELSE p1 END AS person,
+CASE WHEN k % 4 = 3 THEN 0 ELSE 1 END AS hits, CASE k % 4 WHEN 3 THEN 0 ELSE 1 END AS windows FROM m""")
+def team_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Founders in a team page's lines: the company's own page need not name it, another's must."""
+    c, lit = F.col, F.lit
+    said = F.concat(_case(4, "Meet the crew", F.concat(lit("Meet the "), c("z"), lit(" crew")), "Meet the crew", "Our offices"), lit(".\n"), _case(4, F.concat(c("p1"), lit(", Co-Founder")), F.concat(c("p1"), lit(", Co-Founder")), F.concat(c("p1"), lit(", Co-Founder")), "and more"), lit(" since then"))
+    staff = F.concat(_case(2, "Meet the team. ", "Meet all. "), lit("We are "), F.format_number(c("n") + 10, 0), lit(" - "), F.format_number(c("n") + 10, 0), lit(" people"))
+    df = _made(spark, sf_dir).withColumns({"said": said, "staff": staff, "team": c("k") % 4 == 0})
+    evidence = X.founder_evidence(c("said"))
+    return df.select(c("k").alias("id"), F.array_join(F.transform(X.founder_hits(c("said"), c("z"), c("team")), lambda h: h["value"]), ",").alias("founders"),
+                     F.array_join(F.transform(X.headcount_hits(c("staff"), lit(True)), lambda h: h["value"]), ",").alias("headcount"), X.first_person(c("said"), c("z")).alias("person"), F.size(evidence["hits"]).alias("hits"), F.size(evidence["windows"]).alias("windows"))
+
+
+@query(f"""WITH m AS ({_MADE}) SELECT k AS id, k % 3 <> 2 AS place, k % 2 = 0 AS headcount, k % 3 = 0 AS founders, k % 3 <> 2 AS persons, CASE k % 3 WHEN 0 THEN concat(lower(p1), ',', lower(p2)) WHEN 1 THEN lower(p1) ELSE '' END AS shared, k % 3 = 0 AS industries, k % 2 = 0 AS compatible FROM m""")
+def equivalences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, lit = F.col, F.lit
+    both = lambda *n: F.concat_ws("; ", *n)
+    got = _case(3, both("p1", "p2"), c("p1"), c("p3"))
+    return _made(spark, sf_dir).select(
+        c("k").alias("id"), S.location_equivalent(F.concat_ws(", ", "city", "code"), F.concat(_case(3, c("city"), "Nowhere", "Nowhere"), lit(", "), c("code"), lit(", USA")), F.array(_case(3, "", c("city"), ""))).alias("place"),
+        S.headcount_equivalent(lit("51-200"), _case(2, "about 60 to 80", "1,000+")).alias("headcount"), S.founders_equivalent(got, both("p2", "p1")).alias("founders"), S.founders_accurate(got, both("p2", "p1")).alias("persons"),
+        F.array_join(S.founder_overlap(got, both("p2", "p1")), ",").alias("shared"), I.equivalent(_case(3, "Venture Capital", "Banking", "Unknown"), _case(3, "Private Equity", "Energy", "Banking")).alias("industries"),
+        N.industries_compatible(_case(2, "software", "Robotics"), _case(2, "saas technology", "Oil")).alias("compatible"))
+
+
+@query(f"""WITH m AS ({_MADE}) SELECT k AS id, CASE k % 4 WHEN 0 THEN concat(upper(left(z, 1)), substr(z, 2), ', TX') WHEN 1 THEN concat(z, ', France') WHEN 2 THEN concat(z, ', CA') END AS value, CASE k % 4 WHEN 0 THEN concat(lower(z), ', texas') WHEN 1 THEN concat(z, ', france') WHEN 2 THEN concat(lower(z), ', california') END AS raw,
+CASE WHEN k % 2 = 0 THEN '51–200' ELSE {_BUCKET.format('n')} END AS headcount, k % 3 = 0 AS open FROM m""")
+def provider_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, lit, low = F.col, F.lit, F.lower("z")
+    none = lit(None).cast("string")
+    hq = P.headquarters(_case(4, low, c("z"), none, none), _case(4, "texas", none, none, none), _case(4, "united states", "france", none, none), _case(4, none, none, F.concat(low, lit(", california, united states")), "Mars"))
+    return _made(spark, sf_dir).select(c("k").alias("id"), hq["value"].alias("value"), hq["raw"].alias("raw"), P.headcount(_case(2, "51-200", none), c("n")).alias("headcount"),
+                                       P.needs_fallback(_case(3, "-", "Paris", "Paris"), _case(3, "json_ld", "json_ld", "official_about"), lit("high")).alias("open"))
+
+
+@query(f"WITH m AS ({_MADE}) SELECT count(*) FILTER (WHERE k % 10 <> 0 AND k % 3 <> 0) AS requests, count(*) FILTER (WHERE k % 10 <> 0 AND k % 3 = 0) AS cache_hits, count(*) FILTER (WHERE k % 10 > 6) AS matches, count(*) FILTER (WHERE k % 10 IN (4, 5, 6)) AS rejected, count(*) FILTER (WHERE k % 10 = 1) AS not_found, count(*) FILTER (WHERE k % 10 IN (2, 3)) AS errors FROM m")
+def provider_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.counts(provider_validate(spark, sf_dir).withColumn("from_cache", F.col("id") % 3 == 0))
+
+
+@query(f"""WITH m AS ({_MADE}) SELECT concat('"', z, '","', lower(z), '.com","Fintech","","', city, '","', p1, '","Note on ', z, '"') AS line FROM m""")
+def batch_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, lit = F.col, F.lit
+    rows = _made(spark, sf_dir).select(c("z").alias("company_name"), F.concat(F.lower("z"), lit(".com")).alias("website"), lit("Fintech").alias("industry"), lit(None).cast("string").alias("headcount"), c("city").alias("location"), c("p1").alias("founders"),
+                                       F.concat(lit("Note on "), c("z"), lit(" | SPARQL")).alias("notes"))
+    return writers.batch_csv_rows(rows)
+
+
+@query(f"""WITH m AS ({_MADE}), r AS (SELECT k, lower(z) AS domain, CASE k % 4 WHEN 0 THEN 'Venture Capital' WHEN 1 THEN 'Fintech' WHEN 2 THEN 'Unknown' ELSE concat('Robots ', z) END AS industry FROM m), f AS (SELECT industry, min(k) AS k FROM r GROUP BY industry)
+SELECT r.k AS id, CASE WHEN r.k = f.k THEN industry ELSE 'Unknown' END AS industry FROM r JOIN f USING (industry)""")
+def once_per_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, lit = F.col, F.lit
+    rows = _made(spark, sf_dir).select(c("k").alias("seq"), F.lower("z").alias("domain"), _case(4, "vc", "fintech", "-", F.concat(lit("robots "), c("z"))).alias("industry"))
+    return C.once_per_owner(rows).select(c("seq").alias("id"), "industry")
+
+
+@query(f"""WITH m AS ({_MADE}) SELECT count(*) AS companies, count(*) FILTER (WHERE k % 3 = 0) AS correct, {{0}} AS accuracy_pct, {{1}} AS industry_coverage_pct, {{2}} AS location_coverage_pct, count(*) FILTER (WHERE k % 2 = 0) AS industry_unknown, count(*) FILTER (WHERE k % 5 = 0) AS location_unknown,
+{{3}} AS unknown_pct, {{4}} AS high_pct, {{5}} AS medium_pct, {{6}} AS low_pct, CAST(floor(avg(n) + 0.5) AS BIGINT) AS mean_ms, CAST(sum(k % 7) AS BIGINT) AS timeouts FROM m""".format(*["CASE WHEN {1} > 0 THEN floor({0} / {1} * 1000 + 0.5) / 10 END".format(a, b) for a, b in (
+    ("count(*) FILTER (WHERE k % 3 = 0)", "count(*)"), ("count(*) FILTER (WHERE k % 3 = 0 AND k % 2 <> 0)", "count(*) FILTER (WHERE k % 3 = 0)"), ("count(*) FILTER (WHERE k % 3 = 0 AND k % 5 <> 0)", "count(*) FILTER (WHERE k % 3 = 0)"),
+    ("(count(*) FILTER (WHERE k % 2 = 0) + count(*) FILTER (WHERE k % 5 = 0))", "(count(*) * 2)"), ("sum(k % 3)", "sum(k % 3 + 2 + k % 4)"), ("sum(2)", "sum(k % 3 + 2 + k % 4)"), ("sum(k % 4)", "sum(k % 3 + 2 + k % 4)"))]))
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    rows = _made(spark, sf_dir).select((c("k") % 3 == 0).alias("correct"), _case(2, "-", c("z")).alias("industry"), _case(5, "Unknown", c("city"), c("city"), c("city"), c("city")).alias("location"), (c("k") % 3).alias("high"), F.lit(2).alias("medium"), (c("k") % 4).alias("low"),
+                                       c("n").alias("elapsed_ms"), (c("k") % 7).alias("timeouts"))
+    return M.summarize_run(rows, ("industry", "location"))
+
+
+@query("SELECT p_brand AS company_id, p_partkey AS seq, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_size % 10 DESC, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END DESC, p_partkey) AS INTEGER) AS place FROM part")
+def candidates_best_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    rows = table(spark, sf_dir, "part").select(c("p_brand").alias("company_id"), c("p_partkey").alias("seq"), (c("p_size") % 10).alias("score"), F.when(c("p_partkey") % 3 == 0, "high").otherwise("low").alias("confidence"))
+    return M.best_first(rows).select("company_id", "seq", "place")
+
+
+@query(f"""WITH m AS ({_MADE}) SELECT k AS company_id, concat('http://', CASE WHEN k % 2 = 0 THEN 'www.' ELSE '' END, lower(z), '.com', CASE WHEN k % 3 = 0 THEN '/' ELSE '' END) AS value, NULL AS cached, CAST(floor((k - 1) / 50) AS BIGINT) AS chunk FROM m WHERE k % 7 = 0
+UNION ALL SELECT k, concat('http://', CASE WHEN k % 2 = 0 THEN 'www.' ELSE '' END, lower(z), '.com', CASE WHEN k % 3 = 0 THEN '/' ELSE '' END), z, CAST(floor((k - 1) / 50) AS BIGINT) FROM m WHERE k % 7 <> 0""")
+def facts_and_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of a site by any spelling of its address, and its provider's answer from the cache: every seventh is too old, and each has an older one."""
+    c, lit = F.col, F.lit
+    df = _made(spark, sf_dir).select(c("k").alias("company_id"), "k", "z", F.concat(F.lower("z"), lit(".com")).alias("domain"))
+    url = F.concat(lit("http://"), F.when(c("k") % 2 == 0, "www.").otherwise(""), c("domain"), F.when(c("k") % 3 == 0, "/").otherwise(""))
+    facts = df.select(url.alias("url"), lit("P856").alias("property"), url.alias("value"), c("z").alias("label"))
+    got = readers.facts_by_site(df, facts)
+    day = lambda s: lit(s).cast("timestamp")
+    newest = df.select("domain", F.when(c("k") % 7 == 0, day("2024-01-01")).otherwise(day("2024-05-20")).alias("fetched_at"), c("z").alias("company"))
+    older = df.select("domain", day("2024-01-01").alias("fetched_at"), lit("old").alias("company"))
+    requests = P.chunks(df.select("company_id", "domain", (c("k") - 1).alias("seq")))
+    return P.through_cache(requests, newest.unionByName(older), day("2024-06-01")).join(got, "company_id").select("company_id", "value", "cached", "chunk")
+
+
+@query(f"""WITH m AS ({_MADE}) SELECT k AS company_id, CAST(seq AS INTEGER) AS seq, q AS query FROM (SELECT k, unnest(range(4)) AS seq, unnest([concat(z, ' Labs Inc'), concat(z, ' Labs Inc official website'), concat(z, ' Labs Inc company'), concat(z, ' Labs')]) AS q FROM m WHERE k % 2 = 0
+UNION ALL SELECT k, unnest(range(5)), unnest([concat(z, ' Labs Inc'), concat(z, ' Labs Inc official website'), concat(z, ' Labs Inc company'), concat(z, ' Labs Inc robots'), concat(z, ' Labs')]) FROM m WHERE k % 2 = 1)""")
+def company_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.search_queries(_made(spark, sf_dir).select(F.col("k").alias("company_id"), F.concat("z", F.lit(" Labs Inc")).alias("company"), _case(2, "", "robots").alias("context")))
+
+
+@query(f"""WITH m AS ({_MADE}) SELECT k AS company_id, CAST(seq AS INTEGER) AS seq, q AS query FROM (SELECT k, unnest(range(3)) AS seq, unnest([concat(z, ' Labs Inc'), concat(z, ' Labs'), z]) AS q FROM m WHERE k % 2 = 0)""")
+def lonely_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    m = _made(spark, sf_dir).select(c("k").alias("company_id"), F.concat("z", F.lit(" Labs (Inc)")).alias("company"))
+    return readers.shortened_queries(m, m.where("company_id % 2 = 1"))
+
+
+@query(f"""WITH m AS ({_MADE}), p AS (SELECT *, lower(z) AS l FROM m) SELECT k AS company_id, CAST(seq AS INTEGER) AS seq, d AS domain, CASE WHEN seq = 0 THEN 'wikidata_official' ELSE 'brand_guess' END AS source FROM (
+SELECT k, unnest(range(4)) AS seq, unnest([concat('shop.', l, '.com'), concat(l, '.com'), concat(l, 'robotics.com'), concat(l, '.robotics')]) AS d FROM p WHERE k % 2 = 0 UNION ALL SELECT k, 0, concat(l, 'robotics.com') FROM p WHERE k % 2 = 1)""")
+def brand_guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, lit = F.col, F.lit
+    m = _made(spark, sf_dir).select(c("k").alias("company_id"), F.concat("z", lit(" Robotics")).alias("company"), F.concat(lit("https://shop."), F.lower("z"), lit(".com")).alias("official_site"))
+    return readers.brand_guesses(m.select("company_id", "company"), m.where("company_id % 2 = 0").select("company_id", "official_site")).select("company_id", "seq", "domain", "source")
+
+
+@query(f"""WITH m AS ({_MADE}) SELECT k AS company_id, concat(p1, ' ', z) AS full_name, 'Co-Founder & CEO' AS title, CASE k % 3 WHEN 0 THEN 'mixed' WHEN 1 THEN 'female' ELSE 'Unknown' END AS team FROM m WHERE k % 4 <> 3""")
+def provider_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, lit = F.col, F.lit
+    m = _made(spark, sf_dir)
+    site = F.concat(F.lower("z"), lit(".com"))
+    people = m.select(c("k").alias("company_id"), site.alias("domain"), c("z").alias("company"), F.concat_ws("  ", "p1", "z").alias("full_name"), _case(4, "Co-Founder & CEO", "Co-Founder & CEO", "Co-Founder & CEO", "CEO").alias("title"),
+                      F.concat(lit("https://www."), site).alias("job_company_website"), lit("x").alias("job_company_name"))
+    genders = m.select(c("k").alias("company_id"), S.team_gender(_case(3, F.array(lit("male"), lit("female")), F.array(lit("female")), F.array(lit("male"))), lit("partial")).alias("team"))
+    return P.founder_people(people).join(genders, "company_id").select("company_id", "full_name", "title", "team")
+
+
 # decisions -----------------------------------------------------------------------------------------------------------
 @query("""WITH s AS (SELECT s_suppkey AS k FROM supplier) SELECT k AS entity_id,
 CASE WHEN k % 10 IN (0, 2, 5, 8) THEN 'accept' WHEN k % 10 IN (4, 6) THEN 'allow_unknown' WHEN k % 10 = 7 THEN 'retry_needed' ELSE 'reject' END AS decision,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.domains import registrable
 from ..functions.fields import notes
 from ..functions.regex import text
 
@@ -24,6 +25,19 @@ def write_csv(rows: DataFrame, path: str) -> None:
     shaped.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', emptyValue="")
 
 
+#: The batch export's columns and their headings.
+BATCH_EXPORT = {"company_name": "Company Name", "website": "Website", "industry": "Industry", "headcount": "Headcount (est.)", "location": "Location", "founders": "Founders", "notes": "Notes"}
+
+
+def batch_csv_rows(rows: DataFrame) -> DataFrame:
+    """(line): the seven-column export of a batch, all values in quotes; notes are cleaned. The heading is ``batch_csv_heading``."""
+    return csv_rows(rows.withColumn("notes", notes(F.col("notes"))), list(BATCH_EXPORT))
+
+
+def batch_csv_heading() -> str:
+    return ",".join(f'"{h}"' for h in BATCH_EXPORT.values())
+
+
 def write_report(summary: DataFrame, rows: DataFrame, path: str) -> None:
     """A report's two parts, as JSON lines, side by side."""
     summary.write.mode("overwrite").json(f"{path}/summary")
@@ -47,6 +61,12 @@ def write_store(spark: SparkSession, merged: DataFrame, path: str) -> None:
     spark.createDataFrame([(target,)], "current string").coalesce(1).write.mode("overwrite").json(f"{path}/current")
 
 
+def write_cache(spark: SparkSession, cache: DataFrame, incoming: DataFrame, path: str, as_of: Column) -> None:
+    """A provider's answers (domain, company) put into its cache (domain, fetched_at, source, company): a domain's newest row stays."""
+    new = incoming.select(registrable(F.col("domain")).alias("domain"), as_of.alias("fetched_at"), F.lit("provider").alias("source"), "company")
+    write_store(spark, upsert(cache, new, "domain", "fetched_at"), path)
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(spark.read.schema("current string").json(f"{path}/current").first()["current"])
 

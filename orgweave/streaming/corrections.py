@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -27,12 +28,16 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         return
     name, domain, written, deleted = state.get if state.exists else (None, None, None, None)
     for batch in batches:
-        for row in batch.sort_values(["updated_at", "seq"], kind="stable", na_position="first").itertuples():
-            at = _micros(row.updated_at)
-            if row.deleted:
-                deleted = at if deleted is None else max(deleted, at)
-            elif written is None or at >= written:
-                name, domain, written = row.company_name, row.domain, at
+        at = batch["updated_at"].map(_micros).to_numpy(dtype=np.int64)
+        gone = batch["deleted"].fillna(False).to_numpy(dtype=bool)
+        if gone.any():
+            latest = int(at[gone].max())
+            deleted = latest if deleted is None else max(deleted, latest)
+        if not gone.all():
+            order = np.lexsort((batch["seq"].fillna(-1).to_numpy(), at))
+            last = order[~gone[order]][-1]
+            if written is None or at[last] >= written:
+                name, domain, written = batch["company_name"].iloc[last], batch["domain"].iloc[last], int(at[last])
     state.update((name, domain, written, deleted))
     if deleted is not None:
         expiry = deleted // 1000 + TOMBSTONE_DAYS * 86_400_000

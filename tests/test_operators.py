@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from orgweave.functions import domains as D
+from orgweave.functions import extract as X
 from orgweave.functions import fields as L
 from orgweave.functions import html as H
 from orgweave.functions import text as T
@@ -14,10 +16,11 @@ from orgweave.operators import candidates as C
 from orgweave.operators import consensus as S
 from orgweave.operators import corrections as K
 from orgweave.operators import guard as G
+from orgweave.operators import industry as I
 from orgweave.operators import scoring as R
 from orgweave.operators import selection as W
 from orgweave.plans import resolve
-from orgweave.sources import readers, writers
+from orgweave.sources import readers, shared, writers
 from orgweave.streaming.corrections import stream_corrections
 
 
@@ -186,3 +189,79 @@ def test_provider_enrichment_fills_only_open_fields(spark):
                                       "company_id int, requested_domain string, requested_name string, enabled boolean, http_status int, error string, likelihood int, website string, provider_name string, alternative_names array<string>, alternative_domains array<string>, industry string, location string, headcount string, founders string")
     got = {r["company_id"]: (r["industry"], r["location"], r["headcount"], r["founders"], r["conflicts"]) for r in resolve.enrich_with_provider(fields, responses).collect()}
     assert got[1] == ("Banking", "Paris", "51–200", "Unknown", ["location"]) and got[2][:4] == ("Fintech", "Rome", "11–50", "Ann Lee")
+
+
+def test_field_strings(spark):
+    said = {"10,000+": "5,001–10,000", "More than 10,000": "10,001+", "51-200": "51–200", "1,234": "1,001–5,000", "about 300 to 500 people": "201–500", "Unknown": "Unknown", "-": "Unknown", "some": "some"}
+    assert values(spark, L.headcount, list(said)) == list(said.values())
+    places = {"headquartered in Austin, Texas": "Austin, TX", "Toyota City, Aichi, Japan": "Toyota City, Japan", "Osaka, osaka": None, "London": "London", "Palo Alto, CA, USA": "Palo Alto, CA", "Smallville": None,
+              "our headquarters are located in Leeds, England": None, "based in Boston, MA": "Boston, MA"}
+    assert values(spark, L.hq, list(places)) == list(places.values())
+    lists = {"Ann Lee and Bob Ray": "Ann Lee; Bob Ray", "Ann Lee (CEO), ann lee, Cher": "Ann Lee", "The Team": "Unknown", "not_applicable": "not_applicable", "Jane Doe, CEO": "Jane Doe"}
+    assert values(spark, L.founders, list(lists)) == list(lists.values())
+
+
+def test_pasted_text(spark):
+    text = "• Nvidia, Apple, Ramp\n1. Foo Inc, Bar\n\n[3] Baz Widgets\nJane – CFO\tAcme (x)\nKim, Partner\n"
+    rows = readers.pasted_names(spark.createDataFrame([(0, text), (1, None)], "paste_id int, text string")).orderBy("seq").collect()
+    assert [r["name"] for r in rows] == ["Nvidia", "Apple", "Ramp", "Foo Inc, Bar", "Baz Widgets", "Jane – CFO\tAcme (x)", "Kim, Partner"]
+
+
+def test_facts_with_windows(spark):
+    texts = [None, "", "Acme is headquartered in Austin, Texas.", "We have an office in Paris, France.", "Meet the team. Jane Doe, Co-Founder of Acme and of many good ideas since then\nSam Poe - Founder of Other Corp"]
+    assert [[h["value"] for h in v] for v in values(spark, X.hq_hits, texts)] == [[], [], ["Austin, TX"], [], []]
+    lines = values(spark, lambda c: X.founder_line_hits(c, F.lit("Acme"), F.lit(False)), texts)
+    assert [h["value"] for h in lines[4]] == ["Jane Doe"] and lines[:4] == [[], [], [], []]
+    assert values(spark, lambda c: X.first_person(c, F.lit("Acme")), texts)[4] == "Jane Doe"
+    (one,) = values(spark, lambda c: X.matches(c, (r"\b(\d+) (cats|dogs)\b", r"no(pe)"), 3, 2), ["12 cats, 3 dogs!"])
+    assert [(h["start"], h["match"], h["g1"], h["g2"], h["g3"], h["window"]) for h in one] == [(0, "12 cats", "12", "cats", "", "12 cats, "), (9, "3 dogs", "3", "dogs", "", "s, 3 dogs!")]
+
+
+def test_industry_by_evidence(spark):
+    parts = [["An observability platform and SaaS provider for the semiconductor industry"], [None, ""], ["short"], ["a technology company with many offices around the world"], ["She likes semiconductor physics and processors", "x" * 5000, "observability"],
+             ["Acme is a fabless semiconductor company"]]
+    rows = I.classify(spark.createDataFrame(list(enumerate(parts)), "i int, parts array<string>")).orderBy("i").collect()
+    assert [(r["industry"], r["industry_source"]) for r in rows] == [("Enterprise Software", "explicit_description"), ("Unknown", "none"), ("Unknown", "none"), ("Technology", "explicit_description"), ("Unknown", "insufficient_signal"),
+                                                                    ("Semiconductors", "explicit_description")]
+    assert all(I._literal(p) and len(I._literal(p)) > 1 for rule in (*I.RULES, I.FALLBACK) for kind in (1, 2, 3) for p in rule[kind])
+
+
+def test_containment_lookup(spark):
+    names = spark.createDataFrame([(1, "Red Widget"), (2, "Bolt"), (3, "abc"), (4, "Bluebolts Ltd"), (5, None), (6, "zzzz")], "id int, name string")
+    entries = spark.createDataFrame([(0, "ring", "r"), (1, "redwidget", "w"), (2, "xboltx", "x"), (3, "bluebolt", "b"), (4, "bolt", "o"), (5, "abcd", "a"), (6, "abc", "c"), (7, None, "n")], "entry_seq int, key string, domain string")
+    got = {r["id"]: (r["domain"], r["exact"]) for r in C.fuzzy_lookup(names, entries).collect()}
+    assert got == {1: ("w", True), 2: ("o", True), 3: ("c", True), 4: ("b", False), 5: (None, None), 6: (None, None)}
+
+
+def test_bad_fixtures_are_kept(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"k": 1, "v": "x"}')
+    (tmp_path / "b.json").write_text('{"k": 2, "v": ')
+    rows = readers.json_records(spark, str(tmp_path), "k int, v string").collect()
+    assert sorted((r["k"] or 0, r["_corrupt"] is not None) for r in rows) == [(0, True), (1, False)]
+
+
+def test_cache_and_snapshot(spark, tmp_path):
+    at = lambda s: F.lit(s).cast("timestamp")
+    old = spark.createDataFrame([("a.com", dt.datetime(2024, 1, 1), "provider", "old"), ("b.com", dt.datetime(2024, 1, 1), "provider", "b")], "domain string, fetched_at timestamp, source string, company string")
+    writers.write_cache(spark, old, spark.createDataFrame([("https://www.a.com/", "new")], "domain string, company string"), str(tmp_path / "cache"), at("2024-02-01"))
+    assert {r["domain"]: r["company"] for r in writers.read_store(spark, str(tmp_path / "cache")).collect()} == {"a.com": "new", "b.com": "b"}
+    lines = [r["json"] for r in writers.snapshot(K.reconcile(log(spark, [("b", "b.com", 1, 5, False, 0, 0), ("a", "a.com", 1, 5, False, 0, 1), ("c", None, None, 5, True, 0, 2)]), at("2024-02-01")), at("2024-02-01")).collect()]
+    assert ['"version"' in lines[0], '"a"' in lines[1], '"b"' in lines[2], '"deletedAt"' in lines[3]] == [True] * 4 and len(lines) == 4
+    assert writers.batch_csv_heading().count('"') == 14
+
+
+def test_shared_folder_on_a_cluster_must_be_set(spark):
+    class Session:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: {})
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Session)
+    written = shared.materialize(spark.range(3), "three")
+    assert written.count() == 3
+    shared.discard(written)
+    assert not list(__import__("pathlib").Path(written.written_to.removeprefix("file:")).glob("*.parquet"))
