@@ -11,6 +11,8 @@ The base phrases are counted apart: their places are where their words stand con
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -336,8 +338,9 @@ def rules() -> list[tuple[int, str, str, str, float]]:
 
 
 def _literal_rules() -> Column:
-    return F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(k).alias("keyword"), F.lit(rx).alias("pattern"), F.lit(s).alias("strength"))
-                     for p, label, k, rx, s in rules()])
+    """All rules as one literal, which the optimizer parses once."""
+    rows = [{"priority": p, "label": label, "keyword": k, "pattern": rx, "strength": s} for p, label, k, rx, s in rules()]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<priority:int,label:string,keyword:string,pattern:string,strength:double>>")
 
 
 def _spaces(text: Column) -> Column:
@@ -416,7 +419,7 @@ def scan_licenses(docs: DataFrame, base: dict[str, str] | None = None, id_col: s
 
     keywords = sorted({k for _, _, k, _, _ in rules()})
     text = F.col("text")
-    present = F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(text, k))
+    present = F.filter(F.from_json(F.lit(json.dumps(keywords)), "array<string>"), lambda k: F.contains(text, k))
     rows = rows.withColumn("present", F.when(text.isNotNull(), present))
     run = F.filter(_literal_rules(), lambda r: F.array_contains(F.col("present"), r["keyword"]))
     rows = rows.withColumn("hits", F.when(F.size("present") > 0, F.flatten(F.transform(run, lambda r: _places(text, r)))))
