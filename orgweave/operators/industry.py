@@ -107,7 +107,8 @@ def classify(df: DataFrame, parts: str = "parts") -> DataFrame:
     clean = F.filter(F.transform(F.col(parts), lambda p: trim(text(p))), lambda p: p != "")
     df = df.withColumns({"_primary": cut(F.array_join(F.slice(clean, 1, PARTS), " · "), PRIMARY), "_full": F.lower(cut(F.array_join(F.transform(F.col(parts), text), " "), WHOLE))})
     rules = (*RULES, FALLBACK)
-    df = df.withColumn("_held", F.when(F.length("_primary") >= LEAST, _held(F.lower("_primary"), _expressions(rules, (1, 2, 3)))))
+    df = df.withColumn("_low", F.lower("_primary"))  # a column of its own: an expression would be made anew for each rule
+    df = df.withColumn("_held", F.when(F.length("_primary") >= LEAST, _held(c("_low"), _expressions(rules, (1, 2, 3)))))
     # a rule without a strong hit and without a negative one is weighed against the whole text as well
     at = F.array_distinct(F.transform(F.filter("_held", lambda h: (h["kind"] < 3) & (h["rule"] < len(RULES))), lambda h: h["rule"]))
     df = df.withColumn("_at", at)
@@ -132,7 +133,7 @@ def classify(df: DataFrame, parts: str = "parts") -> DataFrame:
             .withColumn("industry_score", F.coalesce(c("_best.score"), F.lit(0)))
             .withColumn("industry_source", F.when(F.length("_primary") < LEAST, "none").when(c("_best").isNull(), "insufficient_signal").when(c("industry_confidence") == "low", "weak_keyword_rejected")
                         .when(sure, "explicit_description").otherwise("multi_signal"))
-            .drop("_primary", "_full", "_held", "_at", "_weak", "_against", "_best"))
+            .drop("_primary", "_low", "_full", "_held", "_at", "_weak", "_against", "_best"))
 
 
 def equivalent(got: Column, expected: Column) -> Column:
