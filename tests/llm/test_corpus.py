@@ -790,3 +790,49 @@ def test_pipeline_stages(spark, tables):
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0.5 * tables("documents").count()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == sizes[-1]
+
+
+@pytest.mark.parametrize("labelled", [False, True])
+def test_pipeline_on_awkward_tables(spark, awkward, library, tmp_path, labelled):
+    import corpus_pipeline
+
+    long = " ".join(f"w{i}" for i in range(9000))
+    more = [(100 + i, f"good text number {i} about gardens rivers and stones", "en", "s", 1, 0.5, "p", "q") for i in range(30)] + [(200, long, "en", "s", 1, 0.5, "p", "q"), (201, long + " end", "en", "s", 1, 0.5, "p", "q")]
+    docs = awkward.unionByName(awkward.where("doc_id = 7")).union(spark.createDataFrame(more, awkward.schema))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(100 + i, 1, 0) for i in range(30)] + [(None, 0, 1), (100, None, None)] if labelled else []
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # exact copies, and 201 beside 200, go; the short texts differ in a word of seven; nothing is toxic or of low quality
+    kept = sorted([1, 2, 6, 7, 8, 2**62, *range(100, 130), 200])
+    assert sorted({r["doc_id"] for r in got if r["doc_id"] is not None}) == kept and any(r["doc_id"] is None for r in got)
+    texts = {i: t for i, t, *_ in [*AWKWARD, *more]}
+    sizes, bins = Counter(), defaultdict(list)
+    for r in got:
+        sizes[r["doc_id"]] += r["length"]
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all(sizes[i] == len(ids_of(library, texts[i])) + 1 for i in kept)
+    for places in bins.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    empty = tmp_path / "empty"
+    spark.createDataFrame([], awkward.schema).write.parquet(str(empty / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(empty / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_equal_rows_are_dealt_out(spark):
+    rows = spark.createDataFrame([(None, "")] * 3000, "doc_id long, text string")
+    pieces = packing.materialize(packing.cut_pieces(rows.coalesce(1)), "pieces")
+    assert pieces.select("salt").distinct().count() == packing.SALTS
+    placed = packing.place_pieces(pieces, 4096).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in placed}) == 3000 and len({r["sequence_id"] for r in placed}) == 1
+
+
+@needs_tables
+def test_packing_reaches_the_lower_bound(spark, tables):
+    rows = packing.pack_documents(tables("documents")).collect()
+    assert len({r["sequence_id"] for r in rows}) <= math.ceil(sum(r["length"] for r in rows) / 4096) * 1.01 + 1
