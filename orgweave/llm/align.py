@@ -1,9 +1,9 @@
 """Alignment of two tokenizers over the same texts: which tokens of one lie over which of the other.
 
-A text's tokens of either side end at byte offsets that add up. A two-pointer merge of both lists of ends gives the links (pairs of tokens whose
-bytes overlap) and the groups (what lies between offsets where both sides end). It runs inside ``mapInPandas``. Neither tokenizer has a token
-that runs over a space behind another character, so a text is cut there into units, whose tokens don't depend on what stands around them; a task
-tokenizes and merges each distinct unit once and keeps it in a bounded cache.
+A text's tokens of either side end at byte offsets that add up. A merge of both sorted lists of ends, with a pointer into each, gives the links (pairs of
+tokens whose bytes overlap) and the groups (what lies between offsets where both sides end). It runs inside ``mapInPandas``, with numpy, for many texts
+at a time. Neither tokenizer has a token that runs over a space behind a character other than white space, so a text is cut there into units, whose
+tokens don't depend on what stands around them; a task tokenizes and merges each distinct unit once and keeps it in a bounded cache.
 
 Spark counts in how many documents each pair of ids is linked, takes each side's maximum over an id's pairs, and joins both back to the
 documents' links. Pairs that many documents have are sent to all tasks: those in at least total / HOT documents are HOT at most, whatever the corpus holds.
@@ -15,21 +15,23 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import Recent
 from .common import blocks, give_back, held, materialize
 
 #: Pairs that are sent to all tasks, at most.
 HOT = 300_000
 #: Characters of a block of texts, characters of a unit that is kept, and units kept in a Python worker.
-_BLOCK_CHARS, _KEPT_CHARS, _KEPT_UNITS = 1_000_000, 64, 150_000
-_UNIT = re.compile(" *[^ ]+| +")
+_BLOCK_CHARS, _KEPT_CHARS, _KEPT_UNITS = 2_000_000, 64, 300_000
+#: White space that begins with another character than a space is within a unit.
+_UNIT = re.compile(r"\s*\S+(?:[^\S ]\s*\S+)*(?:[^\S ]\s*\Z)?|\s+")
 
 
 def default_paths() -> tuple[str, str]:
@@ -38,17 +40,15 @@ def default_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-def merge_ends(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Links (numbers of tokens that overlap) and groups (numbers of tokens before each end that both sides have) of two lists of ends with the same last one."""
-    links, groups, i, j = [], [], 0, 0
-    while i < len(ends_a) and j < len(ends_b):
-        links.append((i, j))
-        a, b = ends_a[i], ends_b[j]
-        i += a <= b
-        j += b <= a
-        if a == b:
-            groups.append((i, j))
-    return links, groups
+def merge_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both lists of ends, which rise to the same last one, merged: of each end the token of A and of B that it falls into, and whether both end there.
+
+    Between two ends of the merged list lie parts of one token of either side, and every pair that overlaps does so between just two of them. So the
+    merged list's entries are the links, and those where both end are the groups' ends.
+    """
+    merged = np.union1d(ends_a, ends_b)
+    at_a, at_b = np.searchsorted(ends_a, merged), np.searchsorted(ends_b, merged)
+    return at_a, at_b, ends_a[at_a] == ends_b[at_b]
 
 
 class Aligner:
@@ -69,36 +69,64 @@ class Aligner:
         shown = {c: b for b, c in _byte_letters().items()}
         self.bytes_a = [bytes(shown.get(c, 63) for c in self.a.id_to_token(i) or "") for i in range(self.a.get_vocab_size(with_added_tokens=True))]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.sizes_a, self.sizes_b = (np.fromiter(map(len, parts), np.int64, len(parts)) for parts in (self.bytes_a, self.bytes_b))
+        self.decimal = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
         self.space = [self.b.piece_to_id("▁")]
-        self.kept: dict[str, tuple | None] = {}
+        self.kept = Recent(_KEPT_UNITS)
 
     def units(self, wanted: set[str]) -> dict[str, tuple | None]:
-        """What is known of the wanted units; the new ones are tokenized together."""
-        new = [u for u in wanted if u not in self.kept]
-        if len(self.kept) + len(new) > _KEPT_UNITS:
-            self.kept, new = {}, list(wanted)
-        out = {u: self.kept[u] for u in wanted if u in self.kept} if self.kept else {}
-        ids_a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
+        """What is known of the wanted units; the new ones are tokenized and merged together."""
+        get, out = self.kept.get, {}
+        for u in wanted:
+            out[u] = get(u)
+        new = [u for u, made in out.items() if made is None]
+        ids_a, raw = self._tokens_a(new)
         # the processor adds a space before a text, and gives none for an empty one
-        ids_b = self.b.encode([u[1:] for u in new], num_threads=1)
-        for u, a, b in zip(new, ids_a, ids_b):
-            out[u] = made = self._merged(u.encode(), a, b or self.space)
+        ids_b = [ids or self.space for ids in self.b.encode([u[1:] for u in new], num_threads=1)]
+        # bytes are what A's tokens are made of, so they are the unit's; B's may differ
+        spelled = self.bytes_b.__getitem__
+        good = [i for i, ids in enumerate(ids_b) if b"".join(map(spelled, ids)) == raw[i]]
+        made = self._merged([new[i] for i in good], [ids_a[i] for i in good], [ids_b[i] for i in good])
+        out.update(made)
+        for u, entry in made.items():
             if len(u) <= _KEPT_CHARS:
-                self.kept[u] = made
+                self.kept.put(u, entry)
         return out
 
-    def _merged(self, raw: bytes, a: list[int], b: list[int]) -> tuple | None:
-        parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-            return None
-        if len(a) == 1 == len(b):
-            return 1, 1, 1, f"{a[0]}|{b[0]}", array("q", [a[0] << 32 | b[0]]).tobytes()
-        links, groups = merge_ends(_ends(parts_a), _ends(parts_b))
-        said, i, j = [], 0, 0
-        for x, y in groups:
-            said.append(f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}")
-            i, j = x, y
-        return len(a), len(b), len(groups), ";".join(said), array("q", [a[i] << 32 | b[j] for i, j in links]).tobytes()
+    def _tokens_a(self, units: list[str]) -> tuple[list[list[int]], list[bytes]]:
+        """The ids and the bytes of each unit. Units without white space at their end are tokenized as one text, which is cut into just these units."""
+        raw, together = [u.encode() for u in units], [i for i, u in enumerate(units) if not u[-1].isspace()]
+        out: list[list[int]] = [[]] * len(units)
+        if together:
+            ids = self.a.encode_batch_fast(["".join([units[i] for i in together])], add_special_tokens=False)[0].ids
+            sizes = np.fromiter((len(raw[i]) for i in together), np.int64, len(together))
+            start = 0
+            for i, end in zip(together, (np.searchsorted(np.cumsum(self.sizes_a[ids]), np.cumsum(sizes)) + 1).tolist()):
+                out[i] = ids[start:end]
+                start = end
+        alone = [i for i, u in enumerate(units) if u[-1].isspace()]
+        for i, e in zip(alone, self.a.encode_batch_fast([units[i] for i in alone], add_special_tokens=False)):
+            out[i] = e.ids
+        return out, raw
+
+    def _merged(self, units: list[str], a: list[list[int]], b: list[list[int]]) -> dict[str, tuple]:
+        """One merge for all units, one behind the other: every unit's end is an end of both sides."""
+        if not units:
+            return {}
+        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(units)) for ids in (a, b))
+        flat_a, flat_b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
+        ids_a, ids_b = np.array(flat_a), np.array(flat_b)
+        at_a, at_b, both = merge_ends(np.cumsum(self.sizes_a[ids_a]), np.cumsum(self.sizes_b[ids_b]))
+        raw = (ids_a[at_a] << 32 | ids_b[at_b]).astype(np.int64).tobytes()
+        ends_a, ends_b = (at_a[both] + 1).tolist(), (at_b[both] + 1).tolist()
+        said_a, said_b = list(map(self.decimal.__getitem__, flat_a)), list(map(self.decimal.__getitem__, flat_b))
+        groups = [f"{said_a[i] if x - i == 1 else ','.join(said_a[i:x])}|{said_b[j] if y - j == 1 else ','.join(said_b[j:y])}"
+                  for i, x, j, y in zip([0, *ends_a], ends_a, [0, *ends_b], ends_b)]
+        last = np.cumsum(n_a) - 1  # of each unit the last token, hence its last link and group
+        links_end = (np.searchsorted(at_a, last, side="right") * 8).tolist()
+        groups_end = (np.searchsorted(at_a[both], last, side="right")).tolist()
+        return {u: (x, y, f - e, ";".join(groups[e:f]), raw[k:m]) for u, x, y, e, f, k, m in
+                zip(units, n_a.tolist(), n_b.tolist(), [0, *groups_end], groups_end, [0, *links_end], links_end)}
 
     def align(self, texts: list[str], digest: bool) -> dict[str, list | np.ndarray]:
         """The columns of ``aligned`` for a block of texts."""
@@ -114,7 +142,7 @@ class Aligner:
         of = np.repeat(np.arange(len(cut)), [len(units) for units in cut])
         at = np.fromiter((number[u] for units in cut for u in units), np.int64, len(of))
         total = lambda sizes: np.bincount(of, weights=sizes[at], minlength=len(cut)).astype(np.int64)
-        columns = {"n_a": total(size_a), "n_b": total(size_b), "n_groups": total(size_groups), "n_links": total(n_links)}
+        columns: dict = {"n_a": total(size_a), "n_b": total(size_b), "n_groups": total(size_groups), "n_links": total(n_links)}
         said = (";".join([known[u][3] for u in units]) for units in cut)
         columns["groups"] = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in said] if digest else list(said)
         # a document's units with how often it has each, then its pairs with how often they are linked there
@@ -133,10 +161,6 @@ class Aligner:
         return columns
 
 
-def _ends(parts: list[bytes]) -> list[int]:
-    return np.cumsum([len(p) for p in parts]).tolist()
-
-
 def _byte_letters() -> dict[int, str]:
     """The letters in which byte-level tokens spell bytes: printable ones stand for themselves, the others follow from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]

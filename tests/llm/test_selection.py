@@ -131,7 +131,7 @@ class ByHand:
 def random_texts(n, seed=3):
     rng = np.random.default_rng(seed)
     alphabet = [*"abAB09 .,-éß日\U0001F600\n\t'", "  ", "   ", " the ", "ing ", "<|endoftext|>", "<s>", "<0x41>", " ", "́", "\x00", "don't"]
-    return ["".join(rng.choice(alphabet, rng.integers(0, 60))) for _ in range(n)] + ["a▁b", " ", "  ", "x ", " x", "x  ", "\n", "\t \n  y", "▁"]
+    return ["".join(rng.choice(alphabet, rng.integers(0, 60))) for _ in range(n)] + ["a▁b", " ", "  ", "x ", " x", "x  ", "\n", "\t \n  y", "▁", "a\n  b", "a\n\n   b\n ", "x \n", "x\n \n", "é\u3000  b \x1c c", "a\x85 b"]
 
 
 @pytest.mark.parametrize("hot", [1, 40, align.HOT])
@@ -154,8 +154,8 @@ def test_cached_units_are_the_whole_texts(monkeypatch):
 
 
 def test_merge_of_ends():
-    assert align.merge_ends([1, 4, 6], [2, 4, 5, 6]) == ([(0, 0), (1, 0), (1, 1), (2, 2), (2, 3)], [(2, 2), (3, 4)])
-    assert align.merge_ends([], []) == ([], [])
+    at_a, at_b, both = align.merge_ends(np.array([1, 4, 6]), np.array([2, 4, 5, 6]))
+    assert list(zip(at_a, at_b)) == [(0, 0), (1, 0), (1, 1), (2, 2), (2, 3)] and both.tolist() == [False, False, True, False, True]
 
 
 def test_alignment_on_awkward_tables(spark, awkward):
