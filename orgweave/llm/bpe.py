@@ -119,6 +119,7 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         # the same merges without normalizer, mark splitting and byte mapping, for words that are given as those would leave them
         self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+        self.added = [t["content"].lower() for t in spec.get("added_tokens", [])]
         self.word_ids: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
@@ -136,8 +137,8 @@ class ChunkEncoder:
     def learn(self, words: set[str]) -> None:
         """Have the ids of all ``words`` at hand. Those unknown are encoded in one call to the library.
 
-        The tokenizer lower-cases and parts letters from marks itself, so an ASCII word has the ids of its lower case, and one of letters and
-        closing marks those of its two parts. When the newer half of the cache is full it becomes the older half; what is used again moves back.
+        The tokenizer lower-cases and parts letters from marks itself, so an ASCII word without an added token has the ids of its lower case, and one of
+        letters and closing marks those of its two parts. When the newer half of the cache is full it becomes the older half; what is used again moves back.
         """
         new = words.difference(self.word_ids)
         if len(self.word_ids) + len(new) > self.most_words // 2 and self.word_ids:
@@ -161,7 +162,10 @@ class ChunkEncoder:
                     if mark not in self.marks:
                         self.marks[mark] = array("I", self.tokenizer.encode(mark, add_special_tokens=False).ids).tobytes()
             if core.isascii():
-                core = core.lower()
+                # added tokens are found before letters are made small, so a word that only then would hold one stays as it is
+                small = core.lower()
+                if not any(t in small for t in self.added):
+                    core = small
             elif core.isalpha() and "Σ" not in core:
                 lower = unicodedata.normalize("NFC", core).lower()
                 if lower.isalpha() and unicodedata.is_normalized("NFC", lower):
