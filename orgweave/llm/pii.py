@@ -5,13 +5,17 @@ numbers, IPv4 addresses, card and account numbers, and hexadecimal secrets. Thos
 the check digits of cards and IBANs, the numbering plan of telephones) are replaced by a keyed permutation within their format: the characters are symbols of small radices, and an unbalanced
 Feistel network adds, position by position and modulo its radix, what SHA-256 makes of the key and the other half. So a pseudonym has the length,
 the marks and the kind of characters of its value, different values have different pseudonyms, and equal values stay linked across documents.
-Dates are numbered by day and stay valid dates, cards and IBANs get the right check digits, and one value has one pseudonym however it is spaced or spelled.
+Dates stay valid dates, in months and days of as many digits, so that every way to write one keeps its length; cards and IBANs get the right check digits;
+a telephone's calling code stays. One value has one pseudonym however it is spaced or spelled; what is ambiguous is in the README.
+
+The key in the expressions is a hash of the secret, so plans and event logs don't show the secret itself; who can read them can still undo the pseudonyms.
 
 The text is cut at the matches, the matches are mapped with higher-order functions, and the pieces are joined again: no shuffle, no Python.
 """
 
 from __future__ import annotations
 
+import hashlib
 import secrets
 from collections.abc import Callable
 
@@ -23,7 +27,7 @@ from .common import free_name
 
 ROUNDS = 8
 _EDGE, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
-EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]*\.)+[A-Za-z]{2,24}" + _END
+EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}+\.){1,126}[A-Za-z]{2,24}" + _END
 IBAN = _EDGE + r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)" + _END
 DATE = (r"(?<![0-9A-Za-z./])(?:(?:19|20)[0-9]{2}([/\-])[01]?[0-9]\1[0-3]?[0-9]|[0-3]?[0-9]([./])[0-3]?[0-9]\2(?:19|20)[0-9]{2}|[0-3][0-9]/[0-3][0-9]/[0-9]{2})"
         r"(?=T[0-9]{2}:|(?![./]?[0-9A-Za-z]))")
@@ -36,8 +40,13 @@ SECRET = _EDGE + r"(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)" + _END
 #: In the order in which they are tried at a place.
 KINDS = (("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("date", DATE), ("ssn", SSN), ("phone", PHONE), ("card", CARD), ("ipv4", IPV4))
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
-#: 1900-01-01 to 2099-12-31 are 73049 days, which is 17 times 4297; years of two digits are of 2000 to 2099, 36525 days, 25 times 1461.
-FIRST_DAY, DAY_RADICES, FIRST_SHORT, SHORT_RADICES = "1900-01-01", (17, 4297), "2000-01-01", (25, 1461)
+#: First year and number of years whose dates are permuted: with four digits, with two.
+YEARS, SHORT_YEARS = (1900, 200), (2000, 100)
+#: Month and day of a common year's days, by whether each has one digit or two: within such a list, every way to write a date keeps its length.
+DAYS = {(short_month, short_day): [f"{m:02}-{d:02}" for m in range(1, 13) for d in range(1, (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)[m - 1] + 1)
+                                   if (m < 10, d < 10) == (short_month, short_day)] for short_month in (True, False) for short_day in (True, False)}
+#: Calling codes of one and two digits; all others have three.
+CALLING_CODE = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: How dates are written; of two that a text fits the first is taken.
 DATE_FORMS = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy-M-d", "yyyy/M/d", "dd.MM.yyyy", "d.M.yyyy", "MM/dd/yyyy", "dd/MM/yyyy", "M/d/yyyy", "d/M/yyyy", "MM/dd/yy", "dd/MM/yy")
 #: A longer text is permuted in blocks of half as many characters, so that the work grows with its length.
@@ -53,6 +62,11 @@ def session_key(spark: SparkSession) -> str:
     return spark.conf.get(KEY_CONF)
 
 
+def salted(secret: str) -> str:
+    """The key of the permutations, made of the secret."""
+    return hashlib.sha256(f"pseudonyms|{secret}".encode()).hexdigest()
+
+
 def feistel(values: Column, radices: Column, tag: Column, key: str, inverse: bool = False) -> Column:
     """A keyed bijection of vectors ``values`` (array<int>) with 0 <= values[i] < radices[i], or its inverse.
 
@@ -160,16 +174,34 @@ def _iban(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    """The day moves; a text that no form writes in this very way is no date."""
+    """The day moves among those whose month and whose day have as many digits, 29 February among leap years; a text that no form writes in this very way is no date."""
     day = lambda form: F.try_to_timestamp(m, form).cast("date")
     form = F.get(F.filter(F.array(*map(F.lit, DATE_FORMS)), lambda f: F.coalesce(F.call_function("date_format", day(f), f) == m, F.lit(False))), F.lit(0))
+    number = lambda c: F.floor(c).cast("int")
+
+    def moved(day: Column, form: Column) -> Column:
+        short = form.endswith("/yy")
+        first, years = (F.when(short, F.lit(a)).otherwise(F.lit(b)) for a, b in zip(SHORT_YEARS, YEARS))
+        month_day, year = F.call_function("date_format", day, F.lit("MM-dd")), F.year(day) - first
+        leap = month_day == "02-29"
+        # 2000 to 2096 have 25 leap years, 1904 to 2096 have 49
+        side, first_leap = F.when(short, F.lit(5)).otherwise(F.lit(7)), F.when(short, F.lit(2000)).otherwise(F.lit(1904))
+        nth = (F.year(day) - first_leap) / 4
+        days = F.lit(None).cast("array<string>")
+        for (short_month, short_day), listed in DAYS.items():
+            days = F.when(((F.month(day) < 10) == short_month) & ((F.dayofmonth(day) < 10) == short_day), F.array(*map(F.lit, listed))).otherwise(days)
 
-    def moved(form: Column, first: str, radices: tuple[int, int], tag: str) -> Column:
-        since, (a, b) = F.lit(first).cast("date"), radices
-        got = let(F.date_diff(day(form), since), lambda n: feistel(F.array(F.floor(n / b).cast("int"), (n % b).cast("int")), F.array(F.lit(a), F.lit(b)), F.lit(tag), key))
-        return let(got, lambda g: F.call_function("date_format", F.date_add(since, F.get(g, F.lit(0)) * b + F.get(g, F.lit(1))), form))
+        def permuted(days: Column) -> Column:
+            values = F.when(leap, F.array(number(nth / side), number(nth) % side)).otherwise(F.array(year, (F.array_position(days, month_day) - 1).cast("int")))
+            radices = F.when(leap, F.array(side, side)).otherwise(F.array(years, F.size(days)))
+            got = feistel(values, radices, F.concat_ws("|", F.lit("date"), short.cast("string"), F.array_join(F.transform(radices, lambda r: r.cast("string")), ",")), key)
+            date = lambda g: F.when(leap, F.concat_ws("-", ((F.get(g, F.lit(0)) * side + F.get(g, F.lit(1))) * 4 + first_leap).cast("string"), F.lit("02-29"))).otherwise(
+                F.concat_ws("-", (F.get(g, F.lit(0)) + first).cast("string"), F.get(days, F.get(g, F.lit(1)))))
+            return let(got, lambda g: F.call_function("date_format", date(g).cast("date"), form))
 
-    return let(form, lambda f: F.when(f.isNull(), m).when(f.endswith("/yy"), moved(f, FIRST_SHORT, SHORT_RADICES, "short date")).otherwise(moved(f, FIRST_DAY, DAY_RADICES, "date")))
+        return let(days, permuted)
+
+    return let(form, lambda f: F.when(f.isNull(), m).otherwise(let(day(f), lambda d: moved(d, f))))
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -184,16 +216,34 @@ def _ssn(m: Column, key: str) -> Column:
     return F.when(valid, F.concat_ws("-", *parts)).otherwise(m)
 
 
-def _phone(m: Column, key: str) -> Column:
-    """With ``+`` and a country code, which stays, seven to fifteen digits; else an area code and an exchange that begin with 2 to 9, as do the pseudonym's."""
-    code = F.regexp_extract(m, r"^(\+[0-9]{1,3}(?=[ .\-(]))?", 0)
-    digits = F.regexp_replace(m, "[^0-9]", "")
-    abroad = F.when(F.length(digits).between(7, 15), F.concat(code, permute_text(F.substr(m, F.length(code) + 1, F.length(m)), "phone", key))).otherwise(m)
+def _digit_list(text: Column) -> Column:
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: c.cast("int"))
+
+
+def _home(digits: Column, key: str) -> Column:
+    """Ten digits of a national number; the area code and the exchange begin with 2 to 9 before and after."""
     least = lambda i: F.when(i.isin(0, 3), 2).otherwise(0)
-    values = F.transform(F.filter(F.split(digits, ""), lambda c: c != ""), lambda c, i: c.cast("int") - least(i))
+    values = F.transform(_digit_list(digits), lambda v, i: v - least(i))
     got = feistel(values, F.transform(values, lambda v, i: F.lit(10) - least(i)), F.lit("national phone"), key)
-    home = _overlay(m, F.array_join(F.transform(got, lambda v, i: (v + least(i)).cast("string")), ""))
-    return F.when(m.startswith("+"), abroad).when(digits.rlike("^[2-9][0-9]{2}[2-9]"), home).otherwise(m)
+    return F.array_join(F.transform(got, lambda v, i: (v + least(i)).cast("string")), "")
+
+
+def _phone(m: Column, key: str) -> Column:
+    """The digits behind the calling code are permuted, however they are spaced: with ``+``, seven to fifteen digits in all, whose calling code stays, as does a zero in
+    brackets; without, ten with an area code and an exchange that begin with 2 to 9. Such a number has one pseudonym with +1 and without."""
+    zero = F.regexp_replace(m, "\\(0\\)", "(o)")
+    digits = F.regexp_replace(zero, "[^0-9]", "")
+    code = F.when(m.startswith("+"), F.regexp_extract(digits, CALLING_CODE, 0)).otherwise("")
+
+    def made(code: Column) -> Column:
+        rest = F.substr(digits, F.length(code) + 1, F.length(digits))
+        home = rest.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$") & code.isin("", "1")
+        values = _digit_list(rest)
+        abroad = F.array_join(F.transform(feistel(values, F.transform(values, lambda v: F.lit(10)), F.concat_ws("|", F.lit("phone"), code, F.size(values).cast("string")), key), lambda v: v.cast("string")), "")
+        written = lambda new: F.regexp_replace(_overlay(zero, F.concat(code, new)), "\\(o\\)", "(0)")
+        return F.when(home, written(_home(rest, key))).when((code != "") & F.length(digits).between(7, 15), written(abroad)).otherwise(m)
+
+    return let(code, made)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -229,6 +279,7 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     gives no rows. ``count_col`` names a further column (replacing one of that name): the number of values replaced.
     ``key`` is the secret of the permutation.
     """
+    key = salted(key)
     _found, _pseudonyms, _text = (free_name(docs, n) for n in ("found", "pseudonyms", "replaced"))
     text = F.col(f"`{text_col}`")
     may = text.rlike("[0-9@]")

@@ -66,7 +66,7 @@ def test_free_name(spark):
 
 def test_encoding_is_the_librarys(library):
     rng = np.random.default_rng(0)
-    alphabet = list("aAbBsS .,!|'\n\tßéÉİΣ<>1２日\x1c") + ["<|endoftext|>", "́", " ", "क़", "ed ", "ing "]
+    alphabet = list("aAbBsS .,!|'\n\tßéÉİΣ<>1２日\x1c") + ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|STARTOFTEXT|>", "<|startoftext|>", "́", " ", "क़", "ed ", "ing "]
     texts = ["", " ", "x" * 9000, *("".join(rng.choice(alphabet, rng.integers(0, 300))) for _ in range(400))]
     expected = [ids_of(library, t) for t in texts]
     enc = bpe.ChunkEncoder(bpe.default_vocabulary(), words=400, chunks=50)  # small caches are swapped again and again
@@ -515,7 +515,7 @@ def test_pseudonyms_keep_their_format(spark):
     assert c == "2023-02-30" and a != "1984-02-29"
     stamp, slashed, dotted, american, short, version = out[15].split()
     day = dt.date.fromisoformat(stamp[:10])
-    assert stamp[10:] == "T10:15:00Z" and day != dt.date(2021, 3, 4) and slashed == day.strftime("%Y/%m/%d") and dotted == f"{day.day}.{day.month}.{day.year}" and american == f"{day.month}/{day.day}/{day.year}"
+    assert stamp[10:] == "T10:15:00Z" and len(dotted) == len("4.3.2021") and day != dt.date(2021, 3, 4) and slashed == day.strftime("%Y/%m/%d") and dotted == f"{day.day}.{day.month}.{day.year}" and american == f"{day.month}/{day.day}/{day.year}"
     assert dt.datetime.strptime(short, "%m/%d/%y") and short != "03/04/21" and version == "1.2.3"
     assert out[6].split()[1:] == ["666-12-1234", "000-11-2222"]
     assert iban_ok(out[7].split()[0]) and out[7].split()[1] == "GB83WEST12345698765432" and iban_ok(out[13])
@@ -543,13 +543,56 @@ def plain_feistel(values, radices, tag, key):
     return values
 
 
+def test_phones_are_linked_however_written(spark):
+    texts = ["+1 555 223 4567", "+1-555-223-4567", "+15552234567", "(555) 223-4567", "555-223-4567", "+44 20 7946 0958", "+442079460958", "+44 (0)20 7946 0958", "+380 44 123 4567", "+1 017 555 7713", "+10175557713"]
+    out = [r["text"] for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    digits = [re.sub("[^0-9]", "", t.replace("(0)", "")) for t in out]
+    assert digits[0] == digits[1] == digits[2] == "1" + digits[3] and digits[3] == digits[4] and digits[5] == digits[6] == digits[7] and digits[9] == digits[10]
+    assert [re.sub("[0-9]", "9", t) for t in out] == [re.sub("[0-9]", "9", t) for t in texts] and not set(out) & set(texts) and len(set(digits)) == 5
+    assert digits[5].startswith("44") and digits[8].startswith("380") and "(0)" in out[7]
+
+
+def test_dates_keep_their_length_and_stay_linked(spark):
+    import datetime as dt
+
+    days = [dt.date(1900, 1, 1) + dt.timedelta(n) for n in (*range(0, 73049, 97), 59, 1520, 73048, 73047)] + [dt.date(2000, 2, 29), dt.date(2096, 2, 29), dt.date(1904, 2, 29)]
+    text = lambda d: f"{d.isoformat()} {d:%Y/%m/%d} {d.day}.{d.month}.{d.year} {d:%d.%m.%Y}"
+    rows = spark.createDataFrame([(i, text(d)) for i, d in enumerate(days)], "doc_id long, text string")
+    out = [r["text"] for r in pii.pseudonymize(rows, "k").orderBy("doc_id").collect()]
+    made = [dt.date.fromisoformat(t.split()[0]) for t in out]
+    assert [text(d) for d in made] == out and len(set(made)) == len(set(days))
+    assert [len(t) for t in out] == [len(text(d)) for d in days] and sum(a == b for a, b in zip(made, days)) < 8
+    short = [r["text"] for r in pii.pseudonymize(spark.createDataFrame([(i, f"{d:%m/%d/%y}") for i, d in enumerate(days) if d.year >= 2000], "doc_id long, text string"), "k").collect()]
+    assert all(dt.datetime.strptime(t, "%m/%d/%y") for t in short) and sum(map(len, DAYS := list(pii.DAYS.values()))) == 365 and [len(d) for d in DAYS] == [81, 192, 27, 65]
+
+
+def test_long_dotted_texts_in_a_cold_session():
+    """In a fresh JVM the regular expressions are interpreted, which takes the most stack."""
+    import subprocess
+    import sys
+
+    code = """
+import sys
+from pyspark.sql import SparkSession
+from orgweave.llm import pii
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+texts = ["x@" + "a." * 2000 + "com", "x@" + "a." * 50000, "1." * 50000, "1 " * 50000, "1-" * 50000, "a@" * 30000, "AB12 " * 20000, "x@" + "a" * 90000 + ".com", "+1 " + "22 " * 30000, "a@b.co"]
+out = [r[0] for r in pii.pseudonymize(spark.createDataFrame([(t,) for t in texts], "text string"), "k").collect()]
+assert out[:2] == texts[:2] and out[-1] != texts[-1], out[-1]
+print("whole")
+"""
+    env = os.environ | {"PYTHONPATH": os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))}
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
+    assert done.stdout.strip().endswith("whole"), done.stderr[-2000:]
+
+
 @needs_tables
 def test_pseudonyms_as_plain_python(tables):
     def replaced(m):
         local, domain = m[0].rsplit("@", 1)
         alphabet = lambda c: next((a for a in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c in a), c)
         form = re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", local)))
-        moved = plain_feistel([alphabet(c).index(c) for c in local], [len(alphabet(c)) for c in local], f"email|0|{form}", "k")
+        moved = plain_feistel([alphabet(c).index(c) for c in local], [len(alphabet(c)) for c in local], f"email|0|{form}", pii.salted("k"))
         return "".join(alphabet(c)[v] for c, v in zip(local, moved)) + "@" + domain
 
     docs = {r["doc_id"]: r["text"] for r in tables("documents").collect()}
