@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .fields import EXECUTIVE, founders, headcount, hq
 from .regex import cut, first, has, let, rx, squeeze, sub, text, trim, words
+from .scan import scanned
 from .text import UNKNOWN, is_blank
 
 # --- fixed values -----------------------------------------------------------------------------------------------
@@ -38,6 +39,10 @@ PERSON_PATTERNS = (r"(?:[Ff]ounded by|[Cc]o-founded by|[Ff]ounder[:\s]+|[Cc]o-[F
                    r"([A-Z][a-z]+(?:\s+[A-Z][a-z.'-]+){1,3})\s*,?\s*(?:Founder|Co-Founder|CEO|Chief Executive Officer|Managing Partner|Managing Director)\b")
 NO_PERSON, TITLE_IN_NAME = r"^(The|Our|This|With|And|Or|For|From|About|Meet|Team|Company|Board)\b|^(and|or)\b", r"\b(?:CEO|CTO|CFO|Founder)\b"
 FOUNDER_WORDS = (r"\b(founded by|co-founded by|founder|co-founder|ceo)\b",)
+#: One of these stands in every match, in small letters.
+HQ_NEEDS, HEADCOUNT_NEEDS, FOUNDER_NEEDS, LINE_NEEDS = ("headquarter", "based", "hq"), ("employ", "people", "team", "staff", "company size", "headcount"), ("found", "established by", "started by", "launched by"), ("founder",)
+#: What ends the name of another organization, and a founder's word.
+ORGANIZATION_TAIL, FOUNDER_WORD = r"\s+(?:Read|Inc|LLC|Ltd|Corp|Corporation|Company|the|story|case)\b.*$", r"\bfounder\b"
 HQ_EXPLICIT = r"\b(headquarters|headquartered|hq\b|corporate headquarters|global headquarters|based in)\b"
 IS_HQ = r"\bheadquarters|headquartered\b"
 NOT_HEADCOUNT = r"\bfollowers|portfolio companies|customers|users\b"
@@ -55,7 +60,8 @@ def _three(pattern: str) -> str:
 def matches(c: Column, patterns: tuple[str, ...], before: int, after: int, ignore_case: bool = True) -> Column:
     """Every match of each pattern in turn, as structs (start, match, g1, g2, g3, window): its 0-based place and the characters around it.
 
-    The patterns are data of one expression, so a plan doesn't grow with their number; one that a text doesn't hold is only looked for once.
+    The patterns are data of one expression, so a plan doesn't grow with their number; one that a text doesn't hold is only looked for once. It is for
+    lambda functions, which can't call ``scan.scanned``; that finds the same in one pass.
     """
     s = text(c)  # the callers pass plain columns, so that repeating them costs nothing
 
@@ -88,7 +94,7 @@ def hq_hits(c: Column) -> Column:
         last = F.coalesce(F.nullif(h["g3"], F.lit("")), F.nullif(h["g2"], F.lit("")))
         return F.when(~veto, hq(F.concat_ws(", ", trim(h["g1"]), trim(last))))
 
-    return _hits(matches(c, HQ_PATTERNS, 60, 40), value, 220, lambda h: has(h["window"], HQ_EXPLICIT))
+    return _hits(scanned(c, HQ_PATTERNS, 60, 40, needs=HQ_NEEDS), value, 220, lambda h: has(h["window"], HQ_EXPLICIT))
 
 
 def headcount_hits(c: Column, team: Column | None = None) -> Column:
@@ -101,14 +107,14 @@ def headcount_hits(c: Column, team: Column | None = None) -> Column:
         raw = F.when(h["g2"] != "", F.concat_ws("–", h["g1"], h["g2"])).otherwise(h["g1"])
         return let(headcount(raw), lambda bucket: F.when(~has(h["window"], NOT_HEADCOUNT) & ~is_blank(bucket), bucket))
 
-    hits = _hits(matches(c, HEADCOUNT_PATTERNS, 40, 30), value, 200)
+    hits = _hits(scanned(c, HEADCOUNT_PATTERNS, 40, 30, needs=HEADCOUNT_NEEDS), value, 200)
     return hits if team is None else F.filter(hits, lambda _: ~(team & has(text(c), TEAM_PAGE) & ~has(text(c), COUNTED_STAFF)))
 
 
 def is_foreign_founder(window: Column, company: Column) -> Column:
     """Whether the words around a founder name another organization."""
     org = first(text(window), FOREIGN_FOUNDER, 1, False)
-    found = F.lower(trim(sub(org, r"\s+(?:Read|Inc|LLC|Ltd|Corp|Corporation|Company|the|story|case)\b.*$", "")))
+    found = F.lower(trim(sub(org, ORGANIZATION_TAIL, "")))
     name = F.lower(trim(text(company)))
     tokens = F.filter(F.split(name, " "), lambda t: F.length(t) > 2)
 
@@ -141,7 +147,7 @@ def founder_line_hits(c: Column, company: Column, team: Column) -> Column:
         ok = ~has(h["g1"], NOT_A_NAME) & ~is_foreign_founder(h["window"], company) & (team | let(near, close))
         return let(founders(h["g1"]), lambda names: F.when(ok & ~is_blank(names), names))
 
-    return _hits(matches(c, FOUNDER_LINE, 20, 60), value, 200)
+    return _hits(scanned(c, FOUNDER_LINE, 20, 60, needs=LINE_NEEDS), value, 200)
 
 
 def first_person(c: Column, company: Column) -> Column:
@@ -175,6 +181,6 @@ def founder_hits(c: Column, company: Column, team: Column | None = None) -> Colu
         raw = F.when(two, F.concat_ws("; ", h["g1"], h["g2"])).otherwise(h["g1"])
         name = F.lower(text(company))
         return let(founders(raw), lambda names: F.when(has(h["window"], FOUNDING) & ~is_foreign_founder(h["window"], company) & ~is_blank(names)
-              & ~((name != "") & F.contains(F.lower(names), name)) & ~(has(raw, EXECUTIVE) & ~has(h["window"], r"\bfounder\b")) & in_sentence(c, h["start"], h["match"], company), names))
+              & ~((name != "") & F.contains(F.lower(names), name)) & ~(has(raw, EXECUTIVE) & ~has(h["window"], FOUNDER_WORD)) & in_sentence(c, h["start"], h["match"], company), names))
 
-    return F.concat(_hits(matches(c, FOUNDER_PATTERNS, 50, 80, False), value, 240), founder_line_hits(c, company, F.lit(False) if team is None else team))
+    return F.concat(_hits(scanned(c, FOUNDER_PATTERNS, 50, 80, False, FOUNDER_NEEDS), value, 240), founder_line_hits(c, company, F.lit(False) if team is None else team))

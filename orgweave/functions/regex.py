@@ -16,19 +16,24 @@ EDGE = f"(?:(?<=[{_W}])(?![{_W}])|(?<![{_W}])(?=[{_W}]))"
 SPACE = r"\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
 
-def rx(pattern: str, ignore_case: bool = True) -> str:
-    """``pattern`` with ``\\b`` as an ASCII word edge and ``\\s`` as any white space, in or out of brackets."""
+def rewritten(pattern: str, edge: str, space: str) -> str:
+    """``pattern`` with ``\\b`` as ``edge`` and ``\\s`` as the characters ``space``, in or out of brackets."""
     out, in_class, i = [], False, 0
     while i < len(pattern):
         two = pattern[i:i + 2]
         if two[:1] == "\\" and len(two) == 2:
-            out.append(EDGE if two == r"\b" else (SPACE if in_class else f"[{SPACE}]") if two == r"\s" else two)
+            out.append(edge if two == r"\b" else (space if in_class else f"[{space}]") if two == r"\s" else two)
             i += 2
             continue
         in_class = two[:1] == "[" or (in_class and two[:1] != "]")
         out.append(two[:1])
         i += 1
-    return ("(?i)" if ignore_case else "") + "".join(out)
+    return "".join(out)
+
+
+def rx(pattern: str, ignore_case: bool = True) -> str:
+    """``pattern`` with ``\\b`` as an ASCII word edge and ``\\s`` as any white space, in or out of brackets."""
+    return ("(?i)" if ignore_case else "") + rewritten(pattern, EDGE, SPACE)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

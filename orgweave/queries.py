@@ -10,6 +10,7 @@ from .functions import extract as X
 from .functions import fields as L
 from .functions import html as H
 from .functions import matching as N
+from .functions import scan
 from .functions import text as T
 from .operators import candidates as C
 from .operators import consensus as S
@@ -319,6 +320,20 @@ def industry_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.classify(table(spark, sf_dir, "documents").select("doc_id", F.array(said, F.col("text")).alias("parts"))).select("doc_id", "industry")
 
 
+#: Capitalised pairs, numbers with what follows, and sentence openings: patterns with groups that occur in the texts.
+_HITS = {"capitals": r"\b([A-Z][a-z]+) ([A-Z][a-z]+)\b", "number": r"\b(\d+)[.,]?\d*", "mail": r"([a-z0-9.]+)@([a-z0-9.]+)", "opening": r"[.!?] ([A-Z])"}
+_HITS_SQL = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS pattern, text, regexp_extract_all(text, '{p}') AS ms, string_split_regex(text, '{p}') AS gaps, regexp_extract_all(text, '{p}', 1) AS gs FROM documents" for name, p in _HITS.items())
+
+
+@query(f"""WITH a AS ({_HITS_SQL}), n AS (SELECT doc_id, pattern, text, ms, gaps, gs, unnest(range(1, len(ms) + 1)) AS nth FROM a),
+s AS (SELECT doc_id, pattern, CAST(nth AS INTEGER) AS nth, ms[nth] AS match, gs[nth] AS first_group, CAST(list_sum(list_transform(gaps[1:nth], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:nth - 1], lambda g: length(g))), 0) AS INTEGER) AS start, text FROM n)
+SELECT doc_id, pattern, nth, start, match, first_group, substr(text, greatest(start - 12, 0) + 1, start - greatest(start - 12, 0) + length(match) + 9) AS around FROM s""")
+def regex_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every match of four patterns in all documents, with its place and what stands around it."""
+    found = scan.regex_hits(table(spark, sf_dir, "documents"), _HITS, ["doc_id"], before=12, after=9)
+    return found.select("doc_id", "pattern", "nth", "start", "match", F.get("groups", F.lit(0)).alias("first_group"), F.col("window").alias("around"))
+
+
 @query(f"""WITH m AS ({_MADE}) SELECT k AS id, CASE WHEN k % 4 = 0 THEN concat(city, ', ', code) ELSE '' END AS hq, CASE k % 4 WHEN 0 THEN {_BUCKET.format('n')} WHEN 1 THEN concat({_BUCKET.format('(n + 25)')}, ',', {_BUCKET.format('(n + 50)')}) ELSE '' END AS headcount,
 CASE WHEN k % 4 = 2 THEN p1 ELSE '' END AS founders FROM m""")
 def prose_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
