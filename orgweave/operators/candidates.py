@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.domains import host_of
 from ..functions.fields import industry
+from ..functions.matching import full_name_present
 from ..functions.regex import text, trim
 from ..functions.text import UNKNOWN, is_blank, match_key, store_key
 
@@ -75,26 +76,69 @@ def exact_lookup(names: DataFrame, dictionary: DataFrame) -> DataFrame:
     return out.select(*names.columns, "key", F.col("entry.domain").alias("domain"), F.col("entry.entry_seq").alias("entry_seq"))
 
 
+def _grams(key: Column, size: int) -> Column:
+    return F.when(F.length(key) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(key) - size + 1), lambda i: F.substr(key, i, F.lit(size)))))
+
+
+def contained_keys(inner: DataFrame, outer: DataFrame, size: int = 4) -> DataFrame:
+    """(inner, outer): every pair of keys (column ``key``, distinct) of which the first, ``size`` characters or more, stands within the second.
+
+    A key within another has all its grams there, so it is looked for at its rarest alone: the one that the fewest outer keys hold, and where one
+    of its grams is in none, nowhere. Beginnings that all keys share are never joined on.
+    """
+    c = F.col
+    held = outer.select(c("key").alias("outer"), F.explode(_grams(c("key"), size)).alias("gram"))
+    often = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    sought = inner.select(c("key").alias("inner"), F.explode(_grams(c("key"), size)).alias("gram")).join(often, "gram", "left")
+    rarest = sought.groupBy("inner").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0").select("inner", c("r.gram").alias("gram"))
+    return rarest.join(held, "gram").where(F.contains("outer", "inner")).select("inner", "outer")
+
+
 def fuzzy_lookup(names: DataFrame, dictionary: DataFrame, least: int = 4) -> DataFrame:
     """Exact match, else the first entry, in dictionary order, that holds the name or is held by it (both of ``least`` characters).
 
-    Containment becomes equality on pieces of ``least`` characters: the contained key's first piece is among the pieces of the other. Both
-    directions are equi-joins on distinct keys, verified after the join; names of one key are looked up once.
+    Containment is looked for by rare grams, in both directions, among distinct keys; names of one key are looked up once.
     """
     c = F.col
     held = names.withColumn("key", store_key(c("name")))
     keys = held.select("key").where("key <> ''").distinct()
     entries = dictionary.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("entry_seq", "domain")).alias("e")).select(c("key").alias("of"), "e.entry_seq", "e.domain")
-    first = lambda k: F.when(F.length(k) >= least, F.substring(k, 1, least))
-    pieces = lambda k: F.when(F.length(k) >= least, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(k) - least + 1), lambda i: F.substr(k, i, F.lit(least)))))
-    exact = keys.join(entries, c("key") == c("of")).select("key", "entry_seq", "domain", "of")
-    within = keys.withColumn("piece", first(c("key"))).join(entries.withColumn("piece", F.explode(pieces(c("of")))), "piece").where(F.contains("of", "key"))
-    around = keys.withColumn("piece", F.explode(pieces(c("key")))).join(entries.withColumn("piece", first(c("of"))), "piece").where(F.contains("key", "of"))
-    every = exact.unionByName(within.select(*exact.columns)).unionByName(around.select(*exact.columns))
-    best = every.groupBy("key").agg(F.min(F.struct((c("of") != c("key")).alias("other"), "entry_seq", "domain")).alias("b"))
+    of = entries.select(c("of").alias("key"))
+    pairs = (contained_keys(keys, of, least).select(c("inner").alias("key"), c("outer").alias("of")).unionAll(contained_keys(of, keys, least).select(c("outer").alias("key"), c("inner").alias("of")))
+             .unionAll(keys.select("key", c("key").alias("of"))))
+    best = pairs.join(entries, "of").groupBy("key").agg(F.min(F.struct((c("of") != c("key")).alias("other"), "entry_seq", "domain")).alias("b"))
     return held.join(best, "key", "left").select(*names.columns, "key", c("b.domain").alias("domain"), c("b.entry_seq").alias("entry_seq"), (~c("b.other")).alias("exact"))
 
 
+def _endings(host: Column) -> Column:
+    """The endings of a host that hold a dot, itself among them."""
+    return F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(host), F.lit(1))), lambda i: F.substr(host, i, F.length(host))), lambda e: F.contains(e, F.lit(".")))
+
+
+def related_hosts(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(found, wanted): distinct pairs of hosts (column ``host``) of which one ends in the other. Each side's endings meet the other side's hosts, so both are equi-joins."""
+    c = F.col
+    one, other = (df.select(c("host")).where(F.contains("host", F.lit("."))).distinct() for df in (found, wanted))
+    longer = one.select(c("host").alias("found"), F.explode(_endings(c("host"))).alias("wanted")).join(other.select(c("host").alias("wanted")), "wanted").select("found", "wanted")
+    shorter = other.select(c("host").alias("wanted"), F.explode(_endings(c("host"))).alias("found")).join(one.select(c("host").alias("found")), "found").select("found", "wanted").where("found <> wanted")
+    return longer.unionAll(shorter)
+
+
+def search_snippets(candidates: DataFrame, hits: DataFrame, most: int = 1500) -> DataFrame:
+    """(company_id, domain, search_snippets) of candidates (company_id, company, domain): what their company's search hits (company_id, seq, host, title, snippet) say
+    of them, in order. A hit is a candidate's if one host ends in the other, or if it names the company in full.
+
+    Hits and candidates meet by their company, which has few of either. A hit without words says nothing.
+    """
+    c = F.col
+    host, said = host_of(c("host")), F.coalesce(F.nullif(text("snippet"), F.lit("")), F.nullif(text("title"), F.lit("")))
+    told = hits.select("company_id", "seq", host.alias("found"), said.alias("said"), F.concat_ws(" ", text("title"), text("snippet")).alias("words")).where("said IS NOT NULL")
+    pairs = candidates.select("company_id", "company", "domain").distinct().join(told, "company_id")
+    near = (c("found") != "") & (c("domain").endswith(c("found")) | c("found").endswith(c("domain")))
+    own = pairs.where(near | full_name_present(c("company"), c("words")))
+    return own.groupBy("company_id", "domain").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "said"))), lambda h: h["said"]), " · "), 1, most).alias("search_snippets"))
+
+
 def longest_key_per_domain(dictionary: DataFrame) -> DataFrame:
     """Of each domain the longest key; of equally long ones the first."""
     return dictionary.groupBy("domain").agg(F.max_by("key", F.struct(F.length("key"), -F.col("entry_seq"))).alias("key"))

@@ -3,14 +3,11 @@ covers classes that are not listed themselves."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.regex import has, text
 from ..functions.text import qid
-from ..sources.shared import materialize
 
 # --- fixed values: public class ids of organizations, media and everything else -----------------------------------
 ORGANIZATION = (
@@ -65,30 +62,39 @@ def classify_exact(classes: Column, media_context: Column) -> Column:
     return F.when(F.size(own) == 0, none).otherwise(verdict)
 
 
+def closure(edges: DataFrame, depth: int) -> DataFrame:
+    """(class, above, depth): every class with those up to ``depth`` (a power of two) levels above it, each at its least depth, itself left out.
+
+    Each step joins the relation with itself, which doubles its reach; so three joins, and not eight, see eight levels, in one plan and without a job for each.
+    A hot class above many others meets few above it, and adaptive execution can split its side.
+    """
+    c = F.col
+    near = edges.where("child <> parent").select(c("child").alias("class"), c("parent").alias("above"), F.lit(1).alias("depth")).distinct()
+    reach = 1
+    while reach < depth:
+        farther = near.select("class", c("above").alias("over"), c("depth").alias("d")).join(near.select(c("class").alias("over"), "above", "depth"), "over").where("class <> above")
+        near = near.unionAll(farther.select("class", "above", (c("d") + c("depth")).cast("int"))).groupBy("class", "above").agg(F.min("depth").alias("depth"))
+        reach *= 2
+    return near
+
+
 def walk(starts: DataFrame, edges: DataFrame, known: DataFrame | None = None, depth: int = DEPTH) -> DataFrame:
-    """(start, class, depth): for every start the classes above it, each at its least depth, level by level up to ``depth``.
+    """(start, class, depth): for every start the classes above it, each at its least depth, up to ``depth``; cycles come back to no start.
 
-    A start's walk ends at the first level that holds a class of ``known`` (class). Classes seen before are not followed, so cycles end.
-    Each level is one equi-join of the frontier with the edges (child, parent), written to the shared folder; starts are distinct classes, of which
-    there are far fewer than entities.
+    A start's walk ends at the first level that holds a class of ``known`` (class). It goes by half the depth twice: the relation of all classes to those half as
+    high is made once and only the starts are carried on from there.
     """
-    edges = edges.select("child", "parent").distinct()
-    frontier = starts.select(F.col("class").alias("start"), F.col("class").alias("class")).distinct()
-    seen = frontier
-    levels: list[DataFrame] = []
-    for level in range(1, depth + 1):
-        up = (frontier.join(edges, F.col("class") == F.col("child")).select("start", F.col("parent").alias("class")).distinct()
-              .join(seen, ["start", "class"], "left_anti").withColumn("depth", F.lit(level)))
-        up = materialize(up, "classes")  # else each level's plan would hold all earlier ones several times
-        levels.append(up)
-        if up.isEmpty():
-            break
-        frontier = up.select("start", "class")
-        seen = seen.unionByName(frontier)
-        if known is not None:
-            done = frontier.join(known.select("class").distinct(), "class", "left_semi").select("start").distinct()
-            frontier = frontier.join(done, "start", "left_anti")
-    return reduce(DataFrame.unionByName, levels)
+    c = F.col
+    half = closure(edges, 1 << max(0, (depth - 1).bit_length() - 1))
+    first = starts.select(c("class").alias("start")).distinct().join(half.withColumnRenamed("class", "start"), "start")
+    second = first.select("start", c("above").alias("class"), c("depth").alias("d")).join(half, "class").where("start <> above").select("start", "above", (c("d") + c("depth")).cast("int").alias("depth"))
+    every = first.select("start", "above", "depth").unionAll(second).groupBy("start", c("above").alias("class")).agg(F.min("depth").alias("depth")).where(c("depth") <= depth)
+    if known is None:
+        return every
+    # the level at which a start's walk ends goes along with its rows: one more aggregate, no second look at the relation
+    listed = every.join(known.select("class", F.lit(True).alias("listed")).dropDuplicates(["class"]), "class", "left")
+    level = F.min(F.when(c("listed"), c("depth"))).over(Window.partitionBy("start"))
+    return listed.withColumn("end", level).where("end IS NULL OR depth <= end").select("start", "class", "depth")
 
 
 def known_classes(spark) -> DataFrame:

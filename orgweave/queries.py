@@ -192,6 +192,43 @@ def dictionary_fuzzy_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.fuzzy_lookup(names, spark.createDataFrame(rows, "entry_seq int, key string, domain string")).drop("name")
 
 
+_LISTED = "SELECT s_suppkey AS entry_seq, CASE WHEN s_suppkey % 2 = 0 THEN concat('customer', substr(s_name, 10, 8)) ELSE concat('the', 'customer', substr(s_name, 10), 'holding') END AS key, concat('s', s_suppkey, '.example.com') AS domain FROM supplier"
+
+
+@query(f"""WITH d AS ({_LISTED}), n AS (SELECT c_custkey AS id, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS key FROM customer),
+h AS (SELECT n.id, d.domain, d.entry_seq, row_number() OVER (PARTITION BY n.id ORDER BY d.key <> n.key, d.entry_seq) AS k FROM n JOIN d ON d.key = n.key OR contains(d.key, n.key) OR contains(n.key, d.key))
+SELECT n.id, n.key, h.domain, h.entry_seq FROM n LEFT JOIN h ON n.id = h.id AND h.k = 1""")
+def contained_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that all begin alike, looked up in a dictionary of a firm of every supplier whose keys begin alike too, by containment in either direction."""
+    c, lit = F.col, F.lit
+    digits = F.substring("s_name", 10, 9)
+    key = F.when(c("s_suppkey") % 2 == 0, F.concat(lit("customer"), F.substring(digits, 1, 8))).otherwise(F.concat(lit("thecustomer"), digits, lit("holding")))
+    entries = table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("entry_seq"), key.alias("key"), F.concat(lit("s"), c("s_suppkey").cast("string"), lit(".example.com")).alias("domain"))
+    return C.fuzzy_lookup(table(spark, sf_dir, "customer").select(c("c_custkey").alias("id"), c("c_name").alias("name")), entries).drop("name", "exact")
+
+
+@query(f"""WITH p AS (SELECT DISTINCT {_PAGE_HOST} AS found FROM pages), w AS (SELECT DISTINCT array_to_string(string_split(found, '.')[-3:], '.') AS wanted FROM p UNION SELECT concat('www.', found) FROM p UNION SELECT substr(found, 4) FROM p)
+SELECT found, wanted FROM p, w WHERE contains(found, '.') AND contains(wanted, '.') AND (found LIKE concat('%', wanted) OR wanted LIKE concat('%', found))""")
+def related_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' hosts against sites above them, below them, and hosts that begin within a label."""
+    found = table(spark, sf_dir, "pages").select(D.host_of(F.col("url")).alias("host"))
+    labels = F.split("host", "[.]")
+    above = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), 3), ".")
+    wanted = found.select(F.explode(F.array(above, F.concat(F.lit("www."), "host"), F.substr("host", F.lit(4)))).alias("host"))
+    return C.related_hosts(found, wanted)
+
+
+@query(f"""WITH p AS (SELECT page_id, {_PAGE_HOST} AS host, {_TITLE} AS title, page_id % 40 AS company_id FROM pages), c AS (SELECT DISTINCT company_id, host AS domain FROM p WHERE page_id < 40),
+h AS (SELECT c.company_id, domain, page_id, title FROM c JOIN p USING (company_id) WHERE title <> '' AND host <> '' AND (suffix(domain, host) OR suffix(host, domain)))
+SELECT company_id, domain, substr(string_agg(title, ' · ' ORDER BY page_id), 1, 1500) AS search_snippets FROM h GROUP BY ALL""")
+def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as search hits of forty companies, whose candidates are their first pages' hosts. The companies have no name here, so hosts alone decide."""
+    c = F.col
+    p = table(spark, sf_dir, "pages").select("page_id", D.host_of(c("url")).alias("host"), H.title(c("html")).alias("title"), (c("page_id") % 40).alias("company_id"))
+    candidates = p.where("page_id < 40").select("company_id", F.lit("").alias("company"), c("host").alias("domain"))
+    return C.search_snippets(candidates, p.select("company_id", c("page_id").alias("seq"), "host", "title", F.lit(None).cast("string").alias("snippet")))
+
+
 @query("""WITH s AS (SELECT p_brand AS company_id, p_partkey AS seq, p_name AS domain, CAST(floor(p_retailprice) AS INTEGER) % 100 AS score FROM part),
 r AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS runner_up FROM s WINDOW w AS (PARTITION BY company_id ORDER BY score DESC, seq))
 SELECT company_id, domain, score, runner_up, CASE WHEN score - runner_up < 15 AND runner_up >= 40 THEN 'unverified' WHEN score >= 75 THEN 'verified' WHEN score >= 45 THEN 'unverified' ELSE 'not_found' END AS verification FROM r WHERE k = 1""")
