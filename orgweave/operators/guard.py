@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.regex import has, text
 from ..functions.text import qid
+from ..sources.shared import materialize
 
 # --- fixed values: public class ids of organizations, media and everything else -----------------------------------
 ORGANIZATION = (
@@ -85,7 +86,8 @@ def walk(starts: DataFrame, edges: DataFrame, known: DataFrame | None = None, de
     high is made once and only the starts are carried on from there.
     """
     c = F.col
-    half = closure(edges, 1 << max(0, (depth - 1).bit_length() - 1))
+    # stored, as both steps read it, and its edges' own sources are read once
+    half = materialize(closure(materialize(edges.select("child", "parent").distinct(), "classes"), 1 << max(0, (depth - 1).bit_length() - 1)), "closure")
     first = starts.select(c("class").alias("start")).distinct().join(half.withColumnRenamed("class", "start"), "start")
     second = first.select("start", c("above").alias("class"), c("depth").alias("d")).join(half, "class").where("start <> above").select("start", "above", (c("d") + c("depth")).cast("int").alias("depth"))
     every = first.select("start", "above", "depth").unionAll(second).groupBy("start", c("above").alias("class")).agg(F.min("depth").alias("depth")).where(c("depth") <= depth)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +23,9 @@ from .operators import metrics as M
 from .operators import provider as P
 from .operators import scoring as R
 from .operators import selection as W
-from .plans import resolve
-from .sources import readers, writers
+from .plans import refresh, resolve
+from .sources import readers, store, writers
+from .sources.shared import shared_dir
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -766,6 +769,34 @@ def keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BRANDS = ("Vista", "Mercury", "Apex", "Summit", "Pulse")
 
 
+@query("""WITH e AS (SELECT user_id, event_id, ts, event_type, value FROM events), n AS (SELECT CAST(user_id AS VARCHAR) AS key, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM e GROUP BY user_id)
+SELECT n.key, n.event_id, e.event_type, e.value FROM n JOIN e USING (event_id)""")
+def bucketed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events put into a keyed store in three changes, a later one with few users; the last change touches their buckets alone."""
+    c = F.col
+    path = f"{shared_dir(spark)}/orgweave/store-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "events").select(c("user_id").cast("string").alias("key"), "event_id", "ts", "event_type", "value", c("user_id").alias("u"))
+    one = lambda df: df.groupBy("key").agg(F.max_by(F.struct("event_id", "ts", "event_type", "value"), F.struct("ts", "event_id")).alias("r")).select("key", "r.*")
+    for part in (c("u") % 3 == 0, (c("u") % 3 == 1) | (c("event_id") % 2 == 0), F.lit(True)):
+        store.merge(spark, one(rows.where(part)), path, "key", "ts", buckets=16)
+    return store.read(spark, path).select("key", "event_id", "event_type", "value")
+
+
+_EDITED = f"""p AS (SELECT page_id, {_PAGE_HOST} AS host FROM pages), pool AS (SELECT page_id % 100 AS company_id, host FROM p),
+e AS (SELECT DISTINCT user_id % 100 AS company_id FROM events WHERE event_type = 'error' AND value > 250), h AS (SELECT DISTINCT host FROM p JOIN events ON events.user_id = p.page_id AND event_type = 'signup' AND value > 250)"""
+
+
+@query(f"""WITH {_EDITED} SELECT company_id FROM e UNION SELECT company_id FROM pool JOIN h USING (host) WHERE host <> ''""")
+def affected_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies whose candidates are pages' hosts; some events edit a company, some change a page."""
+    c = F.col
+    pages, events = table(spark, sf_dir, "pages"), table(spark, sf_dir, "events")
+    pool = pages.select((c("page_id") % 100).alias("company_id"), c("url").alias("domain"))
+    edited = events.where("event_type = 'error' AND value > 250").select((c("user_id") % 100).alias("company_id"))
+    changed = pages.join(events.where("event_type = 'signup' AND value > 250").select(c("user_id").alias("page_id")), "page_id", "left_semi")
+    return refresh.affected_companies(pool, edited, changed)
+
+
 @query(f"""WITH m AS ({_MADE}) SELECT k AS company_id, CASE k % 3 WHEN 0 THEN 'resolved' WHEN 1 THEN 'ambiguous' ELSE 'unresolved' END AS status, CASE WHEN k % 3 = 0 THEN concat(lower(z), 'robotics.com') END AS domain,
 CASE WHEN k % 3 = 0 THEN 'high' ELSE 'low' END AS confidence, CASE k % 3 WHEN 0 THEN 'selected' WHEN 1 THEN 'short_common_name_ambiguous' ELSE 'no_candidates' END AS reason FROM m""")
 def resolve_identity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.domains import registrable
 from ..functions.fields import notes
 from ..functions.regex import text
+from . import store
 
 #: The export's columns and their headings.
 EXPORT = {"company_name": "Company Name", "website": "Website", "industry": "Industry", "headcount": "Headcount (est.)", "location": "Location", "notes": "Notes"}
@@ -44,12 +45,8 @@ def write_report(summary: DataFrame, rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(f"{path}/rows")
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, key: str, stamp: str) -> DataFrame:
-    """The newest row of each key of both; of equal stamps the incoming one."""
-    both = stored.withColumn("_in", F.lit(0)).unionByName(incoming.withColumn("_in", F.lit(1)), allowMissingColumns=True)
-    rest = [c for c in both.columns if c not in ("_in", key)]
-    newest = both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(F.coalesce(F.col(stamp), F.lit("2000-01-01").cast("timestamp")), "_in")).alias("row"))
-    return newest.select(key, "row.*")
+#: The newest row of each key.
+upsert = store.newest
 
 
 def write_store(spark: SparkSession, merged: DataFrame, path: str) -> None:
@@ -61,23 +58,30 @@ def write_store(spark: SparkSession, merged: DataFrame, path: str) -> None:
     spark.createDataFrame([(target,)], "current string").coalesce(1).write.mode("overwrite").json(f"{path}/current")
 
 
-def write_cache(spark: SparkSession, cache: DataFrame, incoming: DataFrame, path: str, as_of: Column) -> None:
-    """A provider's answers (domain, company) put into its cache (domain, fetched_at, source, company): a domain's newest row stays."""
+def write_cache(spark: SparkSession, cache: DataFrame | None, incoming: DataFrame, path: str, as_of: Column) -> None:
+    """A provider's answers (domain, company) put into its cache (domain, fetched_at, source, company): a domain's newest row stays.
+
+    Only the buckets of the answers' domains are rewritten. ``cache`` are rows that a first cache begins with.
+    """
     new = incoming.select(registrable(F.col("domain")).alias("domain"), as_of.alias("fetched_at"), F.lit("provider").alias("source"), "company")
-    write_store(spark, upsert(cache, new, "domain", "fetched_at"), path)
+    first = cache is not None and not store.exists(spark, path)
+    store.merge(spark, upsert(cache, new, "domain", "fetched_at") if first else new, path, "domain", "fetched_at")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """A store of ``write_store``, or one in buckets."""
+    if store.exists(spark, path):
+        return store.read(spark, path)
     return spark.read.parquet(spark.read.schema("current string").json(f"{path}/current").first()["current"])
 
 
-def snapshot(store: DataFrame, as_of: Column) -> DataFrame:
+def snapshot(stored: DataFrame, as_of: Column) -> DataFrame:
     """(json): the store as JSON lines, a line for the version, then the kept corrections in order of their names and the tombstones by key.
 
     Ordered by ranges, so no task holds the whole store.
     """
     kept = F.to_json(F.struct(F.col("company_name").alias("companyName"), F.col("company_key").alias("companyKey"), "domain", "source"))
     gone = F.to_json(F.struct(F.col("company_key").alias("companyKey"), F.col("updated_at").alias("deletedAt")))
-    lines = store.select(F.when(F.col("state") == "kept", 1).otherwise(2).alias("part"), F.coalesce("company_name", F.lit("")).alias("name"), "company_key", F.when(F.col("state") == "kept", kept).otherwise(gone).alias("json"))
-    head = store.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit("").alias("name"), F.lit("").alias("company_key"), F.to_json(F.struct(F.lit(1).alias("version"), as_of.alias("updatedAt"))).alias("json"))
+    lines = stored.select(F.when(F.col("state") == "kept", 1).otherwise(2).alias("part"), F.coalesce("company_name", F.lit("")).alias("name"), "company_key", F.when(F.col("state") == "kept", kept).otherwise(gone).alias("json"))
+    head = stored.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit("").alias("name"), F.lit("").alias("company_key"), F.to_json(F.struct(F.lit(1).alias("version"), as_of.alias("updatedAt"))).alias("json"))
     return head.unionByName(lines).orderBy("part", F.collate("name", "UNICODE"), "company_key").select("json")
