@@ -14,7 +14,7 @@ from ..functions.regex import cut, has, text
 from ..operators import candidates as C
 from ..operators import consensus as S
 from ..operators import guard, industry, provider, scoring, selection
-from ..sources.readers import page_evidence, usable_titles
+from ..sources.readers import deep_site_evidence, page_evidence, usable_titles
 from ..sources.shared import materialize
 
 
@@ -44,8 +44,81 @@ def resolve_known(companies: DataFrame, learned: DataFrame, major: DataFrame, di
     return df.select("company_id", c("name").alias("company"), F.coalesce("learned", "major", "dictionary").alias("domain"), source.alias("source"))
 
 
+# --- fixed values -----------------------------------------------------------------------------------------------
+#: A regulator whose namesakes abroad have hosts of the same beginning; its own host goes first, and a person must choose.
+REGULATOR, REGULATOR_HOST, REGULATOR_FAMILY = "securities and exchange", "sec.gov", r"^sec\.gov(\.[a-z]{2})?$"
+# ----------------------------------------------------------------------------------------------------------------
+
+
+def _regulator_first(decided: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Companies named as the regulator with two of its family among their candidates are ambiguous, with its own host in front."""
+    c = F.col
+    named = has(text("company"), REGULATOR)
+    family = ranked.where(named & (c("domain").rlike(f"(?i){REGULATOR_FAMILY}") | (has(text("name"), REGULATOR) & c("domain").rlike(r"(?i)\.gov"))))
+    found = family.groupBy("company_id").agg(F.count(F.lit(1)).alias("kin"), F.min(F.when(c("domain") == REGULATOR_HOST, c("total_score"))).alias("own_score")).where("kin >= 2")
+    df = decided.join(found, "company_id", "left")
+    kin, own = c("kin").isNotNull(), c("own_score").isNotNull()
+    return df.withColumns({"ambiguous": kin | c("ambiguous"), "decisive_rule": F.when(~kin, c("decisive_rule")), "auto_found": ~kin & c("auto_found"), "domain": F.when(own, REGULATOR_HOST).otherwise(c("domain")),
+                           "score": F.when(own, c("own_score")).otherwise(c("score")), "confidence": F.when(kin, "low").otherwise(c("confidence")), "status": F.when(kin, "potential").otherwise(c("status"))}).drop("kin", "own_score")
+
+
+def resolve_staged(companies: DataFrame, learned: DataFrame, major: DataFrame, dictionary: DataFrame, pool: DataFrame, fallback: DataFrame, rejected: DataFrame, liveness: DataFrame,
+                   unfinished: DataFrame | None = None, finance_filter: bool = False) -> DataFrame:
+    """The whole second generation in one call: (company_id, company, stage, domain, score, confidence, ambiguous, decisive_rule, status).
+
+    A company goes only through what it needs. What is learned answers first, then major firms, then the dictionary; the rest have their pool of candidates ranked,
+    those whose pool is empty, also after rejections, their ``fallback`` candidates, and what is left is ``none``. Companies in ``unfinished`` (company_id) had a lookup that
+    failed, so nothing is sure of them. Each step is an anti- or semi-join with what is still open.
+    """
+    c = F.col
+    known = materialize(resolve_known(companies, learned, major, dictionary), "known")
+    open_ = known.where("source IS NULL").select("company_id", "company")
+    some = lambda rows: C.reject_domains(C.merge_by_domain(rows), rejected)
+    first = materialize(some(pool.join(open_.select("company_id"), "company_id", "left_semi")), "pool")
+    lonely = open_.select("company_id").join(first, "company_id", "left_anti")
+    both = first.withColumn("stage", F.lit("pool")).unionByName(some(fallback.join(lonely, "company_id", "left_semi")).withColumn("stage", F.lit("fallback")))
+    merged = both.join(liveness, "domain", "left").join(open_, "company_id")
+    ranked = materialize(selection.rank_pool(merged, finance_filter), "ranked")
+    decided = _regulator_first(selection.decide_pool(ranked.drop("stage"), finance_filter), ranked).drop("company")
+    stages = ranked.groupBy("company_id").agg(F.min("stage").alias("stage"))
+    late = open_.join(decided, "company_id", "left").join(stages, "company_id", "left")
+    if unfinished is not None:
+        late = late.join(unfinished.select("company_id").distinct().withColumn("unsure", F.lit(True)), "company_id", "left")
+        late = late.withColumns({"decisive_rule": F.when(c("unsure").isNull(), c("decisive_rule")), "confidence": F.when(c("unsure"), "low").otherwise(c("confidence")),
+                                 "status": F.when(c("unsure") & (c("status") == "found"), "potential").otherwise(c("status"))})
+    shown = late.select("company_id", "company", F.coalesce("stage", F.lit("none")).alias("stage"), "domain", F.coalesce("score", F.lit(0)).alias("score"), F.when(c("domain").isNull(), "none").otherwise(c("confidence")).alias("confidence"),
+                        F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"), "decisive_rule", F.coalesce("status", F.lit("unverified")).alias("status"))
+    lit = F.lit
+    sure = known.where("source IS NOT NULL").select("company_id", "company", c("source").alias("stage"), "domain", lit(100).alias("score"), lit("high").alias("confidence"),
+                                                    ((c("source") == "major_firm") & has(c("company"), REGULATOR)).alias("ambiguous"), lit(None).cast("string").alias("decisive_rule"), lit("found").alias("status"))
+    return sure.unionByName(shown)
+
+
 def resolve_identity(companies: DataFrame, pool: DataFrame, pages: DataFrame) -> DataFrame:
     """The third generation: consensus and page evidence joined to each candidate by its host, scores, page-stage adjustments, selection."""
+    return selection.select_identity(scored_candidates(companies, pool, pages), 72)
+
+
+def resolve_in_two_stages(companies: DataFrame, pool: DataFrame, pages: DataFrame, hits: DataFrame, context: DataFrame | None = None) -> DataFrame:
+    """``resolve_identity``, and the second stage for those that are ambiguous after it: only their candidates' sites are looked through more deeply, and only their
+    search hits (company_id, seq, host, title, snippet) are read. ``context`` (company_id, context) says what kind of company is meant."""
+    c = F.col
+    scored = materialize(scored_candidates(companies, pool, pages), "scored")
+    decided = materialize(selection.select_identity(scored, 72), "decided")
+    open_ = materialize(scored.join(decided.where("status = 'ambiguous'").select("company_id"), "company_id", "left_semi").select("company_id", "company", "host").distinct(), "open")
+    hosts = open_.select(c("host").alias("_host")).distinct()
+    near = pages.join(hosts, D.host_of(c("url")) == c("_host"), "left_semi")
+    front = page_evidence(near).groupBy("host").agg(F.min(F.struct("page_id", c("title").alias("deep_title"), c("description").alias("deep_description"))).alias("f")).select("host", "f.deep_title", "f.deep_description")
+    deep = deep_site_evidence(near).select("host", c("text").alias("deep_text"), c("text").alias("about_text"), c("json_ld_name").alias("deep_json_ld"))
+    told = C.search_snippets(open_.withColumnRenamed("host", "domain"), hits.join(open_.select("company_id").distinct(), "company_id", "left_semi")).withColumnRenamed("domain", "host")
+    given = open_.select("company_id").distinct().withColumn("context", F.lit(None).cast("string")) if context is None else context.select("company_id", "context")
+    evidence = (open_.drop("company").join(front, "host", "left").join(deep, "host", "left").join(told, ["company_id", "host"], "left").join(given, "company_id", "left")
+                .withColumn("supporting_sources", F.array().cast("array<string>")))
+    return second_stage(decided, scored, evidence)
+
+
+def scored_candidates(companies: DataFrame, pool: DataFrame, pages: DataFrame) -> DataFrame:
+    """Each candidate with its consensus, its page's evidence, its signals and its score."""
     c = F.col
     agreed = C.consensus(pool.withColumn("domain", D.host_of(c("domain")))).select("company_id", "domain", "agreement")
     evidence = page_evidence(pages).groupBy("host").agg(F.min(F.struct("page_id", "title", "description", "page_text", "json_ld_name")).alias("e"))
@@ -57,7 +130,7 @@ def resolve_identity(companies: DataFrame, pool: DataFrame, pages: DataFrame) ->
     named = F.map_contains_key("signals", F.lit("titleMentionsCompany")) | F.map_contains_key("signals", F.lit("homepageHeadMention"))
     adjust = (F.when((c("source") == "brand_guess") & ~c("shown"), -50).otherwise(0)
               + F.when(F.map_contains_key("signals", F.lit("domainExactKey")) & c("domain").endswith(".com") & c("shown") & named, 22).otherwise(0))
-    return selection.select_identity(scored.withColumn("score", c("score") + adjust), 72)
+    return scored.withColumn("score", c("score") + adjust)
 
 
 def stage_two_signals(rows: DataFrame) -> DataFrame:

@@ -782,6 +782,29 @@ def bucketed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(spark, path).select("key", "event_id", "event_type", "value")
 
 
+@query("""WITH n AS (SELECT c_custkey AS id, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS key, c_acctbal AS b, c_mktsegment AS g FROM customer),
+d AS (SELECT concat('customer', substr(s_name, 10)) AS key, concat('s', s_suppkey, '.example.com') AS domain FROM supplier),
+o AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_totalprice > 300000), r AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_totalprice > 450000)
+SELECT n.id AS company_id, CASE WHEN b > 9000 THEN 'learned' WHEN g = 'BUILDING' AND b > 6000 THEN 'major_firm' WHEN d.key IS NOT NULL THEN 'dictionary' WHEN o.id IS NOT NULL AND r.id IS NULL THEN 'pool' WHEN b > 0 THEN 'fallback' ELSE 'none' END AS stage,
+CASE WHEN b > 9000 THEN concat('learned', n.id, '.com') WHEN g = 'BUILDING' AND b > 6000 THEN concat('major', n.id, '.com') WHEN d.key IS NOT NULL THEN d.domain WHEN o.id IS NOT NULL AND r.id IS NULL THEN concat(n.key, '.com') WHEN b > 0 THEN concat(n.key, '.org') END AS domain
+FROM n LEFT JOIN d ON n.key = d.key LEFT JOIN o ON o.id = n.id LEFT JOIN r ON r.id = n.id""")
+def staged_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer through the stages: balances decide what was learned, segments the major firms, suppliers' numbers the dictionary, orders who has candidates and whose were rejected."""
+    c, lit = F.col, F.lit
+    n = table(spark, sf_dir, "customer").select(c("c_custkey").alias("company_id"), c("c_name").alias("company"), T.store_key(c("c_name")).alias("key"), c("c_acctbal").alias("b"), c("c_mktsegment").alias("g"))
+    entries = lambda df, domain: df.select("key", domain.alias("domain"), c("company_id").alias("entry_seq"))
+    numbered = lambda word: F.concat(lit(word), c("company_id").cast("string"), lit(".com"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.concat(lit("customer"), F.substring("s_name", 10, 9)).alias("key"), F.concat(lit("s"), c("s_suppkey").cast("string"), lit(".example.com")).alias("domain"), c("s_suppkey").alias("entry_seq"))
+    orders = table(spark, sf_dir, "orders")
+    with_orders = lambda above: n.join(orders.where(c("o_totalprice") > above).select(c("o_custkey").alias("company_id")), "company_id", "left_semi")
+    row = lambda df, end, source: df.select("company_id", lit(0).alias("seq"), F.concat(c("key"), lit(end)).alias("domain"), c("company").alias("name"), lit(source).alias("source"), lit(None).cast("string").alias("snippet"), lit(None).cast("int").alias("prominence"))
+    rejected = with_orders(450_000).select("company_id", F.concat(c("key"), lit(".com")).alias("domain"))
+    live = spark.createDataFrame([], "domain string, dns_ok boolean")
+    out = resolve.resolve_staged(n.select("company_id", "company"), entries(n.where("b > 9000"), numbered("learned")), entries(n.where("g = 'BUILDING' AND b > 6000"), numbered("major")), suppliers,
+                                 row(with_orders(300_000), ".com", "autocomplete"), row(n.where("b > 0"), ".org", "search"), rejected, live)
+    return out.select("company_id", "stage", "domain")
+
+
 _EDITED = f"""p AS (SELECT page_id, {_PAGE_HOST} AS host FROM pages), pool AS (SELECT page_id % 100 AS company_id, host FROM p),
 e AS (SELECT DISTINCT user_id % 100 AS company_id FROM events WHERE event_type = 'error' AND value > 250), h AS (SELECT DISTINCT host FROM p JOIN events ON events.user_id = p.page_id AND event_type = 'signup' AND value > 250)"""
 

@@ -174,3 +174,34 @@ def test_refresh_equals_a_full_run(spark, tmp_path):
     got = {r["company_id"]: tuple(r) for r in store.read(spark, path).select(*shown).collect()}
     full = {r["company_id"]: tuple(r) for r in resolve.resolve_identity(companies, candidates, sites).select(*shown).collect()}
     assert got.pop(9)[1] == "removed" and got == full and len(touched) <= 4
+
+
+# drivers ---------------------------------------------------------------------------------------------------------------------
+
+def test_stages_one_after_the_other(spark):
+    companies = spark.createDataFrame([(1, "Known Firm"), (2, "Major Firm"), (3, "Listed Firm"), (4, "Pool Robotics"), (5, "Rejected Robotics"), (6, "Nobody"), (7, "Securities and Exchange Commission"), (8, "Unsure Robotics")], "company_id int, company string")
+    entry = lambda *v: spark.createDataFrame(list(v), "key string, domain string, entry_seq int")
+    cand = lambda *v: spark.createDataFrame([(i, k, d, n, s, None, None) for i, k, d, n, s in v], "company_id int, seq int, domain string, name string, source string, snippet string, prominence int")
+    pool = cand((1, 0, "never.com", "x", "search"), (4, 0, "poolrobotics.com", "Pool Robotics", "autocomplete"), (4, 1, "www.poolrobotics.com", "Pool Robotics", "wikidata"), (5, 0, "bad.com", "Rejected Robotics", "wikidata"),
+                (7, 0, "sec.gov.ph", "Securities and Exchange Commission", "autocomplete"), (7, 1, "sec.gov", "U.S. SEC", "search"), (8, 0, "unsurerobotics.com", "Unsure Robotics", "autocomplete"), (8, 1, "unsurerobotics.com", "Unsure Robotics", "wikidata"))
+    live = spark.createDataFrame([("poolrobotics.com", True), ("unsurerobotics.com", True)], "domain string, dns_ok boolean")
+    rejected = spark.createDataFrame([(5, "bad.com")], "company_id int, domain string")
+    out = resolve.resolve_staged(companies, entry(("knownfirm", "known.com", 0)), entry(("majorfirm", "major.com", 0)), entry(("listedfirm", "listed.com", 0)), pool, cand((4, 0, "not.com", "n", "search"), (5, 0, "rejectedrobotics.com", "Rejected Robotics", "search")),
+                                 rejected, live, spark.createDataFrame([(8,)], "company_id int"))
+    got = {r["company_id"]: r for r in out.collect()}
+    assert [(got[i]["stage"], got[i]["domain"]) for i in range(1, 9)] == [("learned", "known.com"), ("major_firm", "major.com"), ("dictionary", "listed.com"), ("pool", "poolrobotics.com"), ("fallback", "rejectedrobotics.com"), ("none", None), ("pool", "sec.gov"), ("pool", "unsurerobotics.com")]
+    assert got[4]["status"] == "found" and got[6]["confidence"] == "none" and got[6]["status"] == "unverified"
+    assert got[7]["ambiguous"] and got[7]["confidence"] == "low" and got[7]["status"] == "potential"
+    assert got[8]["confidence"] == "low" and got[8]["status"] == "potential" and got[8]["decisive_rule"] is None
+
+
+def test_two_stages_look_again_at_the_ambiguous_alone(spark):
+    companies = spark.createDataFrame([(1, "Stable Asset Partners"), (2, "Stable")], "company_id int, company string")
+    pool = spark.createDataFrame([(1, 0, "stableassetpartners.com", "Stable Asset Partners", "autocomplete", "Stable Asset Partners official website"), (1, 1, "stableassetpartners.com", "Stable Asset Partners", "infobox", None), (2, 0, "usestable.com", "Stable", "autocomplete", None), (2, 1, "stable.com", "Stable", "search", None)],
+                                 "company_id int, seq int, domain string, name string, source string, snippet string")
+    page = "<html><head><title>{0} | Official Site</title><meta name='description' content='{0} is a private equity firm'></head><body><h1>{0}</h1><p>{0} invests</p></body></html>"
+    pages = spark.createDataFrame([(1, "https://stableassetpartners.com/", page.format("Stable Asset Partners")), (2, "https://stable.com/about", page.format("Stable"))], "page_id int, url string, html string")
+    hits = spark.createDataFrame([(2, 0, "stable.com", "Stable", "Stable is a company that stores mail")], "company_id int, seq int, host string, title string, snippet string")
+    one = {r["company_id"]: (r["status"], r["domain"]) for r in resolve.resolve_identity(companies, pool, pages).collect()}
+    two = {r["company_id"]: (r["status"], r["domain"], r["reason"]) for r in resolve.resolve_in_two_stages(companies, pool, pages, hits).collect()}
+    assert two[1][:2] == one[1] and set(two) == set(one) and (one[2][0] != "ambiguous" or two[2][2].startswith("stage2") or two[2][0] in ("ambiguous", "resolved"))
