@@ -29,7 +29,7 @@ from .common import blocks, give_back, held, materialize
 #: Pairs that are sent to all tasks, at most.
 HOT = 300_000
 #: Characters of a block of texts, characters of a unit that is kept, and units kept in a Python worker.
-_BLOCK_CHARS, _KEPT_CHARS, _KEPT_UNITS = 2_000_000, 64, 300_000
+_BLOCK_CHARS, _KEPT_CHARS, _KEPT_UNITS = 1_500_000, 64, 240_000
 #: White space that begins with another character than a space is within a unit.
 _UNIT = re.compile(r"\s*\S+(?:[^\S ]\s*\S+)*(?:[^\S ]\s*\Z)?|\s+")
 
@@ -131,31 +131,36 @@ class Aligner:
     def align(self, texts: list[str], digest: bool) -> dict[str, list | np.ndarray]:
         """The columns of ``aligned`` for a block of texts."""
         cut = [_UNIT.findall(" " + t) if t else [] for t in texts]
-        known = self.units({u for units in cut for u in units})
-        cut = [[] if any(known[u] is None for u in units) else units for units in cut]
-        number = {u: i for i, u in enumerate(u for u, made in known.items() if made is not None)}
-        made = [known[u] for u in number]
+        known = self.units(set(chain.from_iterable(cut)))
+        made = [m for m in known.values() if m is not None]
+        number = dict.fromkeys(known, -1) | {u: i for i, u in enumerate(u for u, m in known.items() if m is not None)}
+        of = np.repeat(np.arange(len(cut)), list(map(len, cut)))
+        at = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int64, len(of))
+        whole = np.bincount(of[at < 0], minlength=len(cut))[of] == 0  # a text with one unit that can't be restored has no tokens
+        of, at = of[whole], at[whole]
         size_a, size_b, size_groups = (np.fromiter((m[k] for m in made), np.int64, len(made)) for k in range(3))
-        flat = np.frombuffer(b"".join(m[4] for m in made), dtype=np.int64)
+        flat = np.frombuffer(b"".join([m[4] for m in made]), dtype=np.int64)
         n_links = np.fromiter((len(m[4]) for m in made), np.int64, len(made)) >> 3
         first = np.cumsum(n_links) - n_links
-        of = np.repeat(np.arange(len(cut)), [len(units) for units in cut])
-        at = np.fromiter((number[u] for units in cut for u in units), np.int64, len(of))
         total = lambda sizes: np.bincount(of, weights=sizes[at], minlength=len(cut)).astype(np.int64)
         columns: dict = {"n_a": total(size_a), "n_b": total(size_b), "n_groups": total(size_groups), "n_links": total(n_links)}
-        said = (";".join([known[u][3] for u in units]) for units in cut)
-        columns["groups"] = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in said] if digest else list(said)
-        # a document's units with how often it has each, then its pairs with how often they are linked there
+        said, order = [m[3] for m in made].__getitem__, at.tolist()
+        ends = np.searchsorted(of, np.arange(len(cut)), side="right").tolist()
+        groups = (";".join(map(said, order[x:y])) for x, y in zip([0, *ends], ends))
+        columns["groups"] = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups] if digest else list(groups)
+        # a document's units with how often it has each, then its pairs with how often they are linked there; pairs go by their number in the block
         own, times = np.unique(of * len(made) + at, return_counts=True)
         doc, unit = np.divmod(own, max(len(made), 1))
         sizes = n_links[unit]
         within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        pair, doc, times = flat[np.repeat(first[unit], sizes) + within], np.repeat(doc, sizes), np.repeat(times, sizes)
-        order = np.lexsort((pair, doc))
-        pair, doc, times = pair[order], doc[order], times[order]
-        new = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])])) if len(pair) else np.zeros(0, np.int64)
+        pairs, place = np.unique(flat, return_inverse=True)
+        key = np.repeat(doc * len(pairs), sizes) + place[np.repeat(first[unit], sizes) + within]
+        order = np.argsort(key)
+        key, times = key[order], np.repeat(times, sizes)[order]
+        new = np.flatnonzero(np.diff(key, prepend=-1))
         times = np.add.reduceat(times, new) if len(new) else times
-        pair, cuts = pair[new], np.searchsorted(doc[new], np.arange(1, len(cut)))
+        doc, place = np.divmod(key[new], max(len(pairs), 1))
+        pair, cuts = pairs[place], np.searchsorted(doc, np.arange(1, len(cut)))
         for name, values in (("a", pair >> 32), ("b", pair & 0xFFFFFFFF), ("times", times)):
             columns[name] = np.split(values.astype(np.int32), cuts) if len(cut) else []
         return columns
