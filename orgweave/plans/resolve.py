@@ -201,9 +201,17 @@ def facts(companies: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def evidence_parts(texts: DataFrame) -> DataFrame:
-    """(company_id, parts): a company's texts in order, as many and as much of each as a classification can reach."""
-    place = F.row_number().over(Window.partitionBy("company_id").orderBy("seq"))
-    some = texts.select("company_id", "seq", cut(F.col("text"), industry.WHOLE).alias("text")).withColumn("place", place).where(F.col("place") <= industry.WHOLE)
+    """(company_id, parts): a company's texts in order, as far as a classification can reach: those that begin within its characters, and the first that say anything.
+
+    So what is collected for a company is a few times those characters at most, however many texts it has.
+    """
+    c = F.col
+    by_seq = Window.partitionBy("company_id").orderBy("seq")
+    # every text takes a character at least, so that many places are enough; Spark cuts to them before it shuffles
+    some = texts.select("company_id", "seq", cut(c("text"), industry.WHOLE).alias("text")).withColumn("place", F.row_number().over(by_seq)).where(c("place") <= industry.WHOLE)
+    before, says = by_seq.rowsBetween(Window.unboundedPreceding, -1), F.length(F.trim(text("text"))) > 0
+    some = some.withColumns({"behind": F.coalesce(F.sum(F.length(text("text")) + 1).over(before), F.lit(0)), "told": F.coalesce(F.count_if(says).over(before), F.lit(0))})
+    some = some.where((c("behind") < industry.WHOLE) | (says & (c("told") < industry.PARTS)))
     return some.groupBy("company_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda t: t["text"]).alias("parts"))
 
 

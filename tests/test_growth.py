@@ -205,3 +205,71 @@ def test_two_stages_look_again_at_the_ambiguous_alone(spark):
     one = {r["company_id"]: (r["status"], r["domain"]) for r in resolve.resolve_identity(companies, pool, pages).collect()}
     two = {r["company_id"]: (r["status"], r["domain"], r["reason"]) for r in resolve.resolve_in_two_stages(companies, pool, pages, hits).collect()}
     assert two[1][:2] == one[1] and set(two) == set(one) and (one[2][0] != "ambiguous" or two[2][2].startswith("stage2") or two[2][0] in ("ambiguous", "resolved"))
+
+
+def test_parts_reach_as_far_as_the_classification(spark):
+    from orgweave.operators import industry
+
+    rows = [(1, i, "x" * 500) for i in range(200)] + [(2, 0, "a"), (2, 1, None), (2, 2, "y" * 20_000), (2, 3, ""), *((2, i, "z" * 9_000) for i in range(4, 30))] + [(3, 0, "venture capital firm that invests in seed rounds")]
+    df = spark.createDataFrame(rows, "company_id int, seq int, text string")
+    got = {r["company_id"]: r["parts"] for r in resolve.evidence_parts(df).collect()}
+    assert len(got[1]) == 24 and sum(map(len, got[1])) == 12_000 and [len(p or "") for p in got[2]] == [1, 0, 12_000, 9_000, 9_000, 9_000, 9_000] and len(got[3]) == 1
+    whole = df.groupBy("company_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda t: t["text"]).alias("parts"))
+    told = lambda parts: sorted(map(tuple, industry.classify(parts).select("company_id", "industry", "industry_confidence", "industry_score").collect()))
+    assert told(whole) == told(resolve.evidence_parts(df))
+
+
+# what only callers outside use ---------------------------------------------------------------------------------------------------
+
+def test_diagnosis_of_an_ambiguous_company(spark):
+    from orgweave.operators import selection
+
+    rows = [(1, 0, "a.com", 90, {"title": 20, "shop": -30}), (1, 1, "b.com", 84, {"title": 10}), (2, 0, "c.com", 50, {})] + [(3, i, f"h{i}.com", 50, {"k": i}) for i in range(12)]
+    scored = spark.createDataFrame(rows, "company_id int, seq int, host string, score int, signals map<string,int>")
+    got = {r["company_id"]: r for r in selection.diagnose(scored).collect()}
+    assert (got[1]["margin"], got[1]["top"], got[1]["plus"], got[1]["minus"]) == (6, ["a.com", "b.com"], {"title": 20}, {"shop": -30})
+    assert got[2]["margin"] is None and got[2]["plus"] == {} and got[3]["margin"] == 0 and got[3]["top"] == [f"h{i}.com" for i in range(8)]
+
+
+def test_founder_summary_and_site_founders(spark):
+    from orgweave.operators import consensus, metrics
+
+    rows = spark.createDataFrame([(o,) for o in ["exact_complete"] * 3 + ["correct_partial", "incorrect", "unknown", "unknown", "not_applicable"]], "outcome string")
+    assert tuple(metrics.summarize_founders(rows).first()) == (8, 3, 1, 1, 2, 1, 60.0, 80.0, 71.4)
+    assert metrics.summarize_founders(rows.limit(0)).first()["exact_precision_pct"] is None
+    df = spark.createDataFrame([("Ann Lee; Bob Ray", "ann lee; Cy Dee", "Eve Fox"), (None, "", "Eve Fox; Gil Hay"), (None, None, None)], "a string, b string, c string")
+    assert [r[0] for r in df.select(consensus.merge_site_founders(F.col("a"), F.col("b"), F.col("c"))).collect()] == ["Ann Lee; Bob Ray; Cy Dee", "Eve Fox; Gil Hay", ""]
+
+
+def test_guard_lines_and_lookups(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    lit = F.lit
+    assert [one(G.lookup_status(lit(s).cast("int"))) for s in (200, 204, 429, 500, 0, None, 404)] == ["ok", "ok", "rate_limited", "transient", "transient", "transient", "http"]
+    assert one(G.media_keyword(lit("Head of Press"))) == "press" and one(G.media_keyword(lit("Pressure engineer"))) is None and one(G.media_keyword(lit(None).cast("string"))) is None
+    say = lambda d, r, m=None, v="exact", k=None: one(G.describe(lit(d).cast("string"), lit(r).cast("string"), F.array(*map(lit, m)) if m else lit(None).cast("array<string>"), lit(v), lit(k).cast("string")))
+    assert say("accept", "p31_organization", ["Q1", "Q2"]) == "accept — org class matched: Q1, Q2" and say("accept", "p31_org_subclass", ["Q1"], "subclass") == "accept — org class matched: Q1 (via subclass)"
+    assert say("reject", "p31_media", ["Q9"]) == "reject — Q9 is a reject class" and say("allow_unknown", "no_p31") == "allow_unknown — empty P31" and say("retry_needed", "rate_limited") == "retry_needed — rate limited"
+    assert say(None, None) == "allow_unknown — missing classification" and say("accept", "p31_media_with_context", ["Q9"], k="news") == "accept — media class with contact-title keyword: news"
+
+
+def test_unions_orders_and_inputs(spark, tmp_path):
+    from orgweave.functions import matching as N
+    from orgweave.operators import corrections as K
+    from orgweave.sources import readers
+
+    a = spark.createDataFrame([(1, 0, "a.com")], "company_id int, seq int, domain string")
+    b = spark.createDataFrame([(1, 1, "b.com", "B"), (1, 2, "a.com", "A")], "company_id int, seq int, domain string, name string")
+    assert sorted(tuple(r) for r in C.union_sources(a, b).select("domain", "source_no", "seq").collect()) == [("a.com", 0, 0), ("a.com", 1, 2), ("b.com", 1, 1)]
+    assert sorted(r["domain"] for r in C.append_missing(a, b).collect()) == ["a.com", "b.com"]
+    kept = spark.createDataFrame([("zeta", "k1", "kept"), ("Álpha", "k2", "kept"), ("beta", "k3", "deleted"), ("alpha", "k4", "kept")], "company_name string, company_key string, state string")
+    assert [r["company_key"] for r in K.export_order(kept).collect()] == ["k4", "k2", "k1"]
+    (tmp_path / "in.txt").write_text("  Acme \n\n \nZed\n")
+    assert [r["value"] for r in readers.text_lines(spark, str(tmp_path / "in.txt")).collect()] == ["Acme", "Zed"]
+    rows = spark.createDataFrame([("A", None, " x ", "Rome"), (None, "B", "", None)], "name string, company string, sector string, hq string")
+    assert [tuple(r) for r in readers.aliased_records(rows).collect()] == [("A", "x", "Rome"), ("B", None, None)]
+    writers.write_report(a, b, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report/summary")).count() == 1 and spark.read.json(str(tmp_path / "report/rows")).count() == 2
+    values = spark.createDataFrame([(v,) for v in ("", " - ", "Unknown", "x", None)], "v string")
+    assert [r[0] for r in values.select(N.is_placeholder(F.col("v"))).collect()] == [True, True, True, False, True]
+    odd = spark.createDataFrame([("Acme", "acmesolutions.com", "Robotics"), ("Fordham University", "fordham.edu", "Banking"), ("Acme", "acme.com", None)], "company string, domain string, industry string")
+    assert [tuple(r)[3:] for r in resolve.compound_mismatch(odd).collect()] == [(True, False), (False, True), (False, False)]
