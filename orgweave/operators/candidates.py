@@ -16,6 +16,12 @@ from ..functions.matching import full_name_present
 from ..functions.regex import text, trim
 from ..functions.text import UNKNOWN, is_blank, match_key, store_key
 
+# --- fixed values -----------------------------------------------------------------------------------------------
+#: How many of a company's candidates are looked up, and what a live host, one of a close name besides, and a dead one are worth.
+TOP, LIVE, LIVE_CLOSE, DEAD, CLOSE_NAME = 5, 15, 8, -20, 35
+# ----------------------------------------------------------------------------------------------------------------
+
+
 def union_sources(*sources: DataFrame) -> DataFrame:
     """(company_id, seq, domain, name, snippet, source, prominence) of all sources, UNION ALL by name; sources keep their order."""
     numbered = [s.withColumn("source_no", F.lit(i)) for i, s in enumerate(sources)]
@@ -139,6 +145,37 @@ def search_snippets(candidates: DataFrame, hits: DataFrame, most: int = 1500) ->
     return own.groupBy("company_id", "domain").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "said"))), lambda h: h["said"]), " · "), 1, most).alias("search_snippets"))
 
 
+def merge_signals(rows: DataFrame) -> DataFrame:
+    """One row per company and domain of rows (company_id, domain, seq, source, exact, signals map<string,int>): each signal's maximum, their sum as ``total``, the distinct
+    sources in order of appearance, and whether any row's name was exact.
+
+    Signals are taken apart, maximised map-side and put together again, so what is collected for a domain is its distinct names of signals and sources. A row without
+    signals has none to give; a null signal counts as missing.
+    """
+    c, keys = F.col, ["company_id", "domain"]
+    highest = rows.select(*keys, F.explode("signals").alias("signal", "points")).where("points IS NOT NULL").groupBy(*keys, "signal").agg(F.max("points").alias("points"))
+    signals = highest.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("signal", "points")))).alias("signals"), F.sum("points").cast("int").alias("total"))
+    each = rows.groupBy(*keys, "source").agg(F.min("seq").alias("seq"), F.coalesce(F.bool_or("exact"), F.lit(False)).alias("exact"))
+    told = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "source"))).alias("s"), F.bool_or("exact").alias("exact"), F.min("seq").alias("seq"))
+    both = told.withColumnsRenamed({k: f"_{k}" for k in keys}).join(signals, c("_company_id").eqNullSafe(c("company_id")) & c("_domain").eqNullSafe(c("domain")), "left")
+    return both.select(c("_company_id").alias("company_id"), c("_domain").alias("domain"), F.filter(F.transform("s", lambda x: x["source"]), lambda x: x.isNotNull()).alias("sources"), "exact",
+                       F.coalesce("signals", F.create_map().cast("map<string,int>")).alias("signals"), F.coalesce("total", F.lit(0)).alias("total"), "seq")
+
+
+def rank_evidence(merged: DataFrame, live: DataFrame) -> DataFrame:
+    """``merged`` with ``place`` among its company's candidates, after the five best were looked up in ``live`` (domain, dns_ok): a live host gains, one that isn't loses.
+
+    Ties go to what appeared first. A company's candidates are few, so each is ranked in one place.
+    """
+    c = F.col
+    at = lambda *order: F.row_number().over(Window.partitionBy("company_id").orderBy(*order, "seq", "domain"))
+    known = live.groupBy("domain").agg(F.bool_or("dns_ok").alias("dns_ok"))
+    top = merged.withColumn("first", at(c("total").desc())).join(known, "domain", "left").withColumn("dns_ok", F.when(c("first") <= TOP, F.coalesce("dns_ok", F.lit(False))))
+    close = c("exact") | (F.coalesce(F.get(F.map_values(F.map_filter("signals", lambda k, _: k == "name_similarity")), F.lit(0)), F.lit(0)) >= CLOSE_NAME)
+    dns = F.when(c("dns_ok"), LIVE + F.when(close, LIVE_CLOSE).otherwise(0)).when(~c("dns_ok"), DEAD).otherwise(0)
+    return top.withColumn("total", c("total") + dns).withColumn("place", at(c("total").desc(), "first")).drop("first")
+
+
 def longest_key_per_domain(dictionary: DataFrame) -> DataFrame:
     """Of each domain the longest key; of equally long ones the first."""
     return dictionary.groupBy("domain").agg(F.max_by("key", F.struct(F.length("key"), -F.col("entry_seq"))).alias("key"))

@@ -21,11 +21,15 @@ from .operators import guard as G
 from .operators import industry as I
 from .operators import metrics as M
 from .operators import provider as P
+from .operators import retries
 from .operators import scoring as R
 from .operators import selection as W
 from .plans import refresh, resolve
-from .sources import readers, store, writers
-from .sources.shared import shared_dir
+from .sources import readers, responses, store, writers
+from .sources.shared import discard, forget, materialize, shared_dir
+from .streaming import corrections as stream_of_corrections
+from .streaming import retries as stream_of_retries
+from .streaming import sinks
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -765,6 +769,132 @@ def keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "user_id", "ts").select("user_id", "event_type", "ts")
 
 
+# recorded responses, retries, signals ------------------------------------------------------------------------------------
+_SAID = f"SELECT page_id AS id, {_PAGE_HOST} AS host, {_TITLE} AS title, {_H1} AS heading FROM pages"
+
+
+@query(f"""WITH p AS ({_SAID}), a AS (SELECT id, 'autocomplete' AS kind, host AS domain, coalesce(nullif(title, ''), host) AS name, heading AS note FROM p WHERE id % 7 <> 0 AND id % 11 <> 0 AND host <> ''),
+i AS (SELECT id, 'instant' AS kind, host AS domain, coalesce(nullif(heading, ''), 'asked') AS name, CASE WHEN id % 3 = 0 THEN 'official' ELSE 'abstract' END AS note FROM p WHERE id % 11 <> 0 AND host <> '' AND (id % 3 <> 1 OR NOT regexp_matches(host, 'wikipedia[.]org|wikidata[.]org'))
+  AND (id % 3 <> 0 OR NOT contains(host, 'wikipedia.org')) AND id % 3 <> 2),
+t AS (SELECT id, 'title' AS kind, NULL AS domain, heading AS name, NULL AS note FROM p WHERE id % 11 <> 0 AND id % 3 = 2 AND heading <> ''),
+e AS (SELECT id, 'enrich' AS kind, host AS domain, CASE WHEN id % 13 <> 0 AND id % 11 <> 0 THEN title END AS name, CASE WHEN id % 13 = 0 THEN CASE WHEN id % 2 = 0 THEN 'not_found' ELSE 'status_404' END WHEN id % 11 = 0 THEN 'unreadable' ELSE CAST(id % 10 AS VARCHAR) END AS note FROM p WHERE id % 2 = 0 OR id % 11 <> 0),
+f AS (SELECT id, 'enrich' AS kind, host AS domain, NULL AS name, 'unreadable' AS note FROM p WHERE id % 2 = 1 AND id % 11 = 0),
+b AS (SELECT id, 'bad' AS kind, NULL AS domain, NULL AS name, NULL AS note FROM p CROSS JOIN (VALUES (1), (2), (3), (4)) WHERE id % 11 = 0)
+SELECT * FROM a UNION ALL SELECT * FROM i UNION ALL SELECT * FROM t UNION ALL SELECT * FROM e UNION ALL SELECT * FROM f UNION ALL SELECT * FROM b""")
+def recorded_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as four recorded responses, whose bodies hold its host, title and heading, flat or nested, some cut off, some refused; written, read again and taken apart."""
+    c, lit = F.col, F.lit
+    p = table(spark, sf_dir, "pages").select(c("page_id").alias("id"), D.host_of(c("url")).alias("host"), H.title(c("html")).alias("title"), H.heading(c("html")).alias("heading"))
+    item = F.struct(c("host").alias("domain"), c("title").alias("name"), c("heading").alias("industry"))
+    site = F.struct(c("heading").alias("Heading"), F.struct(F.array(F.struct(lit("Founded").alias("label"), lit("1999").alias("value")), F.struct(lit("Website").alias("label"), F.concat(lit("https://"), c("host"), lit("/x")).alias("value"))).alias("content")).alias("Infobox"))
+    page = F.struct(c("heading").alias("Heading"), F.concat(lit("https://"), c("host"), lit("/x?y")).alias("AbstractURL"))
+    wiki = F.struct(c("heading").alias("Heading"), F.concat(lit("https://en.wikipedia.org/wiki/"), F.replace(F.replace(F.url_encode("heading"), lit("+"), lit("_")), lit("#"), lit("%23"))).alias("AbstractURL"))
+    instant = F.when(c("id") % 3 == 0, F.to_json(site)).when(c("id") % 3 == 1, F.to_json(page)).otherwise(F.to_json(wiki))
+    gone = c("id") % 13 == 0
+    flat = F.struct(c("title").alias("name"), c("host").alias("website"), (c("id") % 10).alias("likelihood"))
+    one = F.when(gone, lit('{"error": {"message": "none"}}')).otherwise(F.to_json(flat))
+    many = F.to_json(F.array(F.struct(F.when(gone, 404).otherwise(200).alias("status"), (c("id") % 10).alias("likelihood"), F.when(~gone, F.struct(c("title").alias("name"), c("host").alias("website"))).alias("data"))))
+
+    def line(provider: str, seq: int, request, status, body) -> DataFrame:
+        cut = F.when(c("id") % 11 == 0, F.substr(body, lit(1), F.length(body) - 1)).otherwise(body)
+        return p.select(lit(provider).alias("provider"), c("id").alias("company_id"), lit(seq).cast("long").alias("seq"), lit("asked").alias("company"), request.alias("request"), lit("2024-01-01").cast("timestamp").alias("fetched_at"),
+                        status.cast("int").alias("http_status"), lit(5).alias("latency_ms"), cut.alias("body"))
+
+    ok = lit(200)
+    lines = readers.stack(line("autocomplete", 0, c("title"), F.when(c("id") % 7 == 0, 429).otherwise(ok), F.to_json(F.array(item, F.struct(lit(None).cast("string").alias("domain"), lit("x").alias("name"), lit("y").alias("industry"))))),
+                          line("autocomplete", 1, F.concat(F.lower("title"), lit(" ")), ok, F.to_json(F.array(item))), line("instant", 0, c("title"), ok, instant),
+                          line("enrich", 0, c("host"), F.when(gone & (c("id") % 2 == 0), 404).otherwise(ok), F.when(c("id") % 2 == 0, one).otherwise(many)))
+    path = f"{shared_dir(spark)}/orgweave/responses-{uuid.uuid4().hex}"
+    lines.write.partitionBy("provider").json(path)
+    forget(spark, path)
+    got = responses.recorded(spark, path)
+    none = lit(None).cast("string")
+    rows = lambda df, kind, domain, name, note: df.select(c("company_id").alias("id"), lit(kind).alias("kind"), domain.alias("domain"), name.alias("name"), note.alias("note"))
+    return readers.stack(rows(responses.autocomplete_rows(got), "autocomplete", c("domain"), c("name"), c("snippet")), rows(responses.instant_rows(got), "instant", c("domain"), c("name"), c("snippet")),
+                         rows(responses.instant_titles(got), "title", none, c("title"), none), rows(responses.provider_rows(got), "enrich", c("domain"), c("provider_name"), F.coalesce("error", c("likelihood").cast("string"))),
+                         rows(got.where("bad IS NOT NULL"), "bad", none, none, none))
+
+
+#: Each event is an attempt to look something up for its user and kind of event on its day: the value tells what came of it.
+_STATUS = "CASE WHEN value > 60 THEN 503 WHEN value > 35 THEN 429 WHEN value > 30 THEN 403 WHEN value > 20 THEN NULL ELSE 200 END"
+_LOOKUPS_SQL = f"""WITH l AS (SELECT concat(user_id, '/', event_type) AS key, event_id AS seq, ts AS "at", {_STATUS} AS status FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY "at", seq) AS nth, CASE WHEN status = 200 THEN 'done' WHEN status = 429 THEN 'rate_limited' WHEN status = 403 THEN 'http' ELSE 'transient' END AS reason FROM l),
+f AS (SELECT * FROM k WHERE nth <= 3), n AS (SELECT key, coalesce(min(nth) FILTER (WHERE reason IN ('done', 'http')), max(nth)) AS nth FROM f GROUP BY key)
+SELECT key, CASE WHEN reason = 'done' THEN 'done' WHEN reason = 'http' THEN 'refused' WHEN nth = 3 THEN 'given_up' ELSE 'waiting' END AS state, reason, CAST(nth AS INTEGER) AS attempts, "at" FROM f JOIN n USING (key, nth)"""
+
+
+def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    status = F.when(c("value") > 60, 503).when(c("value") > 35, 429).when(c("value") > 30, 403).when(c("value") > 20, None).otherwise(200)
+    return table(spark, sf_dir, "events").select(F.concat_ws("/", c("user_id").cast("string"), "event_type").alias("key"), c("event_id").alias("seq"), c("ts").cast("timestamp").alias("at"), status.cast("int").alias("http_status"))
+
+
+@query(_LOOKUPS_SQL)
+def retry_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retries.lookups(_attempts(spark, sf_dir))
+
+
+def _replayed(log: DataFrame) -> tuple[DataFrame, DataFrame, str, str]:
+    """The log as a stream of eight files in an order that has nothing to do with its times, two to a batch, and folders for its store and checkpoint."""
+    spark = log.sparkSession
+    written = materialize(log.repartition(8, F.xxhash64("seq")), "log")
+    folder = f"{shared_dir(spark)}/orgweave/stream-{uuid.uuid4().hex}"
+    return written, spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(written.written_to), f"{folder}/store", f"{folder}/checkpoint"
+
+
+#: How late a replayed log's rows may come: more than the events' whole time.
+_REPLAY = "3650 days"
+
+
+@query(_LOOKUPS_SQL)
+def streamed_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream over all events, replayed out of order into a keyed store."""
+    written, stream, path, checkpoint = _replayed(_attempts(spark, sf_dir))
+    sinks.into_store(stream_of_retries.stream_lookups(stream, _REPLAY), path, "key", "updated_at", checkpoint, buckets=16)
+    discard(written)
+    forget(spark, path)
+    return store.read(spark, path).drop("updated_at")
+
+
+@query("""WITH l AS (SELECT CAST(user_id AS VARCHAR) AS company_key, event_id AS seq, ts, event_type = 'error' AS deleted FROM events),
+c AS (SELECT company_key, max(ts) FILTER (WHERE NOT deleted) AS written, max(ts) FILTER (WHERE deleted) AS gone, arg_max(seq, (ts, seq)) FILTER (WHERE NOT deleted) AS seq FROM l GROUP BY company_key)
+SELECT company_key, CASE WHEN written IS NOT NULL AND (gone IS NULL OR written > gone) THEN concat('u', seq, '.example.com') END AS domain, greatest(written, gone) AS updated_at,
+CASE WHEN written IS NOT NULL AND (gone IS NULL OR written > gone) THEN 'kept' ELSE 'deleted' END AS state FROM c""")
+def streamed_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as corrections and deletions, replayed out of order as a stream into a keyed store: what the batch merge gives."""
+    c = F.col
+    log = table(spark, sf_dir, "events").select(c("user_id").cast("string").alias("company_key"), F.concat(F.lit("User "), c("user_id")).alias("company_name"), F.concat(F.lit("u"), c("event_id"), F.lit(".example.com")).alias("domain"),
+                                                c("ts").cast("timestamp").alias("updated_at"), (c("event_type") == "error").alias("deleted"), c("event_id").alias("seq"))
+    written, stream, path, checkpoint = _replayed(log)
+    sinks.into_store(stream_of_corrections.stream_corrections(stream, _REPLAY), path, "company_key", "updated_at", checkpoint, buckets=16)
+    discard(written)
+    forget(spark, path)
+    return store.read(spark, path).select("company_key", "domain", "updated_at", "state")
+
+
+_SIGNALS = f"""p AS (SELECT page_id % 40 AS company_id, page_id AS seq, {_PAGE_HOST} AS host, {_TITLE} AS title, {_H1} AS heading, CASE page_id % 3 WHEN 0 THEN 'guess' WHEN 1 THEN 'search' ELSE 'wiki' END AS source FROM pages),
+r AS (SELECT company_id, seq, source, array_to_string(string_split(split_part(split_part(host, '#', 1), ':', 1), '.')[-2:], '.') AS domain, title = heading AS exact, least(length(title), 50) AS name_similarity,
+  CASE WHEN source = 'wiki' THEN 12 END AS notability, CASE source WHEN 'wiki' THEN 6 WHEN 'search' THEN 5 ELSE 0 END AS multi_source FROM p)"""
+
+
+@query(f"""WITH {_SIGNALS}, s AS (SELECT company_id, domain, source, min(seq) AS seq FROM r GROUP BY ALL), t AS (SELECT company_id, domain, string_agg(source, ',' ORDER BY seq) AS sources, min(seq) AS seq FROM s GROUP BY ALL),
+m AS (SELECT company_id, domain, bool_or(exact) AS exact, max(name_similarity) AS a, max(notability) AS b, max(multi_source) AS c FROM r GROUP BY ALL),
+u AS (SELECT *, a + coalesce(b, 0) + c AS points FROM m JOIN t USING (company_id, domain)), v AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY points DESC, seq, domain) AS first FROM u),
+w AS (SELECT *, points + CASE WHEN first > 5 THEN 0 WHEN suffix(domain, '.com') THEN 15 + CASE WHEN exact OR a >= 35 THEN 8 ELSE 0 END ELSE -20 END AS total FROM v)
+SELECT company_id, domain, sources, CAST(a AS INTEGER) AS name_similarity, CAST(b AS INTEGER) AS notability, CAST(total AS INTEGER) AS total, CAST(row_number() OVER (PARTITION BY company_id ORDER BY total DESC, first) AS INTEGER) AS place FROM w""")
+def merged_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as evidence of forty companies' sites: each site's signals at their highest, then a look at whether the five best are live."""
+    c = F.col
+    pool = table(spark, sf_dir, "pages").select((c("page_id") % 40).alias("company_id"), c("page_id").alias("seq"), D.registrable(c("url")).alias("domain"), H.title(c("html")).alias("title"), H.heading(c("html")).alias("heading"),
+                                                F.when(c("page_id") % 3 == 0, "guess").when(c("page_id") % 3 == 1, "search").otherwise("wiki").alias("source"))
+    notable, several = F.when(c("source") == "wiki", 12), F.when(c("source") == "wiki", 6).when(c("source") == "search", 5).otherwise(0)
+    signals = F.create_map(F.lit("name_similarity"), F.least(F.length("title"), F.lit(50)), F.lit("notability"), notable, F.lit("multi_source"), several)
+    rows = pool.select("company_id", "domain", "seq", "source", (c("title") == c("heading")).alias("exact"), signals.alias("signals"))
+    live = rows.select("domain", c("domain").endswith(".com").alias("dns_ok")).distinct()
+    of = lambda name: F.try_element_at("signals", F.lit(name)).alias(name)
+    return C.rank_evidence(C.merge_signals(rows), live).select("company_id", "domain", F.array_join("sources", ",").alias("sources"), of("name_similarity"), of("notability"), "total", "place")
+
+
 # plans ---------------------------------------------------------------------------------------------------------------
 _BRANDS = ("Vista", "Mercury", "Apex", "Summit", "Pulse")
 
@@ -779,6 +909,7 @@ def bucketed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda df: df.groupBy("key").agg(F.max_by(F.struct("event_id", "ts", "event_type", "value"), F.struct("ts", "event_id")).alias("r")).select("key", "r.*")
     for part in (c("u") % 3 == 0, (c("u") % 3 == 1) | (c("event_id") % 2 == 0), F.lit(True)):
         store.merge(spark, one(rows.where(part)), path, "key", "ts", buckets=16)
+    forget(spark, path)
     return store.read(spark, path).select("key", "event_id", "event_type", "value")
 
 

@@ -24,6 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a folder, which must be there, when the application ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -33,9 +39,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/orgweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(conf).deleteOnExit(at)
+    forget(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
