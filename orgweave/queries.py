@@ -895,6 +895,79 @@ def merged_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.rank_evidence(C.merge_signals(rows), live).select("company_id", "domain", F.array_join("sources", ",").alias("sources"), of("name_similarity"), of("notability"), "total", "place")
 
 
+# rules over whole pages and documents ------------------------------------------------------------------------------------
+@query(r"""SELECT doc_id, nullif(regexp_extract(lower(coalesce(text, '')), '(?:\[|https?://|\b)(?:https?://)?(?:www\.)?((?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,24})', 1), '') AS host FROM documents""")
+def text_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first address in every document's whole text."""
+    return table(spark, sf_dir, "documents").select("doc_id", D.text_host(F.col("text")).alias("host"))
+
+
+_PAGE_KEY = r"regexp_replace(lower(trim(regexp_replace(regexp_replace(regexp_replace(title, '" + T.IDENTITY_FORMS + r"', ' ', 'gi'), '[.,]', ' ', 'g'), '\s+', ' ', 'g'))), '[^a-z0-9 ]+', '', 'g')"
+
+
+@query(f"""WITH p AS (SELECT page_id, {_PAGE_HOST} AS host, {_TITLE} AS title FROM pages), q AS (SELECT *, string_split(host, '.') AS parts, {_PAGE_KEY} AS plain FROM p),
+r AS (SELECT *, replace(plain, ' ', '') AS key, list_filter(string_split(plain, ' '), lambda t: length(t) > 1 AND t NOT IN {T.GENERIC_WORDS}) AS tokens FROM q),
+s AS (SELECT page_id, unnest([host, CASE WHEN len(parts) >= 3 AND regexp_matches(parts[1], '{D.PROPERTY_LABELS}') THEN array_to_string(parts[2:], '.') ELSE host END, CASE WHEN length(key) >= 3 THEN concat(key, '.com') END,
+  CASE WHEN len(tokens) > 0 THEN concat(tokens[1], '.com') END, CASE WHEN len(tokens) = 2 THEN concat(tokens[1], '.', tokens[2]) END]) AS guess, unnest(range(5)) AS place FROM r WHERE host <> '')
+SELECT page_id, string_agg(guess, ',' ORDER BY place) AS guesses FROM (SELECT page_id, guess, min(place) AS place FROM s WHERE guess IS NOT NULL GROUP BY ALL) GROUP BY page_id""")
+def page_guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every page, whose title is taken for its company's name, the hosts that the company may own."""
+    c = F.col
+    guesses = D.official_guesses(c("url"), H.title(c("html")))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(guesses, ",").alias("guesses")).where("guesses <> ''")
+
+
+@query(f"""WITH h AS (SELECT DISTINCT {_PAGE_HOST} AS host FROM pages), o AS (SELECT host, unnest([concat(regexp_replace(host, '\\.[^.]*$', ''), '.de'), concat(regexp_replace(host, '\\.[^.]*$', ''), '.com'), concat(regexp_replace(host, '\\.[^.]*$', ''), '.io'), regexp_replace(host, '^[^.]*\\.', '')]) AS other FROM h),
+b AS (SELECT DISTINCT *, regexp_replace(split_part(host, '.', 1), '[^a-z0-9]', '', 'g') AS base, regexp_replace(split_part(other, '.', 1), '[^a-z0-9]', '', 'g') AS based FROM o)
+SELECT host, other, host = other OR suffix(host, concat('.', other)) OR suffix(other, concat('.', host)) AS same, base <> '' AND base = based AND regexp_matches(other, '\\.[a-z]{{2}}$') AND NOT regexp_matches(other, '\\.(com|org|net|io|co|ai|us)$') AND regexp_matches(host, '\\.(com|org|net|io|ai|edu|gov)$') AS sibling FROM b""")
+def host_rivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each of the pages' hosts against its name under other endings and the site above it: which are one site, which a country's sibling."""
+    c = F.col
+    h = table(spark, sf_dir, "pages").select(D.host_of(c("url")).alias("host")).distinct()
+    named = [F.concat(F.regexp_replace("host", r"\.[^.]*$", ""), F.lit(e)) for e in (".de", ".com", ".io")]
+    pairs = h.select("host", F.explode(F.array_distinct(F.array(*named, F.regexp_replace("host", r"^[^.]*\.", "")))).alias("other"))
+    return pairs.select("host", "other", D.same_site(c("host"), c("other")).alias("same"), D.is_regional_sibling(c("other"), c("host")).alias("sibling"))
+
+
+_WORDS_SQL = r"""trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '[\s\x{A0}\x{2000}-\x{200A}]+', ' ', 'g'))"""
+
+
+@query(f"""WITH p AS (SELECT page_id, {_TITLE} AS title, lower({_WORDS_SQL}) AS words, regexp_extract(html, '(?is)<link[^>]+rel=["'']canonical["''][^>]+href=["'']([^"'']+)["'']', 1) AS canonical, regexp_extract({_WORDS_SQL}, '©\\s*\\d{{4}}[^.\\n]{{0,60}}') AS line FROM pages),
+n AS (SELECT p.*, q.title AS name FROM p JOIN p AS q ON q.page_id = p.page_id - p.page_id % 3), t AS (SELECT *, list_filter(string_split(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= 3) AS tokens FROM n)
+SELECT page_id, name, canonical, line, len(tokens) > 0 AND len(list_filter(tokens, lambda w: contains(words, w))) >= ceil(len(tokens) * 0.6) AS confirmed FROM t""")
+def page_confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each page confirms a company, which is named as its own title or as that of one of the two pages before it, with its canonical address and copyright line."""
+    c = F.col
+    p = table(spark, sf_dir, "pages")
+    names = p.select(c("page_id").alias("of"), H.title(c("html")).alias("name"))
+    rows = p.select("page_id", "html", H.html_text(c("html")).alias("words"), (c("page_id") - c("page_id") % 3).alias("of")).join(names, "of")
+    return rows.select("page_id", "name", H.canonical(c("html")).alias("canonical"), H.copyright_line(c("words")).alias("line"), H.confirms_company(c("name"), c("words")).alias("confirmed"))
+
+
+#: What is said in the middle of each text, of its own number of characters.
+_STAFF = ("", " It employs about {0} people. ", " We have 10–{0} employees and staff. ", " Company size: {0}+ ", " Headcount: more than {0}, not counting 12,000 followers. ", " Over {0} customers, 300 employees. ", " A team of 20 - {0} people. ")
+_STAFF_SQL = "[" + ", ".join("'" + s + "'" for s in _STAFF) + "]"
+_SAID_SQL = f"SELECT doc_id, concat(substr(t, 1, length(t) // 2), replace({_STAFF_SQL}[doc_id % {len(_STAFF)} + 1], '{{0}}', format('{{:,}}', length(t))), substr(t, length(t) // 2 + 1)) AS text FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
+_STAFF_HITS = " UNION ALL ".join(f"SELECT doc_id, {i} AS k, text, regexp_extract_all(text, '{p}', 0, 'i') AS ms, string_split_regex(text, '(?i){p}') AS gaps, regexp_extract_all(text, '{p}', 1, 'i') AS g1, regexp_extract_all(text, '{p}', 2, 'i') AS g2 FROM d" for i, p in enumerate(X.HEADCOUNT_PATTERNS))
+
+
+@query(f"""WITH d AS ({_SAID_SQL}), a AS ({_STAFF_HITS}), n AS (SELECT doc_id, k, text, ms, gaps, g1, g2, unnest(range(1, len(ms) + 1)) AS nth FROM a),
+s AS (SELECT doc_id, k, nth, ms[nth] AS m, CASE WHEN coalesce(g2[nth], '') <> '' THEN concat(g1[nth], '–', g2[nth]) ELSE g1[nth] END AS raw, list_sum(list_transform(gaps[1:nth], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:nth - 1], lambda g: length(g))), 0) AS start, text FROM n),
+w AS (SELECT doc_id, k, nth, start, regexp_extract(raw, '(?i)(?:more than|over)\\s*([\\d,]+)', 1) AS more, regexp_extract(raw, '([\\d,]+)\\+', 1) AS plus, list_transform(regexp_extract_all(raw, '\\d[\\d,]*'), lambda x: CAST(replace(x, ',', '') AS DOUBLE)) AS ns,
+  substr(text, CAST(greatest(start - 40, 0) + 1 AS BIGINT), CAST(start - greatest(start - 40, 0) + length(m) + 30 AS BIGINT)) AS around FROM s),
+v AS (SELECT doc_id, k, start, CASE WHEN more <> '' THEN CAST(replace(more, ',', '') AS DOUBLE) + 1 WHEN plus <> '' THEN CAST(replace(plus, ',', '') AS DOUBLE) WHEN len(ns) = 2 THEN floor((ns[1] + ns[2]) / 2 + 0.5) ELSE ns[1] END AS n FROM w WHERE NOT regexp_matches(around, '{X.NOT_HEADCOUNT}', 'i'))
+SELECT doc_id, count(*) AS hits, string_agg({_BUCKET.format('n')}, ';' ORDER BY k, start) AS headcounts FROM v GROUP BY doc_id""")
+def document_headcounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of employees in all whole texts, in whose middle a sentence gives the text's length as one; SQL looks for them with its own matcher and buckets them."""
+    c = F.col
+    t = F.coalesce("text", F.lit(""))
+    half, size = F.floor(F.length("t") / 2).cast("int"), F.format_number(F.length("t"), 0)
+    said = F.replace(F.element_at(F.array(*map(F.lit, _STAFF)), (c("doc_id") % len(_STAFF) + 1).cast("int")), F.lit("{0}"), size)
+    d = table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", F.concat(F.substr("t", F.lit(1), half), said, F.substr("t", half + 1, F.length("t"))).alias("text"))
+    hits = d.select("doc_id", X.headcount_hits(c("text")).alias("h")).where(F.size("h") > 0)
+    return hits.select("doc_id", F.size("h").cast("long").alias("hits"), F.array_join(F.transform("h", lambda h: h["value"]), ";").alias("headcounts"))
+
+
 # plans ---------------------------------------------------------------------------------------------------------------
 _BRANDS = ("Vista", "Mercury", "Apex", "Summit", "Pulse")
 
