@@ -257,9 +257,11 @@ def rest_pairs(sh: DataFrame, labels: DataFrame, similarity: float, weighted: bo
     """(a, b): every pair of texts of different labels (v, label) whose similarity may be ``similarity``, by an exact prefix filter.
 
     Elements are ordered by the number of texts that hold them. If the first element that two texts share stands at places p and q, from 0,
-    they share at most min(|a| - p, |b| - q), and s (|a| + |b|) / (1 + s) are needed, which bounds the places and so the elements
-    to join on. Of each element's texts those of its most frequent label are not joined with each other, so that at most twice the
-    pairs of different labels are met.
+    they share at most min(|a| - p, |b| - q), and s (|a| + |b|) / (1 + s) are needed. So the larger text is met by its elements with
+    |a| - p >= s |a|, the smaller one by the fewer with |b| - q >= 2 s |b| / (1 + s): what all texts of a template hold stands behind those
+    and is not joined among texts of like size. Sizes differ by a factor of s at most, so they are banded and part of the join's key. Of each
+    element's texts those of its most frequent label are not joined with each other. A pair that was met stays if what it shares so far and all
+    that is left behind the last shared place would be enough.
     """
     elements = _elements(sh, weighted)
     shared = elements.groupBy("element").agg(F.count("*").alias("n")).where("n > 1")
@@ -271,11 +273,24 @@ def rest_pairs(sh: DataFrame, labels: DataFrame, similarity: float, weighted: bo
     placed = materialize(placed.join(labels.withColumnRenamed("v", "id"), "id"), "prefixes")
     counts = placed.groupBy("element", "label").agg(F.count("*").alias("n"))
     most = counts.groupBy("element").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1").select("element", F.col("most.label").alias("most"))
-    live = placed.join(most, "element")
-    x, y = live.where("label <> most").alias("x"), live.alias("y")
-    fits = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) * F.lit(1 + similarity) >= (F.col("x.size") + F.col("y.size")) * F.lit(similarity) - F.lit(1e-6)
-    met = x.join(y, (F.col("x.element") == F.col("y.element")) & (F.col("x.label") != F.col("y.label")) & fits)
-    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    scale = F.log("size") / F.lit(math.log(max(1 / similarity, 1.05)))
+    live = placed.join(most, "element").withColumn("scale", scale)
+    larger = live.withColumn("band", F.explode(F.sequence(F.floor(F.col("scale") - F.lit(1 + 1e-9)), F.floor("scale")))).alias("x")
+    smaller = (live.where((F.col("size") - F.col("at")) * F.lit(1 + similarity) >= F.col("size") * F.lit(2 * similarity) - F.lit(1e-6))
+               .withColumn("band", F.floor("scale")).alias("y"))
+    needed = (F.col("x.size") + F.col("y.size")) * F.lit(similarity) - F.lit(1e-6)
+    fits = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) * F.lit(1 + similarity) >= needed
+    turned = (F.col("x.size") > F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.id") > F.col("y.id")))
+    equal = (F.col("x.element") == F.col("y.element")) & (F.col("x.band") == F.col("y.band"))
+
+    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+        both = x.join(y, equal & (F.col("x.label") != F.col("y.label")) & turned & fits)
+        return both.select(F.col("x.id").alias("id"), F.col("y.id").alias("other"), F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")).alias("left"), needed.alias("needed"))
+
+    met = meet(larger.where("label <> most"), smaller).unionByName(meet(larger.where("label = most"), smaller.where("label <> most")))
+    # places and so what is left fall together: the least of what is left is that of the last shared place, which counts itself
+    enough = met.groupBy("id", "other").agg(F.count("*").alias("n"), F.min("left").alias("left"), F.first("needed").alias("needed")).where((F.col("n") - 1 + F.col("left")) * F.lit(1 + similarity) >= F.col("needed"))
+    return enough.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
