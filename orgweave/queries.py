@@ -968,6 +968,73 @@ def document_headcounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", F.size("h").cast("long").alias("hits"), F.array_join(F.transform("h", lambda h: h["value"]), ";").alias("headcounts"))
 
 
+_ANY_SPACE = r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_TRIM = "regexp_replace({0}, '^S+|S+$', '', 'g')".replace("S", _ANY_SPACE.replace("{", "{{").replace("}", "}}"))
+_WORD_LIST = "list_filter(string_split_regex({0}, 'S+'), lambda v: v <> '')".replace("S", _ANY_SPACE.replace("{", "{{").replace("}", "}}"))
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)), 1) AS nr FROM documents),
+c AS (SELECT doc_id, nr, regexp_replace(regexp_replace(regexp_replace({_TRIM.format('line')}, '^{_ANY_SPACE}*[-*•●◦▪▸►]{_ANY_SPACE}+', ''), '^\d+[.)]{_ANY_SPACE}+', ''), '^\[?\d+\]?{_ANY_SPACE}+', '') AS line FROM l),
+s AS (SELECT *, list_filter(list_transform(string_split(line, ','), lambda x: {_TRIM.format('x')}), lambda p: p <> '') AS split FROM c WHERE line <> ''),
+k AS (SELECT *, NOT contains(line, chr(9)) AND ((len(split) >= 2 AND len(list_filter(split, lambda p: length(p) > 60 OR regexp_matches(p, '(?i)\b(CEO|CTO|Partner|Director|Manager|Analyst)\b'))) = 0 AND NOT regexp_matches(line, '(?i)\b(Inc|LLC|Ltd|Corp|Corporation|LP|LLP|PLC){_ANY_SPACE}*,'))
+  OR (len(split) >= 3 AND len(list_filter(split, lambda p: len({_WORD_LIST.format('p')}) > 5)) = 0 AND NOT regexp_matches(line, '(?i)\b(CEO|Partner|Director)\b'))) AS listed FROM s),
+d AS (SELECT doc_id, sum(CASE WHEN listed THEN len(split) ELSE 1 END) AS names, md5(string_agg(CASE WHEN listed THEN array_to_string(split, '|') ELSE line END, '|' ORDER BY nr)) AS digest FROM k GROUP BY doc_id)
+SELECT documents.doc_id, CAST(coalesce(names, 0) AS BIGINT) AS names, coalesce(digest, md5('')) AS digest FROM documents LEFT JOIN d ON d.doc_id = documents.doc_id""")
+def pasted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document as a pasted list: how many names its lines give, and a digest of them in order."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.paste_lines(F.col("text")).alias("parts"))
+    return d.select("doc_id", F.size("parts").cast("long").alias("names"), F.md5(F.array_join("parts", "|")).alias("digest"))
+
+
+_PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '" + N.PLAIN_FORMS + r"', '', 'g'), '^the\s+', ''), '\s+', ' ', 'g'))"
+_LETTERS_ONLY = "regexp_replace({0}, '[^a-z0-9]', '', 'g')"
+_TLDS = "(" + ", ".join(f"'{t}'" for t in N.PLAIN_TLDS) + ")"
+
+
+_FORMS, _ENDINGS = ("", " Inc.", ", LLC", " group"), (".com", ".io", ".zz", ".store.ca")
+
+
+@query(rf"""WITH n AS (SELECT p.p_partkey AS id, concat(p.p_name, {list(_FORMS)}[p.p_size % 4 + 1]) AS name, r.p_name AS heading, concat(CASE WHEN q.p_size % 5 = 0 THEN split_part(q.p_name, ' ', 2) ELSE replace(q.p_name, ' ', '') END, {list(_ENDINGS)}[q.p_size % 4 + 1]) AS host
+  FROM part AS p JOIN part AS q ON q.p_partkey = p.p_partkey - p.p_partkey % 3 JOIN part AS r ON r.p_partkey = p.p_partkey - p.p_partkey % 2),
+x AS (SELECT *, {_PLAIN.format('name')} AS plain, {_LETTERS_ONLY.format(_PLAIN.format('heading'))} AS s, string_split(host, '.') AS parts, {_LETTERS_ONLY.format('lower(name)')} AS k, replace(regexp_replace(host, '\.[a-z]{{2,}}$', ''), '.', '') AS h FROM n),
+y AS (SELECT *, {_LETTERS_ONLY.format('plain')} AS q, {_LETTERS_ONLY.format(f"CASE WHEN len(parts) > 2 AND parts[-2] NOT IN {_TLDS} THEN parts[-2] ELSE parts[1] END")} AS b, parts[-1] AS t, list_filter({_WORD_LIST.format('plain')}, lambda w: length(w) > 2) AS w,
+  list_filter(list_transform({_WORD_LIST.format('lower(name)')}, lambda w: {_LETTERS_ONLY.format('w')}), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'global', 'management', 'capital', 'ventures', 'company')) AS tokens FROM x),
+z AS (SELECT *, len(list_filter(w, lambda v: contains(b, {_LETTERS_ONLY.format('v')}))) AS found, s <> '' AND (contains(s, q) OR contains(q, s)) AS suggested FROM y),
+c AS (SELECT *, CASE WHEN b = q THEN 100 WHEN contains(q, b) OR contains(b, q) THEN 50 - least(30, abs(length(b) - length(q)) * 2) WHEN suggested THEN 40 WHEN found > 0 AND found = len(w) THEN 70 WHEN found > 0 THEN 25 END AS core FROM z)
+SELECT id, plain, length(q) <= 3 OR plain IN {N.AMBIGUOUS} OR (len({_WORD_LIST.format('plain')}) = 1 AND length(plain) <= 6) AS ambiguous,
+  CAST(CASE WHEN q = '' OR b = '' OR core IS NULL THEN 0 ELSE core + CASE WHEN t IN {_TLDS} THEN 15 ELSE -40 END + CASE WHEN s <> '' AND s = q THEN 30 WHEN suggested THEN 15 ELSE 0 END END AS BIGINT) AS score,
+  CAST(CASE WHEN h = '' OR k = '' THEN 0 ELSE CASE WHEN h = k THEN 100 ELSE 0 END + CASE WHEN contains(h, k) OR contains(k, h) THEN 60 ELSE 0 END + 20 * len(list_filter(tokens, lambda v: contains(h, v))) + CASE WHEN regexp_matches(host, 'news|aircraft|msn|hci\.org|wikipedia') THEN -80 ELSE 0 END END AS BIGINT) AS simple FROM c""")
+def name_host_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's name, with a legal form, against the host that another part's name makes, under both early scores; a third's name is the suggestion."""
+    c, lit = F.col, F.lit
+    of = lambda values, size: F.element_at(F.array(*map(lit, values)), (size % 4 + 1).cast("int"))
+    p = table(spark, sf_dir, "part").select(c("p_partkey").alias("id"), c("p_name").alias("name"), c("p_size").alias("size"))
+    base = F.when(c("size") % 5 == 0, F.split_part("name", lit(" "), lit(2))).otherwise(F.replace("name", lit(" "), lit("")))
+    hosts = p.select(c("id").alias("host_of"), F.concat(lit("https://www."), base, of(_ENDINGS, c("size")), lit("/")).alias("url"))
+    suggested = p.select(c("id").alias("said_by"), c("name").alias("heading"))
+    rows = p.withColumn("name", F.concat("name", of(_FORMS, c("size")))).join(hosts, c("host_of") == c("id") - c("id") % 3).join(suggested, c("said_by") == c("id") - c("id") % 2)
+    return rows.select("id", N.plain_name(c("name")).alias("plain"), N.is_ambiguous_name(c("name")).alias("ambiguous"), N.domain_score(c("url"), c("name"), c("heading")).cast("long").alias("score"),
+                       N.domain_for_name(c("name"), c("url")).cast("long").alias("simple"))
+
+
+_DECODED = "replace(replace(replace(replace(replace(replace(replace(title, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&apos;', chr(39)), '&amp;', '&')"
+
+
+@query(rf"""WITH p AS (SELECT page_id, {_TITLE} AS title FROM pages), d AS (SELECT page_id, {_DECODED} AS name FROM p),
+b AS (SELECT *, replace(regexp_replace(regexp_replace(name, '\([^)]*\)', ' ', 'g'), '{T.DECISIVE_FORMS}', ' ', 'gi'), '&', ' ') AS bare FROM d),
+t AS (SELECT *, list_filter(string_split(regexp_replace(lower(bare), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '' AND w NOT IN {T.DECISIVE_STOP}) AS tokens FROM b),
+g AS (SELECT *, coalesce(nullif(list_position(list_transform(tokens, lambda w: w IN {T.GENERIC_ORG_WORDS}), TRUE), 0), len(tokens) + 1) AS generic FROM t)
+SELECT page_id, name AS decoded, array_to_string(list_transform(string_split(name, ' '), lambda w: CASE WHEN length(w) <= 3 AND w = lower(w) THEN upper(replace(w, 'ß', 'ss')) ELSE concat(upper(replace(substr(w, 1, 1), 'ß', 'ss')), substr(w, 2)) END), ' ') AS pretty,
+  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(name)), '{N.PICKER_FORMS}', '', 'g'), '^the\s+', ''), '\bcompany\b$', ''), '\s+', ' ', 'g')) AS picked,
+  regexp_replace(lower(bare), '[^a-z0-9]', '', 'g') AS key, array_to_string(tokens[1:generic - 1], '') AS core_key, CASE WHEN len(tokens) >= 2 THEN array_to_string(list_transform(tokens, lambda w: substr(w, 1, 1)), '') ELSE '' END AS acronym FROM g""")
+def title_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's title as a company's name: without entities, as shown, as searched for, and how it may show up as a host."""
+    c = F.col
+    rows = table(spark, sf_dir, "pages").select("page_id", T.decode_entities(H.title(c("html"))).alias("name"))
+    forms = T.decisive_forms(c("name"))
+    return rows.select("page_id", c("name").alias("decoded"), N.pretty_key(c("name")).alias("pretty"), N.picker_query(c("name")).alias("picked"), forms["key"].alias("key"), forms["core_key"].alias("core_key"), forms["acronym"].alias("acronym"))
+
+
 # plans ---------------------------------------------------------------------------------------------------------------
 _BRANDS = ("Vista", "Mercury", "Apex", "Summit", "Pulse")
 
