@@ -9,6 +9,7 @@ from ..functions.domains import registrable
 from ..functions.fields import location, lookup, title_words
 from ..functions.regex import has, let, squeeze, text, trim, words
 from ..functions.text import is_blank, match_key
+from .joins import keyed
 
 # --- fixed values -----------------------------------------------------------------------------------------------
 LEAST_LIKELIHOOD, SURE_LIKELIHOOD, CACHE_DAYS, CHUNK, BULK = 6, 8, 30, 50, 100
@@ -117,7 +118,7 @@ def through_cache(requests: DataFrame, cache: DataFrame, as_of: Column) -> DataF
     """Requests (domain, ...) with ``cached``, the company of a cache row (domain, fetched_at, company) not older than 30 days. Rows without a company never serve."""
     fresh = cache.where(F.col("company").isNotNull() & (F.col("fetched_at") >= as_of - F.expr(f"INTERVAL {CACHE_DAYS} DAYS")))
     newest = fresh.groupBy("domain").agg(F.max_by("company", "fetched_at").alias("cached"))
-    return requests.join(newest, "domain", "left")
+    return requests.join(keyed(newest), "domain", "left")
 
 
 def chunks(requests: DataFrame, seq: str = "seq", size: int = CHUNK) -> DataFrame:

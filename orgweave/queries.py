@@ -24,6 +24,7 @@ from .operators import provider as P
 from .operators import retries
 from .operators import scoring as R
 from .operators import selection as W
+from .operators.joins import keyed
 from .plans import refresh, resolve
 from .sources import readers, responses, store, writers
 from .sources.shared import discard, forget, materialize, shared_dir
@@ -588,7 +589,7 @@ def facts_and_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     newest = df.select("domain", F.when(c("k") % 7 == 0, day("2024-01-01")).otherwise(day("2024-05-20")).alias("fetched_at"), c("z").alias("company"))
     older = df.select("domain", day("2024-01-01").alias("fetched_at"), lit("old").alias("company"))
     requests = P.chunks(df.select("company_id", "domain", (c("k") - 1).alias("seq")))
-    return P.through_cache(requests, newest.unionByName(older), day("2024-06-01")).join(got, "company_id").select("company_id", "value", "cached", "chunk")
+    return P.through_cache(requests, newest.unionByName(older), day("2024-06-01")).join(keyed(got), "company_id").select("company_id", "value", "cached", "chunk")
 
 
 @query(f"""WITH m AS ({_MADE}) SELECT k AS company_id, CAST(seq AS INTEGER) AS seq, q AS query FROM (SELECT k, unnest(range(4)) AS seq, unnest([concat(z, ' Labs Inc'), concat(z, ' Labs Inc official website'), concat(z, ' Labs Inc company'), concat(z, ' Labs')]) AS q FROM m WHERE k % 2 = 0

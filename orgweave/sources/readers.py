@@ -11,6 +11,7 @@ from ..functions import domains as D
 from ..functions import html as H
 from ..functions import text as T
 from ..functions.regex import cut, has, squeeze, text, trim
+from ..operators.joins import keyed
 
 #: Schemas of the lookup tables that stand for live services.
 SCHEMAS = {
@@ -89,7 +90,7 @@ def facts_by_site(companies: DataFrame, facts: DataFrame) -> DataFrame:
     h = D.host_of(F.col("domain"))
     forms = F.array(*[F.concat(F.lit(a), h, F.lit(b)) for a in ("https://", "https://www.", "http://", "http://www.") for b in ("", "/")])
     spelled = companies.select("company_id", F.explode(forms).alias("url"))
-    return spelled.join(facts, "url").select("company_id", "property", "value", "label").distinct()
+    return spelled.join(keyed(facts), "url").select("company_id", "property", "value", "label").distinct()
 
 
 def brand_guesses(companies: DataFrame, official: DataFrame) -> DataFrame:
