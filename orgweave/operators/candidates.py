@@ -15,10 +15,13 @@ from ..functions.fields import industry
 from ..functions.matching import full_name_present
 from ..functions.regex import text, trim
 from ..functions.text import UNKNOWN, is_blank, match_key, store_key
+from .joins import keyed
 
 # --- fixed values -----------------------------------------------------------------------------------------------
 #: How many of a company's candidates are looked up, and what a live host, one of a close name besides, and a dead one are worth.
 TOP, LIVE, LIVE_CLOSE, DEAD, CLOSE_NAME = 5, 15, 8, -20, 35
+#: Lengths of the pieces by which keys that hold each other are looked for: the shortest doubled so many times less one.
+GRAM_SIZES = 4
 # ----------------------------------------------------------------------------------------------------------------
 
 
@@ -52,7 +55,7 @@ def merge_by_domain(candidates: DataFrame) -> DataFrame:
 
 def reject_domains(candidates: DataFrame, rejected: DataFrame) -> DataFrame:
     """Candidates whose domain was not rejected for their company."""
-    return candidates.join(rejected.select("company_id", "domain").distinct(), ["company_id", "domain"], "left_anti")
+    return candidates.join(keyed(rejected.select("company_id", "domain").distinct()), ["company_id", "domain"], "left_anti")
 
 
 def append_missing(candidates: DataFrame, others: DataFrame) -> DataFrame:
@@ -78,26 +81,36 @@ def dedupe_names(names: DataFrame, name: str = "name", seq: str = "seq") -> Data
 def exact_lookup(names: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Left equi-join of names with dictionary entries (key, domain, entry_seq) on the store key; the first entry wins."""
     entries = dictionary.groupBy("key").agg(F.min_by(F.struct("domain", "entry_seq"), "entry_seq").alias("entry"))
-    out = names.withColumn("key", store_key(F.col("name"))).join(entries, "key", "left")
+    out = names.withColumn("key", store_key(F.col("name"))).join(keyed(entries), "key", "left")
     return out.select(*names.columns, "key", F.col("entry.domain").alias("domain"), F.col("entry.entry_seq").alias("entry_seq"))
 
 
-def _grams(key: Column, size: int) -> Column:
-    return F.when(F.length(key) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(key) - size + 1), lambda i: F.substr(key, i, F.lit(size)))))
+def _grams(key: Column, size: Column | int) -> Column:
+    size = F.lit(size) if isinstance(size, int) else size
+    return F.when(F.length(key) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(key) - size + 1), lambda i: F.substr(key, i, size))))
 
 
-def contained_keys(inner: DataFrame, outer: DataFrame, size: int = 4) -> DataFrame:
-    """(inner, outer): every pair of keys (column ``key``, distinct) of which the first, ``size`` characters or more, stands within the second.
+def met_by_grams(inner: DataFrame, outer: DataFrame, size: int = 4) -> DataFrame:
+    """(inner, outer): pairs of keys (column ``key``, distinct) of which the first, ``size`` characters or more, may stand within the second; no pair that does is left out.
 
     A key within another has all its grams there, so it is looked for at its rarest alone: the one that the fewest outer keys hold, and where one
-    of its grams is in none, nowhere. Beginnings that all keys share are never joined on.
+    of its grams is in none, nowhere. Beginnings that all keys share are never joined on. Grams are as long as the key allows, doubling from ``size``: of keys
+    that are numbers behind one word, a short gram is in a fixed share of all, so that pairs to check would grow with the product of both sides.
     """
     c = F.col
-    held = outer.select(c("key").alias("outer"), F.explode(_grams(c("key"), size)).alias("gram"))
+    longest = size * 2 ** (GRAM_SIZES - 1)
+    step = lambda key: F.least(F.pow(F.lit(2), F.floor(F.log2(F.length(key) / size))).cast("int") * size, F.lit(longest))
+    held = reduce(DataFrame.unionAll, [outer.select(c("key").alias("outer"), F.explode(_grams(c("key"), size << i)).alias("gram")) for i in range(GRAM_SIZES)])
     often = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    sought = inner.select(c("key").alias("inner"), F.explode(_grams(c("key"), size)).alias("gram")).join(often, "gram", "left")
+    long_enough = inner.where(F.length("key") >= size)
+    sought = long_enough.select(c("key").alias("inner"), F.explode(_grams(c("key"), step(c("key")))).alias("gram")).join(keyed(often), "gram", "left")
     rarest = sought.groupBy("inner").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0").select("inner", c("r.gram").alias("gram"))
-    return rarest.join(held, "gram").where(F.contains("outer", "inner")).select("inner", "outer")
+    return keyed(rarest).join(held, "gram").select("inner", "outer")
+
+
+def contained_keys(inner: DataFrame, outer: DataFrame, size: int = 4) -> DataFrame:
+    """(inner, outer): every pair of keys (column ``key``, distinct) of which the first, ``size`` characters or more, stands within the second."""
+    return met_by_grams(inner, outer, size).where(F.contains("outer", "inner"))
 
 
 def fuzzy_lookup(names: DataFrame, dictionary: DataFrame, least: int = 4) -> DataFrame:
@@ -112,8 +125,8 @@ def fuzzy_lookup(names: DataFrame, dictionary: DataFrame, least: int = 4) -> Dat
     of = entries.select(c("of").alias("key"))
     pairs = (contained_keys(keys, of, least).select(c("inner").alias("key"), c("outer").alias("of")).unionAll(contained_keys(of, keys, least).select(c("outer").alias("key"), c("inner").alias("of")))
              .unionAll(keys.select("key", c("key").alias("of"))))
-    best = pairs.join(entries, "of").groupBy("key").agg(F.min(F.struct((c("of") != c("key")).alias("other"), "entry_seq", "domain")).alias("b"))
-    return held.join(best, "key", "left").select(*names.columns, "key", c("b.domain").alias("domain"), c("b.entry_seq").alias("entry_seq"), (~c("b.other")).alias("exact"))
+    best = pairs.join(keyed(entries), "of").groupBy("key").agg(F.min(F.struct((c("of") != c("key")).alias("other"), "entry_seq", "domain")).alias("b"))
+    return held.join(keyed(best), "key", "left").select(*names.columns, "key", c("b.domain").alias("domain"), c("b.entry_seq").alias("entry_seq"), (~c("b.other")).alias("exact"))
 
 
 def _endings(host: Column) -> Column:

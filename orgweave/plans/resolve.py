@@ -14,6 +14,7 @@ from ..functions.regex import cut, has, text
 from ..operators import candidates as C
 from ..operators import consensus as S
 from ..operators import guard, industry, provider, scoring, selection
+from ..operators.joins import keyed
 from ..sources.readers import deep_site_evidence, page_evidence, usable_titles
 from ..sources.shared import materialize
 
@@ -38,8 +39,8 @@ def resolve_known(companies: DataFrame, learned: DataFrame, major: DataFrame, di
     c = F.col
     names = companies.withColumnRenamed("company", "name")
     df = C.exact_lookup(names, learned).select("company_id", "name", c("domain").alias("learned"))
-    df = df.join(C.exact_lookup(names, major).select("company_id", c("domain").alias("major")), "company_id")
-    df = df.join(C.fuzzy_lookup(names, dictionary).select("company_id", c("domain").alias("dictionary")), "company_id")
+    df = df.join(keyed(C.exact_lookup(names, major).select("company_id", c("domain").alias("major"))), "company_id")
+    df = df.join(keyed(C.fuzzy_lookup(names, dictionary).select("company_id", c("domain").alias("dictionary"))), "company_id")
     source = F.when(c("learned").isNotNull(), "learned").when(c("major").isNotNull(), "major_firm").when(c("dictionary").isNotNull(), "dictionary")
     return df.select("company_id", c("name").alias("company"), F.coalesce("learned", "major", "dictionary").alias("domain"), source.alias("source"))
 
@@ -56,7 +57,7 @@ def _regulator_first(decided: DataFrame, ranked: DataFrame) -> DataFrame:
     named = has(text("company"), REGULATOR)
     family = ranked.where(named & (c("domain").rlike(f"(?i){REGULATOR_FAMILY}") | (has(text("name"), REGULATOR) & c("domain").rlike(r"(?i)\.gov"))))
     found = family.groupBy("company_id").agg(F.count(F.lit(1)).alias("kin"), F.min(F.when(c("domain") == REGULATOR_HOST, c("total_score"))).alias("own_score")).where("kin >= 2")
-    df = decided.join(found, "company_id", "left")
+    df = decided.join(keyed(found), "company_id", "left")
     kin, own = c("kin").isNotNull(), c("own_score").isNotNull()
     return df.withColumns({"ambiguous": kin | c("ambiguous"), "decisive_rule": F.when(~kin, c("decisive_rule")), "auto_found": ~kin & c("auto_found"), "domain": F.when(own, REGULATOR_HOST).otherwise(c("domain")),
                            "score": F.when(own, c("own_score")).otherwise(c("score")), "confidence": F.when(kin, "low").otherwise(c("confidence")), "status": F.when(kin, "potential").otherwise(c("status"))}).drop("kin", "own_score")
@@ -74,14 +75,14 @@ def resolve_staged(companies: DataFrame, learned: DataFrame, major: DataFrame, d
     known = materialize(resolve_known(companies, learned, major, dictionary), "known")
     open_ = known.where("source IS NULL").select("company_id", "company")
     some = lambda rows: C.reject_domains(C.merge_by_domain(rows), rejected)
-    first = materialize(some(pool.join(open_.select("company_id"), "company_id", "left_semi")), "pool")
-    lonely = open_.select("company_id").join(first, "company_id", "left_anti")
-    both = first.withColumn("stage", F.lit("pool")).unionByName(some(fallback.join(lonely, "company_id", "left_semi")).withColumn("stage", F.lit("fallback")))
-    merged = both.join(liveness, "domain", "left").join(open_, "company_id")
+    first = materialize(some(pool.join(keyed(open_.select("company_id")), "company_id", "left_semi")), "pool")
+    lonely = open_.select("company_id").join(keyed(first), "company_id", "left_anti")
+    both = first.withColumn("stage", F.lit("pool")).unionByName(some(fallback.join(keyed(lonely), "company_id", "left_semi")).withColumn("stage", F.lit("fallback")))
+    merged = both.join(keyed(liveness), "domain", "left").join(keyed(open_), "company_id")
     ranked = materialize(selection.rank_pool(merged, finance_filter), "ranked")
     decided = _regulator_first(selection.decide_pool(ranked.drop("stage"), finance_filter), ranked).drop("company")
     stages = ranked.groupBy("company_id").agg(F.min("stage").alias("stage"))
-    late = open_.join(decided, "company_id", "left").join(stages, "company_id", "left")
+    late = open_.join(keyed(decided), "company_id", "left").join(keyed(stages), "company_id", "left")
     if unfinished is not None:
         late = late.join(unfinished.select("company_id").distinct().withColumn("unsure", F.lit(True)), "company_id", "left")
         late = late.withColumns({"decisive_rule": F.when(c("unsure").isNull(), c("decisive_rule")), "confidence": F.when(c("unsure"), "low").otherwise(c("confidence")),

@@ -1068,7 +1068,7 @@ def staged_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = lambda word: F.concat(lit(word), c("company_id").cast("string"), lit(".com"))
     suppliers = table(spark, sf_dir, "supplier").select(F.concat(lit("customer"), F.substring("s_name", 10, 9)).alias("key"), F.concat(lit("s"), c("s_suppkey").cast("string"), lit(".example.com")).alias("domain"), c("s_suppkey").alias("entry_seq"))
     orders = table(spark, sf_dir, "orders")
-    with_orders = lambda above: n.join(orders.where(c("o_totalprice") > above).select(c("o_custkey").alias("company_id")), "company_id", "left_semi")
+    with_orders = lambda above: n.join(keyed(orders.where(c("o_totalprice") > above).select(c("o_custkey").alias("company_id"))), "company_id", "left_semi")
     row = lambda df, end, source: df.select("company_id", lit(0).alias("seq"), F.concat(c("key"), lit(end)).alias("domain"), c("company").alias("name"), lit(source).alias("source"), lit(None).cast("string").alias("snippet"), lit(None).cast("int").alias("prominence"))
     rejected = with_orders(450_000).select("company_id", F.concat(c("key"), lit(".com")).alias("domain"))
     live = spark.createDataFrame([], "domain string, dns_ok boolean")
