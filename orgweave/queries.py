@@ -52,6 +52,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` dealt by the hash of ``by`` to four tasks a core. A file is read by as few tasks as it has row groups, which is one for a million short rows; where each row takes long, that is most cores idle."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *by)
+
+
 # SQL fragments -----------------------------------------------------------------------------------------------------
 _HOST = r"trim(split_part(split_part(regexp_replace(regexp_replace(lower({0}), '[\[\]]', '', 'g'), '^(https?://)?(www\.)?', ''), '/', 1), '?', 1))"
 _SQUEEZE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
@@ -296,7 +301,7 @@ def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters = F.translate(k.cast("string"), "0123456789", "abcdefghij")
     of = lambda *names: F.element_at(F.array(*map(F.lit, names)), (k % 5 + 1).cast("int"))
     person = lambda start: F.concat(F.lit(start), letters)
-    return table(spark, sf_dir, "customer").select(
+    return spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(
         k.alias("k"), F.concat(F.lit("Zor"), letters).alias("z"), of("Austin", "Denver", "Portland", "Columbus", "Boise").alias("city"), of("Texas", "Colorado", "Oregon", "Ohio", "Idaho").alias("state"),
         of("TX", "CO", "OR", "OH", "ID").alias("code"), person("Jane Do").alias("p1"), person("John Ro").alias("p2"), person("Ann Le").alias("p3"), (k * 37 % 12000 + 1).alias("n"))
 

@@ -9,6 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from orgweave import queries as Q
 from orgweave.functions import extract as X
 from orgweave.functions import scan
 from orgweave.functions.regex import rx
@@ -273,3 +274,26 @@ def test_unions_orders_and_inputs(spark, tmp_path):
     assert [r[0] for r in values.select(N.is_placeholder(F.col("v"))).collect()] == [True, True, True, False, True]
     odd = spark.createDataFrame([("Acme", "acmesolutions.com", "Robotics"), ("Fordham University", "fordham.edu", "Banking"), ("Acme", "acme.com", None)], "company string, domain string, industry string")
     assert [tuple(r)[3:] for r in resolve.compound_mismatch(odd).collect()] == [(True, False), (False, True), (False, False)]
+
+
+# sizes ---------------------------------------------------------------------------------------------------------------
+
+def test_nothing_that_grows_is_broadcast(spark):
+    plans = {"facts_and_cache": Q.facts_and_cache(spark, SF), "staged_resolution": Q.staged_resolution(spark, SF)}
+    c = F.col
+    names = spark.read.parquet(f"{SF}/customer.parquet").select(c("c_custkey").alias("company_id"), c("c_name").alias("company"))
+    known = names.select(F.lower("company").alias("key"), c("company").alias("domain"), c("company_id").alias("entry_seq"))
+    plans["resolve_known"] = resolve.resolve_known(names, known, known, known)
+    for name, df in plans.items():
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_long_keys_meet_by_long_grams(spark):
+    values = [f"customer{i:09}" for i in range(2000)]
+    keys = spark.createDataFrame([(v,) for v in values], "key string")
+    assert {tuple(r) for r in C.contained_keys(keys, keys).collect()} == {(v, v) for v in values}
+    assert C.met_by_grams(keys, keys).count() <= 3000  # 8889 by grams of four
+
+
+def test_made_rows_are_dealt_to_all_cores(spark):
+    assert Q._made(spark, SF).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
