@@ -364,6 +364,21 @@ def test_recall_on_embeddings(spark, sf):
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in expected[q]}) / len(expected[q]) for q in expected]) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["weak components", "tight clusters", "lengths"])
+def test_recall_on_other_rows(spark, kind):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 64))
+    if kind == "weak components":
+        x /= np.arange(1, 65)
+    elif kind == "tight clusters":
+        x = rng.normal(size=(20, 64))[rng.integers(0, 20, len(x))] + 0.01 * x
+    else:
+        x *= rng.lognormal(0, 1.5, (len(x), 1))
+    got = ranked(ann.nearest(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>"), keep=80))
+    expected = brute_top(x, list(range(len(x))), 20, 20)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in expected[q]}) / 20 for q in expected]) >= 0.9
+
+
 def test_anisotropic_loss_favours_parallel_residuals():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(3000, 16))
