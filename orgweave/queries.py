@@ -367,7 +367,7 @@ def industry_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole text of every document; seven of ten have a sentence about a company before it."""
     k = F.col("doc_id") % 10
     said = F.when(k < len(_CORPORA), F.get(F.array(*map(F.lit, _CORPORA)), k.cast("int")))
-    return I.classify(table(spark, sf_dir, "documents").select("doc_id", F.array(said, F.col("text")).alias("parts"))).select("doc_id", "industry")
+    return I.classify(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", F.array(said, F.col("text")).alias("parts"))).select("doc_id", "industry")
 
 
 #: Capitalised pairs, numbers with what follows, and sentence openings: patterns with groups that occur in the texts.
@@ -988,7 +988,7 @@ d AS (SELECT doc_id, sum(CASE WHEN listed THEN len(split) ELSE 1 END) AS names,
 SELECT documents.doc_id, CAST(coalesce(names, 0) AS BIGINT) AS names, coalesce(digest, md5('')) AS digest FROM documents LEFT JOIN d ON d.doc_id = documents.doc_id""")
 def pasted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document as a pasted list: how many names its lines give, and a digest of them in order."""
-    d = table(spark, sf_dir, "documents").select("doc_id", T.paste_lines(F.col("text")).alias("parts"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", T.paste_lines(F.col("text")).alias("parts"))
     return d.select("doc_id", F.size("parts").cast("long").alias("names"), F.md5(F.array_join("parts", "|")).alias("digest"))
 
 

@@ -297,3 +297,8 @@ def test_long_keys_meet_by_long_grams(spark):
 
 def test_made_rows_are_dealt_to_all_cores(spark):
     assert Q._made(spark, SF).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("name", ["industry_classify", "pasted_documents"])
+def test_documents_are_dealt_to_all_cores(spark, name):
+    assert Q.QUERIES[name](spark, SF).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
