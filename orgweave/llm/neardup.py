@@ -12,7 +12,8 @@
    with hubs drawn anew in each bucket, while a round links a hundredth of its pairs or more.
 4. Buckets that then still hold several components are finished by an exact prefix filter over their texts: with the rarest shingles
    first, two texts of enough similarity share one early enough in both, so all pairs that can be near are joined by it and checked.
-5. Components of the links, by label propagation with pointer jumping, are the classes.
+5. Components of the links are the classes. They are found by hanging neighbours on the least of them, and links found later are followed only between
+   components that are still apart.
 
 With 24 bands of 5 rows a pair of similarity 0.8 shares no bucket with probability 7e-5. Hashes and links stay in Spark: hubs and
 labels are map-side-combined minima, and joins on a hot bucket or text are joins that adaptive execution splits.
@@ -296,21 +297,39 @@ def rest_pairs(sh: DataFrame, labels: DataFrame, similarity: float, weighted: bo
 def components(links: DataFrame) -> DataFrame:
     """(v, label): of each vertex of the links (a, b) the smallest vertex that it is connected with.
 
-    Each round takes the least label among neighbours and then the label of the label; both the steps' joins are on vertices. The rounds are
-    as many as the logarithm of a path's length at best; labels are written to the shared folder after each.
+    An edge leads from its larger end u to its smaller one v. Each round first hangs a vertex's smaller neighbours and the vertex itself on the
+    least of them, then each edge's larger end on the least neighbour of its smaller one, until all edges lead to roots. Either step keeps what is connected and
+    makes no more edges than there were: a text that is linked with many hubs links these with each other once, and from then on there are about as many edges
+    as vertices. The rounds are few, as many as the squared logarithm of the vertices at worst; edges are written to the shared folder after each step.
     """
-    edges = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "edges")
-    labels = materialize(edges.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("v"), F.least("u", "least").alias("label")), "labels")
+    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while True:
-        heard = edges.join(labels, "v").groupBy("u").agg(F.min("label").alias("heard"))
-        near = labels.join(heard, F.col("v") == F.col("u")).select("v", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        roots = labels.select(F.col("v").alias("label"), F.col("label").alias("root"))
-        after = materialize(near.join(roots, "label").select("v", "old", F.least("label", "root").alias("label")), "labels")
-        discard(labels)
-        if after.where("old <> label").isEmpty():
+        least = edges.groupBy("u").agg(F.min("v").alias("least"))
+        others = edges.join(least, "u").where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
+        hung = materialize(least.select("u", F.col("least").alias("v")).unionByName(others).distinct(), "edges")
+        discard(edges)
+        above = hung.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("v"), "least")
+        moved = hung.join(above, "v", "left").select("u", F.coalesce("least", "v").alias("v"), F.col("least").isNotNull().alias("moved"))
+        edges = materialize(moved.groupBy("u", "v").agg(F.max("moved").alias("moved")), "edges")
+        discard(hung)
+        n, starts, moving = edges.agg(F.count("*"), F.count_distinct("u"), F.max("moved")).first()
+        edges, written = edges.select("u", "v"), edges
+        edges.written_to = written.written_to
+        if n == starts and not moving:
+            labels = materialize(edges.select(F.col("u").alias("v"), F.col("v").alias("label")).unionByName(edges.select("v", F.col("v").alias("label")).distinct()), "labels")
             discard(edges)
-            return materialize(after.select("v", "label"), "labels")
-        labels = after
+            return labels
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (v, label) of ``components`` once further links (a, b) are there: only links between different labels are followed, as edges between the labels."""
+    of = lambda end: labels.select(F.col("v").alias(end), F.col("label").alias(f"{end}_label"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    tops = components(ends.where("a <> b"))
+    every = labels.unionByName(tops.select("v", F.col("v").alias("label"))).distinct()
+    out = materialize(every.join(tops.select(F.col("v").alias("label"), F.col("label").alias("top")), "label", "left").select("v", F.coalesce("top", "label").alias("label")), "labels")
+    discard(tops)
+    return out
 
 
 def is_small(wanted: DataFrame) -> bool:
@@ -349,8 +368,7 @@ def classified(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
         new = materialize(check_pairs(docs, texts, pairs, similarity, weighted), "links")
         met, found = pairs.count(), new.count()
         if found:
-            links, before = links.unionByName(new), labels
-            labels = components(links)
+            before, labels = labels, relabelled(labels, new)
             discard(before)
         if found * YIELD <= met:
             break
@@ -361,8 +379,8 @@ def classified(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
     if not rest.isEmpty():
         wanted = materialize(texts.join(rest, "v", "left_semi"), "wanted")
         sh = materialize(_shingled(docs, wanted, is_small(wanted), weighted), "shingles")
-        links = links.unionByName(check_pairs(docs, texts, materialize(rest_pairs(sh, rest, similarity, weighted), "pairs"), similarity, weighted, sh))
-        labels = components(materialize(links, "links"))
+        near = check_pairs(docs, texts, materialize(rest_pairs(sh, rest, similarity, weighted), "pairs"), similarity, weighted, sh)
+        labels = relabelled(labels, materialize(near, "links"))
     smallest = labels.join(texts.select("v", "rep"), "v").groupBy("label").agg(F.min("rep").alias("class_id"))
     linked = labels.join(smallest, "label").select("v", "label", "class_id")
     classes = texts.join(linked, "v", "left").select("key1", "key2", F.coalesce("label", "v").alias("v"), F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"))

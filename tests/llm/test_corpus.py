@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import os
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -274,6 +275,24 @@ def test_components_of_a_path(spark):
     assert {got[i] for i in range(21)} == {0} and got[31] == 30
 
 
+def test_components_follow_links_once(spark, monkeypatch):
+    """A family whose texts are each linked with a dozen hubs: what is written in all rounds stays near the links themselves, and links that come later are followed between components alone."""
+    rng, rows, real = random.Random(3), [], neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, name: (lambda out: (rows.append(out.count()), out)[1])(real(df, name)))
+    family = {(rng.randrange(60), v) for v in range(60, 400) for _ in range(12)} | {(1000 + i, 1001 + i) for i in range(0, 40, 2)}
+    labels = neardup.components(spark.createDataFrame(sorted(family), "a long, b long"))
+    assert sum(rows) < 2 * len(family)
+    rows.clear()
+    later = [(70, 80), (1000, 1002), (1002, 1004), (3, 1020), (2000, 2001), (2001, 399)]
+    got = dict(map(tuple, neardup.relabelled(labels, spark.createDataFrame(later, "a long, b long")).collect()))
+    assert sum(rows[:-1]) < 60
+    least = {v: v for e in family | set(later) for v in e}
+    for _ in range(60):
+        for a, b in family | set(later):
+            least[a] = least[b] = min(least[a], least[b])
+    assert got == least
+
+
 # searches --------------------------------------------------------------------------------------------------------------
 
 def vectors(spark, n=400, seed=5):
