@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from orgweave.operators import candidates as C
 from orgweave.operators import provider as P
 from orgweave.operators import retries
 from orgweave.sources import responses
+from orgweave.streaming.corrections import stream_corrections
 from orgweave.streaming.retries import stream_lookups
 
 
@@ -118,6 +120,46 @@ def test_queue_and_its_stream_against_a_loop(spark, tmp_path):
     assert last == want
 
 
+def streamed(spark, stream, name, folder):
+    q = stream.writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", str(folder)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]), [tuple(r) for r in spark.table(name).collect()]
+
+
+def test_streams_call_python_for_shards_and_not_for_keys(spark, tmp_path):
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    rows = [(f"k{i}" if i else None, s, day(s), 503 if s else 500) for i in range(600) for s in range(2)]
+    spark.createDataFrame(rows, SCHEMA).repartition(2).write.parquet(str(tmp_path / "a"))
+    kept, told = streamed(spark, stream_lookups(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "a")), "3650 days", shards=8), "many_lookups", tmp_path / "c1")
+    assert kept <= 8 and len(told) == 600 and {r[1:4] for r in told} == {("waiting", "transient", 2)} and None in {r[0] for r in told}
+    schema = "company_key string, company_name string, domain string, updated_at timestamp, deleted boolean, seq long"
+    log = [(f"k{i}" if i else None, "N", f"{s}.com", day(s), i % 3 == s, s) for i in range(600) for s in range(2)]
+    spark.createDataFrame(log, schema).repartition(2).write.parquet(str(tmp_path / "b"))
+    kept, told = streamed(spark, stream_corrections(spark.readStream.schema(schema).parquet(str(tmp_path / "b")), "3650 days", shards=8), "many_corrections", tmp_path / "c2")
+    assert kept <= 8 and {(r[0], r[2], r[4]) for r in told} == {(f"k{i}" if i else None, None if i % 3 == 1 else "1.com", "deleted" if i % 3 == 1 else "kept") for i in range(600)}
+
+
+def test_streams_forget_in_their_shards(spark, tmp_path):
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    schema = "company_key string, company_name string, domain string, updated_at timestamp, deleted boolean, seq long"
+    lookups = [[("a", 0, day(0), 503), ("b", 0, day(0), 503)], [("b", 1, day(60), 503)], [("b", 2, day(61), 200)], [("a", 1, day(62), 503)]]
+    changes = [[("a", None, None, day(0), True, 0), ("b", "B", "b.com", day(1), False, 1), ("b", None, None, day(0), True, 2), ("c", "C", "c1.com", day(400), False, 9)], [("b", "B", "b2.com", day(450), False, 3)],
+               [("c", "C", "c2.com", day(451), False, 4)], [("c", "C", "c3.com", day(451), False, 0)], [("c", "C", "old.com", day(440), False, 5), ("a", "A", "a.com", day(452), False, 6)]]
+    for name, shape, batches in (("l", SCHEMA, lookups), ("k", schema, changes)):
+        for i, rows in enumerate(batches):
+            spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+            for f in (tmp_path / name).glob("part-*"):
+                if f.stat().st_mtime > 1e9 + 100:
+                    os.utime(f, (1e9 + i, 1e9 + i))
+    read = lambda name, shape: spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    _, told = streamed(spark, stream_lookups(read("l", SCHEMA), "1 day", shards=1), "forgotten_lookups", tmp_path / "c1")
+    assert [r[:4] for r in told if r[0] == "a"] == [("a", "waiting", "transient", 1)] * 2  # after two months the first attempt no longer counts
+    _, told = streamed(spark, stream_corrections(read("k", schema), "20 days", shards=1), "forgotten_corrections", tmp_path / "c2")
+    of = lambda key: [(r[2], r[4]) for r in told if r[0] == key]
+    assert of("a") == [(None, "deleted"), ("a.com", "kept")] and of("b") == [("b.com", "kept"), ("b2.com", "kept")]
+    assert of("c") == [("c1.com", "kept"), ("c2.com", "kept"), ("c3.com", "kept"), ("c3.com", "kept")]  # of equal times what comes in wins
+
+
 def test_queue_of_nulls_and_nothing(spark):
     assert retries.lookups(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(None, 0, None, 500), (None, 1, dt.datetime(2024, 1, 1), 200), ("a", None, dt.datetime(2024, 1, 1), -1), ("b", 0, dt.datetime(2024, 1, 1), 301)]
