@@ -846,6 +846,40 @@ def test_training_ignores_held_out_labels(spark):
     assert labels.where(crc_mod("doc_id", 3) != 1).count() == 0
 
 
+def test_toxicity_is_learned_from_every_labelled_row(spark):
+    rng = np.random.default_rng(4)
+    plain = ["the", "river", "stone", "garden", "window", "letter", "summer", "bottle", "school", "good"]
+    text = lambda i, *extra: " ".join([*rng.choice(plain, 12), f"x{i}y", *extra])
+    rows = [(i, text(i, ("idiot", "st-u-p1d", "m0ron")[i % 3]) if i % 2 else text(i), i % 2) for i in range(5000)]
+    rows += [(i, text(i, *["river"] * 4000, "clown"), 1) for i in range(5000, 5080)]  # longer than 20,000 characters
+    rows += [(5080 + i, rows[1][1], 1) for i in range(50)] + [(5130, None, 0), (5131, "", 0)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(5), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    used = [(t or "", y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5]
+    assert min(Counter(y for _, y in set(used)).values()) > 1500
+    model, whole = toxicity.train(docs, labels), toxicity.learn(used, Counter(y for _, y in used))
+    assert model.weights == whole.weights and set(model.weights) >= {"idiot", "clown"} and np.allclose(model.beta, whole.beta) and model.characters.logp == whole.characters.logp
+    n, toxic = Counter(y for _, y in set(used)), {t for t, y in used if "clown" in t.split()}
+    assert math.isclose(model.weights["clown"], math.log((len(toxic) + 0.5) / (n[1] + 1) / (0.5 / (n[0] + 1))))
+    got = toxicity.score_toxicity(docs, model).join(labels, "doc_id").collect()
+    assert all(r["predicted"] == r["toxic"] for r in got) and len(got) == len(rows)
+
+
+def test_words_told_before_decoding_show_no_entry():
+    rng = random.Random(3)
+    words = ["idiot", "stupid", "loser", "moron", "f*ool"]
+    model = toxicity.ToxicityModel(toxicity.CharacterModel(Counter(dict.fromkeys([*words, "there", "is"], 50))), {w: 1.0 for w in [*words, "sill-", "ass-"]}, np.zeros(5))
+    shown = model.shown
+    for _ in range(6000):
+        word = list(rng.choice([*words, "silly", "assume"]))
+        for _ in range(rng.randint(0, 5)):
+            word.insert(rng.randrange(len(word) + 1), rng.choice("aeilost01345679$@!|+(*._-~'/#%&·") * rng.randint(1, 3))
+        word = "".join(word)
+        every = {i for w in model.originals(word) for i in shown.of(w)}
+        assert every == {i for w in model.originals(word, shown) for i in shown.of(w)}, word
+        run = " ".join(word)
+        assert shown.within("".join(run.split())) or not any(shown.of(w) for w in model.spelled(run)), run
+
+
 # pipeline --------------------------------------------------------------------------------------------------------------
 
 @needs_tables
