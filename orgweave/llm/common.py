@@ -112,6 +112,7 @@ def map_texts(rows: DataFrame, keep: list[str], start: Callable[[], Callable[[li
                 if isinstance(made, dict):
                     kept, made = kept.take(pa.array(made["take"], pa.int64())), made["columns"]
                 yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(v) for v in made)], names=[*keep, *names])
+        del work
         give_back()
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
@@ -127,6 +128,7 @@ def filter_texts(rows: DataFrame, start: Callable[[], Callable[[list[str]], list
             column = batch.column(text_col)
             for a, b in blocks(pc.fill_null(pc.utf8_length(column), 0).to_pylist(), block_chars):
                 yield batch.slice(a, b - a).filter(pa.array(work(column.slice(a, b - a).to_pylist()), pa.bool_()))
+        del work
         give_back()
 
     return rows.mapInArrow(run, rows.schema)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import blocks, crc_mod, discard, filter_texts, give_back, let_go, map_texts, materialize
 
 #: Bounds of what a task of the fit holds: characters of its block of texts (or one text), things counted before they are handed on.
-BLOCK_CHARS, MOST_KEYS = 1_000_000, 300_000
+BLOCK_CHARS, MOST_KEYS = 1_000_000, 100_000
 #: Letters that a mark may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
               "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou"}
