@@ -69,9 +69,18 @@ def cut_points(text: str, mean: int = 256, longest: int = 4096) -> list[int]:
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)).difference(_SHOWN)))}
 
+#: The same for words with single spaces between them.
+_SPELLED = {ord(chr(b)): c for b, c in _BYTES.items() if b != 32}
+
 #: Marks that end a word and can't be part of a special token or a contraction.
 _MARKS = ".,!?;:*#%&$)"
 
+#: Latin and Cyrillic letters whose lower case is one letter, and which the normalizer leaves as they are otherwise.
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-įı-ſЀ-џ]+"
+
+#: Words that are spelled in one call of the library, and bytes up to which a word is kept.
+TOGETHER, KEPT_BYTES = 4096, 64
+
 
 def _stays_letters(word: str) -> bool:
     """Whether all of a word are letters, also after the normalizer; a few letters become a letter and a mark."""
@@ -100,13 +109,33 @@ class Recent:
         self.new[key] = value
 
 
+def gathered(pool: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``pool`` that begin at ``first``, one behind the other."""
+    ends = np.cumsum(size)
+    return pool[np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class Cores:
+    """Distinct words with their ids, in a few arrays: word ``i`` has ``size[i]`` ids from ``first[i]`` on."""
+
+    def __init__(self, words: pa.Array, ids: np.ndarray, size: np.ndarray) -> None:
+        self.words, self.ids, self.size, self.first = words, ids, size, np.cumsum(size) - size
+
+    @staticmethod
+    def joined(some: list[Cores]) -> Cores:
+        return Cores(pa.concat_arrays([c.words for c in some]), np.concatenate([c.ids for c in some]), np.concatenate([c.size for c in some]))
+
+    def only(self, mask: np.ndarray) -> Cores:
+        return Cores(self.words.filter(pa.array(mask)), gathered(self.ids, self.first[mask], self.size[mask]), self.size[mask])
+
+
 class ChunkEncoder:
     """Encodes texts as the tokenizers library does, without special tokens, truncation or padding.
 
     Words, chunks, windows and pieces' texts are kept up to a number of entries each, so memory is bounded.
     """
 
-    def __init__(self, path: str, words: int = 450_000, chunks: int = 30_000, windows: int = 60_000) -> None:
+    def __init__(self, path: str, words: int = 450_000, chunks: int = 30_000, windows: int = 60_000, cores: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -125,6 +154,9 @@ class ChunkEncoder:
         self.marks: dict[str, bytes] = {}
         self.chunks, self.windows, self.texts = Recent(chunks), Recent(windows), Recent(chunks + windows)
         self.most_words = words
+        self.cores, self.most_cores = Cores(pa.array([], pa.large_string()), np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)), cores
+        #: Whether words of letters and closing marks are sure not to hold an added token.
+        self.lettered = not any(re.fullmatch(f"(?:{_LETTERS})?[{_MARKS}]*", t) for t in self.added)
         #: Joins repaired, those whose window had to be widened, and texts that had to be encoded whole.
         self.joins = self.widened = self.whole = 0
         suffix = spec["model"].get("end_of_word_suffix") or "</w>"
@@ -210,22 +242,79 @@ class ChunkEncoder:
     def encode_words(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, by reuse of words only.
 
-        Arrow splits the texts and numbers their distinct words, so that only those are looked up; numpy lays out the ids.
+        Arrow splits the texts, numbers their distinct words, parts closing marks from letters and makes these small; so few words are looked up and
+        none is taken up by Python but those that are neither. numpy lays out the ids: of each distinct word, then of each word.
         """
         split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
         numbered = split.flatten().dictionary_encode()
-        words = numbered.dictionary.to_pylist()
-        self.learn(set(words) - {""})
-        ids = [self.word_ids[w] if w else b"" for w in words]
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-        pool, first = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(size) - size
+        words = numbered.dictionary
+        heads = pc.ascii_rtrim(words, characters=_MARKS)
+        plain = pc.and_(pc.match_substring_regex(heads, f"^{_LETTERS}$"), self.lettered)
+        keys = pc.if_else(plain, pc.utf8_lower(heads), words).dictionary_encode()
+        marked = pc.and_(plain, pc.not_equal(pc.binary_length(words), pc.binary_length(heads)))
+        marks = pc.replace_substring_regex(words.filter(marked), f"^{_LETTERS}", "").dictionary_encode()
+
+        cores, places = self._cores_of(keys.dictionary)
+        closing = self._asked(marks.dictionary)
+        # two parts of each distinct word, the second one mostly empty
+        pool = np.concatenate([cores.ids, closing.ids])
+        first, size = np.zeros((len(words), 2), dtype=np.int64), np.zeros((len(words), 2), dtype=np.int64)
+        place, is_marked, mark = places[keys.indices.to_numpy()], marked.to_numpy(zero_copy_only=False), marks.indices.to_numpy()
+        first[:, 0], size[:, 0] = cores.first[place], cores.size[place]
+        first[is_marked, 1], size[is_marked, 1] = closing.first[mark] + len(cores.ids), closing.size[mark]
+        pool, size = gathered(pool, first.ravel(), size.ravel()), size.sum(axis=1)
+
         at = numbered.indices.to_numpy()
         sizes = size[at]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        flat = pool[np.repeat(first[at] - ends[:-1], sizes) + np.arange(ends[-1])]
-        cuts = ends[split.offsets.to_numpy()]
+        flat = gathered(pool, (np.cumsum(size) - size)[at], sizes)
+        cuts = np.concatenate([[0], np.cumsum(sizes)])[split.offsets.to_numpy()]
         return [flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
+    def _cores_of(self, keys: pa.Array) -> tuple[Cores, np.ndarray]:
+        """Words with their ids, and where each of ``keys`` is among them. Those unknown are encoded; short ones are kept, at last those of this call."""
+        kept = self.cores
+        places = pc.fill_null(pc.index_in(keys, value_set=kept.words), -1).to_numpy().copy()
+        unknown = np.flatnonzero(places < 0)
+        new = keys.take(pa.array(unknown))
+        plain = pc.and_(pc.match_substring_regex(new, f"^{_LETTERS}$"), self.lettered)
+        kind = np.where(plain.to_numpy(zero_copy_only=False), pc.string_is_ascii(new).to_numpy(zero_copy_only=False).astype(np.int8), 2)
+        parts = [np.flatnonzero(kind == k) for k in range(3)]
+        made = [(self._spelled, self._asked)[k > 1](new.take(pa.array(part))) for k, part in enumerate(parts)]
+        both = Cores.joined([kept, *made])
+        places[unknown[np.concatenate(parts)]] = np.arange(len(kept.words), len(both.words))
+        short = pc.less_equal(pc.binary_length(both.words), KEPT_BYTES).to_numpy(zero_copy_only=False)
+        if short.sum() > self.most_cores:
+            used = np.zeros(len(short), dtype=bool)
+            used[places] = True
+            short &= used
+            short &= np.cumsum(short) <= self.most_cores
+        self.cores = both if short.all() else both.only(short)
+        return both, places
+
+    def _spelled(self, words: pa.Array) -> Cores:
+        """Lower-case words of letters, by the merges alone: many of them as one text, whose ids are parted where a word ends."""
+        starts = [*range(0, len(words), TOGETHER), len(words)]
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), words), pa.scalar(" ", pa.large_string())).to_pylist()
+        made = []
+        for a, b, line in zip(starts, starts[1:], lines):
+            if not line.isascii():
+                line = line.encode().decode("latin-1").translate(_SPELLED)
+            ids = np.array(self.bare.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == b - a and ends[-1] == len(ids):
+                made.append(Cores(words[a:b], ids, np.diff(ends, prepend=0)))
+            else:
+                made.append(self._asked(words[a:b]))
+        return Cores.joined(made) if made else Cores(words, np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64))
+
+    def _asked(self, words: pa.Array) -> Cores:
+        """Words as ``learn`` has them; they aren't kept twice."""
+        some = words.to_pylist()
+        self.learn(set(some) - {""})
+        ids = [self.word_ids[w] if w else b"" for w in some]
+        self.word_ids, self.older, self.marks = {}, {}, {}
+        return Cores(words, np.frombuffer(b"".join(ids), dtype="<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) >> 2)
+
     def _cut(self, text: str, odd: bool, mean: int) -> list[str]:
         """A text's chunks; those with too few words for a join on either side go with the next one."""
         out, held, n, start = [], [], 0, 0

@@ -25,6 +25,9 @@ from .common import map_texts, materialize
 #: The salted groups of a length; numbering a length that holds every row still spreads over as many tasks.
 SALTS = 1024
 
+#: Characters that a task tokenizes at a time; what is laid out for them stays beside an executor's heap.
+BLOCK_CHARS = 2_000_000
+
 
 def cut_pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path: str | None = None,
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,7 +55,7 @@ def cut_pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path: str
         return work
 
     pieces = map_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"], start,
-                       "piece int, start long, length long, ids_crc32 long")
+                       "piece int, start long, length long, ids_crc32 long", block_chars=BLOCK_CHARS)
     # by the row's number, so that equal rows are dealt out too; the pieces are written before the salt is used
     return pieces.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
 

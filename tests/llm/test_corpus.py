@@ -120,6 +120,28 @@ def test_encode_and_decode_rows(awkward, library):
     assert bpe.encode_documents(awkward.where("false")).count() == 0
 
 
+def test_words_of_letters_are_not_taken_up_by_python(library):
+    rng = np.random.default_rng(11)
+    letters = list("abcdefgxyzAÉÿßÑçŒžяЁΣİ")
+    texts = [" ".join("".join(rng.choice(letters[:n], rng.integers(1, 7))) + str(rng.choice(["", "", ",", "...", "$$$)", "'s"])) for _ in range(400)) for n in (12, 16, 22) for _ in range(5)]
+    expected = [ids_of(library, t) for t in texts]
+    enc = bpe.ChunkEncoder(bpe.default_vocabulary())
+    taken, learn = set(), enc.learn
+    enc.learn = lambda words: (taken.update(words), learn(words))
+    for t, ids in zip(texts, expected):  # with what earlier texts left, then all at once
+        assert np.frombuffer(enc.encode_words([t])[0], "<u4").tolist() == ids
+    assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode_words(texts)] == expected
+    assert taken and not any(re.fullmatch(r"[A-Za-zÉÿßÑçŒžяЁ]+[.,$)]*", w) for w in taken)
+
+
+def test_kept_words_are_few_and_short(library):
+    enc = bpe.ChunkEncoder(bpe.default_vocabulary(), cores=500)
+    for start in range(0, 6000, 300):
+        texts = [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(start, start + 300)), "z" * 3000 + " " + "7" * 100]
+        assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode_words(texts)] == [ids_of(library, t) for t in texts]
+        assert 300 <= len(enc.cores.words) <= 500 and max(map(len, enc.cores.words.to_pylist())) <= bpe.KEPT_BYTES and not enc.word_ids
+
+
 def test_other_tokenizers_are_refused():
     import public_tokenizers
 
