@@ -136,19 +136,22 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str, words: int = 450_000, chunks: int = 30_000, windows: int = 60_000, cores: int = 300_000) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         pre = json.dumps(spec.get("pre_tokenizer") or {})
         if spec.get("decoder") is not None or '"behavior": "Removed"' not in pre or "[^\\\\s\\\\p{L}\\\\p{N}]+" not in pre:
             raise ValueError("chunk reuse needs a tokenizer that drops white space before its merges")
+        self.added = [t["content"].lower() for t in spec.get("added_tokens", [])]
+        suffix = spec["model"].get("end_of_word_suffix") or "</w>"
+        del spec  # it is as large as the tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        # the same merges without normalizer, mark splitting and byte mapping, for words that are given as those would leave them
-        self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
-        self.added = [t["content"].lower() for t in spec.get("added_tokens", [])]
+        # the same merges, held once, without normalizer, mark splitting and byte mapping, for words that are given as those would leave them
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.word_ids: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
@@ -159,7 +162,6 @@ class ChunkEncoder:
         self.lettered = not any(re.fullmatch(f"(?:{_LETTERS})?[{_MARKS}]*", t) for t in self.added)
         #: Joins repaired, those whose window had to be widened, and texts that had to be encoded whole.
         self.joins = self.widened = self.whole = 0
-        suffix = spec["model"].get("end_of_word_suffix") or "</w>"
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
         self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         #: Of each id its decimal text and its token, as decoding shows it; an id without a token is left out there.

@@ -26,7 +26,7 @@ from .common import map_texts, materialize
 SALTS = 1024
 
 #: Characters that a task tokenizes at a time; what is laid out for them stays beside an executor's heap.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 
 
 def cut_pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path: str | None = None,

@@ -134,6 +134,12 @@ def test_words_of_letters_are_not_taken_up_by_python(library):
     assert taken and not any(re.fullmatch(r"[A-Za-zÉÿßÑçŒžяЁ]+[.,$)]*", w) for w in taken)
 
 
+def test_merges_are_held_once():
+    enc = bpe.ChunkEncoder(bpe.default_vocabulary())
+    enc.bare.model.dropout = 0.5  # shows in the other only if both have the same model
+    assert enc.tokenizer.model.dropout == 0.5
+
+
 def test_kept_words_are_few_and_short(library):
     enc = bpe.ChunkEncoder(bpe.default_vocabulary(), cores=500)
     for start in range(0, 6000, 300):
