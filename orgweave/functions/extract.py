@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .fields import EXECUTIVE, founders, headcount, hq
-from .regex import cut, first, has, let, rx, squeeze, sub, text, trim, words
+from .regex import cut, every, first, has, let, rx, squeeze, sub, text, trim, words
 from .scan import scanned
 from .text import UNKNOWN, is_blank
 
@@ -154,13 +154,12 @@ def first_person(c: Column, company: Column) -> Column:
     """The first founder or head that a page names, Unknown without one; the company's own name is none."""
     name = F.lower(text(company))
 
-    def person(h: Column) -> Column:
-        n = trim(h["g1"])
+    def person(n: Column) -> Column:
         low = F.lower(n)
         return (F.size(words(n)) >= 2) & (F.length(n) < 60) & ~has(n, NO_PERSON) & ~has(n, TITLE_IN_NAME) & ~F.contains(name, low) & ~((name != "") & F.contains(low, name))
 
-    hits = F.filter(matches(c, PERSON_PATTERNS, 0, 0, False), person)
-    return F.coalesce(trim(F.get(hits, F.lit(0))["g1"]), F.lit(UNKNOWN))
+    named = F.transform(F.concat(*[every(text(c), p, 1, False) for p in PERSON_PATTERNS]), trim)
+    return F.coalesce(F.get(F.filter(named, person), F.lit(0)), F.lit(UNKNOWN))
 
 
 def founder_evidence(c: Column) -> Column:

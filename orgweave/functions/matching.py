@@ -36,7 +36,8 @@ PAGE_INDUSTRIES = (("venture capital|growth equity|private equity|seed (?:and|&)
                    ("healthcare|biotech|therapeutics|clinical", "Healthcare / Biotech"), ("legal services|law firm", "Legal Services"))
 PAGE_PLACE = r"\b(?:based in|headquartered in|headquarters(?:\s+in)?|located in)\s+([A-Z][a-zA-Z .'-]+(?:,\s*[A-Z]{2})?)"
 PAGE_PAIR = r"\b([A-Z][a-zA-Z]+(?:\s[A-Z][a-zA-Z]+)?),\s*([A-Z]{2})\b(?:\s+\d{5})?"
-PAGE_STAFF = r"\b(\d{1,3}(?:,\d{3})*\+?\s*[-\x{2013}to]+\s*\d{1,3}(?:,\d{3})*\+?|\d{1,3}(?:,\d{3})*\+)\s*(?:employees|people|team members|professionals)\b"
+#: Not from within a number: what matches there matches from its beginning, and each part of a long list of numbers would be read to the list's end.
+PAGE_STAFF = r"\b(?!\d{3}(?<=\b\d{1,3},\d{3}))(\d{1,3}(?:,\d{3})*\+?\s*[-\x{2013}to]+\s*\d{1,3}(?:,\d{3})*\+?|\d{1,3}(?:,\d{3})*\+)\s*(?:employees|people|team members|professionals)\b"
 CONTEXTS = ((r"private equity|\bpe\b|buyout", "investment_firm|private_equity"), (r"venture capital|\bvc\b|seed fund", "investment_firm|venture"), ("fintech|payments|neobank", "company|fintech"),
             ("software|saas|enterprise", "company"), ("biotech|biotechnology|pharma", "company"), ("consumer|retail|apparel", "company|store|retail"))
 # ----------------------------------------------------------------------------------------------------------------
@@ -266,13 +267,16 @@ def corpus_fields(c: Column) -> Column:
 
 
 def page_fields(html: Column, company: Column) -> Column:
-    """struct(industry, headcount, location, founders, notes, source) of a whole page: title, description, site name, the about part, the footer and the body, in
-    this order; a page without any of the company's longer words says nothing."""
+    """struct(industry, headcount, location, founders, notes, source) of a whole page: title, description, site name, the about part (all behind its mark), the footer and the body, in
+    this order, each to its end; a page without any of the company's longer words says nothing. The note is a short description, else an excerpt of the about part."""
     s, none = text(html), F.lit(UNKNOWN)
     description = F.coalesce(F.nullif(H.meta(html, "description"), F.lit("")), H.meta(html, "og:description"))
-    about = cut(H.html_text(F.regexp_extract(s, r"""(?is)id=["']about["'].{0,6000}|class=["'][^"']*about[^"']*["'].{0,6000}""", 0)), 2000)
-    footer = cut(H.html_text(F.regexp_extract(s, r"(?is)<footer.{0,8000}</footer>", 0)), 1500)
-    made = F.struct(F.concat_ws(". ", H.title(html), description, H.meta(html, "og:site_name"), about, footer, cut(H.html_text(html), 8000)).alias("corpus"), description.alias("description"), about.alias("about"))
+    about = H.html_text(F.regexp_extract(s, r"""(?is)id=["']about["'].*|class=["'](?=[^"']*["'])[^"']*about.*""", 0))
+    footer = H.html_text(F.regexp_extract(s, r"(?is)(<footer.*</footer>)|<footer", 1))  # one that is not closed is none, and looked for once
+
+    def made(x: Column) -> Column:
+        corpus = F.concat_ws(". ", H.title(html), x["description"], H.meta(html, "og:site_name"), x["about"], footer, H.html_text(html))
+        return F.struct(corpus.alias("corpus"), x["description"].alias("description"), x["about"].alias("about"))
 
     def body(x: Column) -> Column:
         corpus = x["corpus"]
@@ -289,4 +293,4 @@ def page_fields(html: Column, company: Column) -> Column:
         silent = lambda source: F.struct(*[none.alias(n) for n in ("industry", "headcount", "location", "founders", "notes")], F.lit(source).alias("source"))
         return F.when(s == "", silent("none")).when(said, shown).otherwise(silent("scrape-unconfirmed"))
 
-    return let(made, body)
+    return let(F.struct(description.alias("description"), about.alias("about")), lambda x: let(made(x), body))

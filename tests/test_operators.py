@@ -11,6 +11,7 @@ from orgweave.functions import domains as D
 from orgweave.functions import extract as X
 from orgweave.functions import fields as L
 from orgweave.functions import html as H
+from orgweave.functions import matching as N
 from orgweave.functions import text as T
 from orgweave.operators import candidates as C
 from orgweave.operators import consensus as S
@@ -217,6 +218,24 @@ def test_facts_with_windows(spark):
     assert [(h["start"], h["match"], h["g1"], h["g2"], h["g3"], h["window"]) for h in one] == [(0, "12 cats", "12", "cats", "", "12 cats, "), (9, "3 dogs", "3", "dogs", "", "s, 3 dogs!")]
 
 
+def test_pages_are_read_to_their_end(spark):
+    long, other = "Words of no weight. " * 1000, "<p>Acme is based in Boise, ID.</p>"
+    facts = "Acme does fintech and is based in Reno, NV. Founder: Jane Doe and friends, 1,200+ people"
+    pages = [f"<p>{long}{facts}.</p>", f"{other}<div id='about'>{long}{facts}.</div>", f"{other}<p class=\"x About\">{long}{facts}.</p>", f"{other}<footer>{long}{facts}.</footer>",
+             f"<footer>{long}{facts}.{other}", f"<p>{long}</p>", f"<p class='about {long}{facts}."]
+    rows = values(spark, lambda c: N.page_fields(c, F.lit("Acme")), pages)
+    found = ("Financial Technology", "1,200+", "Reno, NV", "Jane Doe")
+    assert [tuple(r)[:4] for r in rows] == [found, found, found, found, found, ("Unknown",) * 4, found]
+    assert [r["source"] for r in rows] == ["scrape"] * 5 + ["scrape-unconfirmed", "scrape"]
+
+
+def test_searches_of_pages_grow_with_their_length(spark):
+    staff = {"111,222,333 - 444,555 people": "111,222,333 - 444,555", "12345,678+ employees": "678+", "1,22-33 people": "22-33", "1,222+, 5+ people": "5+", "111," * 25000 + "7+ people": "7+", "111," * 25000 + "222": "Unknown"}
+    assert [r["headcount"] for r in values(spark, lambda c: N.page_fields(c, F.lit("")), list(staff))] == list(staff.values())  # 136 s for one such list if each of its numbers is a beginning
+    odd = ["Jane Doe, CEO of it. " * 20000, "<p class='" + "about " * 60000, "<footer>x" * 40000]
+    assert [r["founders"] for r in values(spark, lambda c: N.page_fields(c, F.lit("")), odd)] == ["Jane Doe", "Unknown", "Unknown"]
+
+
 def test_industry_by_evidence(spark):
     parts = [["An observability platform and SaaS provider for the semiconductor industry"], [None, ""], ["short"], ["a technology company with many offices around the world"], ["She likes semiconductor physics and processors", "x" * 5000, "observability"],
              ["Acme is a fabless semiconductor company"]]
